@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from learnmart.functions.exprs import period_end
 from learnmart.model import Tables
-from learnmart.operators import marts
+from learnmart.operators import lookups, marts
+from learnmart.plans import admin, finance, pages, students, teachers
 from learnmart.sources import testdata
 
 MARTS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -25,7 +28,78 @@ MARTS: dict[str, Callable[[Tables], DataFrame]] = {
     "teacher_workload": marts.teacher_workload,
 }
 
-GROUPS = [MARTS]
+
+
+def outline_text(t: Tables) -> DataFrame:
+    """The nested course outline as text (nested values are not compared directly)."""
+    lesson = "concat_ws(':', l.lesson_id, l.lesson_title, l.lesson_type, l.duration_minutes, l.is_completed)"
+    text = f"array_join(transform(modules, m -> concat(m.module_title, '[', array_join(transform(m.lessons, l -> {lesson}), ','), ']')), ' ')"
+    return pages.course_outline(t).withColumn("modules", F.expr(text))
+
+
+LOOKUPS = {
+    "user_full_names": lookups.user_full_names,
+    "course_stats": lookups.course_stats,
+    "student_rank": lookups.student_rank,
+    "period_end": lambda t: t.payments.select(
+        F.col("id").alias("payment_id"),
+        "subscription_type",
+        "period_start",
+        period_end(F.col("period_start"), F.col("subscription_type")).alias("period_end"),
+    ),
+    "is_enrolled": lambda t: lookups.is_enrolled(
+        t, t.payments.select(F.col("id").alias("payment_id"), "student_id", "course_id")
+    ),
+    "teacher_students": lookups.teacher_students,
+    "monthly_revenue": lambda t: lookups.monthly_revenue(t, date(2017, 1, 1), t.as_of.date()),
+    "course_progress_report": lookups.course_progress_report,
+}
+
+REPORTS = {
+    "rpt_dashboard": admin.dashboard,
+    "rpt_student_activity": admin.student_activity,
+    "rpt_course_summary": admin.course_summary,
+    "rpt_progress": admin.progress,
+    "rpt_ranking": admin.ranking,
+    "rpt_course_finance": admin.finance,
+    "rpt_webinars": admin.webinars,
+    "rpt_pending": admin.pending,
+    "rpt_workload": admin.workload,
+    "rpt_monthly_dynamics": finance.monthly_dynamics,
+    "rpt_abc": finance.abc,
+    "rpt_expiring_subscriptions": finance.expiring_subscriptions,
+    "rpt_finance_totals": finance.totals,
+    "rpt_progress_status": students.progress_status,
+    "rpt_ranking_topic": students.ranking_topic,
+    "rpt_unsubmitted": students.unsubmitted,
+    "rpt_submission_status": students.submission_status,
+    "rpt_activity": students.activity,
+    "rpt_course_detail": students.course_detail,
+    "rpt_teacher_students": teachers.students,
+    "rpt_check_queue": teachers.check_queue,
+    "rpt_workload_rank": teachers.workload_rank,
+    "rpt_teacher_webinars": lambda t: teachers.webinars(t, "supp3"),
+    "rpt_student_grades": teachers.student_grades,
+}
+
+PAGES = {
+    "platform_counts": pages.platform_counts,
+    "users_by_role": pages.users_by_role,
+    "revenue_last6": pages.revenue_last_months,
+    "monthly_finance": pages.monthly_finance,
+    "user_directory": pages.user_directory,
+    "enroll_choices": pages.enroll_choices,
+    "teacher_student_count": pages.teacher_student_count,
+    "teacher_pending_count": pages.teacher_pending_count,
+    "teacher_student_list": teachers.students,
+    "teacher_pending_list": pages.teacher_pending_list,
+    "student_courses": pages.student_courses,
+    "course_outline": outline_text,
+    "lesson_detail": pages.lesson_detail,
+    "lesson_homeworks": pages.lesson_homeworks,
+}
+
+GROUPS = [MARTS, LOOKUPS, REPORTS, PAGES]
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -50,8 +124,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def all_statements() -> dict[str, str]:
     from learnmart.oracle import marts as marts_sql
+    from learnmart.oracle import reports as reports_sql
 
     out: dict[str, str] = {}
-    for module in (marts_sql,):
+    for module in (marts_sql, reports_sql):
         out.update(module.STATEMENTS)
     return out

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnmart.functions.exprs import zero
@@ -112,19 +112,36 @@ def people(t: Tables, *columns) -> DataFrame:
     return t.users.select(F.col("id").alias("student_id"), *columns)
 
 
-def rank_within(t: Tables, df: DataFrame, score: str, out: str, group: str = "course_id") -> DataFrame:
+def rank_within(
+    t: Tables, df: DataFrame, score: str, out: str, group: str = "course_id", size: str | None = None
+) -> DataFrame:
     """``rank()`` by descending score inside each group, without a window over the rows.
 
     A group may hold a third of all rows, so rows are first reduced to a
     histogram of scores; the running count over that histogram gives the rank
-    of each score, and is joined back by (group, score).
+    of each score, and is joined back by (group, score).  ``size`` names a
+    column for the number of rows in the group.
     """
-    from pyspark.sql import Window
+    whole = Window.partitionBy(group)
+    above = whole.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    columns = [group, score, (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).alias(out)]
+    if size:
+        columns.append(F.sum("_n").over(whole).alias(size))
+    ranks = df.groupBy(group, score).agg(F.count("*").alias("_n")).select(*columns)
+    return df.join(t.score_dim(ranks), [group, score])
+
+
+def global_rank(df: DataFrame, score: str, out: str) -> DataFrame:
+    """``rank()`` by descending score over all rows.
 
-    above = Window.partitionBy(group).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    The unpartitioned window runs over distinct values of an integer count
+    only; d distinct counts need at least d(d-1)/2 counted items, so there are
+    few even when there are many rows.
+    """
+    above = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
     ranks = (
-        df.groupBy(group, score)
+        df.groupBy(score)
         .agg(F.count("*").alias("_n"))
-        .select(group, score, (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).alias(out))
+        .select(score, (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).alias(out))
     )
-    return df.join(t.score_dim(ranks), [group, score])
+    return df.join(ranks, score)

@@ -118,41 +118,40 @@ def teacher_ids_by_course(t: Tables) -> DataFrame:
     return t.course_teachers.groupBy("course_id").agg(F.sort_array(F.collect_set("teacher_id")).alias("teacher_ids"))
 
 
-def pending_homeworks(t: Tables) -> DataFrame:
+def pending_homeworks(t: Tables, with_teachers: bool = True) -> DataFrame:
     """Hand-ins waiting for manual grading, with the course's teachers ([NULL] when it has none)."""
     outline = (
         course_homeworks(t, published=False)
         .filter("check_type = 'manual'")
         .join(t.courses.select(F.col("id").alias("course_id"), F.col("title").alias("course_title")), "course_id")
     )
-    teachers = teacher_ids_by_course(t)
-    if t.assignments_fit:
-        teachers = F.broadcast(teachers)
     pending = t.homework_submissions.filter("status = 'submitted'").select(
         F.col("id").alias("submission_id"), "submitted_at", "student_id", "homework_id", "answer_text", "answer_url"
     )
-    nobody = F.array(F.lit(None).cast("string"))
-    return (
-        pending.join(t.catalogue_dim(outline), "homework_id")
-        .join(people(t, short_name().alias("student_name")), "student_id")
-        .join(teachers, "course_id", "left")
-        .select(
-            "submission_id",
-            "submitted_at",
-            "student_id",
-            "student_name",
-            "homework_id",
-            "homework_title",
-            "max_score",
-            "lesson_id",
-            "lesson_title",
-            "module_title",
-            "course_id",
-            "course_title",
-            F.coalesce("teacher_ids", nobody).alias("teacher_ids"),
-            "answer_text",
-            "answer_url",
-        )
+    rows = pending.join(t.catalogue_dim(outline), "homework_id").join(
+        people(t, short_name().alias("student_name")), "student_id"
+    )
+    columns = []
+    if with_teachers:
+        teachers = teacher_ids_by_course(t)
+        rows = rows.join(F.broadcast(teachers) if t.assignments_fit else teachers, "course_id", "left")
+        columns = [F.coalesce("teacher_ids", F.array(F.lit(None).cast("string"))).alias("teacher_ids")]
+    return rows.select(
+        "submission_id",
+        "submitted_at",
+        "student_id",
+        "student_name",
+        "homework_id",
+        "homework_title",
+        "max_score",
+        "lesson_id",
+        "lesson_title",
+        "module_title",
+        "course_id",
+        "course_title",
+        *columns,
+        "answer_text",
+        "answer_url",
     )
 
 
