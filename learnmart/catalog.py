@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 
 from learnmart.functions.exprs import period_end
 from learnmart.model import Tables
-from learnmart.operators import lookups, marts
+from learnmart.operators import jobs, lookups, marts, quality, rules
 from learnmart.plans import admin, finance, pages, students, teachers
-from learnmart.sources import testdata
+from learnmart.sources import commands, testdata
 
 MARTS: dict[str, Callable[[Tables], DataFrame]] = {
     "active_students": marts.active_students,
@@ -99,7 +99,127 @@ PAGES = {
     "lesson_homeworks": pages.lesson_homeworks,
 }
 
-GROUPS = [MARTS, LOOKUPS, REPORTS, PAGES]
+RULES = {
+    "validate_scores": lambda t: rules.judge_scores(t, commands.raw_submissions(t))
+    .filter("reject_reason is not null")
+    .select("id", "homework_id", "score", "status", "reject_reason"),
+    "auto_check": lambda t: rules.auto_check(t, commands.raw_submissions(t)).select(
+        "id", "homework_id", "score", "status", "checked_at"
+    ),
+    "touch_updated_at": lambda t: rules.touch_updated_at(
+        t.users, commands.progress_before(t).select(F.col("student_id").alias("id")).distinct(), "id", t.now
+    ).select("id", "updated_at"),
+    "log_enrollment": lambda t: rules.log_enrolments(commands.enrolments_before(t), commands.enrolments_after(t), t.now),
+    "log_progress": lambda t: rules.log_progress(commands.progress_before(t), t.lesson_progress, t.now),
+    "check_teacher_role": lambda t: rules.check_teacher_role(t, commands.raw_assignments(t)).filter(
+        "reject_reason is not null"
+    ),
+    "check_student_role": lambda t: rules.check_student_role(t, commands.raw_enrolments(t))
+    .filter("reject_reason is not null")
+    .select("id", "student_id", "reject_reason"),
+    "set_completed_at": lambda t: rules.set_completed_at(commands.progress_before(t), t.lesson_progress, t.now),
+    "queue_refresh": lambda t: _change("enrollments", t).appends["mv_refresh_queue"],
+}
+
+# job name -> (starting state, command feed, decide, apply)
+JOB_STEPS = {
+    "enrollments": (commands.before, commands.enrol_commands, jobs.decide_enrolments, jobs.apply_enrolments),
+    "payments": (commands.before, commands.payment_commands, jobs.decide_payments, jobs.apply_payments),
+    "units": (commands.before, commands.unit_commands, jobs.decide_enrol_and_pay, jobs.apply_enrol_and_pay),
+    "grades": (lambda t: t, commands.grade_commands, jobs.decide_grades, jobs.apply_grades),
+    "deactivations": (lambda t: t, commands.deactivation_commands, jobs.decide_deactivations, jobs.apply_deactivations),
+    "completions": (commands.before, commands.completion_commands, jobs.decide_completions, jobs.apply_completions),
+    "submissions": (commands.before, commands.submission_commands, jobs.decide_submissions, jobs.apply_submissions),
+}
+
+
+def _decided(job: str, t: Tables) -> tuple[Tables, DataFrame]:
+    state, feed, decide, _ = JOB_STEPS[job]
+    start = state(t)
+    return start, decide(start, feed(t))
+
+
+def _change(job: str, t: Tables) -> jobs.Change:
+    start, decided = _decided(job, t)
+    return JOB_STEPS[job][3](start, decided)
+
+
+def _outcomes(job: str):
+    return lambda t: jobs.decisions_of(_decided(job, t)[1])
+
+
+def _log(job: str):
+    return lambda t: _change(job, t).appends["activity_log"]
+
+
+def _first_pending(t: Tables) -> DataFrame:
+    decided = jobs.decide_grades(t, jobs.first_pending_grades(t, score=17))
+    return decided.select("cmd_id", "submission_id", "teacher_id", "score", "outcome", "reason")
+
+
+JOBS = {
+    "apply_enrollments": _outcomes("enrollments"),
+    "apply_enrollments_state": lambda t: _change("enrollments", t).tables["enrollments"],
+    "apply_enrollments_log": _log("enrollments"),
+    "apply_payments": _outcomes("payments"),
+    "apply_payments_rows": lambda t: _change("payments", t).appends["payments"],
+    "apply_payments_log": _log("payments"),
+    "payment_warnings": lambda t: jobs.payment_warnings(_decided("payments", t)[1]),
+    "apply_grades": _outcomes("grades"),
+    "apply_grades_state": lambda t: _change("grades", t)
+    .tables["homework_submissions"]
+    .select("id", "homework_id", "student_id", "score", "status", "checked_by", "checked_at"),
+    "apply_grades_log": _log("grades"),
+    "grade_first_pending": _first_pending,
+    "apply_deactivations": lambda t: _decided("deactivations", t)[1].select(
+        "cmd_id", "outcome", "reason", "courses_affected"
+    ),
+    "apply_deactivations_users": lambda t: _change("deactivations", t).tables["users"].select("id", "is_active", "updated_at"),
+    "apply_deactivations_enrollments": lambda t: _change("deactivations", t)
+    .tables["enrollments"]
+    .select("id", "student_id", "course_id", "is_active"),
+    "apply_deactivations_log": _log("deactivations"),
+    "complete_lessons": _outcomes("completions"),
+    "complete_lessons_state": lambda t: _change("completions", t).tables["lesson_progress"],
+    "complete_lessons_log": _log("completions"),
+    "submit_homeworks": _outcomes("submissions"),
+    "submit_homeworks_rows": lambda t: _change("submissions", t).appends["homework_submissions"],
+    "enroll_and_pay": _outcomes("units"),
+    "enroll_and_pay_log": _log("units"),
+}
+
+
+def purge_counts(t: Tables) -> DataFrame:
+    """Rows kept per table after deleting inactive users and courses, and the refused deletes.
+
+    Payments of inactive people, and places and payments of inactive courses, count as archived.
+    """
+    people = t.users.filter("is_active").select(F.col("id").alias("student_id"))
+    open_courses = t.catalogue_dim(t.courses.filter("is_active").select(F.col("id").alias("course_id")))
+    state = t.replace(
+        payments=t.payments.join(people, "student_id", "left_semi").join(open_courses, "course_id", "left_semi"),
+        enrollments=t.enrollments.join(open_courses, "course_id", "left_semi"),
+    )
+    change, rejects = quality.cascade_purge(
+        state, users=t.users.filter("not is_active"), courses=t.courses.filter("not is_active")
+    )
+    out = rejects.groupBy(F.concat(F.lit("rejected "), "kind").alias("kind"), F.col("reason").alias("name")).agg(
+        F.count("*").alias("rows")
+    )
+    for name, df in change.tables.items():
+        out = out.union(df.agg(F.count("*").alias("rows")).select(F.lit("kept"), F.lit(name), "rows"))
+    return out
+
+
+QUALITY = {
+    "unique_violations": lambda t: quality.unique_violations(commands.arriving(t)),
+    "orphan_rows": lambda t: quality.orphan_rows(commands.arriving(t)),
+    "check_violations": lambda t: quality.check_violations(commands.arriving(t)),
+    "domain_violations": lambda t: quality.domain_violations(commands.arriving(t)),
+    "cascade_purge": purge_counts,
+}
+
+GROUPS = [MARTS, LOOKUPS, REPORTS, PAGES, RULES, JOBS, QUALITY]
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -123,10 +243,11 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_statements() -> dict[str, str]:
+    from learnmart.oracle import changes as changes_sql
     from learnmart.oracle import marts as marts_sql
     from learnmart.oracle import reports as reports_sql
 
     out: dict[str, str] = {}
-    for module in (marts_sql, reports_sql):
+    for module in (marts_sql, reports_sql, changes_sql):
         out.update(module.STATEMENTS)
     return out

@@ -35,7 +35,15 @@ class Tables:
 
     def replace(self, **frames: DataFrame) -> "Tables":
         """A copy with some tables swapped (how change jobs hand on new state)."""
-        return Tables(self.spark, {**self.frames, **frames}, self.as_of, self.broadcast_bytes)
+        out = Tables(self.spark, {**self.frames, **frames}, self.as_of, self.broadcast_bytes)
+        kept = set(self.frames) - set(frames)
+        if kept >= set(schemas.CATALOGUE) and "catalogue_size" in self.__dict__:
+            out.__dict__["catalogue_size"] = self.catalogue_size
+        if "course_teachers" in kept and "_assignment_bytes" in self.__dict__:
+            out.__dict__["_assignment_bytes"] = self._assignment_bytes
+        if "users" in kept:
+            out.__dict__["_sizes"] = self.__dict__.setdefault("_sizes", {})
+        return out
 
     # -- time ---------------------------------------------------------------
     @property
@@ -59,6 +67,13 @@ class Tables:
         """Broadcast a frame with at most one row per (course, reachable score), if that is known to be small."""
         return F.broadcast(df) if self.catalogue_size.score_bytes <= self.broadcast_bytes else df
 
+    def measured_dim(self, name: str, df: DataFrame) -> DataFrame:
+        """Broadcast ``df`` if its measured size allows; measured once per name."""
+        sizes = self.__dict__.setdefault("_sizes", {})
+        if name not in sizes:
+            sizes[name] = sizing.measured_bytes(df)
+        return F.broadcast(df) if sizes[name] <= self.broadcast_bytes else df
+
     @cached_property
     def _assignment_bytes(self) -> int:
         return sizing.measured_bytes(self.course_teachers.select("course_id", "teacher_id"))
