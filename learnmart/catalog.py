@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 
 from learnmart.functions.exprs import period_end
 from learnmart.model import Tables
-from learnmart.operators import jobs, lookups, marts, quality, rules
+from learnmart.operators import jobs, lookups, marts, quality, refresh, rules
 from learnmart.plans import admin, finance, pages, students, teachers
-from learnmart.sources import commands, testdata
+from learnmart.sources import commands, feeds, testdata
+from learnmart.sources.store import Store, workspace
+from learnmart.streaming import jobs as streams
 
 MARTS: dict[str, Callable[[Tables], DataFrame]] = {
     "active_students": marts.active_students,
@@ -219,7 +221,78 @@ QUALITY = {
     "cascade_purge": purge_counts,
 }
 
-GROUPS = [MARTS, LOOKUPS, REPORTS, PAGES, RULES, JOBS, QUALITY]
+
+
+def refreshed(t: Tables) -> DataFrame:
+    store = Store(t.spark, workspace(t.spark, "marts"))
+    refresh.refresh_marts(t, store)
+    return refresh.stored_summary(store)
+
+
+def loaded_counts(t: Tables) -> DataFrame:
+    """A bulk load of unchecked rows through the table rules: rows stored and rows turned away."""
+    empty = {name: t.frames[name].limit(0) for name in ("course_teachers", "homework_submissions", "lesson_progress")}
+    queue = rules.queue_refresh(empty["course_teachers"], ["course_id"], t.now)
+    start = commands.before(t).replace(**empty, mv_refresh_queue=queue)
+    feed = t.replace()
+    feed.raw = t.raw
+    after, rejects = jobs.load_rows(
+        start,
+        {
+            "course_teachers": commands.raw_assignments(feed).withColumn("assigned_at", t.now),
+            "enrollments": commands.enrol_commands(feed),
+            "payments": commands.payment_commands(feed),
+            "lesson_progress": t.lesson_progress,
+            "homework_submissions": commands.raw_submissions(feed),
+        },
+    )
+    out = rejects
+    for name in ("course_teachers", "enrollments", "payments", "lesson_progress", "homework_submissions", "activity_log",
+                 "mv_refresh_queue"):
+        out = out.union(after.frames[name].agg(F.count("*").alias("rows")).select(F.lit(name), F.lit("stored"), "rows"))
+    return out
+
+
+def _streamed(name: str, table: str, feed, run, result, state=commands.before):
+    def query(t: Tables) -> DataFrame:
+        start = state(t)
+        sink = streams.Sink(workspace(t.spark, name))
+        raw = feeds.StreamingRaw(t.spark, t.raw.sf_dir, (table,))
+        run(start, feed(start, raw), sink).awaitTermination()
+        return result(start, sink)
+
+    return query
+
+
+STREAMS = {
+    "stream_submissions": _streamed(
+        "submissions", "lineitem", feeds.submissions, streams.stream_submissions,
+        lambda t, sink: sink.read(t, "judged").select("id", "homework_id", "student_id", "outcome"),
+    ),
+    "stream_submissions_accepted": _streamed(
+        "submissions", "lineitem", feeds.submissions, streams.stream_submissions,
+        lambda t, sink: sink.read(t, "accepted").select("id", "homework_id", "student_id", "score", "status", "checked_at"),
+    ),
+    "stream_progress": _streamed(
+        "progress", "events", feeds.lesson_events, streams.stream_progress,
+        lambda t, sink: sink.read(t, "progress").select("student_id", "lesson_id", "is_completed", "completed_at", "last_viewed_at"),
+    ),
+    "stream_progress_log": _streamed(
+        "progress", "events", feeds.lesson_events, streams.stream_progress,
+        lambda t, sink: sink.read(t, "log").select("user_id", "action", "entity_id", "metadata"),
+    ),
+    "stream_enrollments": _streamed(
+        "enrollments", "orders", feeds.enrol_commands, streams.stream_enrolments,
+        lambda t, sink: sink.read(t, "decisions").select("cmd_id", "outcome", "reason"),
+    ),
+    "stream_last_activity": _streamed(
+        "activity", "events", feeds.activity, streams.stream_last_activity, streams.latest_activity, state=lambda t: t
+    ),
+}
+
+REFRESH = {"refresh_marts": refreshed, "load_seed": loaded_counts}
+
+GROUPS = [MARTS, LOOKUPS, REPORTS, PAGES, RULES, JOBS, QUALITY, REFRESH, STREAMS]
 
 
 def comparable(df: DataFrame) -> DataFrame:

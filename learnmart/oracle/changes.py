@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from learnmart.oracle.base import statement
+from learnmart.oracle.marts import COMPLETION, M1, M4
 
 CUT = "TIMESTAMP '2000-01-01'"
 EVENT_CUT = "TIMESTAMP '2024-01-16'"
@@ -514,4 +515,102 @@ UNION ALL SELECT 'users', 'email length', id FROM users WHERE length(email) > 25
     ),
 }
 
-STATEMENTS = {**RULES, **JOBS, **QUALITY}
+REFRESH = {
+    "refresh_marts": statement(
+        """
+SELECT 'mv_admin_dashboard' AS mart, count(*) AS rows, sum(total_submissions) AS total FROM m1
+UNION ALL SELECT 'mv_student_scores', count(*), sum(rank_in_course) FROM scores
+UNION ALL SELECT 'mv_course_completion', count(*), sum(completed_lessons) FROM completion
+UNION ALL SELECT 'mv_teacher_workload', count(*), sum(total_students) FROM m4""",
+        ints="total",
+        ctes=f"{M1},{COMPLETION},{M4}",
+    ),
+    "load_seed": statement(
+        """
+SELECT 'course_teachers' AS table_name, CASE WHEN u.id IS NULL THEN 'user_not_found' WHEN u.role <> 'teacher'
+  THEN 'not_a_teacher' ELSE 'stored' END AS reason, count(*) AS rows FROM raw_ct r LEFT JOIN users u ON u.id = r.teacher_id GROUP BY 2
+UNION ALL SELECT 'enrollments', reason, count(*) FROM decided WHERE reason IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'enrollments', 'stored', (SELECT count(*) FROM enr_before) + (SELECT count(*) FROM decided WHERE outcome = 'enrolled')
+UNION ALL SELECT 'payments', reason, count(*) FROM pay_decided WHERE reason IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'payments', 'stored', (SELECT count(*) FROM payments) + (SELECT count(*) FROM pay_decided WHERE reason IS NULL)
+UNION ALL SELECT 'lesson_progress', 'stored', count(*) FROM lesson_progress
+UNION ALL SELECT 'homework_submissions', coalesce(CASE WHEN score > max_score THEN 'score_above_max'
+  WHEN score IS NOT NULL AND status = 'submitted' THEN 'score_while_submitted' END, 'stored'), count(*) FROM raw_sub GROUP BY 2
+UNION ALL SELECT 'activity_log', 'stored', (SELECT count(*) FROM activity_log)
+  + (SELECT count(*) FROM decided WHERE outcome IN ('enrolled', 'reactivated'))
+  + (SELECT count(*) FROM decided WHERE outcome = 'enrolled') + (SELECT count(*) FROM pay_decided WHERE reason IS NULL)
+  + (SELECT count(*) FROM lesson_progress)
+UNION ALL SELECT 'mv_refresh_queue', 'stored', 4 * count(*) FROM decided WHERE outcome IN ('enrolled', 'reactivated')""",
+        ints="rows",
+        ctes=ENROL + f""",
+pay_cmds AS (SELECT 'S' || o_custkey AS student_id, o_orderkey % 25 AS course_id, 'A' || (o_custkey % 6) AS admin_id,
+    {AMOUNT} AS amount, {KIND} AS subscription_type,
+    CASE WHEN o_orderkey % 31 <> 0 THEN CAST(o_orderdate + INTERVAL 8200 DAY AS DATE) END AS period_start
+  FROM orders WHERE o_orderdate >= {CUT}),
+pay_decided AS (SELECT CASE WHEN x.subscription_type NOT IN ('monthly', 'yearly') THEN 'bad_subscription_type'
+         WHEN NOT EXISTS (SELECT 1 FROM users a WHERE a.id = x.admin_id AND a.role = 'admin' AND a.is_active)
+           THEN 'admin_not_active'
+         WHEN NOT EXISTS (SELECT 1 FROM enr_before e WHERE e.student_id = x.student_id AND e.course_id = x.course_id
+                          AND e.is_active)
+          AND NOT EXISTS (SELECT 1 FROM decided d WHERE d.student_id = x.student_id AND d.course_id = x.course_id
+                          AND d.outcome IN ('enrolled', 'reactivated')) THEN 'not_enrolled'
+         WHEN x.period_start IS NULL THEN 'missing_period_start'
+         WHEN x.amount IS NULL OR x.amount <= 0 THEN 'amount_not_positive' END AS reason FROM pay_cmds x)""",
+    ),
+}
+
+STREAM_SUB = f"""{BEFORE},
+judged AS (SELECT r.*, CASE WHEN score > max_score THEN 'score_above_max'
+    WHEN score IS NOT NULL AND status = 'submitted' THEN 'score_while_submitted' END AS own_reason FROM raw_sub r),
+decided AS (SELECT *, coalesce(own_reason, CASE WHEN rn > 1 OR EXISTS (SELECT 1 FROM sub_before s
+       WHERE s.homework_id = o.homework_id AND s.student_id = o.student_id) THEN 'duplicate' END, 'accepted') AS outcome
+  FROM (SELECT *, row_number() OVER (PARTITION BY homework_id, student_id, own_reason IS NULL ORDER BY submitted_at, id) AS rn
+        FROM judged) o)"""
+
+STREAM_PROG = f"""{BEFORE},
+incoming AS (SELECT 'S' || user_id AS student_id, l.id AS lesson_id, arg_min(event_type IN ('purchase', 'signup'), (ts, event_id)) AS first_done,
+    bool_or(event_type IN ('purchase', 'signup')) AS any_done, max(ts) AS last
+  FROM events JOIN lessons l ON l.id = event_id % 200 WHERE ts >= {EVENT_CUT} GROUP BY 1, 2),
+changed AS (SELECT i.student_id, i.lesson_id, o.id IS NULL AS inserted, coalesce(o.is_completed, i.first_done) OR i.any_done AS is_completed,
+    NOT coalesce(o.is_completed, i.first_done) AND i.any_done AS completed, o.completed_at AS old_completed_at,
+    greatest(i.last, o.last_viewed_at) AS viewed_at
+  FROM incoming i LEFT JOIN prog_before o ON o.student_id = i.student_id AND o.lesson_id = i.lesson_id)"""
+
+STREAMS = {
+    "stream_submissions": statement(
+        "SELECT id, homework_id, student_id, outcome FROM decided", ints="homework_id", ctes=STREAM_SUB
+    ),
+    "stream_submissions_accepted": statement(
+        """
+SELECT id, homework_id, student_id, CASE WHEN check_type = 'auto' THEN max_score ELSE score END AS score,
+       CASE WHEN check_type = 'auto' THEN 'auto_checked' ELSE status END AS status,
+       CASE WHEN check_type = 'auto' THEN TIMESTAMP '2024-01-31' END AS checked_at FROM decided WHERE outcome = 'accepted'""",
+        ints="homework_id score",
+        ctes=STREAM_SUB,
+    ),
+    "stream_progress": statement(
+        """
+SELECT student_id, lesson_id, is_completed, CASE WHEN completed THEN TIMESTAMP '2024-01-31' ELSE old_completed_at END AS completed_at,
+       CASE WHEN completed THEN TIMESTAMP '2024-01-31' ELSE viewed_at END AS last_viewed_at FROM changed""",
+        ints="lesson_id",
+        ctes=STREAM_PROG,
+    ),
+    "stream_progress_log": statement(
+        """
+SELECT student_id AS user_id, 'view_lesson' AS action, CAST(lesson_id AS VARCHAR) AS entity_id, '{"first_view":true}' AS metadata
+FROM changed WHERE inserted
+UNION ALL SELECT student_id, 'complete_lesson', CAST(lesson_id AS VARCHAR), '{"completed_at":"2024-01-31T00:00:00"}'
+FROM changed WHERE completed""",
+        ctes=STREAM_PROG,
+    ),
+    "stream_enrollments": statement(DECISIONS, ctes=ENROL),
+    "stream_last_activity": statement(
+        """
+SELECT user_id, count(*) AS actions, count(*) FILTER (WHERE action = 'view_lesson') AS lessons_viewed,
+       count(*) FILTER (WHERE action = 'complete_lesson') AS lessons_completed,
+       count(*) FILTER (WHERE action = 'submit_hw') AS homeworks_sent, max(created_at) AS last_activity_at
+FROM activity_log GROUP BY user_id"""
+    ),
+}
+
+STATEMENTS = {**REFRESH, **STREAMS, **RULES, **JOBS, **QUALITY}

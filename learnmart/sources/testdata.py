@@ -53,6 +53,7 @@ class Raw:
     """The parquet files with declared schemas."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        self.sf_dir = sf_dir
         self._frames = {
             name: spark.read.schema(ddl).parquet(f"{sf_dir}/{name}.parquet") for name, ddl in FILES.items()
         }
