@@ -14,7 +14,8 @@ from learnmart.model import Tables
 from learnmart.operators import jobs, lookups, marts, quality, refresh, rules
 from learnmart.plans import admin, finance, pages, students, teachers
 from learnmart.sources import commands, feeds, testdata
-from learnmart.sources.store import Store, workspace
+from learnmart.sources.store import Store
+from learnmart.sources.workspace import workspace
 from learnmart.streaming import jobs as streams
 
 MARTS: dict[str, Callable[[Tables], DataFrame]] = {

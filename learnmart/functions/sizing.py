@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from learnmart.schemas import CATALOGUE
-
 if TYPE_CHECKING:
     from learnmart.model import Tables
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD = 32
+SCORE_ROW_BYTES = 128
 SALTS = 64
 
 
@@ -42,23 +41,17 @@ class CatalogueSize:
 
 
 def measure_catalogue(t: "Tables") -> CatalogueSize:
-    """One job over the catalogue tables.
+    """One small job over the outlines.
 
-    Every catalogue dimension joins tables along the course tree, so it has at
-    most as many rows as the largest level, each at most as wide as the widest
-    rows of all levels together.
+    A catalogue dimension is a projection or aggregate of one outline, so the
+    largest outline bounds it.  Scores of a course run from 0 to its maximum,
+    which bounds the (course, score) pairs.
     """
-    parts = []
-    for name in CATALOGUE:
-        df = getattr(t, name)
-        df = df.select(*[c for c in df.columns if c not in ("description", "created_at", "updated_at")])
-        score = F.sum("max_score").cast("long") if name == "homeworks" else F.lit(0).cast("long")
-        parts.append(df.agg(F.count("*").alias("n"), F.max(row_width(df)).alias("w"), score.alias("scores")))
-    rows = reduce(DataFrame.unionAll, parts).collect()
-    leaf = max(r["n"] for r in rows)
-    width = sum(r["w"] or 0 for r in rows)
-    scores = sum((r["scores"] or 0) for r in rows) + leaf
-    return CatalogueSize(outline_bytes=leaf * width, score_bytes=scores * 4 * ROW_OVERHEAD)
+    frames = (t.lesson_outline, t.homework_outline, t.course_totals)
+    sizes = [df.agg(F.sum(row_width(df)).alias("v")) for df in frames]
+    scores = t.course_totals.agg((F.sum("max_possible_score") + F.count("*")).alias("v"))
+    values = [r["v"] or 0 for r in reduce(DataFrame.unionAll, [*sizes, scores]).collect()]
+    return CatalogueSize(outline_bytes=max(values[:3]), score_bytes=values[3] * SCORE_ROW_BYTES)
 
 
 def salted_join(big: DataFrame, many: DataFrame, on: str, salts: int = SALTS) -> DataFrame:

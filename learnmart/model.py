@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from learnmart import schemas
 from learnmart.functions import sizing
+from learnmart.operators import outline
+from learnmart.sources.workspace import workspace
 
 
 class Tables:
     """Lazy tables plus ``as_of`` (the stand-in for the current time).
 
-    Frames are plain DataFrames; nothing is read until an action runs.  The
-    only eager step is ``catalogue_size``: one small aggregate, run at most
-    once, that tells whether course-level data may be broadcast.
+    Frames are plain DataFrames.  What is done ahead of a plan's own action,
+    at most once per object: the course catalogue is flattened into three
+    written outlines, and their size is measured to decide on broadcasts.
     """
 
     def __init__(self, spark: SparkSession, frames: dict[str, DataFrame], as_of: datetime,
@@ -37,8 +39,9 @@ class Tables:
         """A copy with some tables swapped (how change jobs hand on new state)."""
         out = Tables(self.spark, {**self.frames, **frames}, self.as_of, self.broadcast_bytes)
         kept = set(self.frames) - set(frames)
-        if kept >= set(schemas.CATALOGUE) and "catalogue_size" in self.__dict__:
-            out.__dict__["catalogue_size"] = self.catalogue_size
+        if kept >= set(schemas.CATALOGUE):
+            for name in ("lesson_outline", "homework_outline", "course_totals", "catalogue_size"):
+                out.__dict__[name] = getattr(self, name)
         if "course_teachers" in kept and "_assignment_bytes" in self.__dict__:
             out.__dict__["_assignment_bytes"] = self._assignment_bytes
         if "users" in kept:
@@ -54,13 +57,40 @@ class Tables:
     def today(self) -> Column:
         return F.lit(self.as_of.strftime("%Y-%m-%d")).cast("date")
 
+    # -- written intermediates ------------------------------------------------------
+    def cut(self, name: str, df: DataFrame) -> DataFrame:
+        """Write ``df`` to the shared folder and read it back: a short plan with exact statistics.
+
+        Without a shared folder on a cluster the frame is returned as it is.
+        """
+        folder = workspace(self.spark, name)
+        if folder is None:
+            return df
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    @cached_property
+    def lesson_outline(self) -> DataFrame:
+        """Every lesson with its module and course."""
+        return self.cut("lesson_outline", outline.lessons(self))
+
+    @cached_property
+    def homework_outline(self) -> DataFrame:
+        """Every homework with its lesson, module and course."""
+        return self.cut("homework_outline", outline.homeworks(self))
+
+    @cached_property
+    def course_totals(self) -> DataFrame:
+        """Every course with its topic and the totals of its published lessons."""
+        return self.cut("course_totals", outline.courses(self))
+
     # -- measured sizes -------------------------------------------------------
     @cached_property
     def catalogue_size(self) -> sizing.CatalogueSize:
         return sizing.measure_catalogue(self)
 
     def catalogue_dim(self, df: DataFrame) -> DataFrame:
-        """Broadcast a frame with at most one row per catalogue item, if that is known to be small."""
+        """Broadcast a frame no larger than an outline, if the outlines are measured small."""
         return F.broadcast(df) if self.catalogue_size.outline_bytes <= self.broadcast_bytes else df
 
     def score_dim(self, df: DataFrame) -> DataFrame:

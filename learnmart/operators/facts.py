@@ -14,58 +14,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from learnmart.functions.exprs import zero
 from learnmart.model import Tables
 from learnmart.schemas import GRADED
 
 
-def course_lessons(t: Tables) -> DataFrame:
-    """lesson_id -> course_id of published lessons."""
-    return t.lessons.filter("is_published").join(
-        t.modules.select(F.col("id").alias("module_id"), "course_id"), "module_id"
-    ).select(F.col("id").alias("lesson_id"), "course_id")
+def published_lessons(t: Tables) -> DataFrame:
+    return t.lesson_outline.filter("is_published")
 
 
-def course_homeworks(t: Tables, published: bool = True) -> DataFrame:
-    """homework_id -> lesson, module, course and homework attributes."""
-    lessons = t.lessons.filter("is_published") if published else t.lessons
-    return (
-        t.homeworks.select(
-            F.col("id").alias("homework_id"),
-            "lesson_id",
-            F.col("title").alias("homework_title"),
-            "check_type",
-            "max_score",
-            "deadline_hours",
-        )
-        .join(lessons.select(F.col("id").alias("lesson_id"), F.col("title").alias("lesson_title"), "module_id"),
-              "lesson_id")
-        .join(t.modules.select(F.col("id").alias("module_id"), F.col("title").alias("module_title"), "course_id"),
-              "module_id")
-    )
-
-
-def course_totals(t: Tables) -> DataFrame:
-    """course_id -> title, topic, published lessons and homework totals (every course)."""
-    lessons = course_lessons(t).groupBy("course_id").agg(F.count("*").alias("total_lessons"))
-    homeworks = course_homeworks(t).groupBy("course_id").agg(
-        F.count("*").alias("total_homeworks"), F.sum("max_score").alias("max_possible_score")
-    )
-    return (
-        courses_with_topic(t)
-        .join(lessons, "course_id", "left")
-        .join(homeworks, "course_id", "left")
-        .withColumn("total_lessons", zero("total_lessons"))
-        .withColumn("total_homeworks", zero("total_homeworks"))
-        .withColumn("max_possible_score", zero("max_possible_score"))
-    )
-
-
-def courses_with_topic(t: Tables) -> DataFrame:
-    return t.courses.select(
-        F.col("id").alias("course_id"), F.col("title").alias("course_title"), "subject", "topic_id",
-        F.col("is_active").alias("course_is_active"),
-    ).join(t.topics.select(F.col("id").alias("topic_id"), F.col("name").alias("topic_name")), "topic_id").drop("topic_id")
+def published_homeworks(t: Tables) -> DataFrame:
+    return t.homework_outline.filter("is_published")
 
 
 def enrolment_facts(t: Tables, lessons: bool = True, homework: bool = True, active_only: bool = False) -> DataFrame:
@@ -85,12 +43,12 @@ def enrolment_facts(t: Tables, lessons: bool = True, homework: bool = True, acti
     stacked = [rows(enrolled, enrolled_at=F.col("enrolled_at"), is_active=F.col("is_active"))]
     if lessons:
         done = t.lesson_progress.filter("is_completed").select("student_id", "lesson_id")
-        stacked.append(rows(done.join(t.catalogue_dim(course_lessons(t)), "lesson_id"), done=F.lit(1)))
+        stacked.append(rows(done.join(t.catalogue_dim(published_lessons(t).select("lesson_id", "course_id")), "lesson_id"), done=F.lit(1)))
     if homework:
         graded = t.homework_submissions.filter(F.col("status").isin(*GRADED)).select(
             "student_id", "homework_id", "score"
         )
-        dim = t.catalogue_dim(course_homeworks(t).select("homework_id", "course_id"))
+        dim = t.catalogue_dim(published_homeworks(t).select("homework_id", "course_id"))
         stacked.append(
             rows(graded.join(dim, "homework_id"), graded=F.lit(1), points=F.coalesce(F.col("score").cast("int"), F.lit(0)))
         )

@@ -6,7 +6,8 @@ decisions into changed tables, log rows and stale-mart rows.  Between the two
 a caller may write the decisions out and read them back, which cuts lineage
 and makes the rest of the batch repeatable.
 
-When commands of one batch compete for the same row, the first valid one by
+Judged commands are written once (``Tables.cut``) before winners are chosen,
+so the joins behind them run once.  When commands of one batch compete for the same row, the first valid one by
 (cmd_ts, cmd_id) wins.  Winners are found with a ``min`` of structs and marked
 through the unique command id, so a hot key is never gathered in one task.
 """
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 from learnmart.functions.exprs import full_name, hash_id, period_end, zero
 from learnmart.model import Tables
 from learnmart.operators import rules
-from learnmart.operators.facts import course_homeworks
 from learnmart.operators.rules import first_reason
 from learnmart.schemas import ENUMS
 
@@ -102,12 +102,8 @@ def _with_user(t: Tables, commands: DataFrame, small: bool) -> DataFrame:
 
 
 def _with_course(t: Tables, commands: DataFrame) -> DataFrame:
-    courses = t.courses.select(
-        F.col("id").alias("course_id"),
-        F.col("title").alias("course_title"),
-        F.col("is_active").alias("course_active"),
-        "price_monthly",
-        "price_yearly",
+    courses = t.course_totals.select(
+        "course_id", "course_title", F.col("course_is_active").alias("course_active"), "price_monthly", "price_yearly"
     )
     return commands.join(t.catalogue_dim(courses), "course_id", "left")
 
@@ -136,7 +132,7 @@ def _enrolment_outcome() -> Column:
 def decide_enrolments(t: Tables, commands: DataFrame, small: bool = False) -> DataFrame:
     """Commands: cmd_id, cmd_ts, student_id, course_id, admin_id."""
     judged = _with_enrolment(t, _with_course(t, _with_user(t, _with_admin(t, commands), small)), small)
-    judged = judged.withColumn("reason", first_reason(**_enrolment_reason()))
+    judged = t.cut("judged", judged.withColumn("reason", first_reason(**_enrolment_reason())))
     open_place = F.col("reason").isNull() & ~F.coalesce("was_active", F.lit(False))
     return mark_first(judged, open_place, ["student_id", "course_id"]).withColumn("outcome", _enrolment_outcome())
 
@@ -257,7 +253,7 @@ def decide_enrol_and_pay(t: Tables, commands: DataFrame, small: bool = False) ->
     judged = _with_price(judged)
     reasons = {**_payment_reason(None), **_enrolment_reason()}
     order = [*_enrolment_reason(), *[k for k in _payment_reason(None) if k not in _enrolment_reason()]]
-    judged = judged.withColumn("reason", first_reason(**{k: reasons[k] for k in order}))
+    judged = t.cut("judged", judged.withColumn("reason", first_reason(**{k: reasons[k] for k in order})))
     open_place = F.col("reason").isNull() & ~F.coalesce("was_active", F.lit(False))
     judged = mark_first(judged, open_place, ["student_id", "course_id"])
     return judged.withColumn("outcome", _enrolment_outcome())
@@ -286,9 +282,10 @@ def decide_grades(t: Tables, commands: DataFrame, small: bool = False) -> DataFr
     work = t.homework_submissions.select(
         F.col("id").alias("submission_id"), "homework_id", "student_id", "status"
     )
-    outline = t.catalogue_dim(course_homeworks(t, published=False).select("homework_id", "check_type", "max_score", "course_id"))
+    outline = t.catalogue_dim(t.homework_outline.select("homework_id", "check_type", "max_score", "course_id"))
     pairs = t.course_teachers.select("course_id", "teacher_id", F.lit(True).alias("teaches"))
-    judged = (
+    judged = t.cut(
+        "judged",
         commands.join(_near(work, commands, ["submission_id"], small), "submission_id", "left")
         .join(outline, "homework_id", "left")
         .join(t.assignment_dim(pairs), ["course_id", "teacher_id"], "left")
@@ -301,7 +298,7 @@ def decide_grades(t: Tables, commands: DataFrame, small: bool = False) -> DataFr
                 not_course_teacher=F.col("teaches").isNull(),
                 score_out_of_range=(F.col("score") < 0) | (F.col("score") > F.col("max_score")),
             ),
-        )
+        ),
     )
     first = (
         judged.filter("reason is null")
@@ -353,7 +350,7 @@ def first_pending_grades(t: Tables, score: int, teacher_id=None, student_id=None
 
     Without a teacher, the course's first teacher grades.
     """
-    manual = course_homeworks(t, published=False).filter("check_type = 'manual'").select("homework_id", "course_id")
+    manual = t.homework_outline.filter("check_type = 'manual'").select("homework_id", "course_id")
     waiting = t.homework_submissions.filter("status = 'submitted'")
     if student_id is not None:
         waiting = waiting.filter(F.col("student_id") == student_id)
@@ -384,14 +381,12 @@ def first_pending_grades(t: Tables, score: int, teacher_id=None, student_id=None
 
 def decide_deactivations(t: Tables, commands: DataFrame, small: bool = False) -> DataFrame:
     """Commands: cmd_id, cmd_ts, student_id, admin_id, note."""
-    judged = _with_user(t, _with_admin(t, commands), small).withColumn(
-        "reason",
-        first_reason(
-            admin_not_active=F.col("admin_ok").isNull(),
-            user_not_found=F.col("user_role").isNull(),
-            not_a_student=F.col("user_role") != "student",
-        ),
+    reason = first_reason(
+        admin_not_active=F.col("admin_ok").isNull(),
+        user_not_found=F.col("user_role").isNull(),
+        not_a_student=F.col("user_role") != "student",
     )
+    judged = t.cut("judged", _with_user(t, _with_admin(t, commands), small).withColumn("reason", reason))
     active = _near(t.enrollments.filter("is_active").select("student_id"), commands, ["student_id"], small)
     counts = active.groupBy("student_id").agg(F.count("*").alias("_n"))
     return (
@@ -457,19 +452,15 @@ def apply_deactivations(t: Tables, decisions: DataFrame) -> Change:
 
 def decide_completions(t: Tables, commands: DataFrame, small: bool = False) -> DataFrame:
     """Commands: cmd_id, cmd_ts, student_id, lesson_id."""
-    lessons = t.lessons.select(F.col("id").alias("lesson_id"), "module_id").join(
-        t.modules.select(F.col("id").alias("module_id"), "course_id"), "module_id"
-    )
-    judged = commands.join(t.catalogue_dim(lessons.select("lesson_id", "course_id")), "lesson_id", "left")
+    lessons = t.lesson_outline.select("lesson_id", "course_id")
+    judged = commands.join(t.catalogue_dim(lessons), "lesson_id", "left")
     judged = _with_enrolment(t, judged, small)
     progress = t.lesson_progress.select("student_id", "lesson_id", F.col("is_completed").alias("was_completed"))
     progress = _near(progress, commands, ["student_id", "lesson_id"], small)
-    judged = judged.join(progress, ["student_id", "lesson_id"], "left").withColumn(
-        "reason",
-        first_reason(
-            lesson_not_found=F.col("course_id").isNull(), not_enrolled=~F.coalesce("was_active", F.lit(False))
-        ),
+    reason = first_reason(
+        lesson_not_found=F.col("course_id").isNull(), not_enrolled=~F.coalesce("was_active", F.lit(False))
     )
+    judged = t.cut("judged", judged.join(progress, ["student_id", "lesson_id"], "left").withColumn("reason", reason))
     open_lesson = F.col("reason").isNull() & ~F.coalesce("was_completed", F.lit(False))
     return mark_first(judged, open_lesson, ["student_id", "lesson_id"]).withColumn(
         "outcome",
@@ -513,25 +504,23 @@ def apply_completions(t: Tables, decisions: DataFrame) -> Change:
 
 def decide_submissions(t: Tables, commands: DataFrame, small: bool = False) -> DataFrame:
     """Commands: cmd_id, cmd_ts, student_id, homework_id, answer_text, answer_url."""
-    outline = course_homeworks(t, published=False).select("homework_id", "course_id")
+    outline = t.homework_outline.select("homework_id", "course_id")
     judged = commands.withColumn("answer_text", F.nullif("answer_text", F.lit(""))).withColumn(
         "answer_url", F.nullif("answer_url", F.lit(""))
     )
     judged = _with_enrolment(t, judged.join(t.catalogue_dim(outline), "homework_id", "left"), small)
     handed = t.homework_submissions.select("homework_id", "student_id", F.lit(True).alias("handed_in"))
     handed = _near(handed, commands, ["homework_id", "student_id"], small)
-    judged = judged.join(handed, ["homework_id", "student_id"], "left").withColumn(
-        "reason",
-        first_reason(
-            homework_not_found=F.col("course_id").isNull(),
-            not_enrolled=~F.coalesce("was_active", F.lit(False)),
-            no_answer=F.col("answer_text").isNull() & F.col("answer_url").isNull(),
-            already_submitted=F.col("handed_in").isNotNull(),
-        ),
+    reason = first_reason(
+        homework_not_found=F.col("course_id").isNull(),
+        not_enrolled=~F.coalesce("was_active", F.lit(False)),
+        no_answer=F.col("answer_text").isNull() & F.col("answer_url").isNull(),
+        already_submitted=F.col("handed_in").isNotNull(),
     )
+    judged = t.cut("judged", judged.join(handed, ["homework_id", "student_id"], "left").withColumn("reason", reason))
     marked = mark_first(judged, F.col("reason").isNull(), ["homework_id", "student_id"])
-    reason = F.when(F.col("reason").isNull() & ~F.col("is_first"), "already_submitted").otherwise(F.col("reason"))
-    return marked.withColumn("reason", reason).withColumn(
+    final = F.when(F.col("reason").isNull() & ~F.col("is_first"), "already_submitted").otherwise(F.col("reason"))
+    return marked.withColumn("reason", final).withColumn(
         "outcome", F.when(F.col("reason").isNotNull(), REJECTED).otherwise("submitted")
     )
 

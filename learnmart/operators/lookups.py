@@ -12,11 +12,10 @@ from learnmart.functions.sizing import salted_join
 from learnmart.model import Tables
 from learnmart.operators import marts
 from learnmart.operators.facts import (
-    course_homeworks,
-    course_totals,
-    courses_with_topic,
     enrolment_facts,
     people,
+    published_homeworks,
+    published_lessons,
     rank_within,
 )
 from learnmart.operators.marts import money_or_zero
@@ -54,33 +53,22 @@ def course_stats(t: Tables, course_id=None) -> DataFrame:
     ``total_revenue`` counts equal payments of a course once, as the original
     report does; ``total_revenue_actual`` is the plain sum.
     """
-    lesson = t.lessons.filter("is_published").select(F.col("id").alias("lesson_id"), "module_id", "lesson_type")
-    modules = t.modules.select(F.col("id").alias("module_id"), "course_id")
-    structure = (
-        modules.join(lesson, "module_id", "left")
-        .groupBy("course_id", "module_id")
-        .agg(
-            F.count("lesson_id").alias("lessons"),
-            F.count(F.when(F.col("lesson_type") == "webinar", 1)).alias("webinars"),
-            F.count(F.when(F.col("lesson_type") == "video", 1)).alias("videos"),
-        )
-        .groupBy("course_id")
-        .agg(
-            F.count("*").alias("modules_count"),
-            F.sum("lessons").alias("lessons_count"),
-            F.sum("webinars").alias("webinars_count"),
-            F.sum("videos").alias("videos_count"),
-        )
+    lesson_type = F.col("lesson_type")
+    modules = t.modules.groupBy("course_id").agg(F.count("*").alias("modules_count"))
+    lessons = published_lessons(t).groupBy("course_id").agg(
+        F.count("*").alias("lessons_count"),
+        F.count(F.when(lesson_type == "webinar", 1)).alias("webinars_count"),
+        F.count(F.when(lesson_type == "video", 1)).alias("videos_count"),
     )
-    homeworks = course_homeworks(t).groupBy("course_id").agg(F.count("*").alias("homeworks_count"))
+    homeworks = published_homeworks(t).groupBy("course_id").agg(F.count("*").alias("homeworks_count"))
     paid = t.payments.groupBy("course_id").agg(
         F.sum_distinct("amount").alias("distinct_revenue"), F.sum("amount").alias("revenue")
     )
-    out = courses_with_topic(t)
+    out = t.course_totals
     if course_id is not None:
         out = out.filter(F.col("course_id") == course_id)
         _require(out, f"course {course_id} not found")
-    for part in (structure, homeworks, marts.active_by_course(t), paid, marts.mean_completion(t)):
+    for part in (modules, lessons, homeworks, marts.active_by_course(t), paid, marts.mean_completion(t)):
         out = out.join(part, "course_id", "left")
     counts = ("modules_count", "lessons_count", "webinars_count", "videos_count", "homeworks_count")
     return out.select(
@@ -99,7 +87,7 @@ def course_stats(t: Tables, course_id=None) -> DataFrame:
 def student_rank(t: Tables, student_id=None, course_id=None) -> DataFrame:
     """Rank of each active student in each course, with the class size."""
     scored = enrolment_facts(t, lessons=False, active_only=True).join(
-        t.catalogue_dim(course_totals(t).filter("total_homeworks > 0")), "course_id"
+        t.catalogue_dim(t.course_totals.filter("total_homeworks > 0")), "course_id"
     )
     if course_id is not None:
         scored = scored.filter(F.col("course_id") == course_id)
@@ -163,7 +151,7 @@ def class_rows(t: Tables) -> DataFrame:
     return (
         enrolment_facts(t, active_only=True)
         .join(students, "student_id")
-        .join(t.catalogue_dim(course_totals(t)), "course_id")
+        .join(t.catalogue_dim(t.course_totals), "course_id")
         .select(
             "student_id",
             "full_name",
@@ -238,7 +226,7 @@ def last_activity(t: Tables) -> DataFrame:
 def course_progress_report(t: Tables, course_id=None) -> DataFrame:
     """Active students of a course (or of every course) with progress and a status label."""
     facts = enrolment_facts(t, active_only=True)
-    totals = course_totals(t)
+    totals = t.course_totals
     if course_id is not None:
         totals = totals.filter(F.col("course_id") == course_id)
         _require(totals, f"course {course_id} not found")

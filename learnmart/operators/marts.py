@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from learnmart.functions.exprs import full_name, mean1, pct1, pct1_or_zero, short_name, zero
 from learnmart.model import Tables
 from learnmart.operators.facts import (
-    course_homeworks,
-    course_totals,
-    courses_with_topic,
     enrolment_facts,
     people,
     rank_within,
@@ -47,7 +44,9 @@ def active_students(t: Tables) -> DataFrame:
 
 def teachers_courses(t: Tables) -> DataFrame:
     """Teacher x course with the number of actively enrolled students."""
-    courses = courses_with_topic(t).join(active_by_course(t), "course_id", "left")
+    courses = t.course_totals.select("course_id", "course_title", "subject", "topic_name", "course_is_active").join(
+        active_by_course(t), "course_id", "left"
+    )
     teachers = t.users.filter("role = 'teacher'").select(
         F.col("id").alias("teacher_id"), full_name().alias("full_name"), "email"
     )
@@ -72,21 +71,11 @@ def teachers_courses(t: Tables) -> DataFrame:
 
 def upcoming_webinars(t: Tables, days: int = 30) -> DataFrame:
     """Published webinars from now to ``days`` ahead (both ends included)."""
-    webinars = t.lessons.filter(
+    webinars = t.lesson_outline.filter(
         (F.col("lesson_type") == "webinar")
         & F.col("is_published")
         & F.col("webinar_scheduled_at").between(t.now, t.now + F.make_dt_interval(F.lit(days)))
-    ).select(
-        F.col("id").alias("lesson_id"),
-        F.col("title").alias("lesson_title"),
-        "webinar_scheduled_at",
-        "webinar_url",
-        "duration_minutes",
-        "module_id",
-    )
-    outline = webinars.join(
-        t.modules.select(F.col("id").alias("module_id"), F.col("title").alias("module_title"), "course_id"), "module_id"
-    ).join(courses_with_topic(t), "course_id")
+    ).join(t.course_totals.select("course_id", "subject", "topic_name"), "course_id")
     names = (
         t.course_teachers.join(
             t.users.select(F.col("id").alias("teacher_id"), short_name().alias("name")), "teacher_id"
@@ -95,7 +84,7 @@ def upcoming_webinars(t: Tables, days: int = 30) -> DataFrame:
         .agg(F.expr("listagg(DISTINCT name, ', ') WITHIN GROUP (ORDER BY name)").alias("teachers"))
     )
     return (
-        outline.join(active_by_course(t), "course_id", "left")
+        webinars.join(active_by_course(t), "course_id", "left")
         .join(names, "course_id", "left")
         .select(
             "lesson_id",
@@ -120,11 +109,7 @@ def teacher_ids_by_course(t: Tables) -> DataFrame:
 
 def pending_homeworks(t: Tables, with_teachers: bool = True) -> DataFrame:
     """Hand-ins waiting for manual grading, with the course's teachers ([NULL] when it has none)."""
-    outline = (
-        course_homeworks(t, published=False)
-        .filter("check_type = 'manual'")
-        .join(t.courses.select(F.col("id").alias("course_id"), F.col("title").alias("course_title")), "course_id")
-    )
+    outline = t.homework_outline.filter("check_type = 'manual'")
     pending = t.homework_submissions.filter("status = 'submitted'").select(
         F.col("id").alias("submission_id"), "submitted_at", "student_id", "homework_id", "answer_text", "answer_url"
     )
@@ -160,7 +145,7 @@ def student_progress(t: Tables) -> DataFrame:
     return (
         enrolment_facts(t)
         .join(people(t, short_name().alias("student_name"), "email"), "student_id")
-        .join(t.catalogue_dim(course_totals(t)), "course_id")
+        .join(t.catalogue_dim(t.course_totals), "course_id")
         .select(
             "student_id",
             "student_name",
@@ -195,7 +180,7 @@ def course_finance(t: Tables) -> DataFrame:
         F.min("payment_date").alias("first_payment_date"),
         F.max("payment_date").alias("last_payment_date"),
     )
-    return courses_with_topic(t).join(paid, "course_id", "left").select(
+    return t.course_totals.join(paid, "course_id", "left").select(
         "course_id",
         "course_title",
         "subject",
@@ -248,7 +233,7 @@ def admin_dashboard(t: Tables) -> DataFrame:
 def student_scores(t: Tables) -> DataFrame:
     """Active enrolments of courses with homework: score, share of the maximum, rank in the course."""
     scored = enrolment_facts(t, lessons=False, active_only=True).join(
-        t.catalogue_dim(course_totals(t).filter("total_homeworks > 0")), "course_id"
+        t.catalogue_dim(t.course_totals.filter("total_homeworks > 0")), "course_id"
     )
     graded_score = F.when(F.col("graded_homeworks") > 0, F.col("total_score"))
     return (
@@ -276,7 +261,7 @@ def student_scores(t: Tables) -> DataFrame:
 def completion_facts(t: Tables) -> DataFrame:
     return (
         enrolment_facts(t, homework=False, active_only=True)
-        .join(t.catalogue_dim(course_totals(t)), "course_id")
+        .join(t.catalogue_dim(t.course_totals), "course_id")
         .withColumn("completion_pct", pct1_or_zero(F.col("completed_lessons"), F.col("total_lessons")))
     )
 
@@ -330,7 +315,7 @@ def teacher_workload(t: Tables) -> DataFrame:
         .agg(F.countDistinct("student_id").alias("total_students"))
     )
     manual = t.catalogue_dim(
-        course_homeworks(t, published=False).filter("check_type = 'manual'").select("homework_id", "course_id")
+        t.homework_outline.filter("check_type = 'manual'").select("homework_id", "course_id")
     )
     work = t.homework_submissions.select("homework_id", "status", "checked_by").join(manual, "homework_id")
     pending = work.filter("status = 'submitted'").groupBy("course_id").agg(F.count("*").alias("pending"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from learnmart.functions.exprs import day, over, stamp, zero
 from learnmart.model import Tables
 from learnmart.operators import marts
-from learnmart.operators.facts import course_homeworks, courses_with_topic
+from learnmart.operators.facts import published_lessons
 from learnmart.operators.marts import money_or_zero
 
 # Report labels.
@@ -56,15 +56,12 @@ def student_activity(t: Tables) -> DataFrame:
 def course_summary(t: Tables) -> DataFrame:
     """Structure, students, revenue and mean progress per course; homework of unpublished lessons counts too."""
     modules = t.modules.groupBy("course_id").agg(F.count("*").alias("modules"))
-    lessons = (
-        t.lessons.filter("is_published")
-        .join(t.modules.select(F.col("id").alias("module_id"), "course_id"), "module_id")
-        .groupBy("course_id")
-        .agg(F.count("*").alias("lessons"), F.count(F.when(F.col("lesson_type") == "webinar", 1)).alias("webinars"))
+    lessons = published_lessons(t).groupBy("course_id").agg(
+        F.count("*").alias("lessons"), F.count(F.when(F.col("lesson_type") == "webinar", 1)).alias("webinars")
     )
-    homeworks = course_homeworks(t, published=False).groupBy("course_id").agg(F.count("*").alias("homeworks"))
+    homeworks = t.homework_outline.groupBy("course_id").agg(F.count("*").alias("homeworks"))
     revenue = t.payments.groupBy("course_id").agg(F.sum("amount").alias("total_revenue"))
-    out = courses_with_topic(t)
+    out = t.course_totals
     for part in (modules, lessons, homeworks, marts.active_by_course(t), revenue, marts.mean_completion(t)):
         out = out.join(part, "course_id", "left")
     return out.select(

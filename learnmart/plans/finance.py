@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from learnmart.functions.exprs import day, full_name, money_mean, money_pct1
 from learnmart.model import Tables
-from learnmart.operators.facts import courses_with_topic
 from learnmart.operators.marts import money_or_zero
 
 # Report labels and class limits (percent of revenue).
@@ -65,7 +64,7 @@ def abc(t: Tables) -> DataFrame:
             F.countDistinct("student_id").alias("paying_students"),
             F.count("*").alias("payments_count"),
         )
-        .join(courses_with_topic(t), "course_id")
+        .join(t.course_totals, "course_id")
     )
     ranked = Window.orderBy(F.desc("revenue"))
     so_far = Window.orderBy(F.desc("revenue"), "course_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -122,7 +121,7 @@ def expiring_subscriptions(t: Tables) -> DataFrame:
         .join(enrolled, ["student_id", "course_id"], "left_semi")
         .join(t.users.select(F.col("id").alias("student_id"), full_name().alias("full_name"), "email", "phone"), "student_id")
         .join(
-            t.catalogue_dim(t.courses.select(F.col("id").alias("course_id"), F.col("title").alias("course_title"))),
+            t.catalogue_dim(t.course_totals.select("course_id", "course_title")),
             "course_id",
         )
         .orderBy("period_end", "student_id", "course_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from learnmart.functions.exprs import day, enum_order, full_name, stamp, zero
 from learnmart.model import Tables
 from learnmart.operators import lookups, marts
-from learnmart.operators.facts import course_homeworks, people
+from learnmart.operators.facts import people, published_lessons
 from learnmart.operators.marts import money_or_zero
 from learnmart.plans import finance
 
@@ -88,7 +88,7 @@ def teacher_student_count(t: Tables) -> DataFrame:
 
 def teacher_pending_count(t: Tables) -> DataFrame:
     """Work waiting on each teacher's courses, whatever its check type."""
-    homeworks = t.catalogue_dim(course_homeworks(t, published=False).select("homework_id", "course_id"))
+    homeworks = t.catalogue_dim(t.homework_outline.select("homework_id", "course_id"))
     per_course = (
         t.homework_submissions.filter("status = 'submitted'")
         .select("homework_id")
@@ -108,9 +108,7 @@ def teacher_pending_count(t: Tables) -> DataFrame:
 
 def teacher_pending_list(t: Tables, teacher_id=None) -> DataFrame:
     """Work waiting on each teacher's courses, with the answers."""
-    outline = course_homeworks(t, published=False).join(
-        t.courses.select(F.col("id").alias("course_id"), F.col("title").alias("course_title")), "course_id"
-    )
+    outline = t.homework_outline
     rows = (
         t.homework_submissions.filter("status = 'submitted'")
         .select(F.col("id").alias("submission_id"), "student_id", "homework_id", "submitted_at", "answer_text", "answer_url")
@@ -158,16 +156,14 @@ def student_courses(t: Tables, student_id=None) -> DataFrame:
 
 def _finished_lessons(t: Tables, student_id=None, course_id=None):
     """Active enrolments with the set of the student's finished lessons (limited by the course's lessons)."""
-    lessons = t.lessons.select(F.col("id").alias("lesson_id"), "module_id").join(
-        t.modules.select(F.col("id").alias("module_id"), "course_id"), "module_id"
-    )
+    lessons = t.lesson_outline.select("lesson_id", "course_id")
     enrolled = t.enrollments.filter("is_active").select(
         "student_id", "course_id", F.lit(True).alias("on"), F.lit(None).cast(t.lessons.schema["id"].dataType).alias("lesson")
     )
     done = (
         t.lesson_progress.filter("is_completed")
         .select("student_id", "lesson_id")
-        .join(t.catalogue_dim(lessons.select("lesson_id", "course_id")), "lesson_id")
+        .join(t.catalogue_dim(lessons), "lesson_id")
         .select("student_id", "course_id", F.lit(False), "lesson_id")
     )
     rows = enrolled.union(done)
@@ -189,25 +185,16 @@ def course_outline(t: Tables, student_id=None, course_id=None) -> DataFrame:
     The nested outline is built once per course; each enrolment only marks its
     finished lessons in it, so no lesson rows are multiplied by students.
     """
-    lesson_fields = F.struct(
-        F.col("order_index").alias("lesson_order"),
-        F.col("id").alias("lesson_id"),
-        F.col("title").alias("lesson_title"),
-        "lesson_type",
-        "duration_minutes",
-    )
-    per_module = (
-        t.lessons.filter("is_published").groupBy("module_id").agg(F.sort_array(F.collect_list(lesson_fields)).alias("lessons"))
-    )
-    modules = t.modules.select(
-        F.col("id").alias("module_id"), "course_id", F.col("order_index").alias("module_order"), F.col("title").alias("module_title")
-    )
+    lesson_fields = F.struct("lesson_order", "lesson_id", "lesson_title", "lesson_type", "duration_minutes")
+    module = ("module_order", "module_id", "module_title")
     outline = (
-        modules.join(per_module, "module_id")
+        published_lessons(t)
+        .groupBy("course_id", *module)
+        .agg(F.sort_array(F.collect_list(lesson_fields)).alias("lessons"))
         .groupBy("course_id")
-        .agg(F.sort_array(F.collect_list(F.struct("module_order", "module_id", "module_title", "lessons"))).alias("outline"))
+        .agg(F.sort_array(F.collect_list(F.struct(*module, "lessons"))).alias("outline"))
     )
-    titles = t.courses.select(F.col("id").alias("course_id"), F.col("title").alias("course_title"))
+    titles = t.course_totals.select("course_id", "course_title")
     marked = """
         transform(coalesce(outline, array()), m -> named_struct(
             'module_id', m.module_id, 'module_title', m.module_title,
@@ -223,18 +210,9 @@ def course_outline(t: Tables, student_id=None, course_id=None) -> DataFrame:
 
 def lesson_detail(t: Tables, student_id=None, lesson_id=None) -> DataFrame:
     """Every lesson an actively enrolled student may open, with completion."""
-    lessons = (
-        t.lessons.select(
-            F.col("id").alias("lesson_id"),
-            F.col("title").alias("lesson_title"),
-            "module_id",
-            "lesson_type",
-            "duration_minutes",
-            "webinar_scheduled_at",
-            "is_published",
-        )
-        .join(t.modules.select(F.col("id").alias("module_id"), "course_id"), "module_id")
-        .join(t.courses.select(F.col("id").alias("course_id"), F.col("title").alias("course_title")), "course_id")
+    lessons = t.lesson_outline.select(
+        "lesson_id", "lesson_title", "lesson_type", "duration_minutes", "webinar_scheduled_at", "is_published", "course_id",
+        "course_title",
     )
     if lesson_id is not None:
         lessons = lessons.filter(F.col("lesson_id") == lesson_id)
@@ -258,7 +236,7 @@ def lesson_detail(t: Tables, student_id=None, lesson_id=None) -> DataFrame:
 
 def lesson_homeworks(t: Tables, student_id=None, lesson_id=None) -> DataFrame:
     """Homework of the lessons open to each active student, with the student's hand-in if any."""
-    homeworks = course_homeworks(t, published=False)
+    homeworks = t.homework_outline
     if lesson_id is not None:
         homeworks = homeworks.filter(F.col("lesson_id") == lesson_id)
     enrolled = t.enrollments.filter("is_active").select("student_id", "course_id")

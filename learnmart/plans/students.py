@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from learnmart.functions.exprs import day, full_name, over, stamp, zero
 from learnmart.model import Tables
 from learnmart.operators import lookups, marts
-from learnmart.operators.facts import course_homeworks, people
+from learnmart.operators.facts import people, published_homeworks
 
 # Report labels.
 FINISHED, GOING, STARTED, UNTOUCHED = "Завершён", "В процессе", "Начат", "Не начат"
@@ -62,7 +62,7 @@ def unsubmitted(t: Tables) -> DataFrame:
     is expanded, so owed-but-done rows never exist.  A student's set is
     limited by the homework of one course.
     """
-    homeworks = t.catalogue_dim(course_homeworks(t).select("homework_id", "course_id"))
+    homeworks = t.catalogue_dim(published_homeworks(t).select("homework_id", "course_id"))
     enrolled = t.enrollments.filter("is_active").select(
         "student_id", "course_id", F.lit(True).alias("on"), F.lit(None).cast(t.homeworks.schema["id"].dataType).alias("hw")
     )
@@ -78,8 +78,7 @@ def unsubmitted(t: Tables) -> DataFrame:
     )
     fields = ["homework_id", "module_title", "lesson_title", "homework_title", "check_type"]
     lists = (
-        course_homeworks(t)
-        .join(t.courses.select(F.col("id").alias("course_id"), F.col("title").alias("course_title")), "course_id")
+        published_homeworks(t)
         .groupBy("course_id", "course_title")
         .agg(F.collect_list(F.struct(*fields)).alias("homework_list"))
     )
@@ -104,9 +103,7 @@ def unsubmitted(t: Tables) -> DataFrame:
 
 
 def submission_status(t: Tables) -> DataFrame:
-    outline = course_homeworks(t, published=False).join(
-        t.courses.select(F.col("id").alias("course_id"), F.col("title").alias("course_title")), "course_id"
-    )
+    outline = t.homework_outline
     status = F.col("status")
     label = F.when(status == "submitted", WAITING).when(status == "checked", CHECKED).when(
         status == "auto_checked", AUTO_CHECKED

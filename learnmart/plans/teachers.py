@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from learnmart.functions.exprs import day, full_name, hours1, stamp
 from learnmart.model import Tables
 from learnmart.operators import lookups, marts
-from learnmart.operators.facts import course_homeworks, global_rank, people
+from learnmart.operators.facts import global_rank, people
 
 # Report labels.
 NO_DEADLINE, OVERDUE, URGENT, IN_TIME = "Без дедлайна", "🔴 Просрочено", "🟠 Срочно", "🟢 В срок"
@@ -37,9 +37,8 @@ def students(t: Tables, teacher_id=None, course_id=None) -> DataFrame:
 def check_queue(t: Tables) -> DataFrame:
     """Manual work waiting for a grade, with the state of its grading deadline."""
     outline = (
-        course_homeworks(t, published=False)
+        t.homework_outline
         .filter("check_type = 'manual'")
-        .join(t.courses.select(F.col("id").alias("course_id"), F.col("title").alias("course_title")), "course_id")
         .select("homework_id", "homework_title", "max_score", "deadline_hours", "module_title", "course_title")
     )
     due = F.col("submitted_at") + F.make_dt_interval(F.lit(0), F.col("deadline_hours").cast("int"))

@@ -8,7 +8,6 @@ nothing visible.  Folders of older versions are never touched.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import datetime
 
@@ -21,12 +20,6 @@ from learnmart.model import Tables
 MANIFEST = "version long, tables map<string,string>, written_at timestamp"
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder (a temporary one where none is set)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="learnmart-")
-    return f"{root.rstrip('/')}/learnmart/{name}-{uuid.uuid4().hex}"
-
-
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
