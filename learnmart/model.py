@@ -10,22 +10,31 @@ from pyspark.sql import functions as F
 
 from learnmart import schemas
 from learnmart.functions import sizing
-from learnmart.operators import outline
+from learnmart.operators import facts, outline
 from learnmart.sources.workspace import workspace
 
 
+class Frames(dict):
+    """Frames by name; a function in place of a frame is called when the frame is first needed."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        frame = super().__getitem__(name)
+        return frame() if callable(frame) and not isinstance(frame, DataFrame) else frame
+
+
 class Tables:
     """Lazy tables plus ``as_of`` (the stand-in for the current time).
 
     Frames are plain DataFrames.  What is done ahead of a plan's own action,
     at most once per object: the course catalogue is flattened into three
-    written outlines, and their size is measured to decide on broadcasts.
+    written outlines, their size is measured to decide on broadcasts, and the
+    per-enrolment facts are written for the marts to share.
     """
 
     def __init__(self, spark: SparkSession, frames: dict[str, DataFrame], as_of: datetime,
                  broadcast_bytes: int = sizing.BROADCAST_BYTES):
         self.spark = spark
-        self.frames = dict(frames)
+        self.frames = Frames(frames)
         self.as_of = as_of
         self.broadcast_bytes = broadcast_bytes
 
@@ -37,7 +46,7 @@ class Tables:
 
     def replace(self, **frames: DataFrame) -> "Tables":
         """A copy with some tables swapped (how change jobs hand on new state)."""
-        out = Tables(self.spark, {**self.frames, **frames}, self.as_of, self.broadcast_bytes)
+        out = Tables(self.spark, {**dict.copy(self.frames), **frames}, self.as_of, self.broadcast_bytes)
         kept = set(self.frames) - set(frames)
         if kept >= set(schemas.CATALOGUE):
             for name in ("lesson_outline", "homework_outline", "course_totals", "catalogue_size"):
@@ -84,6 +93,15 @@ class Tables:
         """Every course with its topic and the totals of its published lessons."""
         return self.cut("course_totals", outline.courses(self))
 
+    @cached_property
+    def enrolment_facts(self) -> DataFrame:
+        """Every enrolment with its finished lessons, graded homework and score."""
+        return self.cut("enrolment_facts", facts.build(self))
+
+    @property
+    def active_facts(self) -> DataFrame:
+        return self.enrolment_facts.filter("is_active")
+
     # -- measured sizes -------------------------------------------------------
     @cached_property
     def catalogue_size(self) -> sizing.CatalogueSize:

@@ -1,22 +1,25 @@
 """Per-enrolment facts: the one wide aggregation most marts are built on.
 
 Enrolments, finished lessons and graded homework are stacked and aggregated
-once by (student, course).  That costs a single hash exchange of narrow rows,
-where joining three aggregates would cost three exchanges and three sorts.
-Partitioning is by student: the later join with people reuses it, and the row
-count per student is limited by the catalogue through the unique keys.
+once by (student, course).  That costs a single hash exchange of narrow,
+partly aggregated rows, where joining three aggregates would cost three
+exchanges and three sorts.  The result is written once per set of tables and
+read by every mart and report, as their ranks and averages need it twice.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from learnmart.model import Tables
 from learnmart.schemas import GRADED
 
+if TYPE_CHECKING:
+    from learnmart.model import Tables
+
 
 def published_lessons(t: Tables) -> DataFrame:
     return t.lesson_outline.filter("is_published")
@@ -26,9 +29,8 @@ def published_homeworks(t: Tables) -> DataFrame:
     return t.homework_outline.filter("is_published")
 
 
-def enrolment_facts(t: Tables, lessons: bool = True, homework: bool = True, active_only: bool = False) -> DataFrame:
+def build(t: Tables) -> DataFrame:
     """(student_id, course_id) -> enrolled_at, is_active, completed_lessons, graded_homeworks, total_score."""
-    enrolled = t.enrollments.filter("is_active") if active_only else t.enrollments
     measures = {
         "enrolled_at": F.lit(None).cast("timestamp"),
         "is_active": F.lit(None).cast("boolean"),
@@ -40,28 +42,26 @@ def enrolment_facts(t: Tables, lessons: bool = True, homework: bool = True, acti
     def rows(df: DataFrame, **given) -> DataFrame:
         return df.select("student_id", "course_id", *[given.get(k, v).alias(k) for k, v in measures.items()])
 
-    stacked = [rows(enrolled, enrolled_at=F.col("enrolled_at"), is_active=F.col("is_active"))]
-    if lessons:
-        done = t.lesson_progress.filter("is_completed").select("student_id", "lesson_id")
-        stacked.append(rows(done.join(t.catalogue_dim(published_lessons(t).select("lesson_id", "course_id")), "lesson_id"), done=F.lit(1)))
-    if homework:
-        graded = t.homework_submissions.filter(F.col("status").isin(*GRADED)).select(
-            "student_id", "homework_id", "score"
-        )
-        dim = t.catalogue_dim(published_homeworks(t).select("homework_id", "course_id"))
-        stacked.append(
-            rows(graded.join(dim, "homework_id"), graded=F.lit(1), points=F.coalesce(F.col("score").cast("int"), F.lit(0)))
-        )
-    aggregates = [F.max("enrolled_at").alias("enrolled_at"), F.max("is_active").alias("is_active")]
-    if lessons:
-        aggregates.append(F.sum("done").alias("completed_lessons"))
-    if homework:
-        aggregates += [F.sum("graded").alias("graded_homeworks"), F.sum("points").alias("total_score")]
+    lessons = t.catalogue_dim(published_lessons(t).select("lesson_id", "course_id"))
+    homeworks = t.catalogue_dim(published_homeworks(t).select("homework_id", "course_id"))
+    done = t.lesson_progress.filter("is_completed").join(lessons, "lesson_id")
+    graded = t.homework_submissions.filter(F.col("status").isin(*GRADED)).join(homeworks, "homework_id")
+    points = F.coalesce(F.col("score").cast("int"), F.lit(0))
+    stacked = (
+        rows(t.enrollments, enrolled_at=F.col("enrolled_at"), is_active=F.col("is_active")),
+        rows(done, done=F.lit(1)),
+        rows(graded, graded=F.lit(1), points=points),
+    )
     return (
         reduce(DataFrame.unionByName, stacked)
-        .repartition("student_id")
         .groupBy("student_id", "course_id")
-        .agg(*aggregates)
+        .agg(
+            F.max("enrolled_at").alias("enrolled_at"),
+            F.max("is_active").alias("is_active"),
+            F.sum("done").alias("completed_lessons"),
+            F.sum("graded").alias("graded_homeworks"),
+            F.sum("points").alias("total_score"),
+        )
         .filter("enrolled_at is not null")
     )
 

@@ -8,15 +8,16 @@ and makes the rest of the batch repeatable.
 
 Judged commands are written once (``Tables.cut``) before winners are chosen,
 so the joins behind them run once.  When commands of one batch compete for the same row, the first valid one by
-(cmd_ts, cmd_id) wins.  Winners are found with a ``min`` of structs and marked
-through the unique command id, so a hot key is never gathered in one task.
+(cmd_ts, cmd_id) wins.  Winners are cut to one row per key and task before the
+exchange and marked through the unique command id, so a hot key is never
+gathered in one task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnmart.functions.exprs import full_name, hash_id, period_end, zero
@@ -58,13 +59,16 @@ def decisions_of(df: DataFrame) -> DataFrame:
     return df.select("cmd_id", "outcome", "reason")
 
 
+def earliest(commands: DataFrame, keys: list[str]) -> DataFrame:
+    """The first command per key; Spark keeps one row per key and task before the exchange."""
+    order = Window.partitionBy(*keys).orderBy("cmd_ts", "cmd_id")
+    return commands.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
 def mark_first(judged: DataFrame, candidate: Column, keys: list[str]) -> DataFrame:
     """Add ``is_first``: is this the earliest candidate command for its key?"""
-    winners = (
-        judged.filter(candidate)
-        .groupBy(*keys)
-        .agg(F.min(F.struct("cmd_ts", "cmd_id")).alias("_w"))
-        .select(F.col("_w.cmd_id").alias("cmd_id"), F.lit(True).alias("is_first"))
+    winners = earliest(judged.filter(candidate).select(*keys, "cmd_ts", "cmd_id"), keys).select(
+        "cmd_id", F.lit(True).alias("is_first")
     )
     return judged.join(winners, "cmd_id", "left").withColumn("is_first", F.coalesce("is_first", F.lit(False)))
 
@@ -300,10 +304,8 @@ def decide_grades(t: Tables, commands: DataFrame, small: bool = False) -> DataFr
             ),
         ),
     )
-    first = (
-        judged.filter("reason is null")
-        .groupBy("submission_id")
-        .agg(F.min(F.struct("cmd_ts", "cmd_id")).alias("first_grade"))
+    first = earliest(judged.filter("reason is null").select("submission_id", "cmd_ts", "cmd_id"), ["submission_id"]).select(
+        "submission_id", F.struct("cmd_ts", "cmd_id").alias("first_grade")
     )
     # The status check precedes the later ones: once graded, every later command meets it first.
     after = F.struct("cmd_ts", "cmd_id") > F.col("first_grade")
@@ -354,12 +356,13 @@ def first_pending_grades(t: Tables, score: int, teacher_id=None, student_id=None
     waiting = t.homework_submissions.filter("status = 'submitted'")
     if student_id is not None:
         waiting = waiting.filter(F.col("student_id") == student_id)
+    order = Window.partitionBy("student_id").orderBy("submitted_at", "id")
     oldest = (
         waiting.select("student_id", "homework_id", "submitted_at", "id")
         .join(t.catalogue_dim(manual), "homework_id")
-        .groupBy("student_id")
-        .agg(F.min(F.struct("submitted_at", "id", "course_id")).alias("w"))
-        .select("w.*")
+        .withColumn("_n", F.row_number().over(order))
+        .filter("_n = 1")
+        .select("submitted_at", "id", "course_id")
     )
     if teacher_id is not None:
         oldest = oldest.withColumn("teacher_id", F.lit(teacher_id))

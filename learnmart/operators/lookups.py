@@ -12,7 +12,6 @@ from learnmart.functions.sizing import salted_join
 from learnmart.model import Tables
 from learnmart.operators import marts
 from learnmart.operators.facts import (
-    enrolment_facts,
     people,
     published_homeworks,
     published_lessons,
@@ -86,7 +85,7 @@ def course_stats(t: Tables, course_id=None) -> DataFrame:
 
 def student_rank(t: Tables, student_id=None, course_id=None) -> DataFrame:
     """Rank of each active student in each course, with the class size."""
-    scored = enrolment_facts(t, lessons=False, active_only=True).join(
+    scored = t.active_facts.join(
         t.catalogue_dim(t.course_totals.filter("total_homeworks > 0")), "course_id"
     )
     if course_id is not None:
@@ -149,7 +148,7 @@ def class_rows(t: Tables) -> DataFrame:
         F.col("id").alias("student_id"), full_name().alias("full_name"), "email", "last_name", "first_name"
     )
     return (
-        enrolment_facts(t, active_only=True)
+        t.active_facts
         .join(students, "student_id")
         .join(t.catalogue_dim(t.course_totals), "course_id")
         .select(
@@ -225,7 +224,7 @@ def last_activity(t: Tables) -> DataFrame:
 
 def course_progress_report(t: Tables, course_id=None) -> DataFrame:
     """Active students of a course (or of every course) with progress and a status label."""
-    facts = enrolment_facts(t, active_only=True)
+    facts = t.active_facts
     totals = t.course_totals
     if course_id is not None:
         totals = totals.filter(F.col("course_id") == course_id)

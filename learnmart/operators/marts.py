@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from learnmart.functions.exprs import full_name, mean1, pct1, pct1_or_zero, short_name, zero
 from learnmart.model import Tables
 from learnmart.operators.facts import (
-    enrolment_facts,
     people,
     rank_within,
 )
@@ -143,8 +142,7 @@ def pending_homeworks(t: Tables, with_teachers: bool = True) -> DataFrame:
 def student_progress(t: Tables) -> DataFrame:
     """Every enrolment with lesson and homework progress."""
     return (
-        enrolment_facts(t)
-        .join(people(t, short_name().alias("student_name"), "email"), "student_id")
+        t.enrolment_facts.join(people(t, short_name().alias("student_name"), "email"), "student_id")
         .join(t.catalogue_dim(t.course_totals), "course_id")
         .select(
             "student_id",
@@ -232,7 +230,7 @@ def admin_dashboard(t: Tables) -> DataFrame:
 
 def student_scores(t: Tables) -> DataFrame:
     """Active enrolments of courses with homework: score, share of the maximum, rank in the course."""
-    scored = enrolment_facts(t, lessons=False, active_only=True).join(
+    scored = t.active_facts.join(
         t.catalogue_dim(t.course_totals.filter("total_homeworks > 0")), "course_id"
     )
     graded_score = F.when(F.col("graded_homeworks") > 0, F.col("total_score"))
@@ -260,7 +258,7 @@ def student_scores(t: Tables) -> DataFrame:
 
 def completion_facts(t: Tables) -> DataFrame:
     return (
-        enrolment_facts(t, homework=False, active_only=True)
+        t.active_facts
         .join(t.catalogue_dim(t.course_totals), "course_id")
         .withColumn("completion_pct", pct1_or_zero(F.col("completed_lessons"), F.col("total_lessons")))
     )

@@ -8,9 +8,10 @@ at every scale.  Ids of catalogue items stay integers here.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import cache
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from learnmart.functions.exprs import period_end
@@ -225,13 +226,8 @@ def submission_rows(raw: Raw, homeworks: DataFrame) -> DataFrame:
 
 def _submissions(raw: Raw, homeworks: DataFrame) -> DataFrame:
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    rest = ["l_returnflag", "l_quantity", "l_suppkey", "check_type", "max_score"]
-    first = (
-        submission_rows(raw, homeworks)
-        .groupBy("homework_id", "o_custkey")
-        .agg(F.min(F.struct(*order, *rest)).alias("f"))
-        .select("homework_id", "o_custkey", "f.*")
-    )
+    earliest = Window.partitionBy("homework_id", "o_custkey").orderBy(*order)
+    first = submission_rows(raw, homeworks).withColumn("n", F.row_number().over(earliest)).filter("n = 1")
     auto = F.col("check_type") == "auto"
     graded = F.col("l_returnflag") != "N"
     submitted = _shift("l_shipdate", SHIP_SHIFT_DAYS)
@@ -306,11 +302,16 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
     frames = _catalogue(raw)
     frames["users"] = _users(raw)
     frames["course_teachers"] = _course_teachers(raw)
-    frames["enrollments"] = merge_enrolments(enrolment_rows(raw), F.col("o_orderstatus") != "F")
     frames["payments"] = _payments(raw)
-    frames["homework_submissions"] = _submissions(raw, frames["homeworks"])
-    frames["lesson_progress"] = merge_progress(progress_rows(raw, frames["lessons"]))
     frames["activity_log"] = _activity(raw)
+    # Relations that take a join or an aggregation are written once, when first used.
+    derived = {
+        "enrollments": lambda: merge_enrolments(enrolment_rows(raw), F.col("o_orderstatus") != "F"),
+        "homework_submissions": lambda: _submissions(raw, frames["homeworks"]),
+        "lesson_progress": lambda: merge_progress(progress_rows(raw, frames["lessons"])),
+    }
+    for name, build_frame in derived.items():
+        frames[name] = cache(lambda name=name, build_frame=build_frame: tables.cut(name, build_frame()))
     tables = Tables(spark, frames, AS_OF)
     tables.raw = raw
     return tables

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -65,11 +65,12 @@ def stream_submissions(t: Tables, source: DataFrame, sink: Sink) -> StreamingQue
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = rules.judge_scores(t, batch.select(*columns))
+        order = Window.partitionBy(*keys).orderBy("submitted_at", "id")
         first = (
             rows.filter("reject_reason is null")
-            .groupBy(*keys)
-            .agg(F.min(F.struct("submitted_at", "id")).alias("f"))
-            .select(F.col("f.id").alias("id"), F.lit(True).alias("is_first"))
+            .select(*keys, "submitted_at", "id", F.row_number().over(order).alias("n"))
+            .filter("n = 1")
+            .select("id", F.lit(True).alias("is_first"))
         )
         near = _keys_if_small(batch, keys)
         known = t.homework_submissions.select(*keys)
