@@ -38,6 +38,8 @@ def measured_bytes(df: DataFrame) -> int:
 class CatalogueSize:
     outline_bytes: int
     score_bytes: int
+    lesson_words: int  # words needed for the lessons of the longest course
+    homework_words: int
 
 
 def measure_catalogue(t: "Tables") -> CatalogueSize:
@@ -50,8 +52,14 @@ def measure_catalogue(t: "Tables") -> CatalogueSize:
     frames = (t.lesson_outline, t.homework_outline, t.course_totals)
     sizes = [df.agg(F.sum(row_width(df)).alias("v")) for df in frames]
     scores = t.course_totals.agg((F.sum("max_possible_score") + F.count("*")).alias("v"))
-    values = [r["v"] or 0 for r in reduce(DataFrame.unionAll, [*sizes, scores]).collect()]
-    return CatalogueSize(outline_bytes=max(values[:3]), score_bytes=values[3] * SCORE_ROW_BYTES)
+    words = [df.agg((F.max("word") + 1).cast("long").alias("v")) for df in frames[:2]]
+    values = [r["v"] or 0 for r in reduce(DataFrame.unionAll, [*sizes, scores, *words]).collect()]
+    return CatalogueSize(
+        outline_bytes=max(values[:3]),
+        score_bytes=values[3] * SCORE_ROW_BYTES,
+        lesson_words=max(values[4], 1),
+        homework_words=max(values[5], 1),
+    )
 
 
 def salted_join(big: DataFrame, many: DataFrame, on: str, salts: int = SALTS) -> DataFrame:

@@ -12,9 +12,10 @@ from __future__ import annotations
 from functools import reduce
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from learnmart.functions.sizing import salted_join
 from learnmart.schemas import GRADED
 
 if TYPE_CHECKING:
@@ -30,28 +31,50 @@ def published_homeworks(t: Tables) -> DataFrame:
 
 
 def build(t: Tables) -> DataFrame:
-    """(student_id, course_id) -> enrolled_at, is_active, completed_lessons, graded_homeworks, total_score."""
-    measures = {
+    """One row per enrolment.
+
+    (student_id, course_id) -> enrolled_at, is_active, completed_lessons (published), graded_homeworks and
+    total_score (of published lessons), lessons_done and homeworks_sent (bits of all items, see ``outline``).
+    """
+    nothing = {
         "enrolled_at": F.lit(None).cast("timestamp"),
         "is_active": F.lit(None).cast("boolean"),
         "done": F.lit(0),
         "graded": F.lit(0),
         "points": F.lit(0),
+        "lesson_word": F.lit(None).cast("int"),
+        "homework_word": F.lit(None).cast("int"),
+        "bit": F.lit(None).cast("bigint"),
     }
 
     def rows(df: DataFrame, **given) -> DataFrame:
-        return df.select("student_id", "course_id", *[given.get(k, v).alias(k) for k, v in measures.items()])
-
-    lessons = t.catalogue_dim(published_lessons(t).select("lesson_id", "course_id"))
-    homeworks = t.catalogue_dim(published_homeworks(t).select("homework_id", "course_id"))
-    done = t.lesson_progress.filter("is_completed").join(lessons, "lesson_id")
-    graded = t.homework_submissions.filter(F.col("status").isin(*GRADED)).join(homeworks, "homework_id")
-    points = F.coalesce(F.col("score").cast("int"), F.lit(0))
+        return df.select("student_id", "course_id", *[given.get(k, v).alias(k) for k, v in nothing.items()])
+
+    item = ("course_id", "is_published", "word", "bit")
+    lessons = t.catalogue_dim(t.lesson_outline.select("lesson_id", *item))
+    homeworks = t.catalogue_dim(t.homework_outline.select("homework_id", *item))
+    done = t.lesson_progress.filter("is_completed").select("student_id", "lesson_id").join(lessons, "lesson_id")
+    sent = t.homework_submissions.select("student_id", "homework_id", "status", "score").join(homeworks, "homework_id")
+    graded = F.col("is_published") & F.col("status").isin(*GRADED)
     stacked = (
         rows(t.enrollments, enrolled_at=F.col("enrolled_at"), is_active=F.col("is_active")),
-        rows(done, done=F.lit(1)),
-        rows(graded, graded=F.lit(1), points=points),
+        rows(done, done=F.col("is_published").cast("int"), lesson_word=F.col("word"), bit=F.col("bit")),
+        rows(
+            sent,
+            graded=graded.cast("int"),
+            points=F.when(graded, F.coalesce(F.col("score").cast("int"), F.lit(0))).otherwise(F.lit(0)),
+            homework_word=F.col("word"),
+            bit=F.col("bit"),
+        ),
     )
+
+    def bits(word: str, words: int) -> list:
+        return [F.bit_or(F.when(F.col(word) == i, F.col("bit"))).alias(f"{word}_{i}") for i in range(words)]
+
+    def packed(word: str, words: int) -> Column:
+        return F.array(*[F.coalesce(f"{word}_{i}", F.lit(0)) for i in range(words)])
+
+    size = t.catalogue_size
     return (
         reduce(DataFrame.unionByName, stacked)
         .groupBy("student_id", "course_id")
@@ -61,8 +84,15 @@ def build(t: Tables) -> DataFrame:
             F.sum("done").alias("completed_lessons"),
             F.sum("graded").alias("graded_homeworks"),
             F.sum("points").alias("total_score"),
+            *bits("lesson_word", size.lesson_words),
+            *bits("homework_word", size.homework_words),
         )
         .filter("enrolled_at is not null")
+        .select(
+            "student_id", "course_id", "enrolled_at", "is_active", "completed_lessons", "graded_homeworks", "total_score",
+            packed("lesson_word", size.lesson_words).alias("lessons_done"),
+            packed("homework_word", size.homework_words).alias("homeworks_sent"),
+        )
     )
 
 
@@ -103,3 +133,14 @@ def global_rank(df: DataFrame, score: str, out: str) -> DataFrame:
         .select(score, (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).alias(out))
     )
     return df.join(ranks, score)
+
+
+def per_teacher_rows(t: Tables, rows: DataFrame, many: DataFrame) -> DataFrame:
+    """Repeat course rows for every row of ``many``, a frame no larger than course_teachers.
+
+    A course may be hot on both sides: ``many`` is broadcast when measured
+    small, otherwise each course is spread over salted sub-keys.
+    """
+    if t.assignments_fit:
+        return rows.join(F.broadcast(many), "course_id")
+    return salted_join(rows, many, "course_id")

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnmart.functions.exprs import full_name, pct1, pct1_or_zero, zero
-from learnmart.functions.sizing import salted_join
 from learnmart.model import Tables
 from learnmart.operators import marts
 from learnmart.operators.facts import (
     people,
+    per_teacher_rows,
     published_homeworks,
     published_lessons,
     rank_within,
@@ -131,17 +131,6 @@ def teaching(t: Tables, teacher_id=None, course_id=None) -> DataFrame:
     return pairs.join(teachers, "teacher_id", "left_semi").select("course_id", "teacher_id")
 
 
-def for_each_teacher(t: Tables, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Repeat course rows for every teacher of the course.
-
-    A course may be hot on both sides: assignments are broadcast when measured
-    small, otherwise each course is spread over salted sub-keys.
-    """
-    if t.assignments_fit:
-        return rows.join(F.broadcast(pairs), "course_id")
-    return salted_join(rows, pairs, "course_id")
-
-
 def class_rows(t: Tables) -> DataFrame:
     """Active enrolments of active students: score and lesson completion."""
     students = t.users.filter("is_active").select(
@@ -172,7 +161,7 @@ def teacher_students(t: Tables, teacher_id=None, course_id=None) -> DataFrame:
     rows = class_rows(t)
     if course_id is not None:
         rows = rows.filter(F.col("course_id") == course_id)
-    return for_each_teacher(t, rows, teaching(t, teacher_id, course_id)).select(
+    return per_teacher_rows(t, rows, teaching(t, teacher_id, course_id)).select(
         "teacher_id",
         "student_id",
         "full_name",

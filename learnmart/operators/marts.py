@@ -9,6 +9,7 @@ from learnmart.functions.exprs import full_name, mean1, pct1, pct1_or_zero, shor
 from learnmart.model import Tables
 from learnmart.operators.facts import (
     people,
+    per_teacher_rows,
     rank_within,
 )
 
@@ -305,10 +306,9 @@ def teacher_workload(t: Tables) -> DataFrame:
     taught = t.course_teachers.groupBy("teacher_id").agg(F.sort_array(F.collect_set("course_id")).alias("courses"))
     sets = taught.select("courses").distinct()
     members = sets.select("courses", F.explode("courses").alias("course_id"))
+    enrolled = t.enrollments.filter("is_active").select("student_id", "course_id")
     students = (
-        t.enrollments.filter("is_active")
-        .select("student_id", "course_id")
-        .join(t.assignment_dim(members), "course_id")
+        per_teacher_rows(t, enrolled, members)
         .groupBy("courses")
         .agg(F.countDistinct("student_id").alias("total_students"))
     )

@@ -1,16 +1,38 @@
-"""The course tree flattened: lessons, homework and courses with everything above them."""
+"""The course tree flattened: lessons, homework and courses with everything above them.
+
+Items of a course are numbered; item n is bit ``n % 63`` of word ``n // 63``,
+so what a student has done in a course fits a few integers.
+"""
 
 from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
     from learnmart.model import Tables
 
 
+WORD_BITS = 63
+
+
+def _numbered(items: DataFrame, key: str) -> DataFrame:
+    position = F.row_number().over(Window.partitionBy("course_id").orderBy(key)) - 1
+    return (
+        items.withColumn("_n", position)
+        .withColumn("word", F.floor(F.col("_n") / WORD_BITS).cast("int"))
+        .withColumn("bit", F.expr(f"shiftleft(1L, _n % {WORD_BITS})"))
+        .drop("_n")
+    )
+
+
+def has_bit(words: str) -> Column:
+    """Is the item's bit set in the array column ``words``?"""
+    return F.element_at(words, F.col("word") + 1).bitwiseAND(F.col("bit")) != 0
+
+
 def lessons(t: Tables) -> DataFrame:
     optional = [c for c in ("video_url", "webinar_url", "webinar_scheduled_at", "duration_minutes") if c in t.lessons.columns]
     lesson = t.lessons.select(
@@ -26,7 +48,7 @@ def lessons(t: Tables) -> DataFrame:
         F.col("id").alias("module_id"), F.col("title").alias("module_title"), F.col("order_index").alias("module_order"), "course_id"
     )
     course = t.courses.select(F.col("id").alias("course_id"), F.col("title").alias("course_title"))
-    return lesson.join(module, "module_id").join(course, "course_id")
+    return _numbered(lesson.join(module, "module_id").join(course, "course_id"), "lesson_id")
 
 
 def homeworks(t: Tables) -> DataFrame:
@@ -39,7 +61,7 @@ def homeworks(t: Tables) -> DataFrame:
         "lesson_id",
     )
     above = ("lesson_id", "lesson_title", "is_published", "module_id", "module_title", "course_id", "course_title")
-    return homework.join(t.lesson_outline.select(*above), "lesson_id")
+    return _numbered(homework.join(t.lesson_outline.select(*above), "lesson_id"), "homework_id")
 
 
 def courses(t: Tables) -> DataFrame:

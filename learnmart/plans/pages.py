@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from learnmart.functions.exprs import day, enum_order, full_name, stamp, zero
 from learnmart.model import Tables
 from learnmart.operators import lookups, marts
-from learnmart.operators.facts import people, published_lessons
+from learnmart.operators.facts import people, per_teacher_rows, published_lessons
 from learnmart.operators.marts import money_or_zero
+from learnmart.operators.outline import has_bit
 from learnmart.plans import finance
 
 
@@ -119,7 +120,7 @@ def teacher_pending_list(t: Tables, teacher_id=None) -> DataFrame:
         .join(people(t, F.concat("first_name", F.lit(" "), "last_name").alias("student_name")), "student_id")
     )
     return (
-        lookups.for_each_teacher(t, rows, lookups.teaching(t, teacher_id))
+        per_teacher_rows(t, rows, lookups.teaching(t, teacher_id))
         .orderBy("submitted_at", "submission_id", "teacher_id")
         .select(
             "teacher_id",
@@ -154,38 +155,13 @@ def student_courses(t: Tables, student_id=None) -> DataFrame:
     )
 
 
-def _finished_lessons(t: Tables, student_id=None, course_id=None):
-    """Active enrolments with the set of the student's finished lessons (limited by the course's lessons)."""
-    lessons = t.lesson_outline.select("lesson_id", "course_id")
-    enrolled = t.enrollments.filter("is_active").select(
-        "student_id", "course_id", F.lit(True).alias("on"), F.lit(None).cast(t.lessons.schema["id"].dataType).alias("lesson")
-    )
-    done = (
-        t.lesson_progress.filter("is_completed")
-        .select("student_id", "lesson_id")
-        .join(t.catalogue_dim(lessons), "lesson_id")
-        .select("student_id", "course_id", F.lit(False), "lesson_id")
-    )
-    rows = enrolled.union(done)
-    if student_id is not None:
-        rows = rows.filter(F.col("student_id") == student_id)
-    if course_id is not None:
-        rows = rows.filter(F.col("course_id") == course_id)
-    return (
-        rows.groupBy("student_id", "course_id")
-        .agg(F.max("on").alias("on"), F.collect_set("lesson").alias("done"))
-        .filter("on")
-        .drop("on")
-    )
-
-
 def course_outline(t: Tables, student_id=None, course_id=None) -> DataFrame:
     """Published lessons by module for each active enrolment, as nested arrays.
 
     The nested outline is built once per course; each enrolment only marks its
     finished lessons in it, so no lesson rows are multiplied by students.
     """
-    lesson_fields = F.struct("lesson_order", "lesson_id", "lesson_title", "lesson_type", "duration_minutes")
+    lesson_fields = F.struct("lesson_order", "lesson_id", "lesson_title", "lesson_type", "duration_minutes", "word", "bit")
     module = ("module_order", "module_id", "module_title")
     outline = (
         published_lessons(t)
@@ -200,9 +176,14 @@ def course_outline(t: Tables, student_id=None, course_id=None) -> DataFrame:
             'module_id', m.module_id, 'module_title', m.module_title,
             'lessons', transform(m.lessons, l -> named_struct(
                 'lesson_id', l.lesson_id, 'lesson_title', l.lesson_title, 'lesson_type', l.lesson_type,
-                'duration_minutes', l.duration_minutes, 'is_completed', array_contains(done, l.lesson_id)))))"""
+                'duration_minutes', l.duration_minutes, 'is_completed', (lessons_done[l.word] & l.bit) <> 0))))"""
+    enrolled = t.active_facts
+    if student_id is not None:
+        enrolled = enrolled.filter(F.col("student_id") == student_id)
+    if course_id is not None:
+        enrolled = enrolled.filter(F.col("course_id") == course_id)
     return (
-        _finished_lessons(t, student_id, course_id)
+        enrolled.select("student_id", "course_id", "lessons_done")
         .join(t.catalogue_dim(titles.join(outline, "course_id", "left")), "course_id")
         .select("student_id", "course_id", "course_title", F.expr(marked).alias("modules"))
     )
@@ -212,13 +193,15 @@ def lesson_detail(t: Tables, student_id=None, lesson_id=None) -> DataFrame:
     """Every lesson an actively enrolled student may open, with completion."""
     lessons = t.lesson_outline.select(
         "lesson_id", "lesson_title", "lesson_type", "duration_minutes", "webinar_scheduled_at", "is_published", "course_id",
-        "course_title",
+        "course_title", "word", "bit",
     )
     if lesson_id is not None:
         lessons = lessons.filter(F.col("lesson_id") == lesson_id)
+    enrolled = t.active_facts.select("student_id", "course_id", "lessons_done")
+    if student_id is not None:
+        enrolled = enrolled.filter(F.col("student_id") == student_id)
     return (
-        _finished_lessons(t, student_id)
-        .join(t.catalogue_dim(lessons), "course_id")
+        enrolled.join(t.catalogue_dim(lessons), "course_id")
         .select(
             "student_id",
             "lesson_id",
@@ -229,7 +212,7 @@ def lesson_detail(t: Tables, student_id=None, lesson_id=None) -> DataFrame:
             "is_published",
             "course_id",
             "course_title",
-            F.array_contains("done", F.col("lesson_id")).alias("is_completed"),
+            has_bit("lessons_done").alias("is_completed"),
         )
     )
 

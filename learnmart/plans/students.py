@@ -9,6 +9,7 @@ from learnmart.functions.exprs import day, full_name, over, stamp, zero
 from learnmart.model import Tables
 from learnmart.operators import lookups, marts
 from learnmart.operators.facts import people, published_homeworks
+from learnmart.operators.outline import has_bit
 
 # Report labels.
 FINISHED, GOING, STARTED, UNTOUCHED = "Завершён", "В процессе", "Начат", "Не начат"
@@ -57,38 +58,20 @@ def ranking_topic(t: Tables) -> DataFrame:
 def unsubmitted(t: Tables) -> DataFrame:
     """Homework of published lessons an active enrolment owes and has not handed in.
 
-    Enrolments and hand-ins are aggregated once per (student, course); the
-    course's homework list is cut by the student's set and only what is left
-    is expanded, so owed-but-done rows never exist.  A student's set is
-    limited by the homework of one course.
+    The facts say per enrolment what was sent; joined with the course's
+    homework, only what is missing passes, with no second look at hand-ins.
     """
-    homeworks = t.catalogue_dim(published_homeworks(t).select("homework_id", "course_id"))
-    enrolled = t.enrollments.filter("is_active").select(
-        "student_id", "course_id", F.lit(True).alias("on"), F.lit(None).cast(t.homeworks.schema["id"].dataType).alias("hw")
-    )
-    handed = t.homework_submissions.select("student_id", "homework_id").join(homeworks, "homework_id").select(
-        "student_id", "course_id", F.lit(False), "homework_id"
-    )
-    per_enrolment = (
-        enrolled.union(handed)
-        .repartition("student_id")
-        .groupBy("student_id", "course_id")
-        .agg(F.max("on").alias("on"), F.collect_set("hw").alias("done"))
-        .filter("on")
-    )
-    fields = ["homework_id", "module_title", "lesson_title", "homework_title", "check_type"]
-    lists = (
-        published_homeworks(t)
-        .groupBy("course_id", "course_title")
-        .agg(F.collect_list(F.struct(*fields)).alias("homework_list"))
+    owed = t.catalogue_dim(
+        published_homeworks(t).select(
+            "course_id", "course_title", "module_title", "lesson_title", "homework_id", "homework_title", "check_type", "word", "bit"
+        )
     )
     kind = F.when(F.col("check_type") == "manual", MANUAL).when(F.col("check_type") == "auto", AUTO)
     return (
-        per_enrolment.join(t.catalogue_dim(lists), "course_id")
-        .withColumn("todo", F.expr("filter(homework_list, h -> not array_contains(done, h.homework_id))"))
+        t.active_facts.select("student_id", "course_id", "homeworks_sent")
         .join(people(t, full_name().alias("full_name")), "student_id")
-        .select("student_id", "full_name", "course_title", F.explode("todo").alias("h"))
-        .select("student_id", "full_name", "course_title", "h.*")
+        .join(owed, "course_id")
+        .filter(~has_bit("homeworks_sent"))
         .orderBy("course_title", "student_id", "module_title", "homework_id")
         .select(
             "student_id",

@@ -12,7 +12,7 @@ from learnmart.functions.sizing import salted_join
 from learnmart.model import Tables, typed
 from learnmart.operators import lookups, marts, quality, rules
 from learnmart.operators.facts import global_rank, rank_within
-from learnmart.plans import finance, students, teachers
+from learnmart.plans import finance, pages, students, teachers
 from learnmart.sources import testdata
 
 AS_OF = seed.AS_OF
@@ -163,6 +163,30 @@ def test_results_do_not_depend_on_broadcasts(school, query):
     assert sorted(map(str, query(plain).collect())) == sorted(map(str, query(school).collect()))
 
 
+def test_courses_with_more_items_than_bits(spark, school):
+    """A course with 130 lessons and homework: nothing is lost beyond the first word."""
+    n = 130
+    lessons = typed(spark, "lessons", [(f"X{i:03d}", "M03", f"X{i}", "video", i + 1, "v", 10, i % 5 != 0, AS_OF) for i in range(n)],
+                    ["id", "module_id", "title", "lesson_type", "order_index", "video_url", "duration_minutes", "is_published", "created_at"])
+    work = typed(spark, "homeworks", [(f"Y{i:03d}", f"X{i:03d}", f"Y{i}", "manual", 10, AS_OF) for i in range(n)],
+                 ["id", "lesson_id", "title", "check_type", "max_score", "created_at"])
+    done = typed(spark, "lesson_progress", [(f"Q{i}", "U20", f"X{i:03d}", True, AS_OF) for i in range(0, n, 3)],
+                 ["id", "student_id", "lesson_id", "is_completed", "last_viewed_at"])
+    sent = typed(spark, "homework_submissions", [(f"Z{i}", f"Y{i:03d}", "U20", "a", "submitted", AS_OF) for i in range(0, n, 2)],
+                 ["id", "homework_id", "student_id", "answer_text", "status", "submitted_at"])
+    extra = {"lessons": lessons, "homeworks": work, "lesson_progress": done, "homework_submissions": sent}
+    t = school.replace(**{k: school.frames[k].unionByName(df) for k, df in extra.items()})
+    assert (t.catalogue_size.lesson_words, t.catalogue_size.homework_words) == (3, 3)
+    todo = {r.homework_title for r in students.unsubmitted(t).filter("student_id = 'U20' and homework_title like 'Y%'").collect()}
+    assert todo == {f"Y{i}" for i in range(n) if i % 2 and i % 5}
+    seen = {r.lesson_id: r.is_completed for r in pages.lesson_detail(t, "U20").filter("lesson_id like 'X%'").collect()}
+    assert seen == {f"X{i:03d}": i % 3 == 0 for i in range(n)}
+    outline = pages.course_outline(t, "U20", "C1").first().modules[-1]
+    assert [(x.lesson_id, x.is_completed) for x in outline.lessons] == [(f"X{i:03d}", i % 3 == 0) for i in range(n) if i % 5]
+    row = marts.student_progress(t).filter("student_id = 'U20' and course_id = 'C1'").first()
+    assert row.completed_lessons == 3 + len([i for i in range(0, n, 3) if i % 5])
+
+
 # -- invariants on the test tables --------------------------------------------------------
 
 
