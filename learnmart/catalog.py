@@ -143,8 +143,9 @@ def _decided(job: str, t: Tables) -> tuple[Tables, DataFrame]:
 
 
 def _change(job: str, t: Tables) -> jobs.Change:
-    start, decided = _decided(job, t)
-    return JOB_STEPS[job][3](start, decided)
+    state, feed, decide, apply = JOB_STEPS[job]
+    start = state(t)
+    return jobs.run(start, feed(start), decide, apply)[1]
 
 
 def _outcomes(job: str):

@@ -2,9 +2,9 @@
 
 Every job has two steps.  ``decide_*`` gives each command an outcome and, when
 rejected, the first reason in the fixed order of checks.  ``apply_*`` turns
-decisions into changed tables, log rows and stale-mart rows.  Between the two
-a caller may write the decisions out and read them back, which cuts lineage
-and makes the rest of the batch repeatable.
+decisions into changed tables, log rows and stale-mart rows.  ``run`` writes
+the decisions between the two, which cuts lineage and makes the rest of the
+batch repeatable.
 
 Judged commands are written once (``Tables.cut``) before winners are chosen,
 so the joins behind them run once.  When commands of one batch compete for the same row, the first valid one by
@@ -15,6 +15,7 @@ gathered in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +46,12 @@ class Change:
         return t.replace(**frames)
 
 
+def run(t: Tables, commands: DataFrame, decide: Callable, apply: Callable) -> tuple[DataFrame, Change]:
+    """Decide a batch, write the decisions, and derive the change from what was written."""
+    decisions = t.cut("decisions", decide(t, commands))
+    return decisions, apply(t, decisions)
+
+
 def append(base: DataFrame, rows: DataFrame) -> DataFrame:
     """Union by name with the base's columns and types; ids become text when kinds differ."""
     kinds = dict(rows.dtypes)
@@ -571,13 +578,13 @@ def load_rows(t: Tables, rows: dict[str, DataFrame]) -> tuple[Tables, DataFrame]
         turned_away("course_teachers", judged)
         t = Change(appends={"course_teachers": judged.filter("reject_reason is null").drop("reject_reason")}).onto(t)
     if "enrollments" in rows:
-        decided = decide_enrolments(t, rows["enrollments"])
+        decided, change = run(t, rows["enrollments"], decide_enrolments, apply_enrolments)
         turned_away("enrollments", decided, "reason")
-        t = apply_enrolments(t, decided).onto(t)
+        t = change.onto(t)
     if "payments" in rows:
-        decided = decide_payments(t, rows["payments"])
+        decided, change = run(t, rows["payments"], decide_payments, apply_payments)
         turned_away("payments", decided, "reason")
-        t = apply_payments(t, decided).onto(t)
+        t = change.onto(t)
     if "lesson_progress" in rows:
         new = rows["lesson_progress"]
         log = rules.log_progress(t.lesson_progress, new, t.now)

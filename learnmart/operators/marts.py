@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,6 +199,13 @@ def money_or_zero(col: str | Column) -> Column:
     return F.coalesce(col, F.lit(0).cast("decimal(20,2)")).cast("decimal(20,2)")
 
 
+def side_by_side(*parts: DataFrame) -> DataFrame:
+    """One row with the columns of several one-row frames: stacked, then merged by ``max``."""
+    columns = [c for part in parts for c in part.columns]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in columns])
+
+
 def admin_dashboard(t: Tables) -> DataFrame:
     """One row of platform totals: one conditional aggregate per table."""
     active = F.col("is_active")
@@ -223,9 +232,7 @@ def admin_dashboard(t: Tables) -> DataFrame:
     webinar = t.lessons.filter(
         (F.col("lesson_type") == "webinar") & F.col("is_published") & (F.col("webinar_scheduled_at") > t.now)
     ).agg(F.min("webinar_scheduled_at").alias("next_webinar_at"))
-    row = users
-    for part in (courses, enrolled, work, money, seen, webinar):
-        row = row.crossJoin(F.broadcast(part))  # global aggregates: one row each
+    row = side_by_side(users, courses, enrolled, work, money, seen, webinar)
     return row.select(F.lit(1).alias("id"), "*", t.now.alias("refreshed_at"))
 
 

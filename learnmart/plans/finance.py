@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from learnmart.functions.exprs import day, full_name, money_mean, money_pct1
 from learnmart.model import Tables
-from learnmart.operators.marts import money_or_zero
+from learnmart.operators.marts import money_or_zero, side_by_side
 
 # Report labels and class limits (percent of revenue).
 CLASS_A, CLASS_B, CLASS_C = "A — приоритет", "B — важные", "C — прочие"
@@ -165,7 +165,7 @@ def totals(t: Tables) -> DataFrame:
         F.coalesce(F.sum("m"), F.lit(0)).alias("monthly_count"),
     )
     courses = t.payments.select("course_id").distinct().agg(F.count("*").alias("paid_courses"))
-    return row.crossJoin(F.broadcast(courses)).select(  # one row each
+    return side_by_side(row, courses).select(
         "paying_students",
         "paid_courses",
         "payments_count",

@@ -9,7 +9,7 @@ from learnmart.functions.exprs import day, enum_order, full_name, stamp, zero
 from learnmart.model import Tables
 from learnmart.operators import lookups, marts
 from learnmart.operators.facts import people, per_teacher_rows, published_lessons
-from learnmart.operators.marts import money_or_zero
+from learnmart.operators.marts import money_or_zero, side_by_side
 from learnmart.operators.outline import has_bit
 from learnmart.plans import finance
 
@@ -23,7 +23,7 @@ def platform_counts(t: Tables) -> DataFrame:
     )
     courses = t.courses.agg(F.count("*").alias("total_courses"))
     money = t.payments.agg(money_or_zero(F.sum("amount")).alias("total_revenue"))
-    return users.crossJoin(F.broadcast(courses)).crossJoin(F.broadcast(money))  # one row each
+    return side_by_side(users, courses, money)
 
 
 def users_by_role(t: Tables) -> DataFrame:

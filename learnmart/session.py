@@ -37,3 +37,11 @@ def local_session(cores: str = "8", app: str = "learnmart", memory: str = "8g",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shuffle_partitions(input_bytes: int, target_bytes: int = 128 * 1024 * 1024, least: int = 200, most: int = 100_000) -> int:
+    """A value for ``spark.sql.shuffle.partitions`` that keeps partitions near ``target_bytes``.
+
+    AQE merges partitions that turn out small, so erring high is cheap.
+    """
+    return max(least, min(most, -(-input_bytes // target_bytes)))

@@ -14,7 +14,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark(tmp_path_factory):
     shared = str(tmp_path_factory.mktemp("shared"))
     session = local_session(
-        cores="4", app="tests", memory="4g", **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": shared}
+        cores="8", app="tests", memory="6g", **{"spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": shared}
     )
     yield session
     session.stop()

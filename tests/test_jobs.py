@@ -8,8 +8,10 @@ import seed
 from pyspark.sql import functions as F
 
 from learnmart.model import Tables
-from learnmart.operators import jobs, refresh, rules
+from learnmart.operators import jobs, marts, refresh, rules
+from learnmart.session import shuffle_partitions
 from learnmart.sources.store import Deltas, Store
+from learnmart.sources.tables import read_tables, write_tables
 from learnmart.sources.workspace import workspace
 
 AS_OF = seed.AS_OF
@@ -179,6 +181,27 @@ def test_snapshots(spark, school):
     assert set(store.tables(AS_OF).frames) >= {"mv_admin_dashboard", "mv_refresh_queue"}
 
 
+def test_typed_tables_round_trip(spark, school):
+    root = workspace(spark, "tables")
+    write_tables(school, root)
+    t = read_tables(spark, root, AS_OF)
+    assert {n: df.count() for n, df in t.frames.items()} == {n: df.count() for n, df in school.frames.items()}
+    assert t.payments.schema["amount"].dataType.simpleString() == "decimal(10,2)"
+    assert sorted(map(str, marts.student_scores(t).collect())) == sorted(map(str, marts.student_scores(school).collect()))
+    # filters and columns reach the scan
+    plan = t.homework_submissions.filter("status = 'submitted'").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(status,submitted)" in plan and "answer_text" not in plan
+    lost = workspace(spark, "tables")
+    write_tables(school, lost, [n for n in school.frames if n != "mv_refresh_queue"])
+    assert read_tables(spark, lost, AS_OF).mv_refresh_queue.isEmpty()
+
+
+def test_shuffle_partitions():
+    assert shuffle_partitions(1) == 200
+    assert shuffle_partitions(100 * 1024**3) == 800
+    assert shuffle_partitions(10**18) == 100_000
+
+
 def test_deltas_replace_a_repeated_batch(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     deltas = Deltas(spark, workspace(spark, "deltas"), ["k"])
