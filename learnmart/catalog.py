@@ -22,7 +22,10 @@ MARTS: dict[str, Callable[[Tables], DataFrame]] = {
     "active_students": marts.active_students,
     "teachers_courses": marts.teachers_courses,
     "upcoming_webinars": marts.upcoming_webinars,
-    "pending_homeworks": lambda t: marts.pending_homeworks(t).withColumn("teacher_ids", F.array_join("teacher_ids", ",")),
+    # the array as text, a NULL element spelled out
+    "pending_homeworks": lambda t: marts.pending_homeworks(t).withColumn(
+        "teacher_ids", F.array_join("teacher_ids", ",", "NULL")
+    ),
     "student_progress": marts.student_progress,
     "course_finance": marts.course_finance,
     "admin_dashboard": marts.admin_dashboard,

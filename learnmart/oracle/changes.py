@@ -17,7 +17,8 @@ ISO = "'%Y-%m-%dT%H:%M:%S'"
 
 
 def line_id(prefix: str) -> str:
-    return f"'{prefix}-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
+    return (f"'{prefix}-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || "
+            "strftime(l_shipdate, '%Y%m%d')")
 
 
 BEFORE = f"""
@@ -440,6 +441,15 @@ QUALITY = {
         """
 SELECT 'homework_submissions' AS table_name, 'homework_id,student_id' AS rule, homework_id || '~' || student_id AS key_value,
        count(*) AS rows_count FROM raw_sub GROUP BY homework_id, student_id HAVING count(*) > 1
+UNION ALL SELECT 'homework_submissions', 'id', id, count(*) FROM raw_sub GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'lesson_progress', 'id', CAST(id AS VARCHAR), count(*) FROM raw_prog GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'enrollments', 'id', CAST(id AS VARCHAR), count(*) FROM raw_enr GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'payments', 'id', CAST(id AS VARCHAR), count(*) FROM raw_pay GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'activity_log', 'id', CAST(id AS VARCHAR), count(*) FROM activity_log GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'users', 'id', id, count(*) FROM users GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'users', 'email', email, count(*) FROM users GROUP BY email HAVING count(*) > 1
+UNION ALL SELECT 'course_teachers', 'course_id,teacher_id', course_id || '~' || teacher_id, count(*) FROM course_teachers
+GROUP BY course_id, teacher_id HAVING count(*) > 1
 UNION ALL SELECT 'lesson_progress', 'student_id,lesson_id', student_id || '~' || lesson_id, count(*) FROM raw_prog
 GROUP BY student_id, lesson_id HAVING count(*) > 1
 UNION ALL SELECT 'enrollments', 'student_id,course_id', student_id || '~' || course_id, count(*) FROM raw_enr

@@ -119,7 +119,8 @@ def unit_commands(t: Tables) -> DataFrame:
 
 
 def _line_id(prefix: str):
-    return F.concat_ws("-", F.lit(prefix), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    shipped = F.date_format("l_shipdate", "yyyyMMdd")
+    return F.concat_ws("-", F.lit(prefix), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", shipped)
 
 
 def grade_commands(t: Tables) -> DataFrame:
