@@ -51,6 +51,8 @@ class Tables:
         if kept >= set(schemas.CATALOGUE):
             for name in ("lesson_outline", "homework_outline", "course_totals", "catalogue_size"):
                 out.__dict__[name] = getattr(self, name)
+            if kept >= {"enrollments", "lesson_progress", "homework_submissions"} and "enrolment_facts" in self.__dict__:
+                out.__dict__["enrolment_facts"] = self.enrolment_facts
         if "course_teachers" in kept and "_assignment_bytes" in self.__dict__:
             out.__dict__["_assignment_bytes"] = self._assignment_bytes
         if "users" in kept:
