@@ -32,22 +32,31 @@ def _text_key(columns) -> Column:
 
 
 def unique_violations(t: Tables, names: list[str] | None = None) -> DataFrame:
-    """Keys held by more than one row; keys with a NULL part never collide."""
+    """Keys held by more than one row; keys with a NULL part never collide.
+
+    Each table is scanned once for all its keys, and all keys of all tables
+    are counted in one aggregation.
+    """
     parts = []
     for table in _tables(t, names):
         df = t.frames[table.name]
+        keys = []
         for key in table.keys:
             if set(key) <= set(df.columns):
-                counts = df.dropna(subset=list(key)).groupBy(*key).agg(F.count("*").alias("rows_count"))
-                parts.append(
-                    counts.filter("rows_count > 1").select(
-                        F.lit(table.name).alias("table_name"),
-                        F.lit(",".join(key)).alias("rule"),
-                        _text_key(key).alias("key_value"),
-                        "rows_count",
-                    )
-                )
-    return _union(parts)
+                complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in key])
+                values = F.array(*[F.col(c).cast("string") for c in key])
+                keys.append(F.when(complete, F.struct(F.lit(",".join(key)).alias("rule"), values.alias("key"))))
+        if keys:
+            parts.append(
+                df.select(F.lit(table.name).alias("table_name"), F.explode(F.array_compact(F.array(*keys))).alias("k"))
+            )
+    return (
+        _union(parts)
+        .groupBy("table_name", "k.rule", "k.key")
+        .agg(F.count("*").alias("rows_count"))
+        .filter("rows_count > 1")
+        .select("table_name", "rule", F.array_join("key", KEY_SEPARATOR).alias("key_value"), "rows_count")
+    )
 
 
 def orphan_rows(t: Tables, names: list[str] | None = None) -> DataFrame:
