@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from learnmart.functions.exprs import day, enum_order, full_name, stamp, zero
+from learnmart.functions.exprs import day, enum_order, stamp, zero
 from learnmart.model import Tables
 from learnmart.operators import lookups, marts
 from learnmart.operators.facts import people, per_teacher_rows, published_lessons
