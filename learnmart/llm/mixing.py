@@ -122,12 +122,12 @@ SQL = {
             FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
         -- the highest level at which the caps and the open sources together make no more than the whole
         c AS (
-            SELECT (SELECT sum(source_size) FROM s)::BIGINT AS total, x.source_size * 1.0 / x.weight AS at,
+            SELECT (SELECT sum(source_size) FROM s)::BIGINT AS total, x.source_size * 1.0 / x.weight AS ratio,
                    coalesce((SELECT sum(y.source_size) FROM s y WHERE y.source_size * x.weight < x.source_size * y.weight), 0)::BIGINT AS capped,
                    (SELECT sum(y.weight) FROM s y WHERE y.source_size * x.weight >= x.source_size * y.weight)::BIGINT AS open,
                    x.source_size AS xs, x.weight AS xw
             FROM s x),
-        f AS (SELECT total, capped, open FROM c WHERE 4 * xs * open > (3 * total - 4 * capped) * xw ORDER BY at LIMIT 1),
+        f AS (SELECT total, capped, open FROM c WHERE 4 * xs * open > (3 * total - 4 * capped) * xw ORDER BY ratio LIMIT 1),
         t AS (
             SELECT source, source_size,
                    CASE WHEN f.open IS NULL THEN (2 * source_size)::DOUBLE

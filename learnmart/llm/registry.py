@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from learnmart.llm import dedup_exact, language, mixing, packing, simhash
+from learnmart.llm import dedup_exact, language, mixing, packing, simhash, warc
 
-MODULES = (packing, mixing, simhash, dedup_exact, language)
+MODULES = (packing, mixing, warc, simhash, dedup_exact, language)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
