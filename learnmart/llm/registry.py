@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from learnmart.llm import dedup_exact, language, mixing, packing, simhash, warc
+from learnmart.llm import chat, dedup_exact, language, mixing, packing, sharding, simhash, warc
 
-MODULES = (packing, mixing, warc, simhash, dedup_exact, language)
+MODULES = (chat, sharding, packing, mixing, warc, simhash, dedup_exact, language)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
