@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from learnmart.llm import chat, dedup_exact, language, mixing, packing, sharding, simhash, vectors, warc
+from learnmart.llm import chat, dedup_exact, language, mixing, packing, secrets, sharding, simhash, vectors, warc
 
-MODULES = (chat, sharding, packing, vectors, mixing, warc, simhash, dedup_exact, language)
+MODULES = (chat, sharding, secrets, packing, vectors, mixing, warc, simhash, dedup_exact, language)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
