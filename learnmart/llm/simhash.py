@@ -151,18 +151,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: in
 
     Cases are as in ``near_duplicates``.  Of rows with the component's smallest
     id, which only repeated ids can give, the one with the smallest fingerprint
-    and then text hash stays; of wholly equal rows one.
+    and then text hash stays; of rows with equal id and text one.  Texts are
+    hashed once for the decision and once, cheaply, to find the rows that stay.
     """
-    fp, digest, component, row = unused(docs, "fp", "digest", "component", "row")
-    marked = fingerprints(docs, text, fp, words).withColumn(digest, F.xxhash64(F.coalesce(col(text), F.lit(""))))
-    narrow = cut(marked.select(col(id_col).alias("id"), col(fp).alias("fp"), col(digest).alias("digest")), "fingerprints")
-    named = narrow.join(classes(narrow.select("id", "fp"), max_bits), "fp")
-    # component_id is null only where all ids are: then the component needs another name, its smallest fingerprint
+    digest, one, same, row = unused(docs, "digest", "one", "same", "row")
+    text_hash = F.xxhash64(F.coalesce(col(text), F.lit("")))
+    narrow = docs.select(col(id_col).alias("id"), col(text).alias("text"), text_hash.alias("digest"))
+    prints = cut(fingerprints(narrow, "text", "fp", words).select("id", "fp", "digest"), "fingerprints")
+    named = prints.join(classes(prints.select("id", "fp"), max_bits), "fp")
+    # component_id is null only where all ids are: then the component goes by its own fingerprint
     best = named.groupBy("component_id", F.when(F.isnull("component_id"), F.col("fp")).alias("other")).agg(
-        F.min(F.struct(F.isnull("id"), F.col("id"), F.col("fp"), F.col("digest"))).alias("best"))
-    stay = best.select(F.col("best.fp").alias(component), F.col("best.digest").alias(row)).distinct()
-    kept = marked.join(stay, (col(fp) == col(component)) & (col(digest) == col(row)), "left_semi")
-    first = kept.withColumn(row, F.row_number().over(Window.partitionBy(fp, digest).orderBy(col(id_col).asc_nulls_last())))
+        F.min(F.struct(F.isnull("id").alias("missing"), F.col("id"), F.col("fp"), F.col("digest"))).alias("best"))
+    stay = best.select(F.col("best.id").alias(one), F.col("best.digest").alias(same)).distinct()
+    marked = docs.withColumn(digest, text_hash)
+    kept = marked.join(stay, col(id_col).eqNullSafe(col(one)) & (col(digest) == col(same)), "left_semi")
+    first = kept.withColumn(row, F.row_number().over(Window.partitionBy(col(id_col), col(digest)).orderBy(F.lit(0))))
     return first.filter(col(row) == 1).select(*map(col, docs.columns))
 
 
