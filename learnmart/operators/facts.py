@@ -12,7 +12,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnmart.functions.sizing import salted_join
@@ -33,24 +33,22 @@ def published_homeworks(t: Tables) -> DataFrame:
 def build(t: Tables) -> DataFrame:
     """One row per enrolment.
 
-    (student_id, course_id) -> enrolled_at, is_active, completed_lessons (published), graded_homeworks and
-    total_score (of published lessons), lessons_done and homeworks_sent (bits of all items, see ``outline``).
+    (student_id, course_id) -> enrolled_at, is_active, completed_lessons, graded_homeworks, scored_homeworks
+    (graded with a score) and total_score, all of published lessons.  A row has the same width whatever the course.
     """
     nothing = {
         "enrolled_at": F.lit(None).cast("timestamp"),
         "is_active": F.lit(None).cast("boolean"),
         "done": F.lit(0),
         "graded": F.lit(0),
+        "scored": F.lit(0),
         "points": F.lit(0),
-        "lesson_word": F.lit(None).cast("int"),
-        "homework_word": F.lit(None).cast("int"),
-        "bit": F.lit(None).cast("bigint"),
     }
 
     def rows(df: DataFrame, **given) -> DataFrame:
         return df.select("student_id", "course_id", *[given.get(k, v).alias(k) for k, v in nothing.items()])
 
-    item = ("course_id", "is_published", "word", "bit")
+    item = ("course_id", "is_published")
     lessons = t.catalogue_dim(t.lesson_outline.select("lesson_id", *item))
     homeworks = t.catalogue_dim(t.homework_outline.select("homework_id", *item))
     done = t.lesson_progress.filter("is_completed").select("student_id", "lesson_id").join(lessons, "lesson_id")
@@ -58,23 +56,15 @@ def build(t: Tables) -> DataFrame:
     graded = F.col("is_published") & F.col("status").isin(*GRADED)
     stacked = (
         rows(t.enrollments, enrolled_at=F.col("enrolled_at"), is_active=F.col("is_active")),
-        rows(done, done=F.col("is_published").cast("int"), lesson_word=F.col("word"), bit=F.col("bit")),
+        rows(done, done=F.col("is_published").cast("int")),
         rows(
             sent,
             graded=graded.cast("int"),
+            scored=(graded & F.col("score").isNotNull()).cast("int"),
             points=F.when(graded, F.coalesce(F.col("score").cast("int"), F.lit(0))).otherwise(F.lit(0)),
-            homework_word=F.col("word"),
-            bit=F.col("bit"),
         ),
     )
 
-    def bits(word: str, words: int) -> list:
-        return [F.bit_or(F.when(F.col(word) == i, F.col("bit"))).alias(f"{word}_{i}") for i in range(words)]
-
-    def packed(word: str, words: int) -> Column:
-        return F.array(*[F.coalesce(f"{word}_{i}", F.lit(0)) for i in range(words)])
-
-    size = t.catalogue_size
     return (
         reduce(DataFrame.unionByName, stacked)
         .groupBy("student_id", "course_id")
@@ -83,16 +73,10 @@ def build(t: Tables) -> DataFrame:
             F.max("is_active").alias("is_active"),
             F.sum("done").alias("completed_lessons"),
             F.sum("graded").alias("graded_homeworks"),
+            F.sum("scored").alias("scored_homeworks"),
             F.sum("points").alias("total_score"),
-            *bits("lesson_word", size.lesson_words),
-            *bits("homework_word", size.homework_words),
         )
         .filter("enrolled_at is not null")
-        .select(
-            "student_id", "course_id", "enrolled_at", "is_active", "completed_lessons", "graded_homeworks", "total_score",
-            packed("lesson_word", size.lesson_words).alias("lessons_done"),
-            packed("homework_word", size.homework_words).alias("homeworks_sent"),
-        )
     )
 
 

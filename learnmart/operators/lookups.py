@@ -97,7 +97,7 @@ def student_rank(t: Tables, student_id=None, course_id=None) -> DataFrame:
         if course_id is not None:
             mine = mine.filter(F.col("course_id") == course_id)
         _require(mine, f"student {student_id} is not enrolled")
-    graded_score = F.when(F.col("graded_homeworks") > 0, F.col("total_score"))
+    graded_score = F.when(F.col("scored_homeworks") > 0, F.col("total_score"))  # no score at all has no share
     return ranked.join(people(t, full_name().alias("full_name")), "student_id").select(
         "student_id",
         "full_name",

@@ -241,7 +241,7 @@ def student_scores(t: Tables) -> DataFrame:
     scored = t.active_facts.join(
         t.catalogue_dim(t.course_totals.filter("total_homeworks > 0")), "course_id"
     )
-    graded_score = F.when(F.col("graded_homeworks") > 0, F.col("total_score"))
+    graded_score = F.when(F.col("scored_homeworks") > 0, F.col("total_score"))  # no score at all has no share
     return (
         rank_within(t, scored, "total_score", "rank_in_course")
         .join(people(t, full_name().alias("full_name"), "email"), "student_id")

@@ -23,55 +23,63 @@ CTES = {
          'P' || r_regionkey, r_regionkey <> 4, TIMESTAMP '2018-01-01' + to_days(CAST(r_regionkey % 2000 AS INTEGER))
   FROM region""",
     "topics": "SELECT r_regionkey AS id, r_name AS name FROM region",
+    # number of courses made of parts
+    "cat": "SELECT max(p_partkey) // 10 + 1 AS n FROM part",
     "courses": """
-  SELECT n_nationkey AS id, n_regionkey AS topic_id, n_name AS title, 'SUBJ_' || (n_nationkey % 6) AS subject,
-         CAST(1900 + 100 * n_nationkey AS DECIMAL(10,2)) AS price_monthly,
-         CAST(16900 + 1000 * n_nationkey AS DECIMAL(10,2)) AS price_yearly, n_nationkey % 6 <> 5 AS is_active
-  FROM nation""",
+  SELECT id, id % 5 AS topic_id, title, 'SUBJ_' || (id % 6) AS subject, CAST(1900 + 100 * (id % 25) AS DECIMAL(10,2)) AS price_monthly,
+         CAST(16900 + 1000 * (id % 25) AS DECIMAL(10,2)) AS price_yearly, id % 6 <> 5 AS is_active
+  FROM (SELECT p_partkey // 10 AS id, 'C' || (p_partkey // 10) AS title FROM part WHERE p_partkey % 10 = 0
+        UNION ALL SELECT (SELECT n FROM cat) + n_nationkey, n_name FROM nation)""",
     "course_teachers": """
-  SELECT s_nationkey AS course_id, 'T' || s_suppkey AS teacher_id, TIMESTAMP '2018-01-01' AS assigned_at FROM supplier
+  SELECT s_suppkey // 2 * 4 % n AS course_id, 'T' || s_suppkey AS teacher_id, TIMESTAMP '2018-01-01' AS assigned_at FROM supplier, cat
   UNION ALL
-  SELECT (s_nationkey + 7) % 25, 'T' || s_suppkey, TIMESTAMP '2018-01-01' FROM supplier WHERE s_suppkey % 3 = 0""",
+  SELECT (s_suppkey // 2 * 4 + 1 + s_suppkey % 3) % n, 'T' || s_suppkey, TIMESTAMP '2018-01-01' FROM supplier, cat""",
     "modules": """
-  SELECT n_nationkey * 10 + i AS id, n_nationkey AS course_id, 'M' || (n_nationkey * 10 + i) AS title, i AS order_index
-  FROM nation, (VALUES (1), (2), (3)) v(i)""",
+  SELECT c.id * 10 + i AS id, c.id AS course_id, 'M' || (c.id * 10 + i) AS title, i AS order_index
+  FROM courses c, (VALUES (1), (2), (3)) v(i)""",
     "lessons": """
-  SELECT p_partkey AS id, (p_partkey % 25) * 10 + 1 + (p_partkey // 25) % 3 AS module_id, p_name AS title,
-         CASE WHEN (p_partkey // 25) % 3 = 1 THEN 'webinar' ELSE 'video' END AS lesson_type,
-         1 + (p_partkey // 25) // 3 AS order_index,
-         CASE WHEN (p_partkey // 25) % 3 <> 1 THEN 'u' || p_partkey END AS video_url,
-         CASE WHEN (p_partkey // 25) % 3 = 1 THEN 'u' || p_partkey END AS webinar_url,
-         CASE WHEN (p_partkey // 25) % 3 = 1
+  SELECT p_partkey AS id, p_partkey // 10 * 10 + 1 + p_partkey % 10 % 3 AS module_id, p_name AS title,
+         CASE WHEN p_partkey % 10 % 3 = 1 THEN 'webinar' ELSE 'video' END AS lesson_type,
+         1 + p_partkey % 10 // 3 AS order_index,
+         CASE WHEN p_partkey % 10 % 3 <> 1 THEN 'u' || p_partkey END AS video_url,
+         CASE WHEN p_partkey % 10 % 3 = 1 THEN 'u' || p_partkey END AS webinar_url,
+         CASE WHEN p_partkey % 10 % 3 = 1
               THEN TIMESTAMP '2024-01-31' + to_days(CAST(p_partkey % 60 - 15 AS INTEGER)) END AS webinar_scheduled_at,
          p_size AS duration_minutes, p_size > 5 AS is_published
-  FROM part WHERE p_partkey < 200 AND p_partkey % 25 <> 24""",
+  FROM part""",
     "homeworks": """
   SELECT p_partkey AS id, p_partkey AS lesson_id, 'HW ' || p_partkey AS title,
-         CASE WHEN (p_partkey // 25) % 4 = 0 THEN 'auto' ELSE 'manual' END AS check_type, 10 + p_size AS max_score,
-         CASE WHEN p_partkey // 25 < 6 THEN 24 * (1 + p_partkey // 25) END AS deadline_hours
-  FROM part WHERE p_partkey < 200 AND p_partkey % 25 <> 24 AND (p_partkey // 25) % 2 = 0""",
+         CASE WHEN p_partkey % 4 = 0 THEN 'auto' ELSE 'manual' END AS check_type, 10 + p_size AS max_score,
+         CASE WHEN p_partkey % 10 < 6 THEN 24 * (1 + p_partkey % 10) END AS deadline_hours
+  FROM part WHERE p_partkey % 2 = 0""",
+    # orders, line items and events with the course, homework or lesson they stand for
+    "placed": """
+  SELECT orders.*, CASE WHEN o_orderkey % 6 < 5 THEN (o_custkey // 8 + o_orderkey % 6) % n ELSE n + o_custkey // 8 % 25 END AS course_id
+  FROM orders, cat""",
+    "handed": """
+  SELECT lineitem.*, o_custkey, (o_custkey // 8 + l_partkey % 5) % n * 10 + l_partkey // 5 % 5 * 2 AS homework_id
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey, cat""",
+    "viewed": """
+  SELECT events.*, (user_id // 8 + event_id % 5) % n * 10 + event_id // 5 % 10 AS lesson_id FROM events, cat""",
     "enrollments": """
-  SELECT o_custkey * 25 + o_orderkey % 25 AS id, 'S' || o_custkey AS student_id, o_orderkey % 25 AS course_id,
+  SELECT o_custkey * 100000000 + course_id AS id, 'S' || o_custkey AS student_id, course_id,
          min(o_orderdate) + INTERVAL 8200 DAY AS enrolled_at, bool_or(o_orderstatus <> 'F') AS is_active
-  FROM orders GROUP BY o_custkey, o_orderkey % 25""",
+  FROM placed GROUP BY o_custkey, course_id""",
     "payments": """
   SELECT *, CAST(payment_date + CASE WHEN subscription_type = 'yearly' THEN INTERVAL 1 YEAR ELSE INTERVAL 1 MONTH END
                  - INTERVAL 1 DAY AS DATE) AS period_end
-  FROM (SELECT o_orderkey AS id, 'S' || o_custkey AS student_id, o_orderkey % 25 AS course_id,
+  FROM (SELECT o_orderkey AS id, 'S' || o_custkey AS student_id, course_id,
                CAST(o_totalprice AS DECIMAL(10,2)) AS amount,
                CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'yearly' ELSE 'monthly' END AS subscription_type,
                CAST(o_orderdate + INTERVAL 8200 DAY AS DATE) AS payment_date,
                CAST(o_orderdate + INTERVAL 8200 DAY AS DATE) AS period_start, 'A0' AS created_by
-        FROM orders)""",
-    "hand_ins": """
-  SELECT hw.id AS homework_id, o_custkey, l_orderkey, l_suppkey, l_quantity, l_returnflag, l_shipdate, l_linenumber,
-         l_partkey, l_extendedprice, hw.check_type, hw.max_score
-  FROM lineitem JOIN homeworks hw ON hw.id = l_partkey % 200 JOIN orders ON o_orderkey = l_orderkey""",
+        FROM placed)""",
+    "hand_ins": "SELECT h.*, hw.check_type, hw.max_score FROM handed h JOIN homeworks hw ON hw.id = h.homework_id",
     "homework_submissions": """
-  SELECT homework_id * 1000000 + o_custkey AS id, homework_id, 'S' || o_custkey AS student_id,
+  SELECT homework_id * 100000000 + o_custkey AS id, homework_id, 'S' || o_custkey AS student_id,
          'a' || l_orderkey AS answer_text, CAST(NULL AS VARCHAR) AS answer_url,
          CASE WHEN check_type = 'auto' THEN max_score
-              WHEN l_returnflag <> 'N' THEN least(CAST(l_quantity AS INTEGER), max_score) END AS score,
+              WHEN l_returnflag <> 'N' AND l_linenumber % 3 <> 0 THEN least(CAST(l_quantity AS INTEGER), max_score) END AS score,
          CASE WHEN check_type = 'auto' THEN 'auto_checked' WHEN l_returnflag = 'N' THEN 'submitted'
               ELSE 'checked' END AS status,
          CASE WHEN check_type <> 'auto' AND l_returnflag <> 'N' THEN 'T' || l_suppkey END AS checked_by,
@@ -82,16 +90,16 @@ CTES = {
                                      ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn
         FROM hand_ins) WHERE rn = 1""",
     "lesson_progress": """
-  SELECT user_id * 1000 + l.id AS id, 'S' || user_id AS student_id, l.id AS lesson_id,
+  SELECT user_id * 100000000 + lesson_id AS id, 'S' || user_id AS student_id, lesson_id,
          bool_or(event_type IN ('purchase', 'signup')) AS is_completed,
          min(ts) FILTER (WHERE event_type IN ('purchase', 'signup')) AS completed_at, max(ts) AS last_viewed_at
-  FROM events JOIN lessons l ON l.id = event_id % 200 GROUP BY user_id, l.id""",
+  FROM viewed GROUP BY user_id, lesson_id""",
     "activity_log": """
   SELECT event_id AS id, 'S' || user_id AS user_id,
          CASE event_type WHEN 'view' THEN 'view_lesson' WHEN 'purchase' THEN 'complete_lesson'
               WHEN 'click' THEN 'submit_hw' WHEN 'signup' THEN 'login' WHEN 'error' THEN 'enroll' END AS action,
-         'lesson' AS entity_type, CAST(event_id % 200 AS VARCHAR) AS entity_id, props AS metadata, ts AS created_at
-  FROM events""",
+         'lesson' AS entity_type, CAST(lesson_id AS VARCHAR) AS entity_id, props AS metadata, ts AS created_at
+  FROM viewed""",
     # as_of, and names used by several statements
     "clock": "SELECT TIMESTAMP '2024-01-31' AS now, DATE '2024-01-31' AS today",
     "names": """

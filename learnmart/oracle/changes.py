@@ -22,16 +22,16 @@ def line_id(prefix: str) -> str:
 
 
 BEFORE = f"""
-enr_before AS (SELECT o_custkey * 25 + o_orderkey % 25 AS id, 'S' || o_custkey AS student_id, o_orderkey % 25 AS course_id,
+enr_before AS (SELECT o_custkey * 100000000 + course_id AS id, 'S' || o_custkey AS student_id, course_id,
     min(o_orderdate) + INTERVAL 8200 DAY AS enrolled_at, bool_or(o_orderstatus <> 'F') AS is_active
-  FROM orders WHERE o_orderdate < {CUT} GROUP BY o_custkey, o_orderkey % 25),
-enr_after AS (SELECT o_custkey * 25 + o_orderkey % 25 AS id, 'S' || o_custkey AS student_id, o_orderkey % 25 AS course_id,
+  FROM placed WHERE o_orderdate < {CUT} GROUP BY o_custkey, course_id),
+enr_after AS (SELECT o_custkey * 100000000 + course_id AS id, 'S' || o_custkey AS student_id, course_id,
     min(o_orderdate) + INTERVAL 8200 DAY AS enrolled_at, bool_or(o_orderstatus = 'O') AS is_active
-  FROM orders GROUP BY o_custkey, o_orderkey % 25),
-prog_before AS (SELECT user_id * 1000 + l.id AS id, 'S' || user_id AS student_id, l.id AS lesson_id,
+  FROM placed GROUP BY o_custkey, course_id),
+prog_before AS (SELECT user_id * 100000000 + lesson_id AS id, 'S' || user_id AS student_id, lesson_id,
     bool_or(event_type IN ('purchase', 'signup')) AS is_completed,
     min(ts) FILTER (WHERE event_type IN ('purchase', 'signup')) AS completed_at, max(ts) AS last_viewed_at
-  FROM events JOIN lessons l ON l.id = event_id % 200 WHERE ts < {EVENT_CUT} GROUP BY user_id, l.id),
+  FROM viewed WHERE ts < {EVENT_CUT} GROUP BY user_id, lesson_id),
 sub_before AS (SELECT * FROM homework_submissions WHERE submitted_at < {CUT} + INTERVAL 8100 DAY),
 hw_course AS (SELECT hw.id AS homework_id, hw.title, hw.check_type, hw.max_score, m.course_id, l.is_published
   FROM homeworks hw JOIN lessons l ON l.id = hw.lesson_id JOIN modules m ON m.id = l.module_id),
@@ -41,21 +41,21 @@ raw_sub AS (SELECT {line_id('R')} AS id, homework_id, 'S' || o_custkey AS studen
     CASE l_returnflag WHEN 'N' THEN 'submitted' WHEN 'R' THEN 'checked' ELSE 'graded' END AS status,
     'T' || l_partkey AS checked_by, CAST(NULL AS TIMESTAMP) AS checked_at,
     l_shipdate + INTERVAL 8100 DAY AS submitted_at, check_type, max_score FROM hand_ins),
-raw_prog AS (SELECT event_id AS id, 'S' || user_id AS student_id, event_id % 210 AS lesson_id,
+raw_prog AS (SELECT event_id AS id, 'S' || user_id AS student_id, CASE WHEN event_id % 21 = 20 THEN -1 ELSE lesson_id END AS lesson_id,
     CASE WHEN event_type <> 'error' THEN event_type IN ('purchase', 'signup') END AS is_completed, ts AS last_viewed_at
-  FROM events),
-raw_pay AS (SELECT o_orderkey AS id, 'S' || o_custkey AS student_id, o_orderkey % 27 AS course_id, {AMOUNT} AS amount,
+  FROM viewed),
+raw_pay AS (SELECT o_orderkey AS id, 'S' || o_custkey AS student_id, CASE WHEN o_orderkey % 27 >= 25 THEN -1 ELSE course_id END AS course_id, {AMOUNT} AS amount,
     {KIND} AS subscription_type, CAST(o_orderdate + INTERVAL 8200 DAY AS DATE) AS period_start,
     CAST(o_orderdate + INTERVAL 8200 DAY AS DATE) + CAST(o_orderkey % 30 AS INTEGER) AS period_end,
-    'A' || (o_custkey % 6) AS created_by FROM orders),
-raw_enr AS (SELECT o_orderkey AS id, {PERSON} AS student_id, o_orderkey % 27 AS course_id FROM orders),
-raw_ct AS (SELECT s_nationkey AS course_id, 'T' || s_suppkey AS teacher_id FROM supplier
-  UNION ALL SELECT c_nationkey, 'S' || c_custkey FROM customer
-  UNION ALL SELECT p_partkey % 25, 'T' || p_partkey FROM part)"""
+    'A' || (o_custkey % 6) AS created_by FROM placed),
+raw_enr AS (SELECT o_orderkey AS id, {PERSON} AS student_id, CASE WHEN o_orderkey % 27 >= 25 THEN -1 ELSE course_id END AS course_id FROM placed),
+raw_ct AS (SELECT s_suppkey // 2 * 4 % n AS course_id, 'T' || s_suppkey AS teacher_id FROM supplier, cat
+  UNION ALL SELECT c_custkey // 8 % n, 'S' || c_custkey FROM customer, cat
+  UNION ALL SELECT p_partkey // 10, 'T' || p_partkey FROM part)"""
 
 ENROL = f"""{BEFORE},
 cmds AS (SELECT 'E' || o_orderkey AS cmd_id, o_orderdate + INTERVAL 8200 DAY AS cmd_ts, {PERSON} AS student_id,
-    o_orderkey % 27 AS course_id, {BY_PRIORITY} AS admin_id FROM orders WHERE o_orderdate >= {CUT}),
+    CASE WHEN o_orderkey % 27 >= 25 THEN -1 ELSE course_id END AS course_id, {BY_PRIORITY} AS admin_id FROM placed WHERE o_orderdate >= {CUT}),
 judged AS (SELECT x.*, c.title AS course_title, e.id AS enrollment_id, e.is_active AS was_active,
     CASE WHEN NOT EXISTS (SELECT 1 FROM users a WHERE a.id = x.admin_id AND a.role = 'admin' AND a.is_active)
            THEN 'admin_not_active'
@@ -71,9 +71,9 @@ decided AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN coalesce
 
 PAY = f"""{BEFORE},
 cmds AS (SELECT 'P' || o_orderkey AS cmd_id, o_orderdate + INTERVAL 8200 DAY AS cmd_ts, 'S' || o_custkey AS student_id,
-    o_orderkey % 25 AS course_id, 'A' || (o_custkey % 6) AS admin_id, {AMOUNT} AS amount, {KIND} AS subscription_type,
+    course_id, 'A' || (o_custkey % 6) AS admin_id, {AMOUNT} AS amount, {KIND} AS subscription_type,
     CASE WHEN o_orderkey % 31 <> 0 THEN CAST(o_orderdate + INTERVAL 8200 DAY AS DATE) END AS period_start,
-    o_orderstatus AS notes FROM orders WHERE o_orderdate >= {CUT}),
+    o_orderstatus AS notes FROM placed WHERE o_orderdate >= {CUT}),
 judged AS (SELECT x.*, c.title AS course_title,
     CASE x.subscription_type WHEN 'monthly' THEN c.price_monthly WHEN 'yearly' THEN c.price_yearly END AS expected_price,
     CASE WHEN x.subscription_type NOT IN ('monthly', 'yearly') THEN 'bad_subscription_type'
@@ -90,8 +90,8 @@ decided AS (SELECT *, CASE WHEN reason IS NULL THEN 'recorded' ELSE 'rejected' E
 
 UNIT = f"""{BEFORE},
 cmds AS (SELECT 'U' || o_orderkey AS cmd_id, o_orderdate + INTERVAL 8200 DAY AS cmd_ts, {PERSON} AS student_id,
-    o_orderkey % 27 AS course_id, {BY_PRIORITY} AS admin_id, {AMOUNT} AS amount, {KIND} AS subscription_type,
-    CAST(o_orderdate + INTERVAL 8200 DAY AS DATE) AS period_start FROM orders WHERE o_orderdate >= {CUT}),
+    CASE WHEN o_orderkey % 27 >= 25 THEN -1 ELSE course_id END AS course_id, {BY_PRIORITY} AS admin_id, {AMOUNT} AS amount, {KIND} AS subscription_type,
+    CAST(o_orderdate + INTERVAL 8200 DAY AS DATE) AS period_start FROM placed WHERE o_orderdate >= {CUT}),
 judged AS (SELECT x.*, c.title AS course_title, e.id AS enrollment_id, e.is_active AS was_active,
     CASE WHEN NOT EXISTS (SELECT 1 FROM users a WHERE a.id = x.admin_id AND a.role = 'admin' AND a.is_active)
            THEN 'admin_not_active'
@@ -109,7 +109,7 @@ decided AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN coalesce
 
 GRADE_CMDS = f"""
 cmds AS (SELECT {line_id('G')} AS cmd_id, l_shipdate + INTERVAL 8100 DAY AS cmd_ts,
-    homework_id * 1000000 + o_custkey + CASE WHEN l_linenumber = 7 THEN 500000 ELSE 0 END AS submission_id,
+    homework_id * 100000000 + o_custkey + CASE WHEN l_linenumber = 7 THEN 50000000 ELSE 0 END AS submission_id,
     'T' || l_suppkey AS teacher_id, CASE WHEN l_linenumber <> 6 THEN CAST(l_quantity AS INTEGER) END AS score,
     l_returnflag AS comment FROM hand_ins WHERE l_returnflag <> 'A')"""
 
@@ -153,8 +153,8 @@ decided AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN rn = 1 A
 gone AS (SELECT student_id FROM decided WHERE reason IS NULL AND rn = 1)"""
 
 COMPLETE = f"""{BEFORE},
-cmds AS (SELECT 'C' || event_id AS cmd_id, ts AS cmd_ts, 'S' || user_id AS student_id, event_id % 210 AS lesson_id
-  FROM events WHERE event_type IN ('purchase', 'signup') AND ts >= {EVENT_CUT}),
+cmds AS (SELECT 'C' || event_id AS cmd_id, ts AS cmd_ts, 'S' || user_id AS student_id, CASE WHEN event_id % 21 = 20 THEN -1 ELSE lesson_id END AS lesson_id
+  FROM viewed WHERE event_type IN ('purchase', 'signup') AND ts >= {EVENT_CUT}),
 judged AS (SELECT x.*, p.is_completed AS was_completed,
     CASE WHEN l.id IS NULL THEN 'lesson_not_found'
          WHEN NOT EXISTS (SELECT 1 FROM enr_before e WHERE e.student_id = x.student_id AND e.course_id = m.course_id
@@ -168,9 +168,9 @@ decided AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN coalesce
 
 SUBMIT = f"""{BEFORE},
 cmds AS (SELECT {line_id('H')} AS cmd_id, l_shipdate + INTERVAL 8100 DAY AS cmd_ts, 'S' || o_custkey AS student_id,
-    l_partkey % 200 AS homework_id, CASE WHEN l_returnflag <> 'R' THEN 'a' || l_orderkey END AS answer_text,
+    CASE WHEN l_partkey % 10 = 9 THEN -1 ELSE homework_id END AS homework_id, CASE WHEN l_returnflag <> 'R' THEN 'a' || l_orderkey END AS answer_text,
     CASE WHEN l_linenumber > 5 THEN 'http://x/' || l_orderkey END AS answer_url
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate >= {CUT}),
+  FROM handed WHERE l_shipdate >= {CUT}),
 judged AS (SELECT x.*, h.check_type, h.max_score,
     CASE WHEN h.homework_id IS NULL THEN 'homework_not_found'
          WHEN NOT EXISTS (SELECT 1 FROM enr_before e WHERE e.student_id = x.student_id AND e.course_id = h.course_id
@@ -553,10 +553,10 @@ UNION ALL SELECT 'activity_log', 'stored', (SELECT count(*) FROM activity_log)
 UNION ALL SELECT 'mv_refresh_queue', 'stored', 4 * count(*) FROM decided WHERE outcome IN ('enrolled', 'reactivated')""",
         ints="rows",
         ctes=ENROL + f""",
-pay_cmds AS (SELECT 'S' || o_custkey AS student_id, o_orderkey % 25 AS course_id, 'A' || (o_custkey % 6) AS admin_id,
+pay_cmds AS (SELECT 'S' || o_custkey AS student_id, course_id, 'A' || (o_custkey % 6) AS admin_id,
     {AMOUNT} AS amount, {KIND} AS subscription_type,
     CASE WHEN o_orderkey % 31 <> 0 THEN CAST(o_orderdate + INTERVAL 8200 DAY AS DATE) END AS period_start
-  FROM orders WHERE o_orderdate >= {CUT}),
+  FROM placed WHERE o_orderdate >= {CUT}),
 pay_decided AS (SELECT CASE WHEN x.subscription_type NOT IN ('monthly', 'yearly') THEN 'bad_subscription_type'
          WHEN NOT EXISTS (SELECT 1 FROM users a WHERE a.id = x.admin_id AND a.role = 'admin' AND a.is_active)
            THEN 'admin_not_active'
@@ -578,9 +578,9 @@ decided AS (SELECT *, coalesce(own_reason, CASE WHEN rn > 1 OR EXISTS (SELECT 1
         FROM judged) o)"""
 
 STREAM_PROG = f"""{BEFORE},
-incoming AS (SELECT 'S' || user_id AS student_id, l.id AS lesson_id, arg_min(event_type IN ('purchase', 'signup'), (ts, event_id)) AS first_done,
+incoming AS (SELECT 'S' || user_id AS student_id, lesson_id, arg_min(event_type IN ('purchase', 'signup'), (ts, event_id)) AS first_done,
     bool_or(event_type IN ('purchase', 'signup')) AS any_done, max(ts) AS last
-  FROM events JOIN lessons l ON l.id = event_id % 200 WHERE ts >= {EVENT_CUT} GROUP BY 1, 2),
+  FROM viewed WHERE ts >= {EVENT_CUT} GROUP BY 1, 2),
 changed AS (SELECT i.student_id, i.lesson_id, o.id IS NULL AS inserted, coalesce(o.is_completed, i.first_done) OR i.any_done AS is_completed,
     NOT coalesce(o.is_completed, i.first_done) AND i.any_done AS completed, o.completed_at AS old_completed_at,
     greatest(i.last, o.last_viewed_at) AS viewed_at

@@ -10,7 +10,6 @@ from learnmart.model import Tables
 from learnmart.operators import lookups, marts
 from learnmart.operators.facts import people, per_teacher_rows, published_lessons
 from learnmart.operators.marts import money_or_zero, side_by_side
-from learnmart.operators.outline import has_bit
 from learnmart.plans import finance
 
 
@@ -155,13 +154,18 @@ def student_courses(t: Tables, student_id=None) -> DataFrame:
     )
 
 
+def _completed(t: Tables) -> DataFrame:
+    return t.lesson_progress.filter("is_completed").select("student_id", "lesson_id")
+
+
 def course_outline(t: Tables, student_id=None, course_id=None) -> DataFrame:
     """Published lessons by module for each active enrolment, as nested arrays.
 
     The nested outline is built once per course; each enrolment only marks its
-    finished lessons in it, so no lesson rows are multiplied by students.
+    finished lessons (a list no longer than the course) in it, so no lesson rows
+    are multiplied by students.
     """
-    lesson_fields = F.struct("lesson_order", "lesson_id", "lesson_title", "lesson_type", "duration_minutes", "word", "bit")
+    lesson_fields = F.struct("lesson_order", "lesson_id", "lesson_title", "lesson_type", "duration_minutes")
     module = ("module_order", "module_id", "module_title")
     outline = (
         published_lessons(t)
@@ -176,14 +180,20 @@ def course_outline(t: Tables, student_id=None, course_id=None) -> DataFrame:
             'module_id', m.module_id, 'module_title', m.module_title,
             'lessons', transform(m.lessons, l -> named_struct(
                 'lesson_id', l.lesson_id, 'lesson_title', l.lesson_title, 'lesson_type', l.lesson_type,
-                'duration_minutes', l.duration_minutes, 'is_completed', (lessons_done[l.word] & l.bit) <> 0))))"""
-    enrolled = t.active_facts
+                'duration_minutes', l.duration_minutes, 'is_completed', array_contains(coalesce(done, array()), l.lesson_id)))))"""
+    enrolled, progress = t.enrollments.filter("is_active"), _completed(t)
     if student_id is not None:
-        enrolled = enrolled.filter(F.col("student_id") == student_id)
+        enrolled, progress = (df.filter(F.col("student_id") == student_id) for df in (enrolled, progress))
     if course_id is not None:
         enrolled = enrolled.filter(F.col("course_id") == course_id)
+    done = (
+        progress.join(t.catalogue_dim(published_lessons(t).select("lesson_id", "course_id")), "lesson_id")
+        .groupBy("student_id", "course_id")
+        .agg(F.collect_list("lesson_id").alias("done"))
+    )
     return (
-        enrolled.select("student_id", "course_id", "lessons_done")
+        enrolled.select("student_id", "course_id")
+        .join(done, ["student_id", "course_id"], "left")
         .join(t.catalogue_dim(titles.join(outline, "course_id", "left")), "course_id")
         .select("student_id", "course_id", "course_title", F.expr(marked).alias("modules"))
     )
@@ -193,15 +203,17 @@ def lesson_detail(t: Tables, student_id=None, lesson_id=None) -> DataFrame:
     """Every lesson an actively enrolled student may open, with completion."""
     lessons = t.lesson_outline.select(
         "lesson_id", "lesson_title", "lesson_type", "duration_minutes", "webinar_scheduled_at", "is_published", "course_id",
-        "course_title", "word", "bit",
+        "course_title",
     )
     if lesson_id is not None:
         lessons = lessons.filter(F.col("lesson_id") == lesson_id)
-    enrolled = t.active_facts.select("student_id", "course_id", "lessons_done")
+    enrolled = t.enrollments.filter("is_active").select("student_id", "course_id")
+    done = _completed(t).withColumn("done", F.lit(True))
     if student_id is not None:
-        enrolled = enrolled.filter(F.col("student_id") == student_id)
+        enrolled, done = (df.filter(F.col("student_id") == student_id) for df in (enrolled, done))
     return (
         enrolled.join(t.catalogue_dim(lessons), "course_id")
+        .join(done, ["student_id", "lesson_id"], "left")
         .select(
             "student_id",
             "lesson_id",
@@ -212,7 +224,7 @@ def lesson_detail(t: Tables, student_id=None, lesson_id=None) -> DataFrame:
             "is_published",
             "course_id",
             "course_title",
-            has_bit("lessons_done").alias("is_completed"),
+            F.coalesce("done", F.lit(False)).alias("is_completed"),
         )
     )
 

@@ -9,7 +9,6 @@ from learnmart.functions.exprs import day, full_name, over, stamp, zero
 from learnmart.model import Tables
 from learnmart.operators import lookups, marts
 from learnmart.operators.facts import people, published_homeworks
-from learnmart.operators.outline import has_bit
 
 # Report labels.
 FINISHED, GOING, STARTED, UNTOUCHED = "Завершён", "В процессе", "Начат", "Не начат"
@@ -58,20 +57,20 @@ def ranking_topic(t: Tables) -> DataFrame:
 def unsubmitted(t: Tables) -> DataFrame:
     """Homework of published lessons an active enrolment owes and has not handed in.
 
-    The facts say per enrolment what was sent; joined with the course's
-    homework, only what is missing passes, with no second look at hand-ins.
+    What the courses ask of their students, without what they have handed in:
+    an anti join on (homework, student).
     """
     owed = t.catalogue_dim(
         published_homeworks(t).select(
-            "course_id", "course_title", "module_title", "lesson_title", "homework_id", "homework_title", "check_type", "word", "bit"
+            "course_id", "course_title", "module_title", "lesson_title", "homework_id", "homework_title", "check_type"
         )
     )
     kind = F.when(F.col("check_type") == "manual", MANUAL).when(F.col("check_type") == "auto", AUTO)
     return (
-        t.active_facts.select("student_id", "course_id", "homeworks_sent")
-        .join(people(t, full_name().alias("full_name")), "student_id")
+        t.enrollments.filter("is_active").select("student_id", "course_id")
         .join(owed, "course_id")
-        .filter(~has_bit("homeworks_sent"))
+        .join(t.homework_submissions.select("student_id", "homework_id"), ["student_id", "homework_id"], "left_anti")
+        .join(people(t, full_name().alias("full_name")), "student_id")
         .orderBy("course_title", "student_id", "module_title", "homework_id")
         .select(
             "student_id",

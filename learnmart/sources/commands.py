@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from learnmart.model import Tables
 from learnmart.sources import testdata
-from learnmart.sources.testdata import ORDER_SHIFT_DAYS, SHIP_SHIFT_DAYS, _s, _shift
+from learnmart.sources.testdata import ID_BASE, ORDER_SHIFT_DAYS, SHIP_SHIFT_DAYS, UNKNOWN, _s, _shift
 
 CUT = "2000-01-01 00:00:00"
 EVENT_CUT = "2024-01-16 00:00:00"
@@ -32,7 +32,7 @@ def enrolments_after(t: Tables) -> DataFrame:
 
 
 def progress_before(t: Tables) -> DataFrame:
-    return testdata.merge_progress(testdata.progress_rows(t.raw, t.lessons).filter(F.col("ts") < _ntz(EVENT_CUT)))
+    return testdata.merge_progress(testdata.progress_rows(t.raw).filter(F.col("ts") < _ntz(EVENT_CUT)))
 
 
 def submissions_before(t: Tables) -> DataFrame:
@@ -77,12 +77,21 @@ def _kind():
     )
 
 
+def _some_course(t: Tables):
+    """The course of an order, sometimes an unknown one."""
+    return F.when(F.col("o_orderkey") % 27 >= 25, UNKNOWN).otherwise(t.raw.ordered_course())
+
+
+def _some_lesson(t: Tables):
+    return F.when(F.col("event_id") % 21 == 20, UNKNOWN).otherwise(t.raw.event_lesson())
+
+
 def enrol_commands(t: Tables) -> DataFrame:
     return _later_orders(t).select(
         _s("E", "o_orderkey").alias("cmd_id"),
         _shift("o_orderdate", ORDER_SHIFT_DAYS).alias("cmd_ts"),
         _person().alias("student_id"),
-        (F.col("o_orderkey") % 27).cast("int").alias("course_id"),
+        _some_course(t).alias("course_id"),
         _admin_by_priority().alias("admin_id"),
     )
 
@@ -93,7 +102,7 @@ def payment_commands(t: Tables) -> DataFrame:
         _s("P", "o_orderkey").alias("cmd_id"),
         ts.alias("cmd_ts"),
         _s("S", "o_custkey").alias("student_id"),
-        (F.col("o_orderkey") % 25).cast("int").alias("course_id"),
+        t.raw.ordered_course().alias("course_id"),
         F.concat(F.lit("A"), (F.col("o_custkey") % 6).cast("string")).alias("admin_id"),
         (F.col("o_totalprice").cast("decimal(10,2)") - 20000).cast("decimal(10,2)").alias("amount"),
         _kind().alias("subscription_type"),
@@ -109,7 +118,7 @@ def unit_commands(t: Tables) -> DataFrame:
         _s("U", "o_orderkey").alias("cmd_id"),
         ts.alias("cmd_ts"),
         _person().alias("student_id"),
-        (F.col("o_orderkey") % 27).cast("int").alias("course_id"),
+        _some_course(t).alias("course_id"),
         _admin_by_priority().alias("admin_id"),
         (F.col("o_totalprice").cast("decimal(10,2)") - 20000).cast("decimal(10,2)").alias("amount"),
         _kind().alias("subscription_type"),
@@ -131,7 +140,7 @@ def grade_commands(t: Tables) -> DataFrame:
         .select(
             _line_id("G").alias("cmd_id"),
             _shift("l_shipdate", SHIP_SHIFT_DAYS).alias("cmd_ts"),
-            (F.col("homework_id") * 1000000 + F.col("o_custkey") + F.when(line == 7, 500000).otherwise(0)).alias(
+            (F.col("homework_id") * ID_BASE + F.col("o_custkey") + F.when(line == 7, ID_BASE // 2).otherwise(0)).alias(
                 "submission_id"
             ),
             _s("T", "l_suppkey").alias("teacher_id"),
@@ -158,18 +167,17 @@ def completion_commands(t: Tables) -> DataFrame:
         _s("C", "event_id").alias("cmd_id"),
         F.col("ts").cast("timestamp").alias("cmd_ts"),
         _s("S", "user_id").alias("student_id"),
-        (F.col("event_id") % 210).alias("lesson_id"),
+        _some_lesson(t).alias("lesson_id"),
     )
 
 
 def submission_commands(t: Tables) -> DataFrame:
     lines = t.raw.lineitem.filter(F.col("l_shipdate") >= _ntz(CUT))
-    orders = t.raw.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return lines.join(orders, "l_orderkey").select(
+    return testdata.handed_in(t.raw, lines).select(
         _line_id("H").alias("cmd_id"),
         _shift("l_shipdate", SHIP_SHIFT_DAYS).alias("cmd_ts"),
         _s("S", "o_custkey").alias("student_id"),
-        (F.col("l_partkey") % 200).alias("homework_id"),
+        F.when(F.col("l_partkey") % 10 == 9, UNKNOWN).otherwise(F.col("homework_id")).alias("homework_id"),
         F.when(F.col("l_returnflag") == "R", "").otherwise(_s("a", "l_orderkey")).alias("answer_text"),
         F.when(F.col("l_linenumber") > 5, _s("http://x/", "l_orderkey")).otherwise("").alias("answer_url"),
     )
@@ -202,7 +210,7 @@ def raw_progress(t: Tables) -> DataFrame:
     return t.raw.events.select(
         F.col("event_id").alias("id"),
         _s("S", "user_id").alias("student_id"),
-        (F.col("event_id") % 210).alias("lesson_id"),
+        _some_lesson(t).alias("lesson_id"),
         F.when(F.col("event_type") != "error", F.col("event_type").isin("purchase", "signup")).alias("is_completed"),
         F.col("ts").cast("timestamp").alias("last_viewed_at"),
     )
@@ -213,7 +221,7 @@ def raw_payments(t: Tables) -> DataFrame:
     return t.raw.orders.select(
         F.col("o_orderkey").alias("id"),
         _s("S", "o_custkey").alias("student_id"),
-        (F.col("o_orderkey") % 27).cast("int").alias("course_id"),
+        _some_course(t).alias("course_id"),
         (F.col("o_totalprice").cast("decimal(10,2)") - 20000).cast("decimal(10,2)").alias("amount"),
         _kind().alias("subscription_type"),
         paid.alias("payment_date"),
@@ -227,7 +235,7 @@ def raw_enrolments(t: Tables) -> DataFrame:
     return t.raw.orders.select(
         F.col("o_orderkey").alias("id"),
         _person().alias("student_id"),
-        (F.col("o_orderkey") % 27).cast("int").alias("course_id"),
+        _some_course(t).alias("course_id"),
         _shift("o_orderdate", ORDER_SHIFT_DAYS).alias("enrolled_at"),
         (F.col("o_orderstatus") != "F").alias("is_active"),
     )
@@ -235,9 +243,10 @@ def raw_enrolments(t: Tables) -> DataFrame:
 
 def raw_assignments(t: Tables) -> DataFrame:
     """Proposed course teachers: suppliers, customers, and suppliers named by parts (many unknown)."""
-    suppliers = t.raw.supplier.select(F.col("s_nationkey").alias("course_id"), _s("T", "s_suppkey").alias("teacher_id"))
-    customers = t.raw.customer.select("c_nationkey", _s("S", "c_custkey"))
-    parts = t.raw.part.select((F.col("p_partkey") % 25).cast("int"), _s("T", "p_partkey"))
+    first = 4 * testdata.div("s_suppkey", 2) % t.raw.course_count
+    suppliers = t.raw.supplier.select(first.alias("course_id"), _s("T", "s_suppkey").alias("teacher_id"))
+    customers = t.raw.customer.select(t.raw.course_near("c_custkey", 0), _s("S", "c_custkey"))
+    parts = t.raw.part.select(testdata.div("p_partkey", testdata.PARTS), _s("T", "p_partkey"))
     return suppliers.union(customers).union(parts)
 
 

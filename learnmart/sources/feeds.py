@@ -14,6 +14,7 @@ class StreamingRaw(testdata.Raw):
 
     def __init__(self, spark: SparkSession, sf_dir: str, streaming: tuple[str, ...], files_per_batch: int | None = None):
         super().__init__(spark, sf_dir)
+        self.course_count = self.course_count  # worked out on the files before any of them streams
         for name in streaming:
             reader = spark.readStream.schema(testdata.FILES[name])
             if files_per_batch:
@@ -34,10 +35,9 @@ def submissions(t: Tables, raw: testdata.Raw) -> DataFrame:
 
 def lesson_events(t: Tables, raw: testdata.Raw) -> DataFrame:
     rows = raw.events.filter(F.col("ts") >= commands._ntz(commands.EVENT_CUT)).select(
-        "event_id", "user_id", "ts", "event_type", (F.col("event_id") % 200).alias("lesson_id")
+        "event_id", "user_id", "ts", "event_type", t.raw.event_lesson().alias("lesson_id")
     )
-    ids = F.broadcast(t.lessons.select(F.col("id").alias("lesson_id")))  # at most 200 keys
-    return rows.join(ids, "lesson_id").select(
+    return rows.select(
         testdata._s("S", "user_id").alias("student_id"),
         "lesson_id",
         "event_id",

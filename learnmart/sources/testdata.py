@@ -1,17 +1,19 @@
 """The platform tables expressed over the star-schema test tables.
 
 Every relation is a lazy plan on the parquet files, so its size follows the
-files; the course catalogue is taken from fixed key ranges and stays the same
-at every scale.  Ids of catalogue items stay integers here.
+files: ten parts make a course, and people belong to a few neighbouring courses,
+so students and teachers of a course stay few while their number grows.  Only
+the announced courses (one per nation, without lessons or teachers) gather ever
+more students.  Ids of catalogue items stay integers here.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
-from functools import cache
+from functools import cache, cached_property
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from learnmart.functions.exprs import period_end
@@ -42,6 +44,10 @@ def _s(prefix: str, col: str):
     return F.concat(F.lit(prefix), F.col(col).cast("string"))
 
 
+def div(col: str, by: int) -> Column:
+    return F.floor(F.col(col) / by).cast("long")
+
+
 def _since_epoch(key: str):
     return F.lit(EPOCH).cast("timestamp") + F.make_dt_interval((F.col(key) % 2000).cast("int"))
 
@@ -50,9 +56,39 @@ def _shift(col: str, days: int):
     return F.col(col).cast("timestamp") + F.make_dt_interval(F.lit(days))
 
 
+PARTS = 10  # lessons of a course
+BLOCK = 8  # neighbouring customers with the same courses
+ANNOUNCED = 25
+UNKNOWN = -1  # an id nothing has
+ID_BASE = 100_000_000  # keys of customers and catalogue items are smaller
+
+
 class Raw:
     """The parquet files with declared schemas."""
 
+    @cached_property
+    def course_count(self) -> int:
+        """Courses made of parts; one small job, the largest key comes from the file's statistics."""
+        return (self.part.agg(F.max("p_partkey")).first()[0] or 0) // PARTS + 1
+
+    def course_near(self, key: str, step) -> Column:
+        """One of the courses of a customer's block."""
+        return (div(key, BLOCK) + step) % self.course_count
+
+    def ordered_course(self) -> Column:
+        """The course an order is for: five of the block's courses or an announced one."""
+        kind = F.col("o_orderkey") % 6
+        announced = self.course_count + div("o_custkey", BLOCK) % ANNOUNCED
+        return F.when(kind < 5, self.course_near("o_custkey", kind)).otherwise(announced)
+
+    def line_homework(self) -> Column:
+        """The homework a line item is handed in for, in a course of its customer's block."""
+        return self.course_near("o_custkey", F.col("l_partkey") % 5) * PARTS + 2 * (div("l_partkey", 5) % 5)
+
+    def event_lesson(self) -> Column:
+        """The lesson an event is about."""
+        return self.course_near("user_id", F.col("event_id") % 5) * PARTS + div("event_id", 5) % PARTS
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.sf_dir = sf_dir
         self._frames = {
@@ -105,34 +141,37 @@ def _users(raw: Raw) -> DataFrame:
 
 def _catalogue(raw: Raw) -> dict[str, DataFrame]:
     start = F.lit(EPOCH).cast("timestamp")
-    key = F.col("n_nationkey")
-    courses = raw.nation.select(
-        key.alias("id"),
-        F.col("n_regionkey").alias("topic_id"),
-        F.col("n_name").alias("title"),
+    part, key = F.col("p_partkey"), F.col("id")
+    made = raw.part.filter(part % PARTS == 0).select(
+        div("p_partkey", PARTS).alias("id"), F.concat(F.lit("C"), div("p_partkey", PARTS).cast("string")).alias("title"))
+    announced = raw.nation.select((F.lit(raw.course_count) + F.col("n_nationkey")).cast("long"), F.col("n_name"))
+    ids = made.union(announced)
+    courses = ids.select(
+        "id",
+        (key % 5).cast("int").alias("topic_id"),
+        "title",
         F.concat(F.lit("SUBJ_"), (key % 6).cast("string")).alias("subject"),
-        (1900 + 100 * key).cast("decimal(10,2)").alias("price_monthly"),
-        (16900 + 1000 * key).cast("decimal(10,2)").alias("price_yearly"),
+        (1900 + 100 * (key % 25)).cast("decimal(10,2)").alias("price_monthly"),
+        (16900 + 1000 * (key % 25)).cast("decimal(10,2)").alias("price_yearly"),
         (key % 6 != 5).alias("is_active"),
         start.alias("created_at"),
         start.alias("updated_at"),
     )
-    modules = raw.nation.select("n_nationkey", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("i")).select(
+    modules = ids.select("id", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("i")).select(
         (key * 10 + F.col("i")).alias("id"),
         key.alias("course_id"),
         F.concat(F.lit("M"), (key * 10 + F.col("i")).cast("string")).alias("title"),
         F.col("i").cast("short").alias("order_index"),
         start.alias("created_at"),
     )
-    part = F.col("p_partkey")
-    k = F.floor(part / 25).cast("long")
-    webinar = k % 3 == 1
-    lessons = raw.part.filter((part < 200) & (part % 25 != 24)).select(
+    place = part % PARTS
+    webinar = place % 3 == 1
+    lessons = raw.part.select(
         part.alias("id"),
-        ((part % 25) * 10 + 1 + k % 3).alias("module_id"),
+        (div("p_partkey", PARTS) * 10 + 1 + place % 3).alias("module_id"),
         F.col("p_name").alias("title"),
         F.when(webinar, "webinar").otherwise("video").alias("lesson_type"),
-        (1 + F.floor(k / 3)).cast("short").alias("order_index"),
+        (1 + F.floor(place / 3)).cast("short").alias("order_index"),
         F.when(~webinar, _s("u", "p_partkey")).alias("video_url"),
         F.when(webinar, _s("u", "p_partkey")).alias("webinar_url"),
         F.when(
@@ -143,13 +182,13 @@ def _catalogue(raw: Raw) -> dict[str, DataFrame]:
         (F.col("p_size") > 5).alias("is_published"),
         start.alias("created_at"),
     )
-    homeworks = raw.part.filter((part < 200) & (part % 25 != 24) & (k % 2 == 0)).select(
+    homeworks = raw.part.filter(part % 2 == 0).select(
         part.alias("id"),
         part.alias("lesson_id"),
         _s("HW ", "p_partkey").alias("title"),
-        F.when(k % 4 == 0, "auto").otherwise("manual").alias("check_type"),
+        F.when(part % 4 == 0, "auto").otherwise("manual").alias("check_type"),
         (10 + F.col("p_size")).cast("short").alias("max_score"),
-        F.when(k < 6, (24 * (1 + k)).cast("short")).alias("deadline_hours"),
+        F.when(place < 6, (24 * (1 + place)).cast("short")).alias("deadline_hours"),
         start.alias("created_at"),
     )
     return {
@@ -164,23 +203,18 @@ def _catalogue(raw: Raw) -> dict[str, DataFrame]:
 
 
 def _course_teachers(raw: Raw) -> DataFrame:
-    teacher = _s("T", "s_suppkey")
-    second = F.when(F.col("s_suppkey") % 3 == 0, F.array("s_nationkey", (F.col("s_nationkey") + 7) % 25))
+    """Two neighbouring suppliers share a course, and each has another."""
+    first = 4 * div("s_suppkey", 2)
     return raw.supplier.select(
-        F.explode(F.coalesce(second, F.array("s_nationkey"))).alias("course_id"),
-        teacher.alias("teacher_id"),
+        F.explode(F.array(first % raw.course_count, (first + 1 + F.col("s_suppkey") % 3) % raw.course_count)).alias("course_id"),
+        _s("T", "s_suppkey").alias("teacher_id"),
         F.lit(EPOCH).cast("timestamp").alias("assigned_at"),
     )
 
 
 def enrolment_rows(raw: Raw) -> DataFrame:
     """One row per order, before they are merged into enrolments."""
-    return raw.orders.select(
-        "o_custkey",
-        (F.col("o_orderkey") % 25).cast("int").alias("course_id"),
-        "o_orderdate",
-        "o_orderstatus",
-    )
+    return raw.orders.select("o_custkey", raw.ordered_course().alias("course_id"), "o_orderdate", "o_orderstatus")
 
 
 def merge_enrolments(rows: DataFrame, active) -> DataFrame:
@@ -188,7 +222,7 @@ def merge_enrolments(rows: DataFrame, active) -> DataFrame:
         rows.groupBy("o_custkey", "course_id")
         .agg(F.min("o_orderdate").alias("first"), F.bool_or(active).alias("is_active"))
         .select(
-            (F.col("o_custkey") * 25 + F.col("course_id")).alias("id"),
+            (F.col("o_custkey") * ID_BASE + F.col("course_id")).alias("id"),
             _s("S", "o_custkey").alias("student_id"),
             "course_id",
             _shift("first", ORDER_SHIFT_DAYS).alias("enrolled_at"),
@@ -202,7 +236,7 @@ def _payments(raw: Raw) -> DataFrame:
     return raw.orders.select(
         F.col("o_orderkey").alias("id"),
         _s("S", "o_custkey").alias("student_id"),
-        (F.col("o_orderkey") % 25).cast("int").alias("course_id"),
+        raw.ordered_course().alias("course_id"),
         F.col("o_totalprice").cast("decimal(10,2)").alias("amount"),
         F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "yearly").otherwise("monthly").alias(
             "subscription_type"
@@ -215,14 +249,16 @@ def _payments(raw: Raw) -> DataFrame:
     ).withColumn("period_end", period_end(F.col("period_start"), F.col("subscription_type")))
 
 
+def handed_in(raw: Raw, lines: DataFrame | None = None) -> DataFrame:
+    """Line items with their customer and the homework they are handed in for."""
+    orders = raw.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    lines = raw.lineitem if lines is None else lines
+    return lines.join(orders, "l_orderkey").withColumn("homework_id", raw.line_homework())
+
+
 def submission_rows(raw: Raw, homeworks: DataFrame) -> DataFrame:
-    """One row per line item that hits a homework: repeated hand-ins included, score not capped."""
-    hw = F.broadcast(homeworks.select(F.col("id").alias("homework_id"), "check_type", "max_score"))  # at most 200 keys
-    lines = raw.lineitem.withColumn("homework_id", F.col("l_partkey") % 200).join(hw, "homework_id")
-    # Both sides grow together, so the join shuffles at any real size; doing it always also
-    # spreads the first-row sorts that follow over all tasks when a file gives a single one.
-    orders = raw.orders.select("o_orderkey", "o_custkey").hint("merge")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    """One row per line item with its homework: repeated hand-ins included, score not capped."""
+    return handed_in(raw).join(homeworks.select(F.col("id").alias("homework_id"), "check_type", "max_score"), "homework_id")
 
 
 def _submissions(raw: Raw, homeworks: DataFrame) -> DataFrame:
@@ -233,13 +269,13 @@ def _submissions(raw: Raw, homeworks: DataFrame) -> DataFrame:
     graded = F.col("l_returnflag") != "N"
     submitted = _shift("l_shipdate", SHIP_SHIFT_DAYS)
     return first.select(
-        (F.col("homework_id") * 1000000 + F.col("o_custkey")).alias("id"),
+        (F.col("homework_id") * ID_BASE + F.col("o_custkey")).alias("id"),
         "homework_id",
         _s("S", "o_custkey").alias("student_id"),
         _s("a", "l_orderkey").alias("answer_text"),
         F.lit(None).cast("string").alias("answer_url"),
         F.when(auto, F.col("max_score"))
-        .when(graded, F.least(F.col("l_quantity").cast("int"), F.col("max_score").cast("int")))
+        .when(graded & (F.col("l_linenumber") % 3 != 0), F.least(F.col("l_quantity").cast("int"), F.col("max_score").cast("int")))
         .cast("short")
         .alias("score"),
         F.when(auto, "auto_checked").when(graded, "checked").otherwise("submitted").alias("status"),
@@ -249,12 +285,9 @@ def _submissions(raw: Raw, homeworks: DataFrame) -> DataFrame:
     )
 
 
-def progress_rows(raw: Raw, lessons: DataFrame) -> DataFrame:
-    """One row per event that hits a lesson, before they are merged into progress."""
-    ids = F.broadcast(lessons.select(F.col("id").alias("lesson_id")))  # at most 200 keys
-    return raw.events.select(
-        "user_id", "ts", "event_type", (F.col("event_id") % 200).alias("lesson_id")
-    ).join(ids, "lesson_id")
+def progress_rows(raw: Raw) -> DataFrame:
+    """One row per event with its lesson, before they are merged into progress."""
+    return raw.events.select("user_id", "ts", "event_type", raw.event_lesson().alias("lesson_id"))
 
 
 def merge_progress(rows: DataFrame) -> DataFrame:
@@ -267,7 +300,7 @@ def merge_progress(rows: DataFrame) -> DataFrame:
             F.min(F.when(done, F.col("ts"))).alias("first_done"),
         )
         .select(
-            (F.col("user_id") * 1000 + F.col("lesson_id")).alias("id"),
+            (F.col("user_id") * ID_BASE + F.col("lesson_id")).alias("id"),
             _s("S", "user_id").alias("student_id"),
             "lesson_id",
             "is_completed",
@@ -291,7 +324,7 @@ def _activity(raw: Raw) -> DataFrame:
         _s("S", "user_id").alias("user_id"),
         action.alias("action"),
         F.lit("lesson").alias("entity_type"),
-        (F.col("event_id") % 200).cast("string").alias("entity_id"),
+        raw.event_lesson().cast("string").alias("entity_id"),
         F.col("props").alias("metadata"),
         F.col("ts").cast("timestamp").alias("created_at"),
     )
@@ -309,7 +342,7 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
     derived = {
         "enrollments": lambda: merge_enrolments(enrolment_rows(raw), F.col("o_orderstatus") != "F"),
         "homework_submissions": lambda: _submissions(raw, frames["homeworks"]),
-        "lesson_progress": lambda: merge_progress(progress_rows(raw, frames["lessons"])),
+        "lesson_progress": lambda: merge_progress(progress_rows(raw)),
     }
     for name, build_frame in derived.items():
         frames[name] = cache(lambda name=name, build_frame=build_frame: tables.cut(name, build_frame()))
