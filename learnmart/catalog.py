@@ -197,18 +197,9 @@ JOBS = {
 
 
 def purge_counts(t: Tables) -> DataFrame:
-    """Rows kept per table after deleting inactive users and courses, and the refused deletes.
-
-    Payments of inactive people, and places and payments of inactive courses, count as archived.
-    """
-    people = t.users.filter("is_active").select(F.col("id").alias("student_id"))
-    open_courses = t.catalogue_dim(t.courses.filter("is_active").select(F.col("id").alias("course_id")))
-    state = t.replace(
-        payments=t.payments.join(people, "student_id", "left_semi").join(open_courses, "course_id", "left_semi"),
-        enrollments=t.enrollments.join(open_courses, "course_id", "left_semi"),
-    )
+    """Rows kept per table after deleting inactive users and courses, and the refused deletes."""
     change, rejects = quality.cascade_purge(
-        state, users=t.users.filter("not is_active"), courses=t.courses.filter("not is_active")
+        t, users=t.users.filter("not is_active"), courses=t.courses.filter("not is_active")
     )
     out = rejects.groupBy(F.concat(F.lit("rejected "), "kind").alias("kind"), F.col("reason").alias("name")).agg(
         F.count("*").alias("rows")
@@ -234,14 +225,14 @@ def refreshed(t: Tables) -> DataFrame:
     return refresh.stored_summary(store)
 
 
-def loaded_counts(t: Tables) -> DataFrame:
-    """A bulk load of unchecked rows through the table rules: rows stored and rows turned away."""
+def _loaded(t: Tables) -> tuple[Tables, DataFrame]:
+    """A bulk load of unchecked rows into empty course_teachers, homework_submissions and lesson_progress."""
     empty = {name: t.frames[name].limit(0) for name in ("course_teachers", "homework_submissions", "lesson_progress")}
     queue = rules.queue_refresh(empty["course_teachers"], ["course_id"], t.now)
     start = commands.before(t).replace(**empty, mv_refresh_queue=queue)
     feed = t.replace()
     feed.raw = t.raw
-    after, rejects = jobs.load_rows(
+    return jobs.load_rows(
         start,
         {
             "course_teachers": commands.raw_assignments(feed).withColumn("assigned_at", t.now),
@@ -251,13 +242,21 @@ def loaded_counts(t: Tables) -> DataFrame:
             "homework_submissions": commands.raw_submissions(feed),
         },
     )
-    out = rejects
+
+
+def loaded_counts(t: Tables) -> DataFrame:
+    """Rows stored and rows turned away, by table and reason."""
+    after, out = _loaded(t)
     for name in ("course_teachers", "enrollments", "payments", "lesson_progress", "homework_submissions", "activity_log",
                  "mv_refresh_queue"):
         out = out.union(after.frames[name].agg(F.count("*").alias("rows")).select(F.lit(name), F.lit("stored"), "rows"))
     return out
 
 
+def loaded_submissions(t: Tables) -> DataFrame:
+    return _loaded(t)[0].homework_submissions.select("id", "homework_id", "student_id", "score", "status", "checked_by", "submitted_at")
+
+
 def _streamed(name: str, table: str, feed, run, result, state=commands.before):
     def query(t: Tables) -> DataFrame:
         start = state(t)
@@ -295,7 +294,7 @@ STREAMS = {
     ),
 }
 
-REFRESH = {"refresh_marts": refreshed, "load_seed": loaded_counts}
+REFRESH = {"refresh_marts": refreshed, "load_seed": loaded_counts, "load_seed_submissions": loaded_submissions}
 
 GROUPS = [MARTS, LOOKUPS, REPORTS, PAGES, RULES, JOBS, QUALITY, REFRESH, STREAMS]
 

@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 
 from learnmart.functions.exprs import full_name, hash_id, period_end, zero
 from learnmart.model import Tables
-from learnmart.operators import rules
+from learnmart.operators import constraints, rules
 from learnmart.operators.rules import first_reason
 from learnmart.schemas import ENUMS
 
 REJECTED = "rejected"
+AMOUNT = "decimal(10,2)"  # of payments
 
 
 @dataclass
@@ -207,6 +208,7 @@ def _payment_reason(enrolled: Column | None) -> dict[str, Column]:
         "course_not_found": F.col("course_active").isNull(),
         "missing_period_start": F.col("period_start").isNull(),
         "amount_not_positive": F.col("amount").isNull() | (F.col("amount") <= 0),
+        "amount_out_of_range": F.col("amount").try_cast(AMOUNT).isNull(),
     }
 
 
@@ -239,7 +241,7 @@ def apply_payments(t: Tables, decisions: DataFrame) -> Change:
         F.col("payment_id").alias("id"),
         "student_id",
         "course_id",
-        F.col("amount").cast("decimal(10,2)").alias("amount"),
+        F.col("amount").try_cast(AMOUNT).alias("amount"),
         "subscription_type",
         t.today.alias("payment_date"),
         "period_start",
@@ -555,7 +557,7 @@ def apply_submissions(t: Tables, decisions: DataFrame) -> Change:
 
 
 def load_rows(t: Tables, rows: dict[str, DataFrame]) -> tuple[Tables, DataFrame]:
-    """Append new rows table by table, each through the rules of its table.
+    """Append new rows table by table, each through the rules and constraints of its table.
 
     ``enrollments`` and ``payments`` rows are commands.  Returns the tables
     after the load, and (table_name, reason, rows) of what was turned away.
@@ -570,13 +572,20 @@ def load_rows(t: Tables, rows: dict[str, DataFrame]) -> tuple[Tables, DataFrame]
             .select(F.lit(name).alias("table_name"), "reason", "rows")
         )
 
+    def admitted(name: str, new: DataFrame, order: list[str], judge=lambda df: df) -> DataFrame:
+        """The rows of ``new`` that the table takes; numbered in a written table, so equal rows can be told apart."""
+        numbered = t.cut("incoming", new.withColumn("_row", F.monotonically_increasing_id()))
+        judged = constraints.judge_values(t, name, judge(numbered))
+        judged = t.cut("judged", constraints.judge_keys(t, name, judged, [c for c in order if c in new.columns], "_row"))
+        turned_away(name, judged)
+        return judged.filter("reject_reason is null").select(*new.columns)
+
     for name in ("users", "topics", "courses", "modules", "lessons", "homeworks", "activity_log"):
         if name in rows:
-            t = Change(appends={name: rows[name]}).onto(t)
+            t = Change(appends={name: admitted(name, rows[name], ["created_at", "id"])}).onto(t)
     if "course_teachers" in rows:
-        judged = rules.check_teacher_role(t, rows["course_teachers"])
-        turned_away("course_teachers", judged)
-        t = Change(appends={"course_teachers": judged.filter("reject_reason is null").drop("reject_reason")}).onto(t)
+        good = admitted("course_teachers", rows["course_teachers"], ["assigned_at"], lambda df: rules.check_teacher_role(t, df))
+        t = Change(appends={"course_teachers": good}).onto(t)
     if "enrollments" in rows:
         decided, change = run(t, rows["enrollments"], decide_enrolments, apply_enrolments)
         turned_away("enrollments", decided, "reason")
@@ -586,14 +595,12 @@ def load_rows(t: Tables, rows: dict[str, DataFrame]) -> tuple[Tables, DataFrame]
         turned_away("payments", decided, "reason")
         t = change.onto(t)
     if "lesson_progress" in rows:
-        new = rows["lesson_progress"]
+        new = admitted("lesson_progress", rows["lesson_progress"], ["last_viewed_at", "id"])
         log = rules.log_progress(t.lesson_progress, new, t.now)
         t = Change(appends={"lesson_progress": new, "activity_log": log}).onto(t)
     if "homework_submissions" in rows:
-        judged = rules.judge_scores(t, rows["homework_submissions"])
-        turned_away("homework_submissions", judged)
-        good = rules.auto_check(t, judged.filter("reject_reason is null").drop("reject_reason"))
-        t = Change(appends={"homework_submissions": good}).onto(t)
+        good = admitted("homework_submissions", rows["homework_submissions"], ["submitted_at", "id"], lambda df: rules.judge_scores(t, df))
+        t = Change(appends={"homework_submissions": rules.auto_check(t, good)}).onto(t)
     out = rejects[0] if rejects else t.spark.createDataFrame([], "table_name string, reason string, rows bigint")
     for more in rejects[1:]:
         out = out.union(more)

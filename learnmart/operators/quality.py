@@ -127,9 +127,9 @@ def domain_violations(t: Tables, names: list[str] | None = None) -> DataFrame:
 def cascade_purge(t: Tables, users: DataFrame | None = None, courses: DataFrame | None = None) -> tuple[Change, DataFrame]:
     """Delete users and courses (frames with ``id``) with everything that hangs on them.
 
-    Each delete is judged against the starting state.  Rows protected by a
-    restricting reference, or named by a row that would stay, are rejected.
-    Returns the changed tables and the rejects (kind, id, reason).
+    Payments and enrolments block what they restrict.  A grade blocks its teacher
+    unless the hand-in goes with its student or homework in the same call; so
+    courses are judged first, then students, then graders.  Returns the changed tables and the rejects (kind, id, reason).
     """
     rejects, changed = [], {}
 
@@ -150,24 +150,7 @@ def cascade_purge(t: Tables, users: DataFrame | None = None, courses: DataFrame
         rejects.append(judged.filter("reason is not null").select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "reason"))
         return judged.filter("reason is null").select("id")
 
-    if users is not None:
-        blockers = {
-            "payments.student_id": t.payments.select(F.col("student_id").alias("id")),
-            "payments.created_by": t.payments.select(F.col("created_by").alias("id")),
-            "homework_submissions.checked_by": t.homework_submissions.filter(
-                F.col("checked_by").isNotNull() & (F.col("checked_by") != F.col("student_id"))
-            ).select(F.col("checked_by").alias("id")),
-        }
-        gone = judge("users", users, blockers)
-        changed["users"] = t.users.join(gone, "id", "left_anti").select(*t.users.columns)
-        for child, column in (
-            ("course_teachers", "teacher_id"),
-            ("homework_submissions", "student_id"),
-            ("enrollments", "student_id"),
-            ("lesson_progress", "student_id"),
-            ("activity_log", "user_id"),
-        ):
-            drop_children(child, column, gone)
+    leaving = None  # homework that goes with its course
     if courses is not None:
         gone = judge(
             "courses",
@@ -186,6 +169,31 @@ def cascade_purge(t: Tables, users: DataFrame | None = None, courses: DataFrame
             if child == "lessons":
                 drop_children("lesson_progress", "lesson_id", t.catalogue_dim(below))
             if child == "homeworks":
-                drop_children("homework_submissions", "homework_id", t.catalogue_dim(below))
+                leaving = t.catalogue_dim(below)
+                drop_children("homework_submissions", "homework_id", leaving)
             gone = t.catalogue_dim(below)
+    if users is not None:
+        wanted = users.select("id").distinct()
+        money = t.payments.select(F.explode(F.array("student_id", "created_by")).alias("id")).filter("id is not null").distinct()
+        graded = t.homework_submissions.filter("checked_by is not null").select("checked_by", "student_id", "homework_id")
+        if leaving is not None:
+            graded = graded.join(leaving.withColumnRenamed("id", "homework_id"), "homework_id", "left_anti")
+        # students without grades of their own leave for certain; a grade of one who stays blocks its teacher
+        graders = graded.filter("checked_by <> student_id").select(F.col("checked_by").alias("id")).distinct()
+        certain = wanted.join(money, "id", "left_anti").join(graders, "id", "left_anti").withColumnRenamed("id", "student_id")
+        staying = graded.filter("checked_by <> student_id").join(certain, "student_id", "left_anti")
+        gone = judge("users", users, {
+            "payments.student_id": t.payments.select(F.col("student_id").alias("id")),
+            "payments.created_by": t.payments.select(F.col("created_by").alias("id")),
+            "homework_submissions.checked_by": staying.select(F.col("checked_by").alias("id")),
+        })
+        changed["users"] = t.users.join(gone, "id", "left_anti").select(*t.users.columns)
+        for child, column in (
+            ("course_teachers", "teacher_id"),
+            ("homework_submissions", "student_id"),
+            ("enrollments", "student_id"),
+            ("lesson_progress", "student_id"),
+            ("activity_log", "user_id"),
+        ):
+            drop_children(child, column, gone)
     return Change(tables=changed), _union(rejects)

@@ -39,7 +39,7 @@ raw_sub AS (SELECT {line_id('R')} AS id, homework_id, 'S' || o_custkey AS studen
     CASE WHEN l_linenumber <> 3 THEN 'a' || l_orderkey END AS answer_text, CAST(NULL AS VARCHAR) AS answer_url,
     CASE WHEN l_linenumber <> 5 THEN CAST(l_quantity AS INTEGER) - CASE WHEN l_linenumber = 1 THEN 5 ELSE 0 END END AS score,
     CASE l_returnflag WHEN 'N' THEN 'submitted' WHEN 'R' THEN 'checked' ELSE 'graded' END AS status,
-    'T' || l_partkey AS checked_by, CAST(NULL AS TIMESTAMP) AS checked_at,
+    CASE WHEN l_partkey % 7 = 0 THEN 'X' || l_partkey ELSE 'T' || l_suppkey END AS checked_by, CAST(NULL AS TIMESTAMP) AS checked_at,
     l_shipdate + INTERVAL 8100 DAY AS submitted_at, check_type, max_score FROM hand_ins),
 raw_prog AS (SELECT event_id AS id, 'S' || user_id AS student_id, CASE WHEN event_id % 21 = 20 THEN -1 ELSE lesson_id END AS lesson_id,
     CASE WHEN event_type <> 'error' THEN event_type IN ('purchase', 'signup') END AS is_completed, ts AS last_viewed_at
@@ -414,22 +414,21 @@ WHERE outcome IN ('enrolled', 'reactivated')""",
 }
 
 PURGE = """
-wanted_users AS (SELECT id FROM users WHERE NOT is_active),
-wanted_courses AS (SELECT id FROM courses WHERE NOT is_active),
-pay AS (SELECT p.* FROM payments p JOIN users u ON u.id = p.student_id AND u.is_active
-        JOIN courses c ON c.id = p.course_id AND c.is_active),
-enr AS (SELECT e.* FROM enrollments e JOIN courses c ON c.id = e.course_id AND c.is_active),
-judged_users AS (SELECT id, CASE WHEN id IN (SELECT student_id FROM pay) THEN 'payments.student_id'
-    WHEN id IN (SELECT created_by FROM pay) THEN 'payments.created_by'
-    WHEN id IN (SELECT checked_by FROM homework_submissions WHERE checked_by IS NOT NULL AND checked_by <> student_id)
-      THEN 'homework_submissions.checked_by' END AS reason FROM wanted_users),
-judged_courses AS (SELECT id, CASE WHEN id IN (SELECT course_id FROM enr) THEN 'enrollments.course_id'
-    WHEN id IN (SELECT course_id FROM pay) THEN 'payments.course_id' END AS reason FROM wanted_courses),
-gone_u AS (SELECT id FROM judged_users WHERE reason IS NULL),
+judged_courses AS (SELECT id, CASE WHEN id IN (SELECT course_id FROM enrollments) THEN 'enrollments.course_id'
+    WHEN id IN (SELECT course_id FROM payments) THEN 'payments.course_id' END AS reason FROM courses WHERE NOT is_active),
 gone_c AS (SELECT id FROM judged_courses WHERE reason IS NULL),
 kept_m AS (SELECT * FROM modules WHERE course_id NOT IN (SELECT id FROM gone_c)),
 kept_l AS (SELECT * FROM lessons WHERE module_id IN (SELECT id FROM kept_m)),
-kept_h AS (SELECT * FROM homeworks WHERE lesson_id IN (SELECT id FROM kept_l))"""
+kept_h AS (SELECT * FROM homeworks WHERE lesson_id IN (SELECT id FROM kept_l)),
+paid AS (SELECT student_id AS id FROM payments UNION SELECT created_by FROM payments),
+grades AS (SELECT checked_by, student_id FROM homework_submissions
+    WHERE checked_by <> student_id AND homework_id IN (SELECT id FROM kept_h)),
+leaving AS (SELECT id FROM users WHERE NOT is_active AND id NOT IN (SELECT id FROM paid) AND id NOT IN (SELECT checked_by FROM grades)),
+judged_users AS (SELECT id, CASE WHEN id IN (SELECT student_id FROM payments) THEN 'payments.student_id'
+    WHEN id IN (SELECT created_by FROM payments) THEN 'payments.created_by'
+    WHEN id IN (SELECT checked_by FROM grades WHERE student_id NOT IN (SELECT id FROM leaving))
+      THEN 'homework_submissions.checked_by' END AS reason FROM users WHERE NOT is_active),
+gone_u AS (SELECT id FROM judged_users WHERE reason IS NULL)"""
 
 
 def counted(name: str, where: str, source: str | None = None) -> str:
@@ -515,7 +514,7 @@ UNION ALL SELECT 'users', 'email length', id FROM users WHERE length(email) > 25
             counted("homeworks", "TRUE", "kept_h"),
             counted("homework_submissions",
                     "student_id NOT IN (SELECT id FROM gone_u) AND homework_id IN (SELECT id FROM kept_h)"),
-            counted("enrollments", "student_id NOT IN (SELECT id FROM gone_u)", "enr"),
+            counted("enrollments", "student_id NOT IN (SELECT id FROM gone_u)"),
             counted("lesson_progress", "student_id NOT IN (SELECT id FROM gone_u) AND lesson_id IN (SELECT id FROM kept_l)"),
             counted("activity_log", "user_id NOT IN (SELECT id FROM gone_u)"),
             "SELECT 'rejected users', reason, count(*) FROM judged_users WHERE reason IS NOT NULL GROUP BY reason",
@@ -525,7 +524,28 @@ UNION ALL SELECT 'users', 'email length', id FROM users WHERE length(email) > 25
     ),
 }
 
+# why a table refuses a hand-in, before keys: from the table definition and the score rules
+REFUSED = """CASE WHEN status NOT IN ('submitted', 'checked', 'auto_checked') THEN 'status_not_allowed'
+    WHEN score > max_score THEN 'score_above_max' WHEN score IS NOT NULL AND status = 'submitted' THEN 'score_while_submitted'
+    WHEN score < 0 THEN 'score_not_negative' WHEN answer_text IS NULL AND answer_url IS NULL THEN 'answer_provided'
+    WHEN NOT EXISTS (SELECT 1 FROM users u WHERE u.id = r.student_id) THEN 'student_id_unknown'
+    WHEN checked_by IS NOT NULL AND NOT EXISTS (SELECT 1 FROM users u WHERE u.id = r.checked_by) THEN 'checked_by_unknown' END"""
+
+LOADED_SUB = f"""
+open_sub AS (SELECT *, {REFUSED} AS refused FROM raw_sub r),
+loaded_sub AS (SELECT *, coalesce(refused, CASE WHEN same_id > 1 THEN 'id_taken' WHEN nth > 1 THEN 'homework_id_student_id_taken' END, 'stored') AS verdict
+  FROM (SELECT *, row_number() OVER (PARTITION BY id, refused IS NULL) AS same_id,
+               row_number() OVER (PARTITION BY homework_id, student_id, refused IS NULL ORDER BY submitted_at, id) AS nth FROM open_sub))"""
+
 REFRESH = {
+    "load_seed_submissions": statement(
+        """
+SELECT id, homework_id, student_id, CASE WHEN check_type = 'auto' THEN max_score ELSE score END AS score,
+       CASE WHEN check_type = 'auto' THEN 'auto_checked' ELSE status END AS status, checked_by, submitted_at
+FROM loaded_sub WHERE verdict = 'stored'""",
+        ints="homework_id score",
+        ctes=f"{BEFORE},{LOADED_SUB}",
+    ),
     "refresh_marts": statement(
         """
 SELECT 'mv_admin_dashboard' AS mart, count(*) AS rows, sum(total_submissions) AS total FROM m1
@@ -537,22 +557,24 @@ UNION ALL SELECT 'mv_teacher_workload', count(*), sum(total_students) FROM m4"""
     ),
     "load_seed": statement(
         """
-SELECT 'course_teachers' AS table_name, CASE WHEN u.id IS NULL THEN 'user_not_found' WHEN u.role <> 'teacher'
-  THEN 'not_a_teacher' ELSE 'stored' END AS reason, count(*) AS rows FROM raw_ct r LEFT JOIN users u ON u.id = r.teacher_id GROUP BY 2
+SELECT 'course_teachers' AS table_name, CASE WHEN why IS NOT NULL THEN why WHEN nth > 1 THEN 'course_id_teacher_id_taken' ELSE 'stored' END AS reason,
+  count(*) AS rows
+FROM (SELECT *, row_number() OVER (PARTITION BY course_id, teacher_id, why IS NULL) AS nth
+      FROM (SELECT r.*, CASE WHEN u.id IS NULL THEN 'user_not_found' WHEN u.role <> 'teacher' THEN 'not_a_teacher' END AS why
+            FROM raw_ct r LEFT JOIN users u ON u.id = r.teacher_id)) GROUP BY 2
 UNION ALL SELECT 'enrollments', reason, count(*) FROM decided WHERE reason IS NOT NULL GROUP BY 2
 UNION ALL SELECT 'enrollments', 'stored', (SELECT count(*) FROM enr_before) + (SELECT count(*) FROM decided WHERE outcome = 'enrolled')
 UNION ALL SELECT 'payments', reason, count(*) FROM pay_decided WHERE reason IS NOT NULL GROUP BY 2
 UNION ALL SELECT 'payments', 'stored', (SELECT count(*) FROM payments) + (SELECT count(*) FROM pay_decided WHERE reason IS NULL)
 UNION ALL SELECT 'lesson_progress', 'stored', count(*) FROM lesson_progress
-UNION ALL SELECT 'homework_submissions', coalesce(CASE WHEN score > max_score THEN 'score_above_max'
-  WHEN score IS NOT NULL AND status = 'submitted' THEN 'score_while_submitted' END, 'stored'), count(*) FROM raw_sub GROUP BY 2
+UNION ALL SELECT 'homework_submissions', verdict, count(*) FROM loaded_sub GROUP BY 2
 UNION ALL SELECT 'activity_log', 'stored', (SELECT count(*) FROM activity_log)
   + (SELECT count(*) FROM decided WHERE outcome IN ('enrolled', 'reactivated'))
   + (SELECT count(*) FROM decided WHERE outcome = 'enrolled') + (SELECT count(*) FROM pay_decided WHERE reason IS NULL)
   + (SELECT count(*) FROM lesson_progress)
 UNION ALL SELECT 'mv_refresh_queue', 'stored', 4 * count(*) FROM decided WHERE outcome IN ('enrolled', 'reactivated')""",
         ints="rows",
-        ctes=ENROL + f""",
+        ctes=ENROL + f""",{LOADED_SUB},
 pay_cmds AS (SELECT 'S' || o_custkey AS student_id, course_id, 'A' || (o_custkey % 6) AS admin_id,
     {AMOUNT} AS amount, {KIND} AS subscription_type,
     CASE WHEN o_orderkey % 31 <> 0 THEN CAST(o_orderdate + INTERVAL 8200 DAY AS DATE) END AS period_start
@@ -570,8 +592,7 @@ pay_decided AS (SELECT CASE WHEN x.subscription_type NOT IN ('monthly', 'yearly'
 }
 
 STREAM_SUB = f"""{BEFORE},
-judged AS (SELECT r.*, CASE WHEN score > max_score THEN 'score_above_max'
-    WHEN score IS NOT NULL AND status = 'submitted' THEN 'score_while_submitted' END AS own_reason FROM raw_sub r),
+judged AS (SELECT r.*, {REFUSED} AS own_reason FROM raw_sub r),
 decided AS (SELECT *, coalesce(own_reason, CASE WHEN rn > 1 OR EXISTS (SELECT 1 FROM sub_before s
        WHERE s.homework_id = o.homework_id AND s.student_id = o.student_id) THEN 'duplicate' END, 'accepted') AS outcome
   FROM (SELECT *, row_number() OVER (PARTITION BY homework_id, student_id, own_reason IS NULL ORDER BY submitted_at, id) AS rn

@@ -200,7 +200,7 @@ def raw_submissions(t: Tables) -> DataFrame:
         F.when(F.col("l_returnflag") == "N", "submitted").when(F.col("l_returnflag") == "R", "checked").otherwise("graded").alias(
             "status"
         ),
-        _s("T", "l_partkey").alias("checked_by"),
+        F.when(F.col("l_partkey") % 7 == 0, _s("X", "l_partkey")).otherwise(_s("T", "l_suppkey")).alias("checked_by"),
         F.lit(None).cast("timestamp").alias("checked_at"),
         _shift("l_shipdate", SHIP_SHIFT_DAYS).alias("submitted_at"),
     )

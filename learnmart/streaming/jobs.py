@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from learnmart.functions.exprs import hash_id
 from learnmart.model import Tables
-from learnmart.operators import jobs, rules
+from learnmart.operators import constraints, jobs, rules
 from learnmart.sources.store import Deltas
 
 SMALL_BATCH_ROWS = 500_000
@@ -54,7 +54,7 @@ def _keys_if_small(rows: DataFrame, keys: list[str], limit: int = SMALL_BATCH_RO
 
 
 def stream_submissions(t: Tables, source: DataFrame, sink: Sink) -> StreamingQuery:
-    """Hand-ins -> score rules -> one per (homework, student) -> automatic grading.
+    """Hand-ins -> score rules and constraints -> one per (homework, student) -> automatic grading.
 
     Output ``judged``: every row with an outcome.  Output ``accepted``: rows as stored.
     """
@@ -64,7 +64,7 @@ def stream_submissions(t: Tables, source: DataFrame, sink: Sink) -> StreamingQue
     columns = t.homework_submissions.columns
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = rules.judge_scores(t, batch.select(*columns))
+        rows = constraints.judge_values(t, "homework_submissions", rules.judge_scores(t, batch.select(*columns)))
         order = Window.partitionBy(*keys).orderBy("submitted_at", "id")
         first = (
             rows.filter("reject_reason is null")

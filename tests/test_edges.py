@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from learnmart.functions import exprs
 from learnmart.functions.sizing import salted_join
 from learnmart.model import Tables, typed
-from learnmart.operators import lookups, marts, quality, rules
+from learnmart.operators import jobs, lookups, marts, quality, rules
 from learnmart.operators.facts import global_rank, rank_within
 from learnmart.plans import finance, pages, students, teachers
 from learnmart.sources import testdata
@@ -242,6 +242,40 @@ def test_cascade_purge(spark, school):
     assert after.courses.filter("id = 'C9'").isEmpty() and after.modules.count() == 13
 
 
+def test_a_grader_leaves_with_the_student(spark, school):
+    """A grade goes with its student; it blocks the teacher only while somebody it belongs to stays."""
+    by = {}
+    for r in school.homework_submissions.filter("checked_by is not null").select("checked_by", "student_id").distinct().collect():
+        by.setdefault(r.checked_by, set()).add(r.student_id)
+    teacher, students = min(by.items(), key=lambda x: len(x[1]))
+    t = school.replace(payments=school.payments.limit(0))
+    for extra, refused in ((students, set()), (set(list(students)[1:]), {(teacher, "homework_submissions.checked_by")})):
+        ids = spark.createDataFrame([(i,) for i in [teacher, *extra]], "id string")
+        change, rejects = quality.cascade_purge(t, ids)
+        assert {(r.id, r.reason) for r in rejects.collect()} == refused
+        assert change.onto(t).users.filter(F.col("id") == teacher).isEmpty() == (not refused)
+
+
+def test_a_payment_beyond_the_type_is_refused_alone(spark, school):
+    day = school.as_of.date()
+    pair = school.enrollments.filter("is_active").join(school.courses.filter("is_active").select(F.col("id").alias("course_id")), "course_id").first()
+    rows = [(f"X{i}", school.as_of, pair.student_id, pair.course_id, "U01", amount, "monthly", day, None) for i, amount in enumerate((Decimal("1e9"), Decimal("10")))]
+    commands = spark.createDataFrame(rows, "cmd_id string, cmd_ts timestamp, student_id string, course_id string, admin_id string, amount decimal(20,2), subscription_type string, period_start date, notes string")
+    decided, change = jobs.run(school, commands, jobs.decide_payments, jobs.apply_payments)
+    assert {(r.cmd_id, r.outcome, r.reason) for r in decided.collect()} == {("X0", "rejected", "amount_out_of_range"), ("X1", "recorded", None)}
+    assert [r.amount for r in change.appends["payments"].collect()] == [Decimal("10.00")]
+
+
+def test_work_graded_without_a_score_has_no_share(spark, school):
+    graded = school.homework_submissions.filter("status = 'checked'").first()
+    work = school.homework_submissions.withColumn("score", F.when(F.col("student_id") == graded.student_id, None).otherwise(F.col("score")))
+    t = school.replace(homework_submissions=work)
+    rows = marts.student_scores(t).filter(F.col("student_id") == graded.student_id).collect()
+    assert rows and all(r.score_pct is None and r.total_score == 0 for r in rows)
+    assert any(r.completed_hw_count > 0 for r in rows)
+    assert all(r.score_pct is None for r in lookups.student_rank(t, graded.student_id).collect())
+
+
 def test_log_rows_keep_null_fields(spark):
     df = spark.createDataFrame([("a", None)], "k string, v string")
     row = rules.log_rows(df, F.lit(str(datetime(2024, 1, 1))).cast("timestamp"), "act", "thing", "k", "k", {"v": F.col("v")}, ["k"]).first()
