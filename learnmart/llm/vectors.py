@@ -25,7 +25,7 @@ THRESHOLD = 0.93
 @dataclass(frozen=True)
 class Settings:
     threshold: float = THRESHOLD
-    cell_rows: int = 1000  # vectors per pivot, in expectation
+    cell_rows: int = 250  # vectors per pivot, in expectation
     most_pivots: int = 8192  # bound of the pivots that are broadcast; beyond it cells grow and are cut into more blocks
     overlap: int = 3  # cells that hold a vector
     block_rows: int = 2000  # vectors of one graph, in expectation
@@ -33,6 +33,7 @@ class Settings:
     pool: int = 96  # candidates that pruning looks at
     alpha: float = 1.2  # pruning slack (on distances)
     beam: int = 48  # nodes a search keeps
+    step: int = 8  # nodes a search expands at a time
     slack: float = 0.05  # a search goes on from nodes this much below the threshold
     audit_rows: int = 256  # vectors held against brute force, in expectation
     recall: float = 0.98  # audited recall below which the graphs are built anew with more overlap
@@ -138,7 +139,7 @@ def range_search(queries: np.ndarray, vecs: np.ndarray, nbrs: np.ndarray, s: Set
     """(query numbers, node numbers) of all nodes found within the threshold, block by block of queries.
 
     Greedy search from the medoid keeps the ``beam`` best nodes seen and expands
-    the best not yet expanded; nodes within ``slack`` of the threshold are
+    the best not yet expanded, ``step`` at a time; nodes within ``slack`` of the threshold are
     expanded whether in the beam or not, until none is left.
     """
     n, width = len(vecs), nbrs.shape[1]
@@ -149,26 +150,29 @@ def range_search(queries: np.ndarray, vecs: np.ndarray, nbrs: np.ndarray, s: Set
         seen = np.full((m, n + 1), -np.inf)  # similarity where seen; column n takes the missing neighbours
         open_ = np.zeros((m, n + 1), bool)
         seen[:, medoid], open_[:, medoid] = q @ vecs[medoid], True
-        active = np.arange(m)
+        active, width_now = np.arange(m), min(s.step, n)
         while len(active):
             score = np.where(open_[active], seen[active], -np.inf)
-            best = score.argmax(1)
-            top = score[np.arange(len(active)), best]
+            best = np.argpartition(-score, width_now - 1, axis=1)[:, :width_now]
+            top = np.take_along_axis(score, best, 1)
             if n > s.beam:
                 worst = -np.partition(-seen[active], s.beam - 1, axis=1)[:, s.beam - 1]
             else:
                 worst = np.full(len(active), -np.inf)
-            go = np.isfinite(top) & ((top >= worst) | (top >= s.threshold - s.slack))
-            active, best = active[go], best[go]
+            go = np.isfinite(top) & ((top >= worst[:, None]) | (top >= s.threshold - s.slack))
+            some = go.any(1)
+            active, best, go = active[some], best[some], go[some]
             if not len(active):
                 break
-            open_[active, best] = False
-            new = nbrs[best]
-            fresh = np.isneginf(seen[active[:, None], new]) & (new < n)
-            r, c = np.nonzero(fresh)
-            nodes = new[r, c]
-            seen[active[r], nodes] = np.einsum("ij,ij->i", q[active[r]], vecs[nodes])
-            open_[active[r], nodes] = True
+            r, k = np.nonzero(go)
+            at_query, node = active[r], best[r, k]
+            open_[at_query, node] = False
+            reached = np.zeros((m, n + 1), bool)
+            reached[at_query[:, None], nbrs[node]] = True
+            reached[:, n] = False
+            i, j = np.nonzero(reached & np.isneginf(seen))
+            seen[i, j] = np.einsum("ij,ij->i", q[i], vecs[j])
+            open_[i, j] = True
         yield np.nonzero(seen[:, :n] >= s.threshold - 1e-6) + (at,)
 
 
