@@ -225,6 +225,25 @@ def refreshed(t: Tables) -> DataFrame:
     return refresh.stored_summary(store)
 
 
+def _on_snapshot(report):
+    """A report over marts that were refreshed before the latest changes."""
+
+    def query(t: Tables) -> DataFrame:
+        store = Store(t.spark, workspace(t.spark, "marts"))
+        refresh.refresh_marts(commands.before(t), store)
+        return report(refresh.with_marts(t, store))
+
+    return query
+
+
+STORED = {
+    "rpt_dashboard_stored": _on_snapshot(admin.dashboard),
+    "rpt_ranking_stored": _on_snapshot(admin.ranking),
+    "rpt_workload_stored": _on_snapshot(admin.workload),
+    "rpt_ranking_topic_stored": _on_snapshot(students.ranking_topic),
+}
+
+
 def _loaded(t: Tables) -> tuple[Tables, DataFrame]:
     """A bulk load of unchecked rows into empty course_teachers, homework_submissions and lesson_progress."""
     empty = {name: t.frames[name].limit(0) for name in ("course_teachers", "homework_submissions", "lesson_progress")}
@@ -296,7 +315,7 @@ STREAMS = {
 
 REFRESH = {"refresh_marts": refreshed, "load_seed": loaded_counts, "load_seed_submissions": loaded_submissions}
 
-GROUPS = [MARTS, LOOKUPS, REPORTS, PAGES, RULES, JOBS, QUALITY, REFRESH, STREAMS]
+GROUPS = [MARTS, LOOKUPS, REPORTS, PAGES, RULES, JOBS, QUALITY, REFRESH, STORED, STREAMS]
 
 
 def comparable(df: DataFrame) -> DataFrame:

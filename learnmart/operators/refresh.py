@@ -24,6 +24,13 @@ def refresh_marts(t: Tables, store: Store) -> int:
     return store.commit(frames, t.as_of)
 
 
+def with_marts(t: Tables, store: Store) -> Tables:
+    """``t`` with the stored marts beside it: reports then read the snapshot, as of its last refresh."""
+    out = t.replace(**{name: store.read(name) for name in MARTS})
+    out.__dict__.update({k: v for k, v in t.__dict__.items() if k == "raw"})
+    return out
+
+
 def refresh_needed(t: Tables) -> bool:
     """Is any stale-mart request waiting?"""
     return not t.mv_refresh_queue.filter("not processed").isEmpty()

@@ -108,6 +108,20 @@ CTES = {
 
 PRELUDE = "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in CTES.items())
 
+# the same mapping up to the cut-offs: what a snapshot refreshed then was made from
+EARLIER = {
+    "enrollments": CTES["enrollments"].replace("FROM placed", "FROM placed WHERE o_orderdate < TIMESTAMP '2000-01-01'"),
+    "lesson_progress": CTES["lesson_progress"].replace("FROM viewed", "FROM viewed WHERE ts < TIMESTAMP '2024-01-16'"),
+    "homework_submissions": f"SELECT * FROM ({CTES['homework_submissions']}) WHERE submitted_at < TIMESTAMP '2000-01-01' + INTERVAL 8100 DAY",
+}
+
+
+def on_snapshot(sql: str) -> str:
+    """A statement of current tables as one of the earlier tables."""
+    for name, body in EARLIER.items():
+        sql = sql.replace(f"{name} AS ({CTES[name]})", f"{name} AS ({body})", 1)
+    return sql
+
 
 def statement(body: str, ints: str = "", doubles: str = "", ctes: str = "") -> str:
     """A complete statement: mapping, extra CTEs, and the body with result types pinned."""

@@ -21,7 +21,7 @@ YES, NO = "Да", "Нет"
 
 
 def dashboard(t: Tables) -> DataFrame:
-    return marts.admin_dashboard(t).select(
+    return marts.stored(t, "mv_admin_dashboard", marts.admin_dashboard).select(
         "total_active_students",
         "total_active_teachers",
         "total_active_courses",
@@ -97,7 +97,7 @@ def progress(t: Tables) -> DataFrame:
 
 def ranking(t: Tables) -> DataFrame:
     return (
-        marts.student_scores(t)
+        marts.stored(t, "mv_student_scores", marts.student_scores)
         .orderBy("course_title", "rank_in_course", "student_id", "course_id")
         .select("rank_in_course", "student_id", "full_name", "course_title", "total_score", "max_possible_score", "score_pct")
     )
@@ -153,7 +153,7 @@ def pending(t: Tables) -> DataFrame:
 
 def workload(t: Tables) -> DataFrame:
     return (
-        marts.teacher_workload(t)
+        marts.stored(t, "mv_teacher_workload", marts.teacher_workload)
         .orderBy(F.desc("total_students"), "teacher_id")
         .select("teacher_id", "full_name", "courses_count", "total_students", "pending_checks", "total_checked")
     )

@@ -39,7 +39,7 @@ def progress_status(t: Tables) -> DataFrame:
 
 def ranking_topic(t: Tables) -> DataFrame:
     return (
-        marts.student_scores(t)
+        marts.stored(t, "mv_student_scores", marts.student_scores)
         .orderBy("course_title", "rank_in_course", "student_id", "course_id")
         .select(
             "rank_in_course",

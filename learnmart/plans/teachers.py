@@ -71,7 +71,7 @@ def check_queue(t: Tables) -> DataFrame:
 
 def workload_rank(t: Tables) -> DataFrame:
     return (
-        global_rank(marts.teacher_workload(t), "total_students", "students_rank")
+        global_rank(marts.stored(t, "mv_teacher_workload", marts.teacher_workload), "total_students", "students_rank")
         .orderBy(F.desc("total_students"), "teacher_id")
         .select(
             "teacher_id",

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from learnmart.model import Tables
 
@@ -88,3 +90,57 @@ class Deltas:
         rest = [c for c in base.columns if c not in self.keys]
         newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
         return newest.select(*self.keys, "_r.*").select(*base.columns)
+
+
+BUCKETS = 64
+FOLD_EVERY = 16
+
+
+class KeyedState:
+    """Rows by key that a stream changes: a base in key buckets, the changes of each batch, and folds of both.
+
+    A batch looks only at the buckets its own keys fall into: rows are written
+    sorted by bucket, so the filter prunes files and row groups.  Before every
+    ``fold_every``-th batch the changes so far are folded into a new base, so a
+    batch never reads more than ``fold_every`` batches of changes.  Folds and
+    changes are in folders named by the batch and replace themselves when it is
+    delivered again; each is complete before the next batch begins.
+    """
+
+    def __init__(self, deltas: Deltas, base: DataFrame, buckets: int = BUCKETS, fold_every: int = FOLD_EVERY):
+        self.deltas, self.columns, self.schema = deltas, base.columns, base.schema
+        self.buckets, self.fold_every = buckets, fold_every
+        self._save(base, 0)  # once per start of the stream
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.deltas.keys]), F.lit(self.buckets)).cast("int")
+
+    def _save(self, rows: DataFrame, at: int) -> None:
+        placed = rows.withColumn("_bucket", self._bucket()).repartitionByRange("_bucket").sortWithinPartitions("_bucket")
+        placed.write.mode("overwrite").parquet(f"{self.deltas.path}-base/upto={at}")
+
+    def _saved(self, at: int) -> DataFrame:
+        schema = T.StructType([*self.schema, T.StructField("_bucket", T.IntegerType())])
+        return self.deltas.spark.read.schema(schema).parquet(f"{self.deltas.path}-base/upto={at}")
+
+    def _rows(self, fold: int, before: int, touched: list[int] | None) -> DataFrame:
+        """The newest rows before a batch, from one fold and the changes after it."""
+        parts = [self._saved(fold).withColumn("batch", F.lit(-1))]
+        for batch in range(fold, before):  # at most fold_every
+            changes = self.deltas.spark.read.schema(self.schema).parquet(f"{self.deltas.path}/batch={batch}")
+            parts.append(changes.withColumn("_bucket", self._bucket()).withColumn("batch", F.lit(batch)))
+        rows = reduce(DataFrame.unionByName, parts)
+        if touched is not None:
+            rows = rows.filter(F.col("_bucket").isin(touched))
+        keys = self.deltas.keys
+        rest = [c for c in self.columns if c not in keys]
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
+        return newest.select(*keys, "_r.*").select(*self.columns)
+
+    def before(self, batch_id: int, batch: DataFrame) -> DataFrame:
+        """The stored rows a batch may touch."""
+        fold = batch_id - batch_id % self.fold_every
+        if fold == batch_id > 0:
+            self._save(self._rows(fold - self.fold_every, fold, None), fold)
+        touched = [r[0] for r in batch.select(self._bucket().alias("b")).distinct().collect()]  # at most ``buckets``
+        return self._rows(fold, batch_id, touched)

@@ -19,9 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from learnmart.functions.exprs import hash_id
 from learnmart.model import Tables
 from learnmart.operators import constraints, jobs, rules
-from learnmart.sources.store import Deltas
-
-SMALL_BATCH_ROWS = 500_000
+from learnmart.sources.store import Deltas, KeyedState
 
 
 @dataclass
@@ -47,12 +45,6 @@ def _start(source: DataFrame, sink: Sink, handle: Callable[[DataFrame, int], Non
     )
 
 
-def _keys_if_small(rows: DataFrame, keys: list[str], limit: int = SMALL_BATCH_ROWS) -> DataFrame | None:
-    """The batch's distinct keys when they are few enough to broadcast."""
-    distinct = rows.select(*keys).distinct()
-    return distinct if distinct.limit(limit + 1).count() <= limit else None
-
-
 def stream_submissions(t: Tables, source: DataFrame, sink: Sink) -> StreamingQuery:
     """Hand-ins -> score rules and constraints -> one per (homework, student) -> automatic grading.
 
@@ -60,6 +52,7 @@ def stream_submissions(t: Tables, source: DataFrame, sink: Sink) -> StreamingQue
     """
     keys = ["homework_id", "student_id"]
     accepted = sink.deltas(t, "accepted", keys)
+    stored = KeyedState(accepted, t.homework_submissions.withColumn("id", F.col("id").cast("string")))
     judged = sink.deltas(t, "judged", ["id"])
     columns = t.homework_submissions.columns
 
@@ -72,12 +65,7 @@ def stream_submissions(t: Tables, source: DataFrame, sink: Sink) -> StreamingQue
             .filter("n = 1")
             .select("id", F.lit(True).alias("is_first"))
         )
-        near = _keys_if_small(batch, keys)
-        known = t.homework_submissions.select(*keys)
-        if batch_id > 0:
-            known = known.union(accepted.read(batch_id).select(*keys))
-        if near is not None:
-            known = known.join(F.broadcast(near), keys, "left_semi")
+        known = stored.before(batch_id, batch).select(*keys)
         known = known.distinct().withColumn("is_known", F.lit(True))
         decided = (
             rows.join(first, "id", "left")
@@ -109,13 +97,14 @@ def stream_progress(t: Tables, source: DataFrame, sink: Sink) -> StreamingQuery:
     changes = sink.deltas(t, "changes", keys)
     log = sink.deltas(t, "log", ["id"])
     base = t.lesson_progress.withColumn("id", F.col("id").cast("string"))
+    stored = KeyedState(progress, base)
     columns = base.columns
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         events = batch.groupBy(*keys).agg(
             F.min(F.struct("ts", "event_id", "done")).alias("first"), F.max("ts").alias("last"), F.bool_or("done").alias("any_done")
         )
-        old = progress.current(base, batch_id, _keys_if_small(batch, keys)).select(
+        old = stored.before(batch_id, batch).select(
             *keys,
             F.col("id").alias("old_id"),
             F.col("is_completed").alias("was"),
@@ -161,11 +150,11 @@ def stream_enrolments(t: Tables, source: DataFrame, sink: Sink) -> StreamingQuer
     log = sink.deltas(t, "log", ["id"])
     queue = sink.deltas(t, "queue", ["id"])
     base = t.enrollments.withColumn("id", F.col("id").cast("string"))
+    stored = KeyedState(enrolments, base)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        near = _keys_if_small(batch, keys)
-        now = t.replace(enrollments=enrolments.current(base, batch_id, near))
-        decided = jobs.decide_enrolments(now, batch, small=near is not None)
+        now = t.replace(enrollments=stored.before(batch_id, batch))
+        decided = jobs.decide_enrolments(now, batch)
         written = decisions.write(batch_id, decided)
         touched = written.filter(F.col("outcome").isin("enrolled", "reactivated"))
         change = jobs.apply_enrolments(now, touched)

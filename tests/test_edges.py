@@ -163,8 +163,8 @@ def test_results_do_not_depend_on_broadcasts(school, query):
     assert sorted(map(str, query(plain).collect())) == sorted(map(str, query(school).collect()))
 
 
-def test_courses_with_more_items_than_bits(spark, school):
-    """A course with 130 lessons and homework: nothing is lost beyond the first word."""
+def test_long_courses(spark, school):
+    """A course with 130 lessons and homework; facts stay as wide as for any other."""
     n = 130
     lessons = typed(spark, "lessons", [(f"X{i:03d}", "M03", f"X{i}", "video", i + 1, "v", 10, i % 5 != 0, AS_OF) for i in range(n)],
                     ["id", "module_id", "title", "lesson_type", "order_index", "video_url", "duration_minutes", "is_published", "created_at"])
@@ -176,7 +176,6 @@ def test_courses_with_more_items_than_bits(spark, school):
                  ["id", "homework_id", "student_id", "answer_text", "status", "submitted_at"])
     extra = {"lessons": lessons, "homeworks": work, "lesson_progress": done, "homework_submissions": sent}
     t = school.replace(**{k: school.frames[k].unionByName(df) for k, df in extra.items()})
-    assert (t.catalogue_size.lesson_words, t.catalogue_size.homework_words) == (3, 3)
     todo = {r.homework_title for r in students.unsubmitted(t).filter("student_id = 'U20' and homework_title like 'Y%'").collect()}
     assert todo == {f"Y{i}" for i in range(n) if i % 2 and i % 5}
     seen = {r.lesson_id: r.is_completed for r in pages.lesson_detail(t, "U20").filter("lesson_id like 'X%'").collect()}

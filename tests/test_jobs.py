@@ -8,9 +8,10 @@ import seed
 from pyspark.sql import functions as F
 
 from learnmart.model import Tables
-from learnmart.operators import jobs, marts, refresh, rules
+from learnmart.operators import jobs, lookups, marts, refresh, rules
+from learnmart.plans import admin, students
 from learnmart.session import shuffle_partitions
-from learnmart.sources.store import Deltas, Store
+from learnmart.sources.store import Deltas, KeyedState, Store
 from learnmart.sources.tables import read_tables, write_tables
 from learnmart.sources.workspace import workspace
 
@@ -212,3 +213,50 @@ def test_deltas_replace_a_repeated_batch(spark):
     assert sorted(map(tuple, deltas.current(base, 2).collect())) == [(1, "a"), (2, "d"), (3, "e")]
     near = spark.createDataFrame([(3,)], "k int")
     assert [tuple(r) for r in deltas.current(base, 2, near).collect()] == [(3, "e")]
+
+
+def test_keyed_state_over_folds(spark):
+    """Every batch sees the newest rows of its keys, before and after folds, and when delivered again."""
+    base = spark.createDataFrame([(k, "base") for k in range(20)], "k int, v string")
+    deltas = Deltas(spark, workspace(spark, "state"), ["k"])
+    state = KeyedState(deltas, base, buckets=8, fold_every=3)
+    model = {k: "base" for k in range(20)}
+    for batch_id in range(8):
+        rows = spark.createDataFrame([(k, f"b{batch_id}") for k in ((batch_id * 3) % 20, (batch_id * 3 + 1) % 20, 100 + batch_id)], "k int, v string")
+        for _ in range(2 if batch_id in (3, 4) else 1):
+            seen = {r.k: r.v for r in state.before(batch_id, rows).collect()}
+            assert all(seen.get(r.k) == model.get(r.k) for r in rows.collect()) and seen.items() <= model.items()
+            deltas.write(batch_id, rows)
+        model |= {r.k: r.v for r in rows.collect()}
+
+
+def test_reports_read_the_stored_marts(spark, school):
+    """A report over stored marts shows the last refresh, whatever has changed since."""
+    store = Store(spark, workspace(spark, "marts"))
+    refresh.refresh_marts(school, store)
+    later = school.replace(homework_submissions=school.homework_submissions.limit(0), lesson_progress=school.lesson_progress.limit(0))
+    seen = refresh.with_marts(later, store)
+    for report in (admin.dashboard, admin.ranking, admin.workload, students.ranking_topic, lookups.course_stats, lookups.teacher_students):
+        now, then = (sorted(map(str, report(t).collect())) for t in (seen, school))
+        assert now == then
+        assert now != sorted(map(str, report(later).collect()))
+
+
+def test_load_refuses_what_the_tables_forbid(spark, school):
+    """First reason of each row; a refused row takes no key from a good one."""
+    work = school.homework_submissions.select("homework_id", "student_id").distinct()
+    free = school.homeworks.filter("check_type = 'manual'").select(F.col("id").alias("homework_id")).crossJoin(
+        school.users.filter("role = 'student'").select(F.col("id").alias("student_id"))).join(work, ["homework_id", "student_id"], "left_anti").first()
+    h, s, at = free.homework_id, free.student_id, school.as_of
+    taken = work.first()
+    rows = [("N1", h, s, None, None, None, "submitted"), ("N2", h, s, "a", None, None, "graded"), ("N3", h, s, "a", None, -1, "checked"),
+            ("N4", h, "nobody", "a", None, None, "submitted"), ("N5", h, s, "a", None, None, "submitted"), ("N6", h, s, "a", None, None, "submitted"),
+            ("N7", taken.homework_id, taken.student_id, "a", None, None, "submitted"), ("N8", None, s, "a", None, None, "submitted")]
+    new = spark.createDataFrame([(*r, None, None, at) for r in rows], ", ".join(
+        f"{c} {'short' if c == 'score' else 'timestamp' if c.endswith('_at') else 'string'}" for c in
+        ("id", "homework_id", "student_id", "answer_text", "answer_url", "score", "status", "checked_by", "checked_at", "submitted_at")))
+    after, rejects = jobs.load_rows(school, {"homework_submissions": new})
+    assert {(r.reason, r["rows"]) for r in rejects.collect()} == {
+        ("answer_provided", 1), ("status_not_allowed", 1), ("score_not_negative", 1), ("student_id_unknown", 1),
+        ("homework_id_student_id_taken", 2), ("homework_id_required", 1)}
+    assert {r.id for r in after.homework_submissions.select("id").subtract(school.homework_submissions.select("id")).collect()} == {"N5"}
