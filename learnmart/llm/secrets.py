@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from learnmart.llm.common import col, cut, table, unused
@@ -21,6 +21,7 @@ from learnmart.llm.common import col, cut, table, unused
 CONTEXT_CHARS = 64
 DICTIONARY_WORDS = 2000  # most frequent words by documents; the dictionary is a top-k by definition
 LEAST_WORD = 4
+CHOICE_GROUPS = 64
 TRAIN_ROWS = 4000  # labelled findings of the query's own training set, in expectation
 TREES, DEPTH, SEED = 40, 7, 7
 
@@ -81,7 +82,10 @@ def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY_WORDS
     """The ``size`` words found in most documents, counted over all documents and whole texts."""
     words = F.array_distinct(F.split(F.lower(col(text)), r"[^\p{L}]+"))
     counted = docs.select(F.explode(words).alias("word")).filter(F.length("word") >= LEAST_WORD).groupBy("word").agg(F.count("*").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "word").limit(size).collect()
+    # the best of each of a fixed number of groups, so the rows that meet for the last choice do not grow with the partitions
+    best = Window.partitionBy(F.pmod(F.xxhash64("word"), F.lit(CHOICE_GROUPS))).orderBy(F.desc("n"), "word")
+    chosen = counted.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= size)
+    rows = chosen.select("word", "n").orderBy(F.desc("n"), "word").limit(size).collect()
     seen: Counter = Counter()
     for word, n in rows:
         marks = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in word]
