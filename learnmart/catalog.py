@@ -139,16 +139,22 @@ JOB_STEPS = {
 }
 
 
+def _ran(job: str, t: Tables) -> tuple[Tables, DataFrame, jobs.Change]:
+    """A job's start, written decisions and change; a batch is decided once, however many of its outputs are asked for."""
+    done = t.__dict__.setdefault("_ran", {})
+    if job not in done:
+        state, feed, decide, apply = JOB_STEPS[job]
+        start = state(t)
+        done[job] = (start, *jobs.run(start, feed(start), decide, apply))
+    return done[job]
+
+
 def _decided(job: str, t: Tables) -> tuple[Tables, DataFrame]:
-    state, feed, decide, _ = JOB_STEPS[job]
-    start = state(t)
-    return start, decide(start, feed(t))
+    return _ran(job, t)[:2]
 
 
 def _change(job: str, t: Tables) -> jobs.Change:
-    state, feed, decide, apply = JOB_STEPS[job]
-    start = state(t)
-    return jobs.run(start, feed(start), decide, apply)[1]
+    return _ran(job, t)[2]
 
 
 def _outcomes(job: str):

@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from learnmart import schemas
 from learnmart.functions.exprs import full_name, hash_id, period_end, zero
 from learnmart.model import Tables
 from learnmart.operators import constraints, rules
@@ -170,7 +171,7 @@ def apply_enrolments(t: Tables, decisions: DataFrame) -> Change:
     inserted = rules.log_rows(
         fresh,
         t.now,
-        "enroll",
+        schemas.Action.ENROLL,
         "course",
         "student_id",
         "course_id",
@@ -180,7 +181,7 @@ def apply_enrolments(t: Tables, decisions: DataFrame) -> Change:
     by_admin = rules.log_rows(
         done,
         t.now,
-        "admin_enroll",
+        schemas.Action.ADMIN_ENROLL,
         "enrollment",
         "admin_id",
         "course_id",
@@ -252,7 +253,7 @@ def apply_payments(t: Tables, decisions: DataFrame) -> Change:
     )
     fields = ("student_id", "course_id", "course_title", "amount", "subscription_type", "period_start", "period_end")
     log = rules.log_rows(
-        done, t.now, "record_payment", "payment", "admin_id", "payment_id", {c: F.col(c) for c in fields}, [F.col("cmd_id")]
+        done, t.now, schemas.Action.RECORD_PAYMENT, "payment", "admin_id", "payment_id", {c: F.col(c) for c in fields}, [F.col("cmd_id")]
     )
     return Change(appends={"payments": rows, "activity_log": log})
 
@@ -346,7 +347,7 @@ def apply_grades(t: Tables, decisions: DataFrame) -> Change:
     log = rules.log_rows(
         done,
         t.now,
-        "check_homework",
+        schemas.Action.CHECK_HOMEWORK,
         "homework_submission",
         "teacher_id",
         "submission_id",
@@ -433,7 +434,7 @@ def apply_deactivations(t: Tables, decisions: DataFrame) -> Change:
     unenrolled = rules.log_rows(
         left,
         t.now,
-        "unenroll",
+        schemas.Action.UNENROLL,
         "course",
         "student_id",
         "course_id",
@@ -443,7 +444,7 @@ def apply_deactivations(t: Tables, decisions: DataFrame) -> Change:
     by_admin = rules.log_rows(
         valid,
         t.now,
-        "deactivate_student",
+        schemas.Action.DEACTIVATE_STUDENT,
         "user",
         "admin_id",
         "student_id",
@@ -504,11 +505,11 @@ def apply_completions(t: Tables, decisions: DataFrame) -> Change:
     )
     none = decisions.filter("outcome = 'inserted'")
     viewed = rules.log_rows(
-        none, t.now, "view_lesson", "lesson", "student_id", "lesson_id", {"first_view": F.lit(True)},
+        none, t.now, schemas.Action.VIEW_LESSON, "lesson", "student_id", "lesson_id", {"first_view": F.lit(True)},
         [F.col("student_id"), F.col("lesson_id")],
     )
     completed = rules.log_rows(
-        done, t.now, "complete_lesson", "lesson", "student_id", "lesson_id", {"completed_at": rules.iso(t.now)},
+        done, t.now, schemas.Action.COMPLETE_LESSON, "lesson", "student_id", "lesson_id", {"completed_at": rules.iso(t.now)},
         [F.col("student_id"), F.col("lesson_id"), rules.iso(t.now)],
     )
     return Change(tables={"lesson_progress": append(updated, fresh)}, appends={"activity_log": viewed.union(completed)})

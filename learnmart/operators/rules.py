@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from learnmart import schemas
 from learnmart.functions.exprs import hash_id
 from learnmart.model import Tables
 from learnmart.schemas import MARTS
@@ -119,7 +120,7 @@ def log_enrolments(old: DataFrame, new: DataFrame, at: Column) -> DataFrame:
     inserted = log_rows(
         diff.filter("_was is null"),
         at,
-        "enroll",
+        schemas.Action.ENROLL,
         "course",
         "student_id",
         "course_id",
@@ -129,7 +130,7 @@ def log_enrolments(old: DataFrame, new: DataFrame, at: Column) -> DataFrame:
     left = log_rows(
         diff.filter("_was and not is_active"),
         at,
-        "unenroll",
+        schemas.Action.UNENROLL,
         "course",
         "student_id",
         "course_id",
@@ -146,7 +147,7 @@ def log_progress(old: DataFrame, new: DataFrame, at: Column) -> DataFrame:
     viewed = log_rows(
         diff.filter("_was is null"),
         at,
-        "view_lesson",
+        schemas.Action.VIEW_LESSON,
         "lesson",
         "student_id",
         "lesson_id",
@@ -156,7 +157,7 @@ def log_progress(old: DataFrame, new: DataFrame, at: Column) -> DataFrame:
     done = log_rows(
         diff.filter("not _was and is_completed"),
         at,
-        "complete_lesson",
+        schemas.Action.COMPLETE_LESSON,
         "lesson",
         "student_id",
         "lesson_id",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from learnmart import schemas
 from learnmart.functions.exprs import day, full_name, over, stamp, zero
 from learnmart.model import Tables
 from learnmart.operators import lookups, marts
@@ -119,8 +120,8 @@ def activity(t: Tables) -> DataFrame:
     action = F.col("action")
     daily = t.activity_log.groupBy("user_id", F.to_date("created_at").alias("d")).agg(
         F.count("*").alias("n"),
-        F.count(F.when(action == "view_lesson", 1)).alias("v"),
-        F.count(F.when(action == "complete_lesson", 1)).alias("c"),
+        F.count(F.when(action == schemas.Action.VIEW_LESSON, 1)).alias("v"),
+        F.count(F.when(action == schemas.Action.COMPLETE_LESSON, 1)).alias("c"),
         F.count(F.when(action == "submit_hw", 1)).alias("h"),
         F.max("created_at").alias("last"),
     )

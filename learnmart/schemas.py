@@ -25,6 +25,21 @@ GRADED = ("checked", "auto_checked")
 MARTS = ("mv_admin_dashboard", "mv_student_scores", "mv_course_completion", "mv_teacher_workload")
 
 
+class Action:
+    """Actions of activity-log rows."""
+
+    ENROLL = "enroll"
+    UNENROLL = "unenroll"
+    ADMIN_ENROLL = "admin_enroll"
+    RECORD_PAYMENT = "record_payment"
+    CHECK_HOMEWORK = "check_homework"
+    DEACTIVATE_STUDENT = "deactivate_student"
+    VIEW_LESSON = "view_lesson"
+    COMPLETE_LESSON = "complete_lesson"
+
+
+# Entity types of log rows are course, enrollment, lesson, payment, submission and user; the keys of their
+# metadata are the names given where a row is made.
 TYPES = {
     "string": T.StringType(),
     "boolean": T.BooleanType(),

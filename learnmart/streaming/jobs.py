@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from learnmart import schemas
 from learnmart.functions.exprs import hash_id
 from learnmart.model import Tables
 from learnmart.operators import constraints, jobs, rules
@@ -130,11 +131,11 @@ def stream_progress(t: Tables, source: DataFrame, sink: Sink) -> StreamingQuery:
         )
         progress.write(batch_id, new.select(*columns))
         viewed = rules.log_rows(
-            written.filter("inserted"), t.now, "view_lesson", "lesson", "student_id", "lesson_id",
+            written.filter("inserted"), t.now, schemas.Action.VIEW_LESSON, "lesson", "student_id", "lesson_id",
             {"first_view": F.lit(True)}, [F.col("student_id"), F.col("lesson_id")],
         )
         done = rules.log_rows(
-            written.filter("completed"), t.now, "complete_lesson", "lesson", "student_id", "lesson_id",
+            written.filter("completed"), t.now, schemas.Action.COMPLETE_LESSON, "lesson", "student_id", "lesson_id",
             {"completed_at": rules.iso(t.now)}, [F.col("student_id"), F.col("lesson_id"), rules.iso(t.now)],
         )
         log.write(batch_id, viewed.union(done))
@@ -176,8 +177,8 @@ def stream_last_activity(t: Tables, source: DataFrame, sink: Sink) -> StreamingQ
     action = F.col("action")
     running = source.groupBy("user_id").agg(
         F.count("*").alias("actions"),
-        F.count(F.when(action == "view_lesson", 1)).alias("lessons_viewed"),
-        F.count(F.when(action == "complete_lesson", 1)).alias("lessons_completed"),
+        F.count(F.when(action == schemas.Action.VIEW_LESSON, 1)).alias("lessons_viewed"),
+        F.count(F.when(action == schemas.Action.COMPLETE_LESSON, 1)).alias("lessons_completed"),
         F.count(F.when(action == "submit_hw", 1)).alias("homeworks_sent"),
         F.max("created_at").alias("last_activity_at"),
     )
