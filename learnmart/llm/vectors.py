@@ -1,19 +1,18 @@
-"""Near duplicates among embeddings by robust-pruned flat graphs.
+"""Near duplicates among embeddings by exact comparison in blocks.
 
-Vectors of a label fall into overlapping cells around pivots; every cell is cut into blocks of bounded
-size, each block gets a robust-pruned graph, and the adjacency lists a vector has in several graphs are
-united.  Every vector then searches the graphs of its own cell from their medoids, goes on from everything
-within the radius, and what it finds is verified in double precision.  Recall is audited by brute force.
+Vectors of a label are dealt by hash into blocks of bounded size, and every pair of blocks of a label is
+compared by one matrix product: single precision decides what is clear of the threshold, double precision
+the rest.  No index stands between a vector and its links, so none is lost, whatever the shape of the
+groups; the work is quadratic in the vectors of a label.  A brute-force audit of a sample watches over it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,19 +24,14 @@ THRESHOLD = 0.93
 @dataclass(frozen=True)
 class Settings:
     threshold: float = THRESHOLD
-    cell_rows: int = 250  # vectors per pivot, in expectation
-    most_pivots: int = 8192  # bound of the pivots that are broadcast; beyond it cells grow and are cut into more blocks
-    overlap: int = 3  # cells that hold a vector
-    block_rows: int = 2000  # vectors of one graph, in expectation
-    degree: int = 24  # out-neighbours after pruning
-    pool: int = 96  # candidates that pruning looks at
-    alpha: float = 1.2  # pruning slack (on distances)
-    beam: int = 48  # nodes a search keeps
-    step: int = 8  # nodes a search expands at a time
-    slack: float = 0.05  # a search goes on from nodes this much below the threshold
+    block_rows: int = 2000  # vectors of one block, in expectation
     audit_rows: int = 256  # vectors held against brute force, in expectation
-    recall: float = 0.98  # audited recall below which the graphs are built anew with more overlap
-    tries: int = 3
+    recall: float = 0.98  # audited recall below which the job fails
+    # of the former graph search; taken from callers and not looked at, as the comparison leaves nothing out
+    cell_rows: int = 250
+    degree: int = 24
+    pool: int = 96
+    beam: int = 48
 
 
 def usable(rows: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
@@ -55,194 +49,63 @@ def usable(rows: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
     return unit.withColumn("label", F.concat_ws(":", F.size("vec").cast("string"), "label")).drop("norm")
 
 
-def pivots(reps: DataFrame, s: Settings) -> dict[str, np.ndarray]:
-    """Pivots by label, a bounded sample drawn by hash: one in ``cell_rows`` vectors, at most about ``most_pivots`` in all.
+def linked(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of ``left`` and ``right`` (unit vectors) have a cosine of at least the threshold in double precision."""
+    sims = left.astype(np.float32) @ right.astype(np.float32).T
+    # rounding of the components and of a sum of so many products, twice over
+    margin = np.float32(4 * (left.shape[1] + 4) * 2.0 ** -24)
+    near = sims >= threshold + margin
+    i, j = np.nonzero((sims >= threshold - margin) & ~near)
+    for at in range(0, len(i), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        near[i[part], j[part]] = np.einsum("ij,ij->i", left[i[part]], right[j[part]]) >= threshold
+    return near
 
-    Labels with fewer vectors than a cell have none and are a cell by themselves.
-    """
-    counts = reps.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > s.cell_rows)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rate = min(1.0 / s.cell_rows, s.most_pivots / max(1, total))
-    drawn = F.pmod(F.xxhash64("rep", F.lit("pivot")), F.lit(1 << 32)) < F.lit(int(rate * (1 << 32)))
-    rows = reps.join(counts.select("label"), "label", "left_semi").filter(drawn).select("label", "vec").toPandas()
-    return {label: np.stack(group.to_list()) for label, group in rows.groupby("label")["vec"]}
-
-
-def _cells(batches: Iterator[pa.RecordBatch], centers: dict[str, np.ndarray], overlap: int) -> Iterator[pa.RecordBatch]:
-    """Each vector once for each of its nearest cells; ``home`` marks the nearest."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        labels = np.array(batch.column("label").to_pylist(), object)
-        flat, size = batch.column("vec"), None
-        rows, cells, home = [], [], []
-        for label in dict.fromkeys(labels):
-            at = np.nonzero(labels == label)[0]
-            if label in centers:
-                vecs = np.stack(flat.take(pa.array(at)).to_numpy(zero_copy_only=False))
-                near = np.argsort(-(vecs @ centers[label].T), axis=1, kind="stable")[:, :overlap]
-            else:
-                near = np.zeros((len(at), 1), np.int64)
-            rows.append(np.repeat(at, near.shape[1]))
-            cells.append(near.ravel())
-            home.append((np.arange(near.size) % near.shape[1]) == 0)
-        take = pa.array(np.concatenate(rows))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("rep").take(take), batch.column("n").take(take), batch.column("label").take(take), flat.take(take),
-             pa.array(np.concatenate(cells).astype(np.int64)), pa.array(np.concatenate(home))],
-            ["rep", "n", "label", "vec", "cell", "home"])
-
-
-def robust_prune(sims: np.ndarray, pool: int, degree: int, alpha: float) -> np.ndarray:
-    """Out-neighbours of every node of a block, -1 where there are fewer.
-
-    From the ``pool`` nearest candidates the nearest is kept, candidates that
-    are ``alpha`` times nearer to it than to the node go, and so on.
-    """
-    n = len(sims)
-    width = min(pool, n - 1)
-    out = np.full((n, degree), -1, np.int64)
-    if width < 1:
-        return out
-    masked = sims.copy()
-    np.fill_diagonal(masked, -np.inf)
-    near = np.argpartition(-masked, width - 1, axis=1)[:, :width]
-    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(masked, near, 1), axis=1, kind="stable"), 1)
-    own = 2 - 2 * np.take_along_axis(sims, near, 1)  # squared distances
-    alive, every = np.ones(near.shape, bool), np.arange(n)
-    for k in range(degree):
-        first = alive.argmax(1)
-        any_left = alive[every, first]
-        if not any_left.any():
-            break
-        pick = near[every, first]
-        out[any_left, k] = pick[any_left]
-        between = 2 - 2 * sims[pick[:, None], near]
-        alive &= ~(alpha * alpha * between <= own)
-        alive[every, first] = False
-    return out
-
-
-def build_graph(block: pd.DataFrame, s: Settings) -> pd.DataFrame:
-    """(rep, neighbours) of one block; every node also points back from its neighbours' side."""
-    reps = block["rep"].to_numpy()
-    vecs = np.stack(block["vec"].to_list()).astype(np.float64)
-    out = robust_prune(vecs @ vecs.T, s.pool, s.degree, s.alpha)
-    source, k = np.nonzero(out >= 0)
-    target = out[source, k]
-    pairs = np.unique(np.concatenate([np.stack([source, target], 1), np.stack([target, source], 1)]), axis=0)
-    starts = np.searchsorted(pairs[:, 0], np.arange(len(reps) + 1))
-    return pd.DataFrame({"rep": reps, "nbrs": [reps[pairs[a:b, 1]] for a, b in zip(starts[:-1], starts[1:])]})
 
-
-def range_search(queries: np.ndarray, vecs: np.ndarray, nbrs: np.ndarray, s: Settings, block: int = 256) -> Iterator[tuple]:
-    """(query numbers, node numbers) of all nodes found within the threshold, block by block of queries.
-
-    Greedy search from the medoid keeps the ``beam`` best nodes seen and expands
-    the best not yet expanded, ``step`` at a time; nodes within ``slack`` of the threshold are
-    expanded whether in the beam or not, until none is left.
-    """
-    n, width = len(vecs), nbrs.shape[1]
-    medoid = int((vecs @ vecs.mean(0)).argmax())
-    for at in range(0, len(queries), block):
-        q = queries[at:at + block]
-        m = len(q)
-        seen = np.full((m, n + 1), -np.inf)  # similarity where seen; column n takes the missing neighbours
-        open_ = np.zeros((m, n + 1), bool)
-        seen[:, medoid], open_[:, medoid] = q @ vecs[medoid], True
-        active, width_now = np.arange(m), min(s.step, n)
-        while len(active):
-            score = np.where(open_[active], seen[active], -np.inf)
-            best = np.argpartition(-score, width_now - 1, axis=1)[:, :width_now]
-            top = np.take_along_axis(score, best, 1)
-            if n > s.beam:
-                worst = -np.partition(-seen[active], s.beam - 1, axis=1)[:, s.beam - 1]
-            else:
-                worst = np.full(len(active), -np.inf)
-            go = np.isfinite(top) & ((top >= worst[:, None]) | (top >= s.threshold - s.slack))
-            some = go.any(1)
-            active, best, go = active[some], best[some], go[some]
-            if not len(active):
-                break
-            r, k = np.nonzero(go)
-            at_query, node = active[r], best[r, k]
-            open_[at_query, node] = False
-            reached = np.zeros((m, n + 1), bool)
-            reached[at_query[:, None], nbrs[node]] = True
-            reached[:, n] = False
-            i, j = np.nonzero(reached & np.isneginf(seen))
-            seen[i, j] = np.einsum("ij,ij->i", q[i], vecs[j])
-            open_[i, j] = True
-        yield np.nonzero(seen[:, :n] >= s.threshold - 1e-6) + (at,)
-
-
-def search_block(block: pd.DataFrame, queries: pd.DataFrame, s: Settings) -> pd.DataFrame:
-    """Rows (rep, found, least) of one block: how many rows each query of the cell links to in it, and the links' forest.
+def compare(left: pd.DataFrame, right: pd.DataFrame | None, s: Settings) -> pd.DataFrame:
+    """Rows (rep, found, least) of a pair of blocks, or of one block with itself: a row per vector that has a link in it.
 
     Links are counted, not listed: ``found`` sums the rows of the linked
-    vectors, ``least`` is the smallest vector that links of this block reach.
+    vectors, ``least`` is the smallest vector that links of this pair reach.
     """
-    reps, weight = block["rep"].to_numpy(), block["n"].to_numpy()
-    vecs = np.stack(block["vec"].to_list()).astype(np.float64)
-    index = pd.Index(reps)
-    lists = [index.get_indexer(x) for x in block["nbrs"]]  # united lists also name vectors of other blocks
-    lists = [x[x >= 0] for x in lists]
-    width = max(1, max(map(len, lists)))
-    nbrs = np.full((len(reps), width), len(reps), np.int64)
-    for i, x in enumerate(lists):
-        nbrs[i, :len(x)] = x
-    asked = queries["rep"].to_numpy()
-    points = np.stack(queries["vec"].to_list()).astype(np.float64)
-    found = np.zeros(len(asked), np.int64)
-    union = np.unique(np.concatenate([asked, reps]))
-    label = np.arange(len(union))
-    of_query, of_node = np.searchsorted(union, asked), np.searchsorted(union, reps)
-    for i, j, at in range_search(points, vecs, nbrs, s):
-        i = i + at
-        # the check: cosine of unit vectors in double precision; a vector does not link with itself
-        sure = (np.einsum("ij,ij->i", points[i], vecs[j]) >= s.threshold) & (asked[i] != reps[j])
-        i, j = i[sure], j[sure]
-        np.add.at(found, i, weight[j])
-        a, b = label[of_query[i]], label[of_node[j]]
-        label = roots(len(union), a, b)[label]
-    out = pd.DataFrame({"rep": asked, "found": found, "least": union[label[of_query]]})
-    moved = np.setdiff1d(np.nonzero(label != np.arange(len(union)))[0], of_query)
-    return pd.concat([out, pd.DataFrame({"rep": union[moved], "found": np.zeros(len(moved), np.int64), "least": union[label[moved]]})])
+    vecs, reps, weight = np.stack(left["vec"].to_list()), left["rep"].to_numpy(), left["n"].to_numpy()
+    if right is None:
+        near = linked(vecs, vecs, s.threshold)
+        np.fill_diagonal(near, False)  # a vector does not link with itself
+        # whichever way a cosine at the threshold is summed, a link has two ends
+        near |= near.T
+        i, j = np.nonzero(near)
+    else:
+        near = linked(vecs, np.stack(right["vec"].to_list()), s.threshold)
+        i, j = np.nonzero(near)
+        i, j = np.concatenate([i, j + len(reps)]), np.concatenate([j + len(reps), i])
+        reps, weight = np.concatenate([reps, right["rep"].to_numpy()]), np.concatenate([weight, right["n"].to_numpy()])
+    order = np.argsort(reps)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(reps))
+    least = reps[order][roots(len(reps), place[i], place[j])[place]]
+    found = np.zeros(len(reps), np.int64)
+    np.add.at(found, i, weight[j])
+    some = found > 0
+    return pd.DataFrame({"rep": reps[some], "found": found[some], "least": least[some]})
 
 
 def link_counts(reps: DataFrame, s: Settings) -> DataFrame:
-    """(rep, found, least) over all blocks of all cells, written."""
-    spark = reps.sparkSession
-    sent = spark.sparkContext.broadcast(pivots(reps, s))  # bounded by most_pivots
-    overlap = s.overlap
-    held = cut(reps.mapInArrow(lambda it: _cells(it, sent.value, overlap),
-                               "rep long, n long, label string, vec array<double>, cell long, home boolean"), "vector_cells")
-    sizes = cut(held.groupBy("label", "cell").agg(F.ceil(F.count("*") / s.block_rows).cast("long").alias("blocks")), "cell_sizes")
-    dealt = held.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")))
-    dealt = cut(dealt, "vector_blocks")
-    graph = dealt.groupBy("label", "cell", "block").applyInPandas(lambda b: build_graph(b, s), "rep long, nbrs array<long>")
-    # a vector has a list for each of its ``overlap`` cells at most
-    lists = graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
-    nodes = dealt.join(cut(lists, "vector_graph"), "rep", "left").select(
-        "label", "cell", "block", "rep", "n", "vec", F.coalesce("nbrs", F.array().cast("array<long>")).alias("nbrs"))
-    # home vectors ask all blocks of their cell, a batch of queries at a time
-    home = dealt.filter("home").select(
-        "label", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
-        F.col("block").alias("batch"), "rep", "vec")
-    batches = home.select("label", "cell", "block", "batch").distinct()
-    ask = home.withColumn("kind", F.lit(1)).select(
-        "label", "cell", "block", "batch", "kind", "rep", F.lit(0).cast("long").alias("n"), "vec", F.array().cast("array<long>").alias("nbrs"))
-    hold = nodes.join(batches, ["label", "cell", "block"]).select(
-        "label", "cell", "block", "batch", F.lit(0).alias("kind"), "rep", "n", "vec", "nbrs")
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes, queries = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
-        if nodes.empty or queries.empty:
+    """(rep, found, least) over all pairs of blocks of every label, written."""
+    sizes = cut(reps.groupBy("label").agg(F.ceil(F.count("*") / s.block_rows).cast("long").alias("blocks")), "block_sizes")
+    dealt = reps.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")))
+    # each block meets every block of its label once; blocks are bounded, so a hot label makes more pairs and no larger ones
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = other.select("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "n", "vec")
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = rows["low"].iat[0], rows["high"].iat[0]
+        left, right = rows[rows["block"] == low], rows[rows["block"] == high]
+        if left.empty or right.empty:
             return pd.DataFrame({"rep": [], "found": [], "least": []}).astype("int64")
-        return search_block(nodes, queries, s)
+        return compare(left, None if low == high else right, s)
 
-    found = hold.union(ask).groupBy("label", "cell", "block", "batch").applyInPandas(search, "rep long, found long, least long")
-    return cut(found, "vector_links")
+    return cut(pairs.groupBy("label", "low", "high").applyInPandas(meet, "rep long, found long, least long"), "vector_links")
 
 
 def audit(reps: DataFrame, counts: DataFrame, s: Settings) -> float:
@@ -282,8 +145,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embe
     counts as often as it occurs, so copies are not compared one by one.
     Repeated ids are rows of their own; ids are whole numbers; a null id names a
     component only if all its ids are null.  Other columns are not looked at, no
-    rows give none.  The audited recall is at least ``recall``, or the graphs
-    are built again with more overlap, or the job fails.
+    rows give none.  All vectors of a label are compared; the audited recall is
+    at least ``recall``, or the job fails.
     """
     ship(rows.sparkSession)
     s = settings
@@ -291,13 +154,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embe
     reps = vectors.filter("usable").groupBy("label", "vec").agg(
         F.count("*").alias("n"), F.min("vec_id").alias("first_id")).withColumn("rep", F.monotonically_increasing_id())
     reps = cut(reps, "vector_reps")
-    for attempt in range(s.tries):
-        counts = link_counts(reps.select("rep", "n", "label", "vec"), s)
-        if audit(reps, counts, s) >= s.recall:
-            break
-        s = replace(s, overlap=2 * s.overlap, beam=2 * s.beam, pool=2 * s.pool)
-    else:
-        raise ValueError("the graphs do not reach the asked recall")
+    counts = link_counts(reps.select("rep", "n", "label", "vec"), s)
+    if audit(reps, counts, s) < s.recall:
+        raise ValueError("the comparison does not reach the asked recall")
     stars = components(counts.select(F.col("rep").alias("a"), F.col("least").alias("b")), "vector_components")
     named = stars.join(reps.select("rep", "first_id"), stars.node == F.col("rep")).select("rep", "root", "first_id")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

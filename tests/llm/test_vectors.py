@@ -72,3 +72,26 @@ def test_audit_measures_what_is_missing(spark):
     full = spark.createDataFrame([(i, 19, 0) for i in range(20)], "rep long, found long, least long")
     half = spark.createDataFrame([(i, 19 * (i % 2), 0) for i in range(20)], "rep long, found long, least long")
     assert V.audit(reps, full, V.Settings()) == 1.0 and 0.3 < V.audit(reps, half, V.Settings()) < 0.7
+
+
+def near_group(rng, rows, dims=64, spread=0.015):
+    """Different vectors that are near copies of one another: every cosine is above the threshold."""
+    return rng.normal(size=dims) / np.sqrt(dims) + spread * rng.normal(size=(rows, dims)) / np.sqrt(dims / 64)
+
+
+def counted(spark, groups):
+    """Groups by vec_id and the links of every row found for them, all in one label."""
+    vecs = np.concatenate(groups).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vecs)], SCHEMA)
+    return np.repeat(np.arange(len(groups)), [len(g) for g in groups]), rows_of(V.near_duplicates(df))
+
+
+def test_a_near_copy_group_larger_than_any_block_keeps_all_links(spark):
+    rng = np.random.default_rng(5)
+    group, rest = near_group(rng, 5_000), rng.normal(size=(1_000, 64))
+    sims = (u := group / np.linalg.norm(group, axis=1, keepdims=True)) @ u[:200].T
+    assert sims.min() > 0.935  # clear of the threshold, so every member links with every other
+    _, got = counted(spark, [group, rest])
+    by_id = {r[0]: r for r in got}
+    assert all(by_id[i] == (i, 4_999, 0, i == 0) for i in range(5_000))
+    assert all(by_id[i] == (i, 0, i, True) for i in range(5_000, 6_000))
