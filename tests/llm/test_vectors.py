@@ -79,19 +79,39 @@ def near_group(rng, rows, dims=64, spread=0.015):
     return rng.normal(size=dims) / np.sqrt(dims) + spread * rng.normal(size=(rows, dims)) / np.sqrt(dims / 64)
 
 
-def counted(spark, groups):
-    """Groups by vec_id and the links of every row found for them, all in one label."""
-    vecs = np.concatenate(groups).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vecs)], SCHEMA)
-    return np.repeat(np.arange(len(groups)), [len(g) for g in groups]), rows_of(V.near_duplicates(df))
-
-
 def test_a_near_copy_group_larger_than_any_block_keeps_all_links(spark):
     rng = np.random.default_rng(5)
     group, rest = near_group(rng, 5_000), rng.normal(size=(1_000, 64))
     sims = (u := group / np.linalg.norm(group, axis=1, keepdims=True)) @ u[:200].T
     assert sims.min() > 0.935  # clear of the threshold, so every member links with every other
-    _, got = counted(spark, [group, rest])
-    by_id = {r[0]: r for r in got}
+    df = spark.createDataFrame([(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(np.concatenate([group, rest]))], SCHEMA)
+    by_id = {r[0]: r for r in rows_of(V.near_duplicates(df))}
     assert all(by_id[i] == (i, 4_999, 0, i == 0) for i in range(5_000))
     assert all(by_id[i] == (i, 0, i, True) for i in range(5_000, 6_000))
+
+
+def test_tight_groups_beside_a_large_one_are_all_found(spark):
+    rng = np.random.default_rng(6)
+    labels, groups = (1, 1, 2, 3, 3), [near_group(rng, n) for n in (110, 110, 900, 1_000, 120)]
+    rows, want = [], []
+    for label, group in zip(labels, groups):
+        first = len(rows)
+        rows += [(first + k, v.astype(np.float32).tolist(), label) for k, v in enumerate(group)]
+        want += [(first + k, len(group) - 1, first, k == 0) for k in range(len(group))]
+    got = rows_of(V.near_duplicates(spark.createDataFrame(rows, SCHEMA), settings=V.Settings(cell_rows=1_200)))
+    assert got == sorted(want, key=repr)
+
+
+def test_audit_sees_small_groups_beside_a_large_one(spark):
+    rng = np.random.default_rng(7)
+    reps, right = [], []
+    for g, n in enumerate((300, 20)):
+        for v in near_group(rng, n):
+            right.append((len(reps), n - 1, 0))
+            reps.append((len(reps), 1, "64:1", (v / np.linalg.norm(v)).tolist()))
+    reps = spark.createDataFrame(reps, "rep long, n long, label string, vec array<double>")
+    counts = lambda rows: spark.createDataFrame(rows, "rep long, found long, least long")
+    s = V.Settings(audit_rows=1_000)
+    assert V.audit(reps, counts(right), s) == 1.0
+    assert V.audit(reps, counts(right[:300]), s) < s.recall  # all links of the small group are missing
+    assert V.audit(reps, counts([(r, 2 * n, 0) for r, n, _ in right]), s) < s.recall  # links that are none
