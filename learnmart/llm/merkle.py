@@ -172,7 +172,7 @@ CLIMB = f"""
 
 
 @contextmanager
-def _unlimited(spark: SparkSession):
+def unlimited(spark: SparkSession):
     """Recursive queries of any number of rows (levels stay limited by their default of 100)."""
     key = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(key, None)
@@ -184,46 +184,52 @@ def _unlimited(spark: SparkSession):
 
 
 def climb(manifest: Manifest, upper_bytes: int = UPPER_BYTES) -> DataFrame:
-    """A row for every leaf and step of its way to the root: leaf_tree, leaf_at, step, siblings, folded; written.
+    """A row for every leaf and step of its way to the root: leaf_tree, leaf_at, step, up_storey, siblings, folded.
 
     Nodes high up have few rows and very many leaves below; those that are
     measured to fit are broadcast in each step.  Further down a node has at most
     as many leaves as make the levels above too large, and steps are joins by
-    exchange.  So no task sees all rows of a node that a third of the leaves share.
+    exchange, written before the climb goes on.  So no task sees all rows of a
+    node that a third of the leaves share.  To be run under ``unlimited``.
     """
     spark = manifest.leaves.sparkSession
     at = manifest.leaves.select(
         F.col("tree").alias("leaf_tree"), F.col("at").alias("leaf_at"), F.lit(0).alias("step"), "up_tree", "up_storey", "up_at", "place",
         F.lit("").cast("binary").alias("siblings"), F.col("changed").alias("folded"))
     if manifest.nodes is None:
-        return cut(at, "merkle_climb")
-    first_upper = max(manifest.sizes) + 1
-    room = upper_bytes
+        return at
+    top = max(manifest.sizes) + 1
+    first_upper, room = top, upper_bytes
     while first_upper > 1 and (room := room - manifest.sizes[first_upper - 1] * NODE_BYTES) >= 0:
         first_upper -= 1
     done = []
-    with _unlimited(spark):
-        for low, high, hint in ((1, first_upper, ""), (first_upper, max(manifest.sizes) + 1, "/*+ BROADCAST(n) */")):
-            if low < high:
-                nodes = manifest.nodes.filter(F.col("storey").between(low, high - 1))
-                steps = cut(spark.sql(CLIMB.replace("{hint}", hint), start=at, nodes=nodes), "merkle_climb")
+    for low, high, hint in ((1, first_upper, ""), (first_upper, top, "/*+ BROADCAST(n) */")):
+        if low < high:
+            nodes = manifest.nodes.filter(F.col("storey").between(low, high - 1))
+            steps = spark.sql(CLIMB.replace("{hint}", hint), start=at, nodes=nodes)
+            if high < top:
+                steps = cut(steps, "merkle_climb")
                 at = steps.filter(F.col("up_storey") >= high)  # where the next query goes on
-                done.append(steps.filter(F.isnull("up_storey") | (F.col("up_storey") < high)))
+                steps = steps.filter(F.isnull("up_storey") | (F.col("up_storey") < high))
+            done.append(steps)
     return reduce(DataFrame.union, done)
 
 
 def proofs(manifest: Manifest, upper_bytes: int = UPPER_BYTES) -> DataFrame:
     """A row per leaf: id, leaf, subroot, root, proof_sha256, folded_root, verified."""
-    steps = climb(manifest, upper_bytes)
-    whole = steps.groupBy("leaf_tree", "leaf_at").agg(  # a row per level
-        F.sort_array(F.collect_list(F.struct("step", "siblings"))).alias("way"), F.max_by("folded", "step").alias("folded"))
-    proof = F.aggregate("way", F.lit("").cast("binary"), lambda a, x: F.concat(a, x.siblings))
-    whole = whole.select("leaf_tree", "leaf_at", F.sha2(text_of(proof).cast("binary"), 256).alias("proof_sha256"), text_of(F.col("folded")).alias("folded_root"))
+    with unlimited(manifest.leaves.sparkSession):
+        steps = climb(manifest, upper_bytes)
+        whole = steps.groupBy("leaf_tree", "leaf_at").agg(  # a row per level
+            F.sort_array(F.collect_list(F.struct("step", "siblings"))).alias("way"),
+            F.max(F.when(F.isnull("up_storey"), F.col("folded"))).alias("folded"))
+        proof = F.aggregate("way", F.lit("").cast("binary"), lambda a, x: F.concat(a, x.siblings))
+        whole = cut(whole.select("leaf_tree", "leaf_at", F.unhex(F.sha2(text_of(proof).cast("binary"), 256)).alias("proof"), "folded"), "merkle_proofs")
     rows = manifest.leaves.join(whole, (F.col("tree") == F.col("leaf_tree")) & (F.col("at") == F.col("leaf_at"))).drop("leaf_tree", "leaf_at")
     rows = rows.join(small(cut(manifest.trees.select(F.col("tree").alias("of_tree"), "subroot"), "merkle_subroots")), F.col("tree") == F.col("of_tree"))
     return rows.select(
-        "id", text_of(F.col("leaf")).alias("leaf"), "subroot", F.lit(manifest.root).cast("string").alias("root"), "proof_sha256",
-        "folded_root", (F.col("folded_root") == F.lit(manifest.root)).alias("verified"))
+        "id", text_of(F.col("leaf")).alias("leaf"), "subroot", F.lit(manifest.root).cast("string").alias("root"),
+        text_of(F.col("proof")).alias("proof_sha256"), text_of(F.col("folded")).alias("folded_root"),
+        (text_of(F.col("folded")) == F.lit(manifest.root)).alias("verified"))
 
 
 # The letters that tampering lower-cases.
