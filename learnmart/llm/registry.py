@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from learnmart.llm import chat, dedup_exact, language, merkle, mixing, packing, secrets, sharding, simhash, vectors, warc
+from learnmart.llm import chat, codes, dedup_exact, language, merkle, mixing, packing, secrets, sharding, simhash, topk, vectors, warc
 
-MODULES = (chat, sharding, secrets, packing, vectors, mixing, warc, simhash, dedup_exact, language, merkle)
+MODULES = (chat, sharding, secrets, packing, vectors, mixing, warc, simhash, dedup_exact, language, merkle, topk, codes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
