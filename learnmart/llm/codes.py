@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from learnmart.llm.common import col, cut, ship, small, table
 
 SCALE = 256
-MOST = 2.0 ** 29  # components (whole numbers) beyond this have squares whose sums a long may not hold
+MOST = 2.0 ** 27  # components (whole numbers) beyond this have squares whose sums a long may not hold
 
 
 @dataclass(frozen=True)
