@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,14 +24,26 @@ WINDOW = 1024
 END_ID = 0
 GROUP_PIECES = 16_384  # tails that one task packs, in expectation
 CHUNK_CHARS = 1 << 18  # longer texts are tokenised in chunks
-RANKS = "byte_bpe_50k.tiktoken"  # the vocabulary of byte_bpe_50k.json as ranks
+TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"  # its vocabulary as ranks
 _CUT = re.compile(r"(?<=\S) (?=[^\W\d_])")
 
+
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """The tokens a tokenizer file adds to its vocabulary: wherever one stands in a text, it is one id and words end there."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    for token in found:
+        if any(token.get(flag) for flag in ("single_word", "lstrip", "rstrip", "normalized")) or _CUT.search(token["content"]):
+            raise ValueError(f"added token {token['content']!r} is not matched as it stands")
+    return tuple((token["content"], token["id"]) for token in found)
+
+
 @lru_cache(maxsize=2)
-def _encoding(path: str) -> tiktoken.Encoding:
+def _encoding(path: str, added: tuple[tuple[str, int], ...]) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
 def text_parts(text: str, most: int = CHUNK_CHARS) -> Iterator[str]:
@@ -46,19 +59,20 @@ def text_parts(text: str, most: int = CHUNK_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def token_ids(text: str, path: str) -> np.ndarray:
-    """The ids of a whole text; strings of special tokens are ordinary text."""
-    encoding = _encoding(path)
-    return np.concatenate([np.asarray(encoding.encode_ordinary(part), "<u4") for part in text_parts(text)])
+def token_ids(text: str, path: str, added: tuple[tuple[str, int], ...] = ()) -> np.ndarray:
+    """The ids of a whole text; strings of ``added`` tokens are those tokens."""
+    encoding = _encoding(path, added)
+    return np.concatenate([np.asarray(encoding.encode(part, allowed_special="all"), "<u4") for part in text_parts(text)])
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], window: int, end_id: int, path: str) -> Iterator[pa.RecordBatch]:
+def pieces_of(batches: Iterator[pa.RecordBatch], window: int, end_id: int, path: str,
+              added: tuple[tuple[str, int], ...] = ()) -> Iterator[pa.RecordBatch]:
     """Documents cut into full windows and one tail; every piece has a number of its own, the same in a repeated task."""
     number = TaskContext.get().partitionId() << 40
     for batch in batches:
         rows, out = [], []
         for row, text in enumerate(batch.column("text")):
-            ids = np.append(token_ids(text.as_py() or "", path), np.uint32(end_id)).astype("<u4")
+            ids = np.append(token_ids(text.as_py() or "", path, added), np.uint32(end_id)).astype("<u4")
             for at in range(0, len(ids), window):
                 part = ids[at:at + window]
                 rows.append(row)
@@ -142,10 +156,12 @@ PLACED = ["sequence_id", "offset", "padded_length"]
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID,
-         vocabulary: str | None = None, group_pieces: int = GROUP_PIECES) -> DataFrame:
+         vocabulary: str | None = None, group_pieces: int = GROUP_PIECES, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length.
 
     A document is its ids and ``end_id``; a null or empty text is that id alone.
+    Ids are those of the file ``tokenizer``, whose vocabulary ``vocabulary`` has
+    as ranks; tokens it adds (an end mark) are single ids wherever a text has them.
     Full windows are sequences by themselves.  Tails meet in groups of about
     ``group_pieces``, dealt by the number they have in the written table, so
     many equal ids or texts do not meet in one task; each group is packed
@@ -154,11 +170,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: in
     looked at, no rows give none.
     """
     ship(docs.sparkSession)
-    path = vocabulary or public_tokenizers.path(RANKS)
+    path, added = vocabulary or public_tokenizers.path(RANKS), added_tokens(tokenizer or public_tokenizers.path(TOKENIZER))
     rows = docs.select(col(id_col).alias("doc_id"), col(text).alias("text"))
     longs = [T.StructField(name, T.LongType()) for name in [*NAMES[1:], "piece"]]
     written = T.StructType([rows.schema["doc_id"], *longs])
-    pieces = cut(rows.mapInArrow(lambda it: pieces_of(it, window, end_id, path), written), "pieces")
+    pieces = cut(rows.mapInArrow(lambda it: pieces_of(it, window, end_id, path, added), written), "pieces")
     full = pieces.filter(F.col("length") == window).select(
         *NAMES, F.col("piece").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("padded_length"))
     tails = pieces.filter(F.col("length") < window)

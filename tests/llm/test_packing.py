@@ -9,9 +9,7 @@ from learnmart.llm import packing as P
 
 
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check(rows, docs):
@@ -54,8 +52,22 @@ def test_parts_of_a_long_text_give_the_same_ids():
     parts = list(P.text_parts(text, 100))
     assert "".join(parts) == text and len(parts) > 50
     whole = t.encode(text, add_special_tokens=False).ids
-    assert P.token_ids(text, path).tolist() == whole
-    assert [i for p in parts for i in P.token_ids(p, path).tolist()] == whole
+    added = P.added_tokens(public_tokenizers.path(P.TOKENIZER))
+    assert P.token_ids(text, path, added).tolist() == whole and 50256 in whole
+    assert [i for p in parts for i in P.token_ids(p, path, added).tolist()] == whole
+
+
+def test_end_marks_in_texts_are_one_id(spark):
+    mark = "<|endoftext|>"
+    texts = [mark, f"{mark}a b", f"a {mark} b", f"a b{mark}", f"a{mark}{mark}b's {mark[:-1]}", f"  {mark}  x", f"word {mark} " * 40_000, "<|endoftext |>"]
+    check(P.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), list(enumerate(texts)))
+    t, path, added = tokenizer(), public_tokenizers.path(P.RANKS), P.added_tokens(public_tokenizers.path(P.TOKENIZER))
+    rng = np.random.default_rng(1)
+    signs = [mark, "<|", "|>", "endoftext", " ", "\n", "a", " the", "é", "7", "'s", "🎉"]
+    for _ in range(500):
+        text = "".join(signs[i] for i in rng.integers(0, len(signs), 40))
+        assert P.token_ids(text, path, added).tolist() == t.encode(text, add_special_tokens=False).ids
+        assert [i for p in P.text_parts(text, 20) for i in P.token_ids(p, path, added).tolist()] == P.token_ids(text, path, added).tolist()
 
 
 def test_best_fit_is_that_of_a_plain_search():
