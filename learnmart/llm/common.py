@@ -116,3 +116,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(star.union(least.select("a", "m")).distinct(), name)
+
+
+def classes(stars: DataFrame, first_ids: DataFrame, name: str = "component_ids") -> DataFrame:
+    """(node, component_id) of all nodes of ``stars`` (node, root): the smallest first_id of ``first_ids`` (node, first_id) in the component.
+
+    A component may hold most nodes, so they are not dealt by their root: the
+    minima are broadcast when measured small, and joined on salted roots beyond.
+    """
+    named = cut(stars.join(first_ids, "node").select("node", "root", "first_id"), f"{name}_named")
+    least = cut(named.groupBy("root").agg(F.min("first_id").alias("component_id")), name)
+    if sizing.measured_bytes(least) <= sizing.BROADCAST_BYTES:
+        joined = named.join(F.broadcast(least), "root")
+    else:
+        joined = sizing.salted_join(named, least, "root")
+    return joined.select("node", "component_id")

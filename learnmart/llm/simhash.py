@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from learnmart.llm.common import classes as component_ids
 from learnmart.llm.common import col, components, cut, roots, ship, table, unused
 
 SHINGLE_WORDS = 3
@@ -123,9 +124,7 @@ def classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Component of every distinct fingerprint of ``prints`` (id, fp): (fp, component_id), component_id the smallest id."""
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct_fingerprints")
     stars = components(links(cut(tiles(distinct), "tiles"), max_bits), "simhash")
-    named = stars.join(distinct, stars.node == distinct.fp).select("fp", "root", "first_id")
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = named.join(smallest, "root").select("fp", "component_id")
+    linked = component_ids(stars, distinct.select(F.col("fp").alias("node"), "first_id")).select(F.col("node").alias("fp"), "component_id")
     every = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     return cut(every, "classes")
 

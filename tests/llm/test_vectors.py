@@ -1,6 +1,8 @@
 import math
+from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from learnmart.llm import vectors as V
@@ -45,12 +47,8 @@ def test_many_cells_and_blocks(spark):
     near = base[rng.integers(0, 40, 400)] + 0.02 * rng.normal(size=(400, 32))
     rows = [(i, v.astype(np.float32).tolist(), i % 2) for i, v in enumerate(np.concatenate([base, near, base[:30], base[:30]]))]
     df = spark.createDataFrame(rows, SCHEMA)
-    s = V.Settings(cell_rows=120, block_rows=100, beam=32, degree=12, pool=40)
-    got, want = rows_of(V.near_duplicates(df, settings=s)), brute(rows)
-    found, true = sum(r[1] for r in got), sum(r[1] for r in want)
-    assert 0.97 * true <= found <= true
-    right = {r[0]: r for r in want}
-    assert all(r[1] <= right[r[0]][1] for r in got)  # no link below the threshold
+    s = V.Settings(cell_rows=120, block_rows=100, graph_rows=80, audit_rows=2_000)
+    assert rows_of(V.near_duplicates(df, settings=s)) == sorted(brute(rows), key=repr)
 
 
 def test_odd_rows(spark):
@@ -90,6 +88,58 @@ def test_a_near_copy_group_larger_than_any_block_keeps_all_links(spark):
     assert all(by_id[i] == (i, 0, i, True) for i in range(5_000, 6_000))
 
 
+def test_twenty_thousand_near_copies_in_many_blocks(spark):
+    rng = np.random.default_rng(8)
+    group, rest = near_group(rng, 20_000), rng.normal(size=(500, 64))
+    df = spark.createDataFrame([(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(np.concatenate([group, rest]))], SCHEMA)
+    out = V.near_duplicates(df).groupBy("n_links", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in out if r.n_links} == {(19_999, 0, True, 1), (19_999, 0, False, 19_999)}
+    assert sum(r["count"] for r in out if not r.n_links and r.kept) == 500
+
+
+def test_a_loose_group_at_the_threshold(spark):
+    rng = np.random.default_rng(9)
+    group, rest = near_group(rng, 1_500, spread=0.034), rng.normal(size=(500, 64))  # only a part of its pairs link
+    rows = [(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(np.concatenate([group, rest]))]
+    s = V.Settings(cell_rows=300, block_rows=200, graph_rows=400, audit_rows=2_000)
+    got, want = rows_of(V.near_duplicates(spark.createDataFrame(rows, SCHEMA), settings=s)), sorted(brute(rows), key=repr)
+    found, true = sum(r[1] for r in got), sum(r[1] for r in want)
+    assert 0.2 * 1_500 ** 2 < true < 0.9 * 1_500 ** 2 and 0.98 * true <= found <= true
+
+
+def test_leaders_gather_what_links():
+    rng = np.random.default_rng(10)
+    vecs = np.concatenate([near_group(rng, 50), rng.normal(size=(20, 64))])
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    block = pd.DataFrame({"rep": np.arange(70) * 3, "n": 1, "label": "a", "home": "b", "vec": list(vecs)})
+    out = V.lead(block, V.Settings())
+    assert out["leader"][:50].nunique() == 1 and (out["leader"][50:] == out["rep"][50:]).all()
+    assert (out["found"][:50] == 49).all() and (out["found"][50:] == 0).all() and (out["radius"] > 0).sum() == 1
+
+
+def test_search_reaches_all_parts_of_a_graph():
+    rng = np.random.default_rng(12)
+    groups = [near_group(rng, n) for n in (110, 120, 60)]  # no list of a tight group leaves it
+    vecs = np.concatenate([*groups, rng.normal(size=(700, 64))])
+    vecs = (vecs / np.linalg.norm(vecs, axis=1, keepdims=True)).astype(np.float32)
+    block = pd.DataFrame({"rep": np.arange(len(vecs)) + 1000, "vec": list(vecs), "home": [str(i % 2) for i in range(len(vecs))], "radius": 0.0})
+    graph = V.build_graph(block, V.Settings())
+    assert graph["nbrs"].map(len).min() > 0
+    nodes = block.merge(graph, on="rep")
+    wanted = np.arccos(0.93)
+    lists = [np.array(x) - 1000 for x in graph["nbrs"]]
+    nbrs = np.full((len(vecs), max(map(len, lists))), len(vecs))
+    for i, x in enumerate(lists):
+        nbrs[i, :len(x)] = x
+    starts = V.medoids(vecs, nbrs)
+    q, x = V.range_search(vecs, np.full(len(vecs), wanted), vecs, np.zeros(len(vecs)), nbrs, starts, np.full(len(vecs), -1), replace(V.Settings(), beam=64, step=8))
+    true = np.argwhere(vecs @ vecs.T >= 0.93)
+    assert len(set(map(tuple, true)) - set(zip(q, x))) < 0.01 * len(true)  # from medoids alone
+    found = V.search(nodes, nodes, replace(V.Settings(), beam=4))
+    links = {(a + 1000, str(b % 2)) for a, b in true if a % 2 != b % 2}
+    assert set(map(tuple, found[["leader", "other"]].to_numpy())) >= links
+
+
 def test_tight_groups_beside_a_large_one_are_all_found(spark):
     rng = np.random.default_rng(6)
     labels, groups = (1, 1, 2, 3, 3), [near_group(rng, n) for n in (110, 110, 900, 1_000, 120)]
