@@ -8,18 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from learnmart.llm.common import col, cut, small, table, unused
+from learnmart.llm.common import col, cut, let, small, table, unused
 
 BITS = 5  # cells per dimension: 2 ** BITS
 SHARDS = 40
 LAWS = ("rows", "bytes")
 
 
-def let(value: Column, then) -> Column:
-    """``then(value)`` with ``value`` worked out once a row, however often ``then`` uses it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     """Position on the Hilbert curve of a cell with ``bits`` bits in each dimension.
 

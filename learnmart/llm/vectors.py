@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnmart.llm.common import classes, col, components, cut, roots, ship, small, table
+from learnmart.llm.common import classes, col, components, cut, let, roots, ship, small, table
 
 THRESHOLD = 0.93
 
@@ -52,12 +52,12 @@ def usable(rows: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
     peak = F.array_max(F.transform(v, F.abs))
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce((F.size(v) > 0) & finite & (peak > 0), F.lit(False)) & col(label).isNotNull()
-    scaled = rows.select(col(id_col).alias("vec_id"), col(label).cast("string").alias("label"), good.alias("usable"),
-                         F.when(good, F.transform(v, lambda x: x / peak)).alias("vec"))
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    unit = scaled.withColumn("norm", norm).withColumn("vec", F.transform("vec", lambda x: x / F.col("norm")))
+    # the largest component and the length are worked out once a vector, not once a component
+    scaled = let(peak, lambda p: F.transform(v, lambda x: x / p))
+    unit = let(scaled, lambda u: let(F.sqrt(F.aggregate(u, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.transform(u, lambda x: x / norm)))
+    unit = rows.select(col(id_col).alias("vec_id"), col(label).cast("string").alias("label"), good.alias("usable"), F.when(good, unit).alias("vec"))
     # vectors of different lengths are not compared
-    return unit.withColumn("label", F.concat_ws(":", F.size("vec").cast("string"), "label")).drop("norm")
+    return unit.withColumn("label", F.concat_ws(":", F.size("vec").cast("string"), "label"))
 
 
 def linked(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
