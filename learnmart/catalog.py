@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from learnmart.model import Tables
 from learnmart.operators import jobs, lookups, marts, quality, refresh, rules
 from learnmart.plans import admin, finance, pages, students, teachers
 from learnmart.sources import commands, feeds, testdata
-from learnmart.sources.store import Store
+from learnmart.sources.store import Layout, Store
 from learnmart.sources.workspace import workspace
 from learnmart.streaming import jobs as streams
 
@@ -282,11 +283,52 @@ def loaded_submissions(t: Tables) -> DataFrame:
     return _loaded(t)[0].homework_submissions.select("id", "homework_id", "student_id", "score", "status", "checked_by", "submitted_at")
 
 
-def _streamed(name: str, table: str, feed, run, result, state=commands.before):
+def followed(t: Tables) -> Store:
+    """Marts of the earlier state, brought up to date with three batches of changes."""
+    done = t.__dict__.setdefault("_followed", [])
+    if not done:
+        start, store = commands.before(t), Store(t.spark, workspace(t.spark, "followed"))
+        changes = [_change(job, t) for job in ("enrollments", "completions", "submissions")]
+        after = reduce(lambda state, change: change.onto(state), changes, start)
+        refresh.start_following(start, store, parts=8)
+        refresh.follow(start, changes, store, after)
+        done.append(store)
+    return done[0]
+
+
+def _stored_job(job: str, table: str, layout: Layout, near: dict[str, str]):
+    """A batch of commands against a keyed table, which is then read back."""
+
+    def query(t: Tables) -> DataFrame:
+        state, feed, decide, apply = JOB_STEPS[job]
+        start, store = state(t), Store(t.spark, workspace(t.spark, "stored"))
+        rows = start.frames[table]
+        store.commit({table: rows.withColumn("id", F.col("id").cast("string")) if "id" not in layout.by else rows}, t.as_of, layouts={table: layout})
+        jobs.run_stored(start, store, feed(start), decide, apply, {table: near})
+        return store.read(table)
+
+    return query
+
+
+FOLLOWED = {
+    "follow_student_scores": lambda t: followed(t).read("mv_student_scores"),
+    "follow_course_completion": lambda t: followed(t).read("mv_course_completion"),
+    "follow_teacher_workload": lambda t: followed(t).read("mv_teacher_workload"),
+    "follow_admin_dashboard": lambda t: followed(t).read("mv_admin_dashboard"),
+    "apply_enrollments_stored": _stored_job(
+        "enrollments", "enrollments", Layout(("student_id",), ("student_id", "course_id"), 8), {"student_id": "student_id"}),
+    "complete_lessons_stored": _stored_job(
+        "completions", "lesson_progress", Layout(("student_id",), ("student_id", "lesson_id"), 8), {"student_id": "student_id"}),
+    "apply_grades_stored": lambda t: _stored_job("grades", "homework_submissions", Layout(("id",), parts=8), {"id": "submission_id"})(t)
+    .select("id", "homework_id", "student_id", "score", "status", "checked_by", "checked_at"),
+}
+
+
+def _streamed(name: str, table: str, order: str, feed, run, result, state=commands.before):
     def query(t: Tables) -> DataFrame:
         start = state(t)
         sink = streams.Sink(workspace(t.spark, name))
-        raw = feeds.StreamingRaw(t.spark, t.raw.sf_dir, (table,))
+        raw = feeds.StreamingRaw(t.spark, t.raw.sf_dir, table, order, workspace(t.spark, f"{name}_feed"))
         run(start, feed(start, raw), sink).awaitTermination()
         return result(start, sink)
 
@@ -295,33 +337,37 @@ def _streamed(name: str, table: str, feed, run, result, state=commands.before):
 
 STREAMS = {
     "stream_submissions": _streamed(
-        "submissions", "lineitem", feeds.submissions, streams.stream_submissions,
+        "submissions", "lineitem", "l_shipdate", feeds.submissions, streams.stream_submissions,
         lambda t, sink: sink.read(t, "judged").select("id", "homework_id", "student_id", "outcome"),
     ),
     "stream_submissions_accepted": _streamed(
-        "submissions", "lineitem", feeds.submissions, streams.stream_submissions,
+        "submissions", "lineitem", "l_shipdate", feeds.submissions, streams.stream_submissions,
         lambda t, sink: sink.read(t, "accepted").select("id", "homework_id", "student_id", "score", "status", "checked_at"),
     ),
     "stream_progress": _streamed(
-        "progress", "events", feeds.lesson_events, streams.stream_progress,
-        lambda t, sink: sink.read(t, "progress").select("student_id", "lesson_id", "is_completed", "completed_at", "last_viewed_at"),
+        "progress", "events", "ts", feeds.lesson_events, streams.stream_progress,
+        lambda t, sink: sink.deltas(t, "progress", ["student_id", "lesson_id"]).newest().select(
+            "student_id", "lesson_id", "is_completed", "completed_at", "last_viewed_at"),
     ),
     "stream_progress_log": _streamed(
-        "progress", "events", feeds.lesson_events, streams.stream_progress,
+        "progress", "events", "ts", feeds.lesson_events, streams.stream_progress,
         lambda t, sink: sink.read(t, "log").select("user_id", "action", "entity_id", "metadata"),
     ),
     "stream_enrollments": _streamed(
-        "enrollments", "orders", feeds.enrol_commands, streams.stream_enrolments,
+        "enrollments", "orders", "o_orderdate", feeds.enrol_commands, streams.stream_enrolments,
         lambda t, sink: sink.read(t, "decisions").select("cmd_id", "outcome", "reason"),
     ),
     "stream_last_activity": _streamed(
-        "activity", "events", feeds.activity, streams.stream_last_activity, streams.latest_activity, state=lambda t: t
+        "activity", "events", "ts", feeds.activity, streams.stream_last_activity, streams.latest_activity, state=lambda t: t
+    ),
+    "stream_active_days": _streamed(
+        "active_days", "events", "ts", feeds.activity, streams.stream_active_days, streams.active_days, state=lambda t: t
     ),
 }
 
 REFRESH = {"refresh_marts": refreshed, "load_seed": loaded_counts, "load_seed_submissions": loaded_submissions}
 
-GROUPS = [MARTS, LOOKUPS, REPORTS, PAGES, RULES, JOBS, QUALITY, REFRESH, STORED, STREAMS]
+GROUPS = [MARTS, LOOKUPS, REPORTS, PAGES, RULES, JOBS, QUALITY, REFRESH, STORED, FOLLOWED, STREAMS]
 
 
 def comparable(df: DataFrame) -> DataFrame:

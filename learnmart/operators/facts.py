@@ -12,7 +12,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnmart.functions.sizing import salted_join
@@ -30,53 +30,84 @@ def published_homeworks(t: Tables) -> DataFrame:
     return t.homework_outline.filter("is_published")
 
 
-def build(t: Tables) -> DataFrame:
-    """One row per enrolment.
+COUNTS = {"completed_lessons": "done", "graded_homeworks": "graded", "scored_homeworks": "scored", "total_score": "points"}
 
-    (student_id, course_id) -> enrolled_at, is_active, completed_lessons, graded_homeworks, scored_homeworks
-    (graded with a score) and total_score, all of published lessons.  A row has the same width whatever the course.
-    """
-    nothing = {
-        "enrolled_at": F.lit(None).cast("timestamp"),
-        "is_active": F.lit(None).cast("boolean"),
-        "done": F.lit(0),
-        "graded": F.lit(0),
-        "scored": F.lit(0),
-        "points": F.lit(0),
-    }
+
+def _nothing() -> dict[str, Column]:
+    """A contribution that adds nothing."""
+    no = F.lit(None)
+    return {"enrolled_at": no.cast("timestamp"), "is_active": no.cast("boolean"), **{c: F.lit(0) for c in COUNTS.values()}}
+
+
+def contributions(t: Tables, enrollments: DataFrame | None = None, progress: DataFrame | None = None,
+                  submissions: DataFrame | None = None) -> DataFrame:
+    """What each given row adds to the facts of its (student, course): narrow rows of one shape."""
 
     def rows(df: DataFrame, **given) -> DataFrame:
-        return df.select("student_id", "course_id", *[given.get(k, v).alias(k) for k, v in nothing.items()])
-
-    item = ("course_id", "is_published")
-    lessons = t.catalogue_dim(t.lesson_outline.select("lesson_id", *item))
-    homeworks = t.catalogue_dim(t.homework_outline.select("homework_id", *item))
-    done = t.lesson_progress.filter("is_completed").select("student_id", "lesson_id").join(lessons, "lesson_id")
-    sent = t.homework_submissions.select("student_id", "homework_id", "status", "score").join(homeworks, "homework_id")
-    graded = F.col("is_published") & F.col("status").isin(*GRADED)
-    stacked = (
-        rows(t.enrollments, enrolled_at=F.col("enrolled_at"), is_active=F.col("is_active")),
-        rows(done, done=F.col("is_published").cast("int")),
-        rows(
+        return df.select("student_id", "course_id", *[given.get(k, v).alias(k) for k, v in _nothing().items()])
+
+    item, stacked = ("course_id", "is_published"), []
+    if enrollments is not None:
+        stacked.append(rows(enrollments, enrolled_at=F.col("enrolled_at"), is_active=F.col("is_active")))
+    if progress is not None:
+        lessons = t.catalogue_dim(t.lesson_outline.select("lesson_id", *item))
+        done = progress.filter("is_completed").select("student_id", "lesson_id").join(lessons, "lesson_id")
+        stacked.append(rows(done, done=F.col("is_published").cast("int")))
+    if submissions is not None:
+        homeworks = t.catalogue_dim(t.homework_outline.select("homework_id", *item))
+        sent = submissions.select("student_id", "homework_id", "status", "score").join(homeworks, "homework_id")
+        graded = F.col("is_published") & F.col("status").isin(*GRADED)
+        stacked.append(rows(
             sent,
             graded=graded.cast("int"),
             scored=(graded & F.col("score").isNotNull()).cast("int"),
             points=F.when(graded, F.coalesce(F.col("score").cast("int"), F.lit(0))).otherwise(F.lit(0)),
-        ),
+        ))
+    return reduce(DataFrame.unionByName, stacked)
+
+
+def fold(rows: DataFrame) -> DataFrame:
+    """Contributions added up: one row per (student, course), with or without an enrolment."""
+    return rows.groupBy("student_id", "course_id").agg(
+        F.max("enrolled_at").alias("enrolled_at"),
+        F.max("is_active").alias("is_active"),
+        *[F.sum(source).alias(name) for name, source in COUNTS.items()],
     )
 
-    return (
-        reduce(DataFrame.unionByName, stacked)
-        .groupBy("student_id", "course_id")
-        .agg(
-            F.max("enrolled_at").alias("enrolled_at"),
-            F.max("is_active").alias("is_active"),
-            F.sum("done").alias("completed_lessons"),
-            F.sum("graded").alias("graded_homeworks"),
-            F.sum("scored").alias("scored_homeworks"),
-            F.sum("points").alias("total_score"),
-        )
-        .filter("enrolled_at is not null")
+
+def everyone(t: Tables) -> DataFrame:
+    """The facts of all pairs that have rows, also of students not enrolled (yet)."""
+    return fold(contributions(t, t.enrollments, t.lesson_progress, t.homework_submissions))
+
+
+def build(t: Tables) -> DataFrame:
+    """One row per enrolment.
+
+    (student_id, course_id) -> enrolled_at, is_active, completed_lessons, graded_homeworks, scored_homeworks
+    (graded with a score) and total_score, all of published lessons.  A row has the same width whatever the course.
+    """
+    return everyone(t).filter("enrolled_at is not null")
+
+
+def moved(facts: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """The rows of ``facts`` that contributions touch, as they are after the change.
+
+    ``facts`` need only hold the touched pairs.  Counts are additive; an added
+    enrolment row replaces the pair's enrolment.
+    """
+    turned = removed.select("student_id", "course_id", *[
+        (-F.col(c)).alias(c) if c in COUNTS.values() else v.alias(c) for c, v in _nothing().items()
+    ])
+    change = fold(added.unionByName(turned))
+    now = facts.select(
+        F.col("student_id").alias("_s"), F.col("course_id").alias("_c"), F.col("enrolled_at").alias("_at"), F.col("is_active").alias("_on"),
+        *[F.col(c).alias(f"_{c}") for c in COUNTS])
+    both = change.join(now, (F.col("student_id") == F.col("_s")) & (F.col("course_id") == F.col("_c")), "left")
+    return both.select(
+        "student_id", "course_id",
+        F.coalesce("enrolled_at", "_at").alias("enrolled_at"),
+        F.when(F.col("enrolled_at").isNotNull(), F.col("is_active")).otherwise(F.col("_on")).alias("is_active"),
+        *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in COUNTS],
     )
 
 

@@ -27,6 +27,7 @@ from learnmart.model import Tables
 from learnmart.operators import constraints, rules
 from learnmart.operators.rules import first_reason
 from learnmart.schemas import ENUMS
+from learnmart.sources.store import Replacement, Store
 
 REJECTED = "rejected"
 AMOUNT = "decimal(10,2)"  # of payments
@@ -34,17 +35,22 @@ AMOUNT = "decimal(10,2)"  # of payments
 
 @dataclass
 class Change:
-    """What a batch changes: whole new versions of tables, and rows to append."""
+    """What a batch changes: whole new versions of tables, and rows to append.
+
+    ``upserts`` are the rows of the new versions that are new or not as before:
+    what a keyed store writes instead of the whole table.
+    """
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
     appends: dict[str, DataFrame] = field(default_factory=dict)
+    upserts: dict[str, DataFrame] = field(default_factory=dict)
 
     def onto(self, t: Tables) -> Tables:
         """The tables after the change."""
         frames = dict(self.tables)
         for name, rows in self.appends.items():
-            base = frames.get(name, getattr(t, name))
-            frames[name] = append(base, rows)
+            base = frames[name] if name in frames else t.frames[name] if name in t.frames else None
+            frames[name] = rows if base is None else append(base, rows)
         return t.replace(**frames)
 
 
@@ -54,6 +60,22 @@ def run(t: Tables, commands: DataFrame, decide: Callable, apply: Callable) -> tu
     return decisions, apply(t, decisions)
 
 
+def run_stored(t: Tables, store: Store, commands: DataFrame, decide: Callable, apply: Callable, near: dict[str, dict[str, str]]) -> tuple[DataFrame, Change]:
+    """``run`` against a store of keyed tables, and publish the change.
+
+    ``near`` names the keyed tables that the commands touch by key, with the
+    command column for each column of their layout: only rows near the commands
+    are read, and only the parts that changed rows fall in are written.
+    """
+    frames = {name: store.near(name, commands, columns) for name, columns in near.items()}
+    decisions, change = run(t.replace(**frames), commands, decide, apply)
+    keyed = store.layouts()
+    replace = {name: Replacement(rows) for name, rows in change.upserts.items()}
+    replace |= {name: Replacement(rows) for name, rows in change.appends.items() if name in keyed}
+    store.commit(at=t.as_of, replace=replace, appends={name: rows for name, rows in change.appends.items() if name not in keyed})
+    return decisions, change
+
+
 def append(base: DataFrame, rows: DataFrame) -> DataFrame:
     """Union by name with the base's columns and types; ids become text when kinds differ."""
     kinds = dict(rows.dtypes)
@@ -82,13 +104,6 @@ def mark_first(judged: DataFrame, candidate: Column, keys: list[str]) -> DataFra
     return judged.join(winners, "cmd_id", "left").withColumn("is_first", F.coalesce("is_first", F.lit(False)))
 
 
-def _near(table: DataFrame, commands: DataFrame, keys: list[str], small: bool) -> DataFrame:
-    """The part of a large table a small batch can touch, found without shuffling the table."""
-    if not small:
-        return table
-    return table.join(F.broadcast(commands.select(*keys).distinct()), keys, "left_semi")
-
-
 def _with_admin(t: Tables, commands: DataFrame) -> DataFrame:
     admins = t.users.filter("role = 'admin' and is_active").select(
         F.col("id").alias("admin_id"), F.lit(True).alias("admin_ok")
@@ -96,22 +111,21 @@ def _with_admin(t: Tables, commands: DataFrame) -> DataFrame:
     return commands.join(t.measured_dim("active_admins", admins), "admin_id", "left")
 
 
-def _with_enrolment(t: Tables, commands: DataFrame, small: bool) -> DataFrame:
+def _with_enrolment(t: Tables, commands: DataFrame) -> DataFrame:
     current = t.enrollments.select(
         "student_id", "course_id", F.col("id").cast("string").alias("enrollment_id"), F.col("is_active").alias("was_active")
     )
-    current = _near(current, commands, ["student_id", "course_id"], small)
     return commands.join(current, ["student_id", "course_id"], "left")
 
 
-def _with_user(t: Tables, commands: DataFrame, small: bool) -> DataFrame:
+def _with_user(t: Tables, commands: DataFrame) -> DataFrame:
     users = t.users.select(
         F.col("id").alias("student_id"),
         F.col("role").alias("user_role"),
         F.col("is_active").alias("user_active"),
         full_name().alias("user_name"),
     )
-    return commands.join(_near(users, commands, ["student_id"], small), "student_id", "left")
+    return commands.join(users, "student_id", "left")
 
 
 def _with_course(t: Tables, commands: DataFrame) -> DataFrame:
@@ -142,10 +156,22 @@ def _enrolment_outcome() -> Column:
     )
 
 
-def decide_enrolments(t: Tables, commands: DataFrame, small: bool = False) -> DataFrame:
+def judge_enrolments(t: Tables, commands: DataFrame) -> DataFrame:
+    """Commands with the first reason against each that does not depend on places already taken."""
+    judged = _with_course(t, _with_user(t, _with_admin(t, commands)))
+    return judged.withColumn("reason", first_reason(**_enrolment_reason()))
+
+
+def settle_enrolments(t: Tables, judged: DataFrame, is_first: Column) -> DataFrame:
+    """Outcomes of judged commands, given which of them is the first for its place."""
+    placed = _with_enrolment(t, judged)
+    open_place = is_first & ~F.coalesce("was_active", F.lit(False))
+    return placed.withColumn("is_first", open_place).withColumn("outcome", _enrolment_outcome())
+
+
+def decide_enrolments(t: Tables, commands: DataFrame) -> DataFrame:
     """Commands: cmd_id, cmd_ts, student_id, course_id, admin_id."""
-    judged = _with_enrolment(t, _with_course(t, _with_user(t, _with_admin(t, commands), small)), small)
-    judged = t.cut("judged", judged.withColumn("reason", first_reason(**_enrolment_reason())))
+    judged = t.cut("judged", _with_enrolment(t, judge_enrolments(t, commands)))
     open_place = F.col("reason").isNull() & ~F.coalesce("was_active", F.lit(False))
     return mark_first(judged, open_place, ["student_id", "course_id"]).withColumn("outcome", _enrolment_outcome())
 
@@ -188,12 +214,16 @@ def apply_enrolments(t: Tables, decisions: DataFrame) -> Change:
         {"student_id": F.col("student_id"), "course_id": F.col("course_id"), "course_title": F.col("course_title")},
         [F.col("cmd_id")],
     )
+    renewed = done.filter("outcome = 'reactivated'").select(
+        F.col("enrollment_id").alias("id"), "student_id", "course_id", t.now.alias("enrolled_at"), F.lit(True).alias("is_active")
+    )
     return Change(
         tables={"enrollments": append(new, fresh)},
         appends={
             "activity_log": inserted.union(by_admin),
             "mv_refresh_queue": rules.queue_refresh(done, ["cmd_id"], t.now),
         },
+        upserts={"enrollments": fresh.union(renewed)},
     )
 
 
@@ -221,9 +251,9 @@ def _with_price(df: DataFrame) -> DataFrame:
     )
 
 
-def decide_payments(t: Tables, commands: DataFrame, small: bool = False) -> DataFrame:
+def decide_payments(t: Tables, commands: DataFrame) -> DataFrame:
     """Commands: cmd_id, cmd_ts, student_id, course_id, admin_id, amount, subscription_type, period_start, notes."""
-    judged = _with_price(_with_enrolment(t, _with_course(t, _with_admin(t, commands)), small))
+    judged = _with_price(_with_enrolment(t, _with_course(t, _with_admin(t, commands))))
     enrolled = F.coalesce("was_active", F.lit(False))
     return judged.withColumn("reason", first_reason(**_payment_reason(enrolled))).withColumn(
         "outcome", F.when(F.col("reason").isNotNull(), REJECTED).otherwise("recorded")
@@ -261,9 +291,9 @@ def apply_payments(t: Tables, decisions: DataFrame) -> Change:
 # -- enrol and pay as one unit ------------------------------------------------------
 
 
-def decide_enrol_and_pay(t: Tables, commands: DataFrame, small: bool = False) -> DataFrame:
+def decide_enrol_and_pay(t: Tables, commands: DataFrame) -> DataFrame:
     """Both steps or neither.  Commands carry the fields of both."""
-    judged = _with_enrolment(t, _with_course(t, _with_user(t, _with_admin(t, commands), small)), small)
+    judged = _with_enrolment(t, _with_course(t, _with_user(t, _with_admin(t, commands))))
     judged = _with_price(judged)
     reasons = {**_payment_reason(None), **_enrolment_reason()}
     order = [*_enrolment_reason(), *[k for k in _payment_reason(None) if k not in _enrolment_reason()]]
@@ -285,13 +315,14 @@ def apply_enrol_and_pay(t: Tables, decisions: DataFrame) -> Change:
             "activity_log": enrol.appends["activity_log"].union(pay.appends["activity_log"]),
             "mv_refresh_queue": enrol.appends["mv_refresh_queue"],
         },
+        upserts=enrol.upserts,
     )
 
 
 # -- grading ------------------------------------------------------------------
 
 
-def decide_grades(t: Tables, commands: DataFrame, small: bool = False) -> DataFrame:
+def decide_grades(t: Tables, commands: DataFrame) -> DataFrame:
     """Commands: cmd_id, cmd_ts, submission_id, teacher_id, score, comment."""
     work = t.homework_submissions.select(
         F.col("id").alias("submission_id"), "homework_id", "student_id", "status"
@@ -300,7 +331,7 @@ def decide_grades(t: Tables, commands: DataFrame, small: bool = False) -> DataFr
     pairs = t.course_teachers.select("course_id", "teacher_id", F.lit(True).alias("teaches"))
     judged = t.cut(
         "judged",
-        commands.join(_near(work, commands, ["submission_id"], small), "submission_id", "left")
+        commands.join(work, "submission_id", "left")
         .join(outline, "homework_id", "left")
         .join(t.assignment_dim(pairs), ["course_id", "teacher_id"], "left")
         .withColumn(
@@ -343,6 +374,7 @@ def apply_grades(t: Tables, decisions: DataFrame) -> Change:
     new = old.join(grades, "id", "left").select(*[
         F.when(F.col("_graded"), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in old.columns
     ])
+    graded = old.join(grades, "id").select(*[changed[c].alias(c) if c in changed else F.col(c) for c in old.columns])
     fields = ("homework_id", "student_id", "score", "max_score", "comment")
     log = rules.log_rows(
         done,
@@ -354,7 +386,7 @@ def apply_grades(t: Tables, decisions: DataFrame) -> Change:
         {c: F.col(c) for c in fields},
         [F.col("submission_id")],
     )
-    return Change(tables={"homework_submissions": new}, appends={"activity_log": log})
+    return Change(tables={"homework_submissions": new}, appends={"activity_log": log}, upserts={"homework_submissions": graded})
 
 
 def first_pending_grades(t: Tables, score: int, teacher_id=None, student_id=None, comment: str | None = None) -> DataFrame:
@@ -392,15 +424,15 @@ def first_pending_grades(t: Tables, score: int, teacher_id=None, student_id=None
 # -- deactivation ------------------------------------------------------------------
 
 
-def decide_deactivations(t: Tables, commands: DataFrame, small: bool = False) -> DataFrame:
+def decide_deactivations(t: Tables, commands: DataFrame) -> DataFrame:
     """Commands: cmd_id, cmd_ts, student_id, admin_id, note."""
     reason = first_reason(
         admin_not_active=F.col("admin_ok").isNull(),
         user_not_found=F.col("user_role").isNull(),
         not_a_student=F.col("user_role") != "student",
     )
-    judged = t.cut("judged", _with_user(t, _with_admin(t, commands), small).withColumn("reason", reason))
-    active = _near(t.enrollments.filter("is_active").select("student_id"), commands, ["student_id"], small)
+    judged = t.cut("judged", _with_user(t, _with_admin(t, commands)).withColumn("reason", reason))
+    active = t.enrollments.filter("is_active").select("student_id")
     counts = active.groupBy("student_id").agg(F.count("*").alias("_n"))
     return (
         mark_first(judged, F.col("reason").isNull(), ["student_id"])
@@ -457,19 +489,24 @@ def apply_deactivations(t: Tables, decisions: DataFrame) -> Change:
             "activity_log": unenrolled.union(by_admin),
             "mv_refresh_queue": rules.queue_refresh(left, ["id"], t.now),
         },
+        upserts={
+            "users": users.join(turned, "id", "left_semi"),
+            "enrollments": left.select(*[F.lit(False).alias(c) if c == "is_active" else F.col(c) for c in t.enrollments.columns]),
+        },
     )
 
 
 # -- lessons and hand-ins ------------------------------------------------------------
 
 
-def decide_completions(t: Tables, commands: DataFrame, small: bool = False) -> DataFrame:
+def decide_completions(t: Tables, commands: DataFrame) -> DataFrame:
     """Commands: cmd_id, cmd_ts, student_id, lesson_id."""
     lessons = t.lesson_outline.select("lesson_id", "course_id")
     judged = commands.join(t.catalogue_dim(lessons), "lesson_id", "left")
-    judged = _with_enrolment(t, judged, small)
-    progress = t.lesson_progress.select("student_id", "lesson_id", F.col("is_completed").alias("was_completed"))
-    progress = _near(progress, commands, ["student_id", "lesson_id"], small)
+    judged = _with_enrolment(t, judged)
+    progress = t.lesson_progress.select(
+        "student_id", "lesson_id", F.col("id").cast("string").alias("progress_id"), F.col("is_completed").alias("was_completed")
+    )
     reason = first_reason(
         lesson_not_found=F.col("course_id").isNull(), not_enrolled=~F.coalesce("was_active", F.lit(False))
     )
@@ -512,18 +549,25 @@ def apply_completions(t: Tables, decisions: DataFrame) -> Change:
         done, t.now, schemas.Action.COMPLETE_LESSON, "lesson", "student_id", "lesson_id", {"completed_at": rules.iso(t.now)},
         [F.col("student_id"), F.col("lesson_id"), rules.iso(t.now)],
     )
-    return Change(tables={"lesson_progress": append(updated, fresh)}, appends={"activity_log": viewed.union(completed)})
+    finished = decisions.filter("outcome = 'completed'").select(
+        F.col("progress_id").alias("id"), "student_id", "lesson_id", F.lit(True).alias("is_completed"),
+        t.now.alias("completed_at"), t.now.alias("last_viewed_at"),
+    )
+    return Change(
+        tables={"lesson_progress": append(updated, fresh)},
+        appends={"activity_log": viewed.union(completed)},
+        upserts={"lesson_progress": fresh.union(finished)},
+    )
 
 
-def decide_submissions(t: Tables, commands: DataFrame, small: bool = False) -> DataFrame:
+def decide_submissions(t: Tables, commands: DataFrame) -> DataFrame:
     """Commands: cmd_id, cmd_ts, student_id, homework_id, answer_text, answer_url."""
     outline = t.homework_outline.select("homework_id", "course_id")
     judged = commands.withColumn("answer_text", F.nullif("answer_text", F.lit(""))).withColumn(
         "answer_url", F.nullif("answer_url", F.lit(""))
     )
-    judged = _with_enrolment(t, judged.join(t.catalogue_dim(outline), "homework_id", "left"), small)
+    judged = _with_enrolment(t, judged.join(t.catalogue_dim(outline), "homework_id", "left"))
     handed = t.homework_submissions.select("homework_id", "student_id", F.lit(True).alias("handed_in"))
-    handed = _near(handed, commands, ["homework_id", "student_id"], small)
     reason = first_reason(
         homework_not_found=F.col("course_id").isNull(),
         not_enrolled=~F.coalesce("was_active", F.lit(False)),

@@ -305,12 +305,30 @@ def mean_completion(t: Tables) -> DataFrame:
     )
 
 
-def teacher_workload(t: Tables) -> DataFrame:
+def work_counts(t: Tables, submissions: DataFrame) -> DataFrame:
+    """(course_id, teacher_id) -> manual hand-ins checked by the teacher, and under no teacher those that wait."""
+    manual = t.catalogue_dim(
+        t.homework_outline.filter("check_type = 'manual'").select("homework_id", "course_id")
+    )
+    work = submissions.select("homework_id", "status", "checked_by").join(manual, "homework_id")
+    kinds = F.array(
+        F.when(F.col("status") == "submitted", F.struct(F.lit(None).cast("string").alias("teacher_id"), F.lit(1).alias("pending"), F.lit(0).alias("checked"))),
+        F.when(F.col("checked_by").isNotNull(), F.struct(F.col("checked_by").alias("teacher_id"), F.lit(0).alias("pending"), F.lit(1).alias("checked"))),
+    )
+    return (
+        work.select("course_id", F.explode(F.array_compact(kinds)).alias("w"))
+        .groupBy("course_id", "w.teacher_id")
+        .agg(F.sum("w.pending").alias("pending"), F.sum("w.checked").alias("checked"))
+    )
+
+
+def teacher_workload(t: Tables, counts: DataFrame | None = None) -> DataFrame:
     """Active teachers with at least one course: courses, distinct students, work pending and done.
 
     Distinct students are counted per *set of courses*, not per teacher:
     teachers of the same courses share the count, so enrolments are never
-    multiplied by the number of teachers of a course.
+    multiplied by the number of teachers of a course.  ``counts`` are the work
+    counts of the courses, if they are known.
     """
     teachers = t.users.filter("role = 'teacher' and is_active").select(
         F.col("id").alias("teacher_id"), full_name().alias("full_name"), "email"
@@ -324,16 +342,9 @@ def teacher_workload(t: Tables) -> DataFrame:
         .groupBy("courses")
         .agg(F.countDistinct("student_id").alias("total_students"))
     )
-    manual = t.catalogue_dim(
-        t.homework_outline.filter("check_type = 'manual'").select("homework_id", "course_id")
-    )
-    work = t.homework_submissions.select("homework_id", "status", "checked_by").join(manual, "homework_id")
-    pending = work.filter("status = 'submitted'").groupBy("course_id").agg(F.count("*").alias("pending"))
-    checked = (
-        work.filter("checked_by is not null")
-        .groupBy("course_id", F.col("checked_by").alias("teacher_id"))
-        .agg(F.count("*").alias("checked"))
-    )
+    counts = work_counts(t, t.homework_submissions) if counts is None else counts
+    pending = counts.filter("teacher_id is null").select("course_id", "pending")
+    checked = counts.filter("teacher_id is not null").select("course_id", "teacher_id", "checked")
     per_teacher = (
         t.course_teachers.select("course_id", "teacher_id")
         .join(t.catalogue_dim(pending), "course_id", "left")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from learnmart.oracle.base import statement
-from learnmart.oracle.marts import COMPLETION, M1, M4
+from learnmart.oracle.marts import COMPLETION, M1, M4, SCORE_INTS
 
 CUT = "TIMESTAMP '2000-01-01'"
 EVENT_CUT = "TIMESTAMP '2024-01-16'"
@@ -644,4 +646,60 @@ FROM activity_log GROUP BY user_id"""
     ),
 }
 
-STATEMENTS = {**REFRESH, **STREAMS, **RULES, **JOBS, **QUALITY}
+
+
+def _own(ctes: str) -> str:
+    """The parts of a job's CTEs that are its own."""
+    return ctes.removeprefix(f"{BEFORE},")
+
+
+# the tables after three batches that were all decided on the earlier state
+AFTER = f"""{BEFORE},
+enr_now AS (WITH {_own(ENROL)}
+  SELECT e.student_id, e.course_id, CASE WHEN d.cmd_id IS NOT NULL THEN TIMESTAMP '2024-01-31' ELSE e.enrolled_at END AS enrolled_at,
+         e.is_active OR d.cmd_id IS NOT NULL AS is_active
+  FROM enr_before e LEFT JOIN decided d ON d.outcome = 'reactivated' AND d.student_id = e.student_id AND d.course_id = e.course_id
+  UNION ALL SELECT student_id, course_id, TIMESTAMP '2024-01-31', TRUE FROM decided WHERE outcome = 'enrolled'),
+prog_now AS (WITH {_own(COMPLETE)}
+  SELECT p.student_id, p.lesson_id, p.is_completed OR d.cmd_id IS NOT NULL AS is_completed
+  FROM prog_before p LEFT JOIN decided d ON d.outcome = 'completed' AND d.student_id = p.student_id AND d.lesson_id = p.lesson_id
+  UNION ALL SELECT student_id, lesson_id, TRUE FROM decided WHERE outcome = 'inserted'),
+sub_now AS (WITH {_own(SUBMIT)}
+  SELECT homework_id, student_id, score, status, checked_by FROM sub_before
+  UNION ALL SELECT homework_id, student_id, score, status, checked_by FROM ({NEW_SUBMISSION}))"""
+
+
+def _now(sql: str) -> str:
+    for table, now in (("enrollments", "enr_now"), ("lesson_progress", "prog_now"), ("homework_submissions", "sub_now")):
+        sql = re.sub(rf"\b{table}\b", now, sql)
+    return sql
+
+
+# events of the log are views and the like, and those of the changes (at the clock's time)
+FOLLOWED = {
+    "follow_student_scores": statement(
+        "SELECT *, (SELECT now FROM clock) AS refreshed_at FROM scores", ints="course_id " + SCORE_INTS, doubles="score_pct",
+        ctes=f"{AFTER},{_now(COMPLETION)}"),
+    "follow_course_completion": statement(
+        "SELECT *, (SELECT now FROM clock) AS refreshed_at FROM completion", ints="course_id total_lessons completed_lessons",
+        doubles="completion_pct avg_completion_pct_in_course", ctes=f"{AFTER},{_now(COMPLETION)}"),
+    "follow_teacher_workload": statement(
+        "SELECT *, (SELECT now FROM clock) AS refreshed_at FROM m4", ints="courses_count total_students pending_checks total_checked",
+        ctes=f"{AFTER},{_now(M4)}"),
+    "follow_admin_dashboard": statement(
+        "SELECT * FROM m1", ints="id", doubles="revenue_current_month revenue_current_year revenue_total",
+        ctes=f"""{AFTER},
+log_now AS (SELECT user_id, created_at FROM activity_log
+  UNION ALL SELECT user_id, created_at FROM (WITH {_own(ENROL)} {ENROL_LOG})
+  UNION ALL SELECT user_id, created_at FROM (WITH {_own(COMPLETE)}
+    SELECT student_id AS user_id, TIMESTAMP '2024-01-31' AS created_at FROM decided WHERE outcome IN ('inserted', 'completed'))),
+{_now(M1).replace('activity_log', 'log_now')}"""),
+    "apply_enrollments_stored": JOBS["apply_enrollments_state"],
+    "complete_lessons_stored": JOBS["complete_lessons_state"],
+    "apply_grades_stored": JOBS["apply_grades_state"],
+}
+
+STREAMS["stream_active_days"] = statement(
+    "SELECT user_id, count(DISTINCT CAST(created_at AS DATE)) AS active_days FROM activity_log GROUP BY user_id")
+
+STATEMENTS = {**REFRESH, **FOLLOWED, **STREAMS, **RULES, **JOBS, **QUALITY}

@@ -11,6 +11,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # lists of looked-up key hashes reach the parquet pages instead of their minimum and maximum
+    "spark.sql.parquet.pushdown.inFilterThreshold": "500",
     # running state of streams lives on local disk with changelogs in the checkpoint, not on the heap
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",

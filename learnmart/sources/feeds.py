@@ -10,17 +10,25 @@ from learnmart.sources import commands, testdata
 
 
 class StreamingRaw(testdata.Raw):
-    """Raw tables with some of them streaming."""
+    """Raw tables with one of them streaming, in time order and several micro-batches."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, streaming: tuple[str, ...], files_per_batch: int | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, streaming: str, order: str, folder: str, batches: int = 3):
         super().__init__(spark, sf_dir)
         self.course_count = self.course_count  # worked out on the files before any of them streams
-        for name in streaming:
-            reader = spark.readStream.schema(testdata.FILES[name])
-            if files_per_batch:
-                reader = reader.option("maxFilesPerTrigger", files_per_batch)
-            # A pattern, because a plain path must be a folder for a streaming source.
-            self._frames[name] = reader.parquet(f"{sf_dir}/{name}.parque[t]")
+        rows = self._frames[streaming]
+        marks = rows.agg(F.percentile_approx(F.col(order).cast("timestamp").cast("double"), [k / batches for k in range(1, batches)]).alias("q")).first().q or []
+        at = F.col(order).cast("timestamp").cast("double")
+        bounds = [None, *marks, None]
+        for low, high in zip(bounds, bounds[1:]):  # one folder a batch, oldest first: a file source reads files by their age
+            part = rows
+            if low is not None:
+                part = part.filter(at > low)
+            if high is not None:
+                part = part.filter(at <= high)
+            part.write.mode("append").parquet(folder)
+        files = len(spark.read.schema(testdata.FILES[streaming]).parquet(folder).inputFiles())
+        reader = spark.readStream.schema(testdata.FILES[streaming]).option("maxFilesPerTrigger", max(1, -(-files // batches)))
+        self._frames[streaming] = reader.parquet(folder)
 
 
 def _with_raw(t: Tables, raw: testdata.Raw) -> Tables:

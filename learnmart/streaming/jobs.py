@@ -1,31 +1,39 @@
 """Structured Streaming jobs over file sources.
 
-Each job applies the batch operators per micro-batch.  Uniqueness and
-old-versus-new checks have no time limit, so they are made against stored
-rows, not in stream state.  A micro-batch writes its judged rows first and
-derives every output from what it wrote; outputs live in folders named by the
-batch, so a batch that is delivered again replaces itself.
+Uniqueness and old-versus-new checks have no time limit.  What a stream has seen
+itself is in Spark's keyed state (RocksDB): the first claim of a key, or running
+aggregates per key.  What was stored before is looked up in a keyed table, which
+reads the pages of the micro-batch's own keys however large the table is.
+
+A micro-batch writes its rows first and derives every output from what it wrote;
+outputs live in folders named by the batch, so a batch that is delivered again
+replaces itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from learnmart import schemas
 from learnmart.functions.exprs import hash_id
 from learnmart.model import Tables
 from learnmart.operators import constraints, jobs, rules
-from learnmart.sources.store import Deltas, KeyedState
+from learnmart.sources.store import Deltas, Layout, Store
+
+SPREAD = 256  # groups that rows without a claim are spread over
 
 
 @dataclass
 class Sink:
-    """Where a job keeps its checkpoint and its outputs."""
+    """Where a job keeps its checkpoint, its copy of what was stored before, and its outputs."""
 
     path: str
 
@@ -35,6 +43,13 @@ class Sink:
     def read(self, t: Tables, name: str) -> DataFrame:
         return t.spark.read.parquet(f"{self.path}/{name}")
 
+    def stored(self, t: Tables, name: str, rows: DataFrame, keys: list[str]) -> Store:
+        """``rows`` as a keyed table, written when the stream starts for the first time; a restart finds it."""
+        store = Store(t.spark, f"{self.path}/_stored")
+        if name not in store.layouts():
+            store.commit({name: rows}, t.as_of, layouts={name: Layout(tuple(keys))})
+        return store
+
 
 def _start(source: DataFrame, sink: Sink, handle: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     return (
@@ -46,90 +61,130 @@ def _start(source: DataFrame, sink: Sink, handle: Callable[[DataFrame, int], Non
     )
 
 
+def first_claims(rows: DataFrame, keys: list[str], order: list[str], open_rows: str) -> DataFrame:
+    """A stream of ``rows`` with ``_winner`` rows among them: the first open row of each key, over all micro-batches.
+
+    ``open_rows`` is a condition on a row; ``order`` decides within a micro-batch
+    (a later micro-batch never displaces an earlier claim).  Every row comes out
+    once with ``_winner`` false; the row that claims its key comes out once more
+    with true.  State is one flag per claimed key.  Rows are handed on as they
+    are read, so a key may have any number; rows that claim nothing are spread
+    over groups of their own and leave no state.
+    """
+    marked = rows.withColumn("_open", F.coalesce(F.expr(open_rows), F.lit(False))).withColumn(
+        "_spread", F.when(F.col("_open"), 0).otherwise(1 + F.pmod(F.xxhash64(*order), F.lit(SPREAD))).cast("int"))
+    for k in keys:
+        marked = marked.withColumn(f"_key_{k}", F.when(F.col("_open"), F.col(k)))
+    schema = T.StructType([*rows.schema, T.StructField("_winner", T.BooleanType())])
+    columns = rows.columns
+
+    def claim(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        claimed, place, best = state.exists, None, None
+        for frame in frames:
+            if not claimed and frame["_open"].iat[0]:  # all rows of a group are open, or none is
+                first = frame if len(frame) == 1 else frame.sort_values(order).iloc[:1]
+                at = tuple(first[c].iat[0] for c in order)
+                if place is None or at < place:
+                    place, best = at, first
+            yield frame[columns].assign(_winner=False)
+        if best is not None:
+            state.update((True,))
+            yield best[columns].assign(_winner=True)
+
+    return marked.groupBy(*[f"_key_{k}" for k in keys], "_spread").applyInPandasWithState(
+        claim, schema, "claimed boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def stream_submissions(t: Tables, source: DataFrame, sink: Sink) -> StreamingQuery:
     """Hand-ins -> score rules and constraints -> one per (homework, student) -> automatic grading.
 
     Output ``judged``: every row with an outcome.  Output ``accepted``: rows as stored.
     """
     keys = ["homework_id", "student_id"]
-    accepted = sink.deltas(t, "accepted", keys)
-    stored = KeyedState(accepted, t.homework_submissions.withColumn("id", F.col("id").cast("string")))
+    before = sink.stored(t, "handed_in", t.homework_submissions.select(*keys), keys)
+    arrived = sink.deltas(t, "arrived", ["id"])
     judged = sink.deltas(t, "judged", ["id"])
+    accepted = sink.deltas(t, "accepted", keys)
     columns = t.homework_submissions.columns
+    rows = constraints.judge_values(t, "homework_submissions", rules.judge_scores(t, source.select(*columns)))
+    claimed = first_claims(rows.select(*columns, "reject_reason"), keys, ["submitted_at", "id"], "reject_reason is null")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = constraints.judge_values(t, "homework_submissions", rules.judge_scores(t, batch.select(*columns)))
-        order = Window.partitionBy(*keys).orderBy("submitted_at", "id")
-        first = (
-            rows.filter("reject_reason is null")
-            .select(*keys, "submitted_at", "id", F.row_number().over(order).alias("n"))
-            .filter("n = 1")
-            .select("id", F.lit(True).alias("is_first"))
-        )
-        known = stored.before(batch_id, batch).select(*keys)
-        known = known.distinct().withColumn("is_known", F.lit(True))
+        seen = arrived.write(batch_id, batch)
+        winners = seen.filter("_winner")
+        known = before.near("handed_in", winners).distinct().withColumn("is_known", F.lit(True))
+        first = winners.join(known, keys, "left").filter("is_known is null").select("id", F.lit(True).alias("is_first"))
         decided = (
-            rows.join(first, "id", "left")
-            .join(known, keys, "left")
+            seen.filter("not _winner")
+            .join(first, "id", "left")
             .withColumn(
                 "outcome",
-                F.coalesce(
-                    "reject_reason",
-                    F.when(F.col("is_known") | F.col("is_first").isNull(), "duplicate"),
-                    F.lit("accepted"),
-                ),
+                F.coalesce("reject_reason", F.when(F.col("is_first").isNull(), "duplicate"), F.lit("accepted")),
             )
             .select(*columns, "outcome")
         )
         written = judged.write(batch_id, decided)
         accepted.write(batch_id, rules.auto_check(t, written.filter("outcome = 'accepted'").drop("outcome")).select(*columns))
 
-    return _start(source, sink, handle)
+    return _start(claimed, sink, handle)
 
 
 def stream_progress(t: Tables, source: DataFrame, sink: Sink) -> StreamingQuery:
     """Lesson events (student_id, lesson_id, event_id, ts, done) -> upserts of progress and log rows.
 
     Events of one micro-batch act in time order: the first one on a new key
-    inserts, a later completing one updates.
+    inserts, a later completing one updates.  State is a running aggregate per
+    key that also tells when, by arrival, a key was first seen and first done.
     """
     keys = ["student_id", "lesson_id"]
+    base = t.lesson_progress.withColumn("id", F.col("id").cast("string"))
+    before = sink.stored(t, "progress", base, keys)
+    arrived = sink.deltas(t, "arrived", keys)
     progress = sink.deltas(t, "progress", keys)
     changes = sink.deltas(t, "changes", keys)
     log = sink.deltas(t, "log", ["id"])
-    base = t.lesson_progress.withColumn("id", F.col("id").cast("string"))
-    stored = KeyedState(progress, base)
     columns = base.columns
+    running = source.withColumn("arrived", F.current_timestamp()).groupBy(*keys).agg(
+        F.min(F.struct("arrived", "ts", "event_id", "done")).alias("first"),
+        F.min(F.when(F.col("done"), F.col("arrived"))).alias("done_in"),
+        F.max("ts").alias("last"),
+        F.max("arrived").alias("now_in"),
+    )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        events = batch.groupBy(*keys).agg(
-            F.min(F.struct("ts", "event_id", "done")).alias("first"), F.max("ts").alias("last"), F.bool_or("done").alias("any_done")
-        )
-        old = stored.before(batch_id, batch).select(
+        seen = arrived.write(batch_id, batch)
+        old = before.near("progress", seen).select(
             *keys,
             F.col("id").alias("old_id"),
             F.col("is_completed").alias("was"),
             F.col("completed_at").alias("old_completed_at"),
             F.col("last_viewed_at").alias("old_viewed_at"),
         )
-        changed = events.join(old, keys, "left").select(
+        new = F.col("first.arrived") == F.col("now_in")  # seen in this stream for the first time
+        done_now = F.coalesce(F.col("done_in") == F.col("now_in"), F.lit(False))
+        done_before = F.coalesce(F.col("done_in") < F.col("now_in"), F.lit(False))
+        # done before this batch: stored so, or by an earlier batch; a key seen for the first time starts as its first event
+        was = F.coalesce("was", F.when(new, F.col("first.done")).otherwise(F.lit(False))) | done_before
+        # an earlier batch stamped the completion unless the row was inserted as done
+        stamped = done_before & ~F.coalesce("was", F.col("first.done"))
+        changed = seen.join(old, keys, "left").select(
             *keys,
             F.coalesce("old_id", hash_id(*keys)).alias("id"),
-            F.col("was").isNull().alias("inserted"),
-            (F.coalesce("was", F.col("first.done")) | F.col("any_done")).alias("is_completed"),
-            (~F.coalesce("was", F.col("first.done")) & F.col("any_done")).alias("completed"),
-            "old_completed_at",
-            F.greatest("last", "old_viewed_at").alias("viewed_at"),
+            (F.col("was").isNull() & new).alias("inserted"),
+            (was | done_now).alias("is_completed"),
+            (~was & (done_now | F.col("first.done") & new)).alias("completed"),
+            F.when(stamped, t.now).otherwise(F.col("old_completed_at")).alias("old_completed_at"),
+            F.greatest("last", "old_viewed_at", F.when(stamped, t.now)).alias("viewed_at"),
         )
         written = changes.write(batch_id, changed)
-        new = written.select(
+        rows = written.select(
             "id",
             *keys,
             "is_completed",
             F.when(F.col("completed"), t.now).otherwise(F.col("old_completed_at")).alias("completed_at"),
             F.when(F.col("completed"), t.now).otherwise(F.col("viewed_at")).alias("last_viewed_at"),
         )
-        progress.write(batch_id, new.select(*columns))
+        progress.write(batch_id, rows.select(*columns))
         viewed = rules.log_rows(
             written.filter("inserted"), t.now, schemas.Action.VIEW_LESSON, "lesson", "student_id", "lesson_id",
             {"first_view": F.lit(True)}, [F.col("student_id"), F.col("lesson_id")],
@@ -140,36 +195,34 @@ def stream_progress(t: Tables, source: DataFrame, sink: Sink) -> StreamingQuery:
         )
         log.write(batch_id, viewed.union(done))
 
-    return _start(source, sink, handle)
+    return _start(running, sink, handle, mode="update")
 
 
 def stream_enrolments(t: Tables, source: DataFrame, sink: Sink) -> StreamingQuery:
     """Enrolment commands -> decisions, changed enrolments, log rows, stale-mart rows."""
     keys = ["student_id", "course_id"]
+    base = t.enrollments.withColumn("id", F.col("id").cast("string"))
+    before = sink.stored(t, "enrollments", base, keys)
+    arrived = sink.deltas(t, "arrived", ["cmd_id"])
     enrolments = sink.deltas(t, "enrollments", keys)
     decisions = sink.deltas(t, "decisions", ["cmd_id"])
     log = sink.deltas(t, "log", ["id"])
     queue = sink.deltas(t, "queue", ["id"])
-    base = t.enrollments.withColumn("id", F.col("id").cast("string"))
-    stored = KeyedState(enrolments, base)
+    claimed = first_claims(jobs.judge_enrolments(t, source), keys, ["cmd_ts", "cmd_id"], "reason is null")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        now = t.replace(enrollments=stored.before(batch_id, batch))
-        decided = jobs.decide_enrolments(now, batch)
-        written = decisions.write(batch_id, decided)
+        seen = arrived.write(batch_id, batch)
+        now = t.replace(enrollments=before.near("enrollments", seen))
+        first = seen.filter("_winner").select("cmd_id", F.lit(True).alias("claimed"))
+        decided = jobs.settle_enrolments(now, seen.filter("not _winner").drop("_winner").join(first, "cmd_id", "left"), F.coalesce("claimed", F.lit(False)))
+        written = decisions.write(batch_id, decided.drop("claimed"))
         touched = written.filter(F.col("outcome").isin("enrolled", "reactivated"))
         change = jobs.apply_enrolments(now, touched)
-        rows = touched.select(
-            F.coalesce("enrollment_id", hash_id(*keys)).alias("id"),
-            *keys,
-            t.now.alias("enrolled_at"),
-            F.lit(True).alias("is_active"),
-        )
-        enrolments.write(batch_id, rows.select(*base.columns))
+        enrolments.write(batch_id, change.upserts["enrollments"].select(*base.columns))
         log.write(batch_id, change.appends["activity_log"])
         queue.write(batch_id, change.appends["mv_refresh_queue"])
 
-    return _start(source, sink, handle)
+    return _start(claimed, sink, handle)
 
 
 def stream_last_activity(t: Tables, source: DataFrame, sink: Sink) -> StreamingQuery:
@@ -192,6 +245,31 @@ def stream_last_activity(t: Tables, source: DataFrame, sink: Sink) -> StreamingQ
 
 def latest_activity(t: Tables, sink: Sink) -> DataFrame:
     """The newest running row per user."""
-    rows = sink.deltas(t, "activity", ["user_id"]).read()
     fields = ["actions", "lessons_viewed", "lessons_completed", "homeworks_sent", "last_activity_at"]
-    return rows.groupBy("user_id").agg(F.max_by(F.struct(*fields), "batch").alias("r")).select("user_id", "r.*")
+    return sink.deltas(t, "activity", ["user_id"]).newest().select("user_id", *fields)
+
+
+def stream_active_days(t: Tables, source: DataFrame, sink: Sink, late: str = "2 days") -> StreamingQuery:
+    """Running number of distinct active days per user, from log rows.
+
+    Two stateful steps: a user's day passes once, then days are counted.  A day
+    is forgotten when the watermark (``late`` behind the latest row) has passed
+    its end; rows that come later than that are not counted.
+    """
+    days = (
+        source.select("user_id", "created_at")
+        .withWatermark("created_at", late)
+        .withColumn("day", F.window("created_at", "1 day"))
+        .dropDuplicates(["user_id", "day"])
+    )
+    running = days.groupBy("user_id").agg(F.count("*").alias("active_days"))
+    out = sink.deltas(t, "active_days", ["user_id"])
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        out.write(batch_id, batch)
+
+    return _start(running, sink, handle, mode="update")
+
+
+def active_days(t: Tables, sink: Sink) -> DataFrame:
+    return sink.deltas(t, "active_days", ["user_id"]).newest()
