@@ -1,7 +1,7 @@
 """Structured Streaming jobs over file sources.
 
 Uniqueness and old-versus-new checks have no time limit.  What a stream has seen
-itself is in Spark's keyed state (RocksDB): the first claim of a key, or running
+itself is in Spark's keyed state (RocksDB): the keys claimed so far, or running
 aggregates per key.  What was stored before is looked up in a keyed table, which
 reads the pages of the micro-batch's own keys however large the table is.
 
@@ -12,15 +12,13 @@ replaces itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from learnmart import schemas
 from learnmart.functions.exprs import hash_id
@@ -28,8 +26,6 @@ from learnmart.model import Tables
 from learnmart.operators import constraints, jobs, rules
 from learnmart.sources.store import Deltas, Layout, Store
 
-SPREAD = 256  # groups that rows without a claim are spread over
-
 
 @dataclass
 class Sink:
@@ -61,38 +57,29 @@ def _start(source: DataFrame, sink: Sink, handle: Callable[[DataFrame, int], Non
     )
 
 
-def first_claims(rows: DataFrame, keys: list[str], order: list[str], open_rows: str) -> DataFrame:
-    """A stream of ``rows`` with ``_winner`` rows among them: the first open row of each key, over all micro-batches.
+def first_claims(t: Tables, sink: Sink, batch_id: int, candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """Of ``candidates`` (one row per key), those whose key no earlier micro-batch has claimed.
 
-    ``open_rows`` is a condition on a row; ``order`` decides within a micro-batch
-    (a later micro-batch never displaces an earlier claim).  Every row comes out
-    once with ``_winner`` false; the row that claims its key comes out once more
-    with true.  State is one flag per claimed key.  Rows are handed on as they
-    are read, so a key may have any number; rows that claim nothing are spread
-    over groups of their own and leave no state.
+    A stream of its own, run to its end within the micro-batch, drops candidates
+    whose key is in its state: keys alone, in RocksDB, each looked up by itself.
+    A micro-batch that is delivered again offers the same candidates; they are
+    then known, and what counts is what they got the first time.
     """
-    marked = rows.withColumn("_open", F.coalesce(F.expr(open_rows), F.lit(False))).withColumn(
-        "_spread", F.when(F.col("_open"), 0).otherwise(1 + F.pmod(F.xxhash64(*order), F.lit(SPREAD))).cast("int"))
-    for k in keys:
-        marked = marked.withColumn(f"_key_{k}", F.when(F.col("_open"), F.col(k)))
-    schema = T.StructType([*rows.schema, T.StructField("_winner", T.BooleanType())])
-    columns = rows.columns
-
-    def claim(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        claimed, place, best = state.exists, None, None
-        for frame in frames:
-            if not claimed and frame["_open"].iat[0]:  # all rows of a group are open, or none is
-                first = frame if len(frame) == 1 else frame.sort_values(order).iloc[:1]
-                at = tuple(first[c].iat[0] for c in order)
-                if place is None or at < place:
-                    place, best = at, first
-            yield frame[columns].assign(_winner=False)
-        if best is not None:
-            state.update((True,))
-            yield best[columns].assign(_winner=True)
-
-    return marked.groupBy(*[f"_key_{k}" for k in keys], "_spread").applyInPandasWithState(
-        claim, schema, "claimed boolean", "append", GroupStateTimeout.NoTimeout)
+    folder, out = f"{sink.path}/_candidates", f"{sink.path}/_claims"
+    candidates.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{folder}/{batch_id}")
+    schema = T.StructType([*candidates.schema, T.StructField("_batch", T.LongType())])
+    offered = t.spark.readStream.schema(schema).option("ignoreMissingFiles", "true").parquet(f"{folder}/*")
+    (
+        offered.dropDuplicates(keys)
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", f"{sink.path}/_claims_checkpoint")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return t.spark.read.schema(schema).parquet(out).filter(F.col("_batch") == batch_id).drop("_batch")
 
 
 def stream_submissions(t: Tables, source: DataFrame, sink: Sink) -> StreamingQuery:
@@ -106,17 +93,17 @@ def stream_submissions(t: Tables, source: DataFrame, sink: Sink) -> StreamingQue
     judged = sink.deltas(t, "judged", ["id"])
     accepted = sink.deltas(t, "accepted", keys)
     columns = t.homework_submissions.columns
-    rows = constraints.judge_values(t, "homework_submissions", rules.judge_scores(t, source.select(*columns)))
-    claimed = first_claims(rows.select(*columns, "reject_reason"), keys, ["submitted_at", "id"], "reject_reason is null")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        seen = arrived.write(batch_id, batch)
-        winners = seen.filter("_winner")
-        known = before.near("handed_in", winners).distinct().withColumn("is_known", F.lit(True))
-        first = winners.join(known, keys, "left").filter("is_known is null").select("id", F.lit(True).alias("is_first"))
+        rows = constraints.judge_values(t, "homework_submissions", rules.judge_scores(t, batch.select(*columns)))
+        rows = arrived.write(batch_id, rows.select(*columns, "reject_reason"))
+        order = Window.partitionBy(*keys).orderBy("submitted_at", "id")
+        first = rows.filter("reject_reason is null").withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*keys, "id")
+        claimed = first_claims(t, sink, batch_id, first, keys)
+        known = before.near("handed_in", claimed).distinct()
+        fresh = claimed.join(known, keys, "left_anti").select("id", F.lit(True).alias("is_first"))
         decided = (
-            seen.filter("not _winner")
-            .join(first, "id", "left")
+            rows.join(fresh, "id", "left")
             .withColumn(
                 "outcome",
                 F.coalesce("reject_reason", F.when(F.col("is_first").isNull(), "duplicate"), F.lit("accepted")),
@@ -126,7 +113,7 @@ def stream_submissions(t: Tables, source: DataFrame, sink: Sink) -> StreamingQue
         written = judged.write(batch_id, decided)
         accepted.write(batch_id, rules.auto_check(t, written.filter("outcome = 'accepted'").drop("outcome")).select(*columns))
 
-    return _start(claimed, sink, handle)
+    return _start(source, sink, handle)
 
 
 def stream_progress(t: Tables, source: DataFrame, sink: Sink) -> StreamingQuery:
@@ -208,13 +195,13 @@ def stream_enrolments(t: Tables, source: DataFrame, sink: Sink) -> StreamingQuer
     decisions = sink.deltas(t, "decisions", ["cmd_id"])
     log = sink.deltas(t, "log", ["id"])
     queue = sink.deltas(t, "queue", ["id"])
-    claimed = first_claims(jobs.judge_enrolments(t, source), keys, ["cmd_ts", "cmd_id"], "reason is null")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        seen = arrived.write(batch_id, batch)
-        now = t.replace(enrollments=before.near("enrollments", seen))
-        first = seen.filter("_winner").select("cmd_id", F.lit(True).alias("claimed"))
-        decided = jobs.settle_enrolments(now, seen.filter("not _winner").drop("_winner").join(first, "cmd_id", "left"), F.coalesce("claimed", F.lit(False)))
+        rows = arrived.write(batch_id, jobs.judge_enrolments(t, batch))
+        first = jobs.earliest(rows.filter("reason is null").select(*keys, "cmd_ts", "cmd_id"), keys)
+        claimed = first_claims(t, sink, batch_id, first, keys).select("cmd_id", F.lit(True).alias("claimed"))
+        now = t.replace(enrollments=before.near("enrollments", rows))
+        decided = jobs.settle_enrolments(now, rows.join(claimed, "cmd_id", "left"), F.coalesce("claimed", F.lit(False)))
         written = decisions.write(batch_id, decided.drop("claimed"))
         touched = written.filter(F.col("outcome").isin("enrolled", "reactivated"))
         change = jobs.apply_enrolments(now, touched)
@@ -222,7 +209,7 @@ def stream_enrolments(t: Tables, source: DataFrame, sink: Sink) -> StreamingQuer
         log.write(batch_id, change.appends["activity_log"])
         queue.write(batch_id, change.appends["mv_refresh_queue"])
 
-    return _start(claimed, sink, handle)
+    return _start(source, sink, handle)
 
 
 def stream_last_activity(t: Tables, source: DataFrame, sink: Sink) -> StreamingQuery:

@@ -11,7 +11,8 @@ from learnmart.model import Tables
 from learnmart.operators import jobs, lookups, marts, refresh, rules
 from learnmart.plans import admin, students
 from learnmart.session import shuffle_partitions
-from learnmart.sources.store import Deltas, KeyedState, Store
+from learnmart.sources import commands, testdata
+from learnmart.sources.store import Deltas, Layout, Replacement, Store, key_hash
 from learnmart.sources.tables import read_tables, write_tables
 from learnmart.sources.workspace import workspace
 
@@ -40,16 +41,15 @@ def enrol(spark, *rows):
 
 
 def test_enrolment_reasons_in_order(spark, later):
-    commands = enrol(
+    feed = enrol(
         spark, ("a", 0, "U20", "C2", "U10"), ("b", 0, "U99", "C2", "U01"), ("c", 0, "U27", "C2", "U01"), ("d", 0, "U10", "C2", "U01"),
         ("e", 0, "U20", "C77", "U01"), ("f", 0, "U20", "C5", "U01"), ("g", 0, "U20", "C1", "U01"), ("h", 0, "U31", "C4", "U01"),
         ("i", 5, "U20", "C2", "U01"), ("j", 3, "U20", "C2", "U02"), ("k", 0, "U99", "C77", "nobody"))
-    decided = jobs.decide_enrolments(later, commands)
+    decided = jobs.decide_enrolments(later, feed)
     assert outcomes(decided) == {
         "a": "admin_not_active", "b": "student_not_found_or_inactive", "c": "student_not_found_or_inactive", "d": "not_a_student",
         "e": "course_not_found", "f": "course_not_active", "g": "already_enrolled", "h": "reactivated", "i": "already_enrolled",
         "j": "enrolled", "k": "admin_not_active"}
-    assert outcomes(jobs.decide_enrolments(later, commands, small=True)) == outcomes(decided)
     change = jobs.apply_enrolments(later, decided)
     after = change.onto(later)
     assert after.enrollments.count() == 17
@@ -59,7 +59,7 @@ def test_enrolment_reasons_in_order(spark, later):
     assert log == [("admin_enroll", "U01"), ("admin_enroll", "U02"), ("enroll", "U20")]  # reactivation logs no 'enroll'
     assert change.appends["mv_refresh_queue"].count() == 8
     # the same batch again changes nothing and makes no new rows
-    again = jobs.decide_enrolments(after, commands)
+    again = jobs.decide_enrolments(after, feed)
     assert set(outcomes(again).values()) & {"enrolled", "reactivated"} == set()
     assert sorted(jobs.apply_enrolments(after, again).onto(after).enrollments.collect()) == sorted(after.enrollments.collect())
 
@@ -69,8 +69,8 @@ def test_payment_reasons_and_warning(spark, later):
     rows = [("a", "U20", "C1", "U01", 2900, "weekly", d), ("b", "U20", "C1", "U10", 2900, "monthly", d), ("c", "U20", "C2", "U01", 2500, "monthly", d),
             ("d", "U31", "C4", "U01", 2800, "monthly", d), ("e", "U20", "C1", "U01", 2900, "monthly", None), ("f", "U20", "C1", "U01", 0, "monthly", d),
             ("g", "U20", "C1", "U01", 2900, "monthly", d), ("h", "U20", "C1", "U01", 20000, "yearly", d)]
-    commands = spark.createDataFrame([(c, LATER, u, k, a, Decimal(m), s, p, None) for c, u, k, a, m, s, p in rows], PAY)
-    decided = jobs.decide_payments(later, commands)
+    feed = spark.createDataFrame([(c, LATER, u, k, a, Decimal(m), s, p, None) for c, u, k, a, m, s, p in rows], PAY)
+    decided = jobs.decide_payments(later, feed)
     assert outcomes(decided) == {"a": "bad_subscription_type", "b": "admin_not_active", "c": "not_enrolled", "d": "not_enrolled",
                                  "e": "missing_period_start", "f": "amount_not_positive", "g": "recorded", "h": "recorded"}
     assert [(r.cmd_id, r.expected_price) for r in jobs.payment_warnings(decided).collect()] == [("h", Decimal(24900))]
@@ -82,8 +82,8 @@ def test_enrol_and_pay_is_one_unit(spark, later):
     d = date(2024, 5, 1)
     rows = [("a", 0, "U20", "C2", "U01", -5, "monthly"), ("b", 1, "U20", "C2", "U01", 2500, "monthly"), ("c", 2, "U20", "C2", "U01", 2500, "yearly"),
             ("d", 0, "U21", "C5", "U01", 2000, "monthly"), ("e", 0, "U21", "C2", "U01", 2000, "daily"), ("f", 0, "U21", "C1", "U01", 2900, "monthly")]
-    commands = spark.createDataFrame([(c, LATER + timedelta(minutes=m), u, k, a, Decimal(x), s, d, None) for c, m, u, k, a, x, s in rows], PAY)
-    decided = jobs.decide_enrol_and_pay(later, commands)
+    feed = spark.createDataFrame([(c, LATER + timedelta(minutes=m), u, k, a, Decimal(x), s, d, None) for c, m, u, k, a, x, s in rows], PAY)
+    decided = jobs.decide_enrol_and_pay(later, feed)
     assert outcomes(decided) == {"a": "amount_not_positive", "b": "enrolled", "c": "already_enrolled", "d": "course_not_active",
                                  "e": "bad_subscription_type", "f": "already_enrolled"}
     after = jobs.apply_enrol_and_pay(later, decided).onto(later)
@@ -108,8 +108,8 @@ def test_grades(spark, later):
 def test_deactivation(spark, later):
     rows = [("a", LATER, "U20", "U01", "left"), ("b", LATER + timedelta(1), "U20", "U01", "again"), ("c", LATER, "U10", "U01", "x"),
             ("d", LATER, "U99", "U01", "x"), ("e", LATER, "U21", "U10", "x"), ("f", LATER, "U27", "U02", "late")]
-    commands = spark.createDataFrame(rows, "cmd_id string, cmd_ts timestamp, student_id string, admin_id string, note string")
-    decided = jobs.decide_deactivations(later, commands)
+    feed = spark.createDataFrame(rows, "cmd_id string, cmd_ts timestamp, student_id string, admin_id string, note string")
+    decided = jobs.decide_deactivations(later, feed)
     assert outcomes(decided) == {"a": "deactivated", "b": "already_inactive", "c": "not_a_student", "d": "user_not_found",
                                  "e": "admin_not_active", "f": "already_inactive"}
     change = jobs.apply_deactivations(later, decided)
@@ -124,9 +124,9 @@ def test_deactivation(spark, later):
 
 def test_lesson_completion(spark, later):
     rows = [("a", 0, "U20", "L02"), ("b", 1, "U20", "L02"), ("c", 0, "U22", "L01"), ("d", 0, "U20", "L01"), ("e", 0, "U20", "L06"), ("f", 0, "U20", "L99")]
-    commands = spark.createDataFrame([(c, LATER + timedelta(minutes=m), u, x) for c, m, u, x in rows],
+    feed = spark.createDataFrame([(c, LATER + timedelta(minutes=m), u, x) for c, m, u, x in rows],
                                      "cmd_id string, cmd_ts timestamp, student_id string, lesson_id string")
-    decided = jobs.decide_completions(later, commands)
+    decided = jobs.decide_completions(later, feed)
     assert outcomes(decided) == {"a": "inserted", "b": "already_complete", "c": "completed", "d": "already_complete", "e": "not_enrolled", "f": "lesson_not_found"}
     change = jobs.apply_completions(later, decided)
     rows = {(r.student_id, r.lesson_id): r for r in change.onto(later).lesson_progress.collect()}
@@ -139,9 +139,9 @@ def test_lesson_completion(spark, later):
 def test_hand_ins(spark, later):
     rows = [("a", 0, "U22", "H01", "x", ""), ("b", 1, "U22", "H01", "y", ""), ("c", 0, "U22", "H02", "", ""), ("d", 0, "U22", "H02", "", "http://z"),
             ("e", 0, "U20", "H01", "x", None), ("f", 0, "U22", "H05", "x", None), ("g", 0, "U22", "H99", "x", None)]
-    commands = spark.createDataFrame([(c, LATER + timedelta(minutes=m), u, h, a, b) for c, m, u, h, a, b in rows],
+    feed = spark.createDataFrame([(c, LATER + timedelta(minutes=m), u, h, a, b) for c, m, u, h, a, b in rows],
                                      "cmd_id string, cmd_ts timestamp, student_id string, homework_id string, answer_text string, answer_url string")
-    decided = jobs.decide_submissions(later, commands)
+    decided = jobs.decide_submissions(later, feed)
     assert outcomes(decided) == {"a": "submitted", "b": "already_submitted", "c": "no_answer", "d": "submitted", "e": "already_submitted",
                                  "f": "not_enrolled", "g": "homework_not_found"}
     new = {r.homework_id: r for r in jobs.apply_submissions(later, decided).appends["homework_submissions"].collect()}
@@ -208,26 +208,128 @@ def test_deltas_replace_a_repeated_batch(spark):
     deltas = Deltas(spark, workspace(spark, "deltas"), ["k"])
     for value in ("c", "d"):
         deltas.write(0, spark.createDataFrame([(2, value), (3, value)], "k int, v string"))
+    assert sorted(map(tuple, deltas.onto(base).collect())) == [(1, "a"), (2, "d"), (3, "d")]
     deltas.write(1, spark.createDataFrame([(3, "e")], "k int, v string"))
-    assert sorted(map(tuple, deltas.current(base, 1).collect())) == [(1, "a"), (2, "d"), (3, "d")]
-    assert sorted(map(tuple, deltas.current(base, 2).collect())) == [(1, "a"), (2, "d"), (3, "e")]
-    near = spark.createDataFrame([(3,)], "k int")
-    assert [tuple(r) for r in deltas.current(base, 2, near).collect()] == [(3, "e")]
-
-
-def test_keyed_state_over_folds(spark):
-    """Every batch sees the newest rows of its keys, before and after folds, and when delivered again."""
-    base = spark.createDataFrame([(k, "base") for k in range(20)], "k int, v string")
-    deltas = Deltas(spark, workspace(spark, "state"), ["k"])
-    state = KeyedState(deltas, base, buckets=8, fold_every=3)
-    model = {k: "base" for k in range(20)}
-    for batch_id in range(8):
-        rows = spark.createDataFrame([(k, f"b{batch_id}") for k in ((batch_id * 3) % 20, (batch_id * 3 + 1) % 20, 100 + batch_id)], "k int, v string")
-        for _ in range(2 if batch_id in (3, 4) else 1):
-            seen = {r.k: r.v for r in state.before(batch_id, rows).collect()}
-            assert all(seen.get(r.k) == model.get(r.k) for r in rows.collect()) and seen.items() <= model.items()
-            deltas.write(batch_id, rows)
-        model |= {r.k: r.v for r in rows.collect()}
+    assert sorted(map(tuple, deltas.onto(base).collect())) == [(1, "a"), (2, "d"), (3, "e")]
+
+
+def bytes_read(spark):
+    return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+
+def test_a_batch_writes_only_the_parts_it_touches(spark):
+    store = Store(spark, workspace(spark, "keyed"))
+    rows = spark.range(1_000).select(F.concat(F.lit("s"), "id").alias("s"), (F.col("id") % 7).alias("c"), F.lit("old").alias("v"))
+    store.commit({"t": rows, "plain": rows.limit(3)}, AS_OF, layouts={"t": Layout(("s",), ("s", "c"), 32)})
+    before, reader = store.part_folders("t"), store.read("t")
+    change = spark.createDataFrame([("s5", 5, "new"), ("s5", 6, "more"), ("s9999", 1, "new"), (None, 2, "null")], "s string, c long, v string")
+    store.commit(at=AS_OF, replace={"t": Replacement(change)}, appends={"plain": rows.limit(2), "fresh": rows.limit(1)})
+    after = store.part_folders("t")
+    touched = {r[0] for r in change.select(F.pmod(key_hash(["s"]), F.lit(32))).distinct().collect()}
+    assert {i for i, (a, b) in enumerate(zip(before, after)) if a != b} == touched and len(touched) <= 3
+    got = {(r.s, r.c): r.v for r in store.read("t").collect()}
+    assert got["s5", 5] == "new" and got["s5", 6] == "more" and got["s9999", 1] == "new" and got[None, 2] == "null" and len(got) == 1_003
+    assert reader.filter("v <> 'old'").isEmpty()  # a reader keeps the rows it resolved
+    assert store.read("plain").count() == 5 and store.read("fresh").count() == 1
+    # keys without rows are deleted; a change of no rows changes nothing
+    store.commit(at=AS_OF, replace={"t": Replacement(change.limit(0), change.select("s", "c").filter("s = 's5'"))})
+    assert store.read("t").filter("s = 's5'").isEmpty() and store.read("t").count() == 1_001
+    version = store.part_folders("t")
+    store.commit(at=AS_OF, replace={"t": Replacement(change.limit(0))})
+    assert store.part_folders("t") == version
+    assert {r.s for r in store.near("t", change).select("s").collect()} >= {"s9999"}
+    assert store.near("t", change, most=0).filter("s = 's9999'").count() == 1  # by whole parts
+
+
+def test_lookups_read_as_much_from_a_table_ten_times_as_large(spark):
+    read, wanted = [], spark.createDataFrame([(f"s{i * 37}",) for i in range(20)], "s string")
+    for n in (200_000, 2_000_000):
+        store = Store(spark, workspace(spark, "grown"))
+        rows = spark.range(n).select(F.concat(F.lit("s"), "id").alias("s"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        store.commit({"t": rows}, AS_OF, layouts={"t": Layout(("s",), parts=n // 50_000)})
+        hits = store.near("t", wanted)
+        at = bytes_read(spark)
+        assert {r.s for r in hits.collect()} == {r.s for r in wanted.collect()}
+        read.append(bytes_read(spark) - at)
+    assert read[1] < 4 * read[0] and read[1] < 0.1 * 2_000_000 * 64  # pages of the keys, and the footers of their parts
+
+
+def test_jobs_against_stored_tables(spark, later):
+    """A batch reads and writes the parts of its keys, and the store then holds what the job's new tables hold."""
+    rows = [("a", 0, "U20", "C2", "U01"), ("b", 1, "U31", "C4", "U01"), ("c", 2, "U99", "C2", "U01")]
+    store = Store(spark, workspace(spark, "stored"))
+    store.commit({"enrollments": later.enrollments}, AS_OF, layouts={"enrollments": Layout(("student_id",), ("student_id", "course_id"), 64)})
+    before = store.part_folders("enrollments")
+    decided, change = jobs.run_stored(later, store, enrol(spark, *rows), jobs.decide_enrolments, jobs.apply_enrolments, {"enrollments": {"student_id": "student_id"}})
+    assert outcomes(decided) == {"a": "enrolled", "b": "reactivated", "c": "student_not_found_or_inactive"}
+    _, plain = jobs.run(later, enrol(spark, *rows), jobs.decide_enrolments, jobs.apply_enrolments)
+    assert sorted(map(str, store.read("enrollments").collect())) == sorted(map(str, plain.tables["enrollments"].collect()))
+    assert sum(a != b for a, b in zip(before, store.part_folders("enrollments"))) == 2
+    assert store.read("activity_log").count() == plain.appends["activity_log"].count() == 3
+
+
+@pytest.fixture()
+def busy(spark, sf_dir):
+    """The earlier state of the test tables, and three batches of changes to a few students of it."""
+    from learnmart import catalog
+
+    t = testdata.load(spark, sf_dir)
+    start, some = commands.before(t), F.col("student_id").isin("S3", "S11", "S12", "S90", "S104")
+    changes = []
+    for job in ("enrollments", "completions", "submissions"):
+        _, feed, decide, apply = catalog.JOB_STEPS[job]
+        changes.append(jobs.run(start, feed(start).filter(some), decide, apply)[1])
+    _, _, decide, apply = catalog.JOB_STEPS["grades"]
+    changes.append(jobs.run(start, commands.grade_commands(t).limit(300), decide, apply)[1])
+    after = start
+    for change in changes[:3]:
+        after = change.onto(after)
+    # hand-ins change twice, by appended rows and by grades
+    graded = changes[3].upserts["homework_submissions"].withColumn("id", F.col("id").cast("string"))
+    work = after.homework_submissions.withColumn("id", F.col("id").cast("string"))
+    return start, changes, after.replace(homework_submissions=work.join(graded.select("id"), "id", "left_anti").unionByName(graded))
+
+
+def test_followed_marts_equal_a_full_refresh(spark, busy):
+    start, changes, after = busy
+    store = Store(spark, workspace(spark, "followed"))
+    refresh.start_following(start, store, parts=64)
+    names = ["mv_student_scores", "mv_course_completion"]
+    before = {name: store.part_folders(name) for name in names}
+    refresh.follow(start, changes, store, after)
+    touched = set()
+    for change in changes:
+        for name, key, outline in (("enrollments", "course_id", None), ("lesson_progress", "lesson_id", after.lesson_outline), ("homework_submissions", "homework_id", after.homework_outline)):
+            for rows in (change.upserts.get(name), change.appends.get(name)):
+                if rows is not None:
+                    rows = rows.select(key) if outline is None else rows.select(key).join(outline, key)
+                    touched |= {r[0] for r in rows.select("course_id").distinct().collect()}
+    parts = {r[0] for r in spark.createDataFrame([(c,) for c in touched], "course_id long").select(F.pmod(key_hash(["course_id"]), F.lit(64))).collect()}
+    for name in names:
+        assert {i for i, (a, b) in enumerate(zip(before[name], store.part_folders(name))) if a != b} <= parts
+    whole = Store(spark, workspace(spark, "whole"))
+    refresh.refresh_marts(after.replace(mv_refresh_queue=changes[0].appends["mv_refresh_queue"]), whole)
+    for name in (*refresh.BUILDERS,):
+        assert sorted(map(str, store.read(name).collect())) == sorted(map(str, whole.read(name).collect())), name
+    assert store.read("mv_refresh_queue").filter("not processed").isEmpty()
+    # nothing changed: nothing but the dashboard is written
+    folders = store.manifest()[1]
+    refresh.follow(after, [], store, after)
+    assert {n for n, f in store.manifest()[1].items() if f != folders[n]} == {"mv_admin_dashboard"}
+    with pytest.raises(ValueError):
+        refresh.follow(after, [jobs.Change(upserts={"courses": after.courses})], store, after)
+
+
+def test_a_deactivated_student_leaves_the_followed_marts(spark, school):
+    store = Store(spark, workspace(spark, "left"))
+    refresh.start_following(school, store, parts=4)
+    rows = spark.createDataFrame([("a", LATER, "U20", "U01", "left")], "cmd_id string, cmd_ts timestamp, student_id string, admin_id string, note string")
+    _, change = jobs.run(school, rows, jobs.decide_deactivations, jobs.apply_deactivations)
+    after = change.onto(school)
+    refresh.follow(school, [change], store, after)
+    for name, build in refresh.BUILDERS.items():
+        assert sorted(map(str, store.read(name).collect())) == sorted(map(str, build(after).collect())), name
+    assert store.read("mv_student_scores").filter("student_id = 'U20'").isEmpty()
 
 
 def test_reports_read_the_stored_marts(spark, school):

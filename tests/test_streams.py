@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from learnmart.operators import jobs
+from learnmart.plans import students
 from learnmart.sources import commands, testdata
 from learnmart.sources.workspace import workspace
 from learnmart.streaming import jobs as streams
@@ -43,8 +44,7 @@ def test_progress(spark, sf_dir):
     for files in (1, 3):
         sink = streams.Sink(workspace(spark, "s2"))
         streams.stream_progress(t, in_files(spark, feed, "feed", ["ts", "event_id"], files), sink).awaitTermination()
-        latest = sink.deltas(t, "progress", ["student_id", "lesson_id"]).current(
-            t.lesson_progress.withColumn("id", F.col("id").cast("string")), 99)
+        latest = sink.deltas(t, "progress", ["student_id", "lesson_id"]).onto(t.lesson_progress.withColumn("id", F.col("id").cast("string")))
         results.append((rows_of(latest, "id", "is_completed"), rows_of(sink.read(t, "log").distinct(), "id", "action", "user_id")))
     assert results[0] == results[1]
 
@@ -59,7 +59,7 @@ def test_enrolments(spark, sf_dir):
     change = jobs.apply_enrolments(t, decided)
     assert rows_of(sink.read(t, "log"), "id", "action", "metadata") == rows_of(change.appends["activity_log"], "id", "action", "metadata")
     base = t.enrollments.withColumn("id", F.col("id").cast("string"))
-    latest = sink.deltas(t, "enrollments", ["student_id", "course_id"]).current(base, 99)
+    latest = sink.deltas(t, "enrollments", ["student_id", "course_id"]).onto(base)
     cols = ("id", "student_id", "course_id", "enrolled_at", "is_active")
     assert rows_of(latest, *cols) == rows_of(change.tables["enrollments"], *cols)
 
@@ -71,3 +71,28 @@ def test_last_activity(spark, sf_dir):
     want = t.activity_log.groupBy("user_id").agg(F.count("*").alias("actions"), F.max("created_at").alias("last_activity_at"))
     cols = ("user_id", "actions", "last_activity_at")
     assert rows_of(streams.latest_activity(t, sink), *cols) == rows_of(want, *cols)
+
+
+def test_claims_hold_over_batches_and_redelivery(spark, sf_dir):
+    t = testdata.load(spark, sf_dir)
+    sink = streams.Sink(workspace(spark, "claims"))
+    offer = lambda *rows: spark.createDataFrame(list(rows), "k int, j string, id string")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(streams.first_claims(t, sink, 0, offer((1, "a", "x"), (2, "a", "y")), ["k", "j"])) == ["x", "y"]
+    assert ids(streams.first_claims(t, sink, 1, offer((1, "a", "z"), (1, "b", "w")), ["k", "j"])) == ["w"]
+    for _ in range(2):  # delivered again: what it got the first time
+        assert ids(streams.first_claims(t, sink, 1, offer((1, "a", "z"), (1, "b", "w")), ["k", "j"])) == ["w"]
+    assert ids(streams.first_claims(t, sink, 2, offer((2, "a", "v"), (1, "b", "u")), ["k", "j"])) == []
+    assert ids(streams.first_claims(t, sink, 3, offer((3, "a", "t")).limit(0), ["k", "j"])) == []
+
+
+def test_active_days(spark, sf_dir):
+    t = testdata.load(spark, sf_dir)
+    sink = streams.Sink(workspace(spark, "s5"))
+    streams.stream_active_days(t, in_files(spark, t.activity_log, "feed", ["created_at", "id"], 4), sink).awaitTermination()
+    want = t.activity_log.groupBy("user_id").agg(F.countDistinct(F.to_date("created_at")).alias("active_days"))
+    assert sink.read(t, "active_days").select("batch").distinct().count() >= 3
+    assert rows_of(streams.active_days(t, sink), "user_id", "active_days") == rows_of(want, "user_id", "active_days")
+    assert rows_of(streams.active_days(t, sink).select(F.col("user_id").alias("student_id"), "active_days"), "student_id", "active_days") == rows_of(
+        students.activity(t.replace(users=t.users.select("id", "email", "role", "first_name", "last_name", "middle_name", F.lit(True).alias("is_active"))))
+        .filter("actions > 0").select("student_id", "active_days"), "student_id", "active_days")
