@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD = 32
 SCORE_ROW_BYTES = 128
 SALTS = 64
+HEAVY = 256  # a key with more than one in so many rows is joined in salted parts
 
 
 def row_width(df: DataFrame):
@@ -63,6 +64,26 @@ def salted_join(big: DataFrame, many: DataFrame, on: str, salts: int = SALTS) ->
     The large side spreads each key over ``salts`` values, the other side is
     repeated once per value, so no task sees a whole hot key.
     """
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
-    repeated = many.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [on, "_salt"]).drop("_salt")
+    return _salted(big, many, on, F.lit(True), salts)
+
+
+def _salted(big: DataFrame, many: DataFrame, on: str, hot: Column, salts: int) -> DataFrame:
+    salt = F.when(hot, F.pmod(F.xxhash64(*big.columns), F.lit(salts))).otherwise(0).cast("int")
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return big.withColumn("_salt", salt).join(many.withColumn("_salt", F.explode(copies)), [on, "_salt"]).drop("_salt")
+
+
+def heavy_keys(df: DataFrame, on: str, most: int = HEAVY) -> list:
+    """The keys that hold more than one in ``most`` of all rows: fewer than ``most``, from one count per key."""
+    counts = df.groupBy(on).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("n")).first()["n"] or 0
+    return [r[0] for r in counts.filter(F.col("_n") * most > total).select(on).collect()]
+
+
+def skewed_join(big: DataFrame, many: DataFrame, on: str, salts: int = SALTS, most: int = HEAVY) -> DataFrame:
+    """``salted_join`` of the heavy keys of ``big`` only; rows of all other keys are joined as they are.
+
+    The other side is repeated for heavy keys alone, fewer than ``most`` of them.
+    """
+    heavy = heavy_keys(big, on, most)
+    return _salted(big, many, on, F.col(on).isin(heavy) if heavy else F.lit(False), salts)

@@ -119,6 +119,10 @@ class Tables:
             sizes[name] = sizing.measured_bytes(df)
         return F.broadcast(df) if sizes[name] <= self.broadcast_bytes else df
 
+    def measured(self, written: DataFrame) -> DataFrame:
+        """Broadcast a projection of a written table if it is measured small; leave the join to AQE beyond."""
+        return F.broadcast(written) if sizing.measured_bytes(written) <= self.broadcast_bytes else written
+
     @cached_property
     def _assignment_bytes(self) -> int:
         return sizing.measured_bytes(self.course_teachers.select("course_id", "teacher_id"))

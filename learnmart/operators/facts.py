@@ -15,7 +15,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from learnmart.functions.sizing import salted_join
+from learnmart.functions.sizing import skewed_join
 from learnmart.schemas import GRADED
 
 if TYPE_CHECKING:
@@ -154,8 +154,8 @@ def per_teacher_rows(t: Tables, rows: DataFrame, many: DataFrame) -> DataFrame:
     """Repeat course rows for every row of ``many``, a frame no larger than course_teachers.
 
     A course may be hot on both sides: ``many`` is broadcast when measured
-    small, otherwise each course is spread over salted sub-keys.
+    small, otherwise the heavy courses are spread over salted sub-keys.
     """
     if t.assignments_fit:
         return rows.join(F.broadcast(many), "course_id")
-    return salted_join(rows, many, "course_id")
+    return skewed_join(rows, many, "course_id")

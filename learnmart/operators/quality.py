@@ -7,6 +7,7 @@ Rules on columns a frame does not carry are skipped.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,10 +35,12 @@ def _text_key(columns) -> Column:
 def unique_violations(t: Tables, names: list[str] | None = None) -> DataFrame:
     """Keys held by more than one row; keys with a NULL part never collide.
 
-    Each table is scanned once for all its keys, and all keys of all tables
-    are counted in one aggregation.
+    Two passes.  The first counts 64-bit hashes of all keys of all tables, two
+    numbers a row that combine on the map side.  The second writes out only keys
+    whose hash came up twice and counts them exactly.
     """
-    parts = []
+    rules: list[tuple[str, str]] = []
+    scans = []
     for table in _tables(t, names):
         df = t.frames[table.name]
         keys = []
@@ -45,17 +48,31 @@ def unique_violations(t: Tables, names: list[str] | None = None) -> DataFrame:
             if set(key) <= set(df.columns):
                 complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in key])
                 values = F.array(*[F.col(c).cast("string") for c in key])
-                keys.append(F.when(complete, F.struct(F.lit(",".join(key)).alias("rule"), values.alias("key"))))
+                keys.append((len(rules), complete, F.xxhash64(*[F.col(c) for c in key]), values))
+                rules.append((table.name, ",".join(key)))
         if keys:
-            parts.append(
-                df.select(F.lit(table.name).alias("table_name"), F.explode(F.array_compact(F.array(*keys))).alias("k"))
-            )
+            scans.append((df, keys))
+
+    def rows(texts: bool) -> DataFrame:
+        parts = []
+        for df, keys in scans:
+            fields = [
+                F.when(complete, F.struct(F.lit(no).alias("rule"), digest.alias("hash"), *([values.alias("key")] if texts else [])))
+                for no, complete, digest, values in keys
+            ]
+            parts.append(df.select(F.explode(F.array_compact(F.array(*fields))).alias("k")).select("k.*"))
+        return _union(parts)
+
+    suspects = t.cut("suspects", rows(False).groupBy("rule", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("rule", "hash"))
+    named = F.array(*[F.struct(F.lit(table).alias("table_name"), F.lit(rule).alias("rule")) for table, rule in rules])
     return (
-        _union(parts)
-        .groupBy("table_name", "k.rule", "k.key")
+        rows(True)
+        .join(t.measured(suspects), ["rule", "hash"], "left_semi")
+        .groupBy("rule", "key")
         .agg(F.count("*").alias("rows_count"))
         .filter("rows_count > 1")
-        .select("table_name", "rule", F.array_join("key", KEY_SEPARATOR).alias("key_value"), "rows_count")
+        .select(F.get(named, F.col("rule")).alias("r"), F.array_join("key", KEY_SEPARATOR).alias("key_value"), "rows_count")
+        .select("r.table_name", "r.rule", "key_value", "rows_count")
     )
 
 
@@ -124,76 +141,114 @@ def domain_violations(t: Tables, names: list[str] | None = None) -> DataFrame:
     return _union(parts)
 
 
-def cascade_purge(t: Tables, users: DataFrame | None = None, courses: DataFrame | None = None) -> tuple[Change, DataFrame]:
-    """Delete users and courses (frames with ``id``) with everything that hangs on them.
+@dataclass(frozen=True)
+class Edge:
+    """A declared reference: rows of ``child`` whose ``column`` names a row of ``parent``."""
+
+    child: str
+    column: str
+    parent: str
+    on_delete: str
+
+    @property
+    def name(self) -> str:
+        return f"{self.child}.{self.column}"
+
+
+def _edges(t: Tables) -> list[Edge]:
+    return [
+        Edge(table.name, ref.column, ref.parent, ref.on_delete)
+        for table in _tables(t, None) for ref in table.references if ref.parent in t.frames
+    ]
+
+
+def _parents_first(edges: list[Edge], tables: list[str]) -> list[str]:
+    """Tables ordered so that cascades run forward."""
+    order: list[str] = []
+    while len(order) < len(tables):
+        ready = [n for n in tables if n not in order and all(e.parent in order or e.parent == n for e in edges if e.child == n and e.on_delete == "cascade")]
+        if not ready:
+            raise ValueError("cascades run in a circle")
+        order += ready
+    return order
+
+
+def cascade_purge(t: Tables, wanted: dict[str, DataFrame]) -> tuple[Change, DataFrame]:
+    """Delete the ``wanted`` rows (frames with ``id``, by table) and all that the declared references take along.
 
-    Payments and enrolments block what they restrict.  A grade blocks its teacher
-    unless the hand-in goes with its student or homework in the same call; so
-    courses are judged first, then students, then graders.  Returns the changed tables and the rejects (kind, id, reason).
+    One statement: a delete is refused if a row it would take is named by a
+    reference that restricts, or by one without action from a row that stays.  A
+    refused delete keeps all its rows, which may then hold back others, so this
+    is repeated until no delete is refused any more.  Returns the tables after
+    the deletes that are not refused, and the refused ones (kind, id, reason).
     """
-    rejects, changed = [], {}
-
-    def table(name: str) -> DataFrame:
-        return changed.get(name, t.frames[name])
-
-    def drop_children(child: str, column: str, gone: DataFrame) -> None:
-        changed[child] = table(child).join(gone.withColumnRenamed("id", column), column, "left_anti").select(
-            *t.frames[child].columns
-        )
-
-    def judge(kind: str, wanted: DataFrame, blockers: dict[str, DataFrame]) -> DataFrame:
-        judged = wanted.select("id").distinct()
-        for i, used in enumerate(blockers.values()):
-            judged = judged.join(used.distinct().withColumn(f"_b{i}", F.lit(True)), "id", "left")
-        reason = F.coalesce(*[F.when(F.col(f"_b{i}"), F.lit(name)) for i, name in enumerate(blockers)])
-        judged = judged.select("id", reason.alias("reason"))
-        rejects.append(judged.filter("reason is not null").select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "reason"))
-        return judged.filter("reason is null").select("id")
-
-    leaving = None  # homework that goes with its course
-    if courses is not None:
-        gone = judge(
-            "courses",
-            courses,
-            {
-                "enrollments.course_id": t.enrollments.select(F.col("course_id").alias("id")),
-                "payments.course_id": t.payments.select(F.col("course_id").alias("id")),
-            },
-        )
-        changed["courses"] = t.courses.join(gone, "id", "left_anti").select(*t.courses.columns)
-        drop_children("course_teachers", "course_id", gone)
-        # Walk down the course tree: each level's deleted ids decide the next.
-        for child, column in (("modules", "course_id"), ("lessons", "module_id"), ("homeworks", "lesson_id")):
-            below = t.frames[child].join(gone.withColumnRenamed("id", column), column, "left_semi").select("id")
-            drop_children(child, column, gone)
-            if child == "lessons":
-                drop_children("lesson_progress", "lesson_id", t.catalogue_dim(below))
-            if child == "homeworks":
-                leaving = t.catalogue_dim(below)
-                drop_children("homework_submissions", "homework_id", leaving)
-            gone = t.catalogue_dim(below)
-    if users is not None:
-        wanted = users.select("id").distinct()
-        money = t.payments.select(F.explode(F.array("student_id", "created_by")).alias("id")).filter("id is not null").distinct()
-        graded = t.homework_submissions.filter("checked_by is not null").select("checked_by", "student_id", "homework_id")
-        if leaving is not None:
-            graded = graded.join(leaving.withColumnRenamed("id", "homework_id"), "homework_id", "left_anti")
-        # students without grades of their own leave for certain; a grade of one who stays blocks its teacher
-        graders = graded.filter("checked_by <> student_id").select(F.col("checked_by").alias("id")).distinct()
-        certain = wanted.join(money, "id", "left_anti").join(graders, "id", "left_anti").withColumnRenamed("id", "student_id")
-        staying = graded.filter("checked_by <> student_id").join(certain, "student_id", "left_anti")
-        gone = judge("users", users, {
-            "payments.student_id": t.payments.select(F.col("student_id").alias("id")),
-            "payments.created_by": t.payments.select(F.col("created_by").alias("id")),
-            "homework_submissions.checked_by": staying.select(F.col("checked_by").alias("id")),
-        })
-        changed["users"] = t.users.join(gone, "id", "left_anti").select(*t.users.columns)
-        for child, column in (
-            ("course_teachers", "teacher_id"),
-            ("homework_submissions", "student_id"),
-            ("enrollments", "student_id"),
-            ("lesson_progress", "student_id"),
-            ("activity_log", "user_id"),
-        ):
-            drop_children(child, column, gone)
-    return Change(tables=changed), _union(rejects)
+    edges = _edges(t)
+    cascades = [e for e in edges if e.on_delete == "cascade"]
+    takes_along = {e.child for e in cascades}
+    # reasons in order: what restricts, then rows that no delete takes along, then rows that may go themselves
+    blockers = sorted((e for e in edges if e.on_delete != "cascade"), key=lambda e: (e.on_delete != "restrict", e.on_delete != "restrict" and e.child in takes_along))
+    named = {e.parent for e in edges}  # only rows of these tables can take others along or be held back
+    order = [n for n in _parents_first(edges, [n for n in TABLES if n in t.frames]) if n in named]
+    roots = _union([
+        df.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("root")).distinct() for kind, df in wanted.items()
+    ])
+    refused = None
+
+    def reached(open_roots: DataFrame) -> dict[str, DataFrame]:
+        """(id, kind, root) for every row that a delete would take, by table."""
+        gone: dict[str, DataFrame] = {}
+        for name in order:
+            rows = t.frames[name]
+            parts = []
+            if name in wanted:
+                own = open_roots.filter(F.col("kind") == name)
+                parts.append(wanted[name].select("id").distinct().join(own, F.col("id").cast("string") == F.col("root")).select("id", "kind", "root"))
+            for e in cascades:
+                if e.child == name and e.parent in gone:
+                    above = gone[e.parent].withColumnRenamed("id", "_above")
+                    parts.append(rows.join(t.measured(above), F.col(e.column) == F.col("_above")).select("id", "kind", "root"))
+            if parts:
+                gone[name] = t.cut("purge", _union(parts).distinct())
+        return gone
+
+    def staying(e: Edge, gone: dict[str, DataFrame]) -> DataFrame:
+        """Values of a reference in rows that no delete takes."""
+        rows = t.frames[e.child]
+        for c in cascades:
+            if c.child == e.child and c.parent in gone:
+                rows = rows.join(t.measured(gone[c.parent].select(F.col("id").alias(c.column)).distinct()), c.column, "left_anti")
+        if e.child in gone:
+            rows = rows.join(t.measured(gone[e.child].select("id").distinct()), "id", "left_anti")
+        return rows
+
+    while True:
+        open_roots = roots if refused is None else roots.join(refused.select("kind", "root"), ["kind", "root"], "left_anti")
+        gone = reached(t.cut("purge", open_roots))
+        held = []
+        for place, e in enumerate(blockers):
+            if e.parent in gone:
+                rows = t.frames[e.child] if e.on_delete == "restrict" else staying(e, gone)
+                used = rows.filter(F.col(e.column).isNotNull()).select(F.col(e.column).alias("id")).distinct()
+                held.append(used.join(gone[e.parent], "id").select("kind", "root", F.lit(place).alias("place")))
+        if not held:
+            break
+        now = t.cut("purge", _union(held).groupBy("kind", "root").agg(F.min("place").alias("place")))
+        if now.isEmpty():
+            break
+        refused = now if refused is None else t.cut("purge", refused.union(now))
+
+    changed = {}
+    for name in [n for n in TABLES if n in t.frames]:
+        rows = t.frames[name]
+        if name in gone:
+            rows = rows.join(t.measured(gone[name].select("id").distinct()), "id", "left_anti")
+        else:
+            for e in cascades:
+                if e.child == name and e.parent in gone:
+                    rows = rows.join(t.measured(gone[e.parent].select(F.col("id").alias(e.column)).distinct()), e.column, "left_anti")
+        if rows is not t.frames[name]:
+            changed[name] = rows.select(*t.frames[name].columns)
+    reason = F.get(F.array(*[F.lit(e.name) for e in blockers]), F.col("place"))
+    none = t.spark.createDataFrame([], "kind string, root string, place int")
+    rejects = (none if refused is None else refused).select("kind", F.col("root").alias("id"), reason.alias("reason"))
+    return Change(tables=changed), rejects

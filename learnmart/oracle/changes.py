@@ -526,6 +526,38 @@ UNION ALL SELECT 'users', 'email length', id FROM users WHERE length(email) > 25
     ),
 }
 
+PURGE_SIX = """
+judged_courses AS (SELECT id, CASE WHEN id IN (SELECT course_id FROM enrollments) THEN 'enrollments.course_id'
+    WHEN id IN (SELECT course_id FROM payments) THEN 'payments.course_id' END AS reason FROM courses WHERE NOT is_active),
+kept_c AS (SELECT id FROM courses EXCEPT SELECT id FROM judged_courses WHERE reason IS NULL),
+kept_m AS (SELECT id FROM modules WHERE id % 7 <> 0 AND course_id IN (FROM kept_c)),
+kept_l AS (SELECT id FROM lessons WHERE id % 11 <> 0 AND module_id IN (FROM kept_m)),
+kept_h AS (SELECT id FROM homeworks WHERE id % 13 <> 0 AND lesson_id IN (FROM kept_l)),
+grades AS (SELECT checked_by, student_id FROM homework_submissions WHERE homework_id IN (FROM kept_h)),
+leaving AS (SELECT id FROM users WHERE NOT is_active
+    AND id NOT IN (SELECT student_id FROM payments UNION SELECT created_by FROM payments UNION SELECT checked_by FROM grades WHERE checked_by IS NOT NULL)),
+judged_users AS (SELECT id, CASE WHEN id IN (SELECT student_id FROM payments) THEN 'payments.student_id'
+    WHEN id IN (SELECT created_by FROM payments) THEN 'payments.created_by'
+    WHEN id IN (SELECT checked_by FROM grades WHERE student_id NOT IN (FROM leaving)) THEN 'homework_submissions.checked_by' END AS reason
+  FROM users WHERE NOT is_active),
+kept_u AS (SELECT id FROM users EXCEPT SELECT id FROM judged_users WHERE reason IS NULL)"""
+
+QUALITY["cascade_purge_refused"] = statement(
+    """
+SELECT 'courses' AS kind, CAST(id AS VARCHAR) AS id, reason FROM judged_courses WHERE reason IS NOT NULL
+UNION ALL SELECT 'users', id, reason FROM judged_users WHERE reason IS NOT NULL
+UNION ALL SELECT 'topics', CAST(id AS VARCHAR), 'courses.topic_id' FROM topics WHERE id = 1 AND id IN (SELECT topic_id FROM courses)""",
+    ctes=PURGE_SIX,
+)
+QUALITY["cascade_purge_rows"] = statement(
+    " UNION ALL ".join(f"SELECT '{table}' AS table_name, CAST(id AS VARCHAR) AS id FROM {table} WHERE {where}" for table, where in (
+        ("users", "id IN (FROM kept_u)"), ("topics", "id <> 1 OR id IN (SELECT topic_id FROM courses)"), ("courses", "id IN (FROM kept_c)"),
+        ("modules", "id IN (FROM kept_m)"), ("lessons", "id IN (FROM kept_l)"), ("homeworks", "id IN (FROM kept_h)"),
+        ("homework_submissions", "homework_id IN (FROM kept_h) AND student_id IN (FROM kept_u)"), ("enrollments", "student_id IN (FROM kept_u)"),
+        ("lesson_progress", "lesson_id IN (FROM kept_l) AND student_id IN (FROM kept_u)"), ("activity_log", "user_id IN (FROM kept_u)"))),
+    ctes=PURGE_SIX,
+)
+
 # why a table refuses a hand-in, before keys: from the table definition and the score rules
 REFUSED = """CASE WHEN status NOT IN ('submitted', 'checked', 'auto_checked') THEN 'status_not_allowed'
     WHEN score > max_score THEN 'score_above_max' WHEN score IS NOT NULL AND status = 'submitted' THEN 'score_while_submitted'

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnmart.functions.exprs import day, full_name, money_mean, money_pct1
+from learnmart.functions.prefix import ranked_totals
 from learnmart.model import Tables
 from learnmart.operators.marts import money_or_zero, side_by_side
 
@@ -66,14 +67,10 @@ def abc(t: Tables) -> DataFrame:
         )
         .join(t.course_totals, "course_id")
     )
-    ranked = Window.orderBy(F.desc("revenue"))
-    so_far = Window.orderBy(F.desc("revenue"), "course_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy()
     running, total = F.col("running"), F.col("total")
     return (
-        per_course.withColumn("revenue_rank", F.rank().over(ranked).cast("long"))
-        .withColumn("running", F.sum("revenue").over(so_far))
-        .withColumn("total", F.sum("revenue").over(everything))
+        ranked_totals(t, per_course, "revenue", "course_id")
+        .withColumnRenamed("rank", "revenue_rank")
         .select(
             "revenue_rank",
             "topic_name",

@@ -8,10 +8,11 @@ import seed
 from pyspark.sql import functions as F
 
 from learnmart.functions import exprs
-from learnmart.functions.sizing import salted_join
+from learnmart.functions.prefix import ranked_totals
+from learnmart.functions.sizing import heavy_keys, salted_join, skewed_join
 from learnmart.model import Tables, typed
 from learnmart.operators import jobs, lookups, marts, quality, rules
-from learnmart.operators.facts import global_rank, rank_within
+from learnmart.operators.facts import global_rank, per_teacher_rows, rank_within
 from learnmart.plans import finance, pages, students, teachers
 from learnmart.sources import testdata
 
@@ -230,7 +231,7 @@ def test_cascade_purge(spark, school):
     courses = spark.createDataFrame([("C1",), ("C9",)], "id string")
     t = school.replace(payments=school.payments.filter("student_id <> 'U20' and created_by <> 'U02'"),
                        courses=extended(spark, school).courses)
-    change, rejects = quality.cascade_purge(t, ids, courses)
+    change, rejects = quality.cascade_purge(t, {"users": ids, "courses": courses})
     assert {(r.kind, r.id, r.reason) for r in rejects.collect()} == {
         ("users", "U10", "homework_submissions.checked_by"), ("users", "U01", "payments.created_by"), ("courses", "C1", "enrollments.course_id")}
     after = change.onto(t)
@@ -241,6 +242,65 @@ def test_cascade_purge(spark, school):
     assert after.courses.filter("id = 'C9'").isEmpty() and after.modules.count() == 13
 
 
+def test_purge_of_any_table_walks_the_declared_references(spark, school):
+    frame = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    lesson = school.homework_submissions.join(school.homeworks.select(F.col("id").alias("homework_id"), "lesson_id"), "homework_id").first().lesson_id
+    module = school.lessons.filter(F.col("id") == lesson).first().module_id
+    change, rejects = quality.cascade_purge(school, {"modules": frame(module), "topics": frame(school.courses.first().topic_id)})
+    assert {(r.kind, r.reason) for r in rejects.collect()} == {("topics", "courses.topic_id")}
+    after = change.onto(school)
+    lessons = [r.id for r in school.lessons.filter(F.col("module_id") == module).collect()]
+    homeworks = [r.id for r in school.homeworks.filter(F.col("lesson_id").isin(lessons)).collect()]
+    assert homeworks and after.topics.count() == school.topics.count()
+    for name, column, ids in (("modules", "id", [module]), ("lessons", "id", lessons), ("homeworks", "id", homeworks),
+                              ("homework_submissions", "homework_id", homeworks), ("lesson_progress", "lesson_id", lessons)):
+        kept = school.frames[name].filter(~F.col(column).isin(ids))
+        assert sorted(map(str, after.frames[name].collect())) == sorted(map(str, kept.collect()))
+    assert set(change.tables) == {"modules", "lessons", "homeworks", "homework_submissions", "lesson_progress", "topics"}
+    # a topic goes with nothing on it, and a refused delete keeps what it would have taken
+    empty = school.replace(courses=school.courses.limit(0))
+    assert quality.cascade_purge(empty, {"topics": frame(school.courses.first().topic_id)})[1].isEmpty()
+    teacher = school.homework_submissions.filter("checked_by is not null").first().checked_by
+    unpaid = school.replace(payments=school.payments.limit(0))
+    taught = [r.student_id for r in school.homework_submissions.filter(F.col("checked_by") == teacher).select("student_id").distinct().collect()]
+    change, rejects = quality.cascade_purge(unpaid.replace(payments=school.payments.filter(F.col("student_id") == taught[0])), {"users": frame(teacher, *taught)})
+    assert {(r.id, r.reason) for r in rejects.collect()} >= {(taught[0], "payments.student_id"), (teacher, "homework_submissions.checked_by")}
+
+
+def test_ranks_and_running_sums_over_partitions_with_ties(spark, school):
+    rows = [(i, v) for i, v in enumerate([50] * 40 + [7] * 300 + [9, 8, 8, 3] + [1] * 60)]
+    df = spark.createDataFrame(rows, "k int, v long")
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        got = {r.k: (r["rank"], r.running, r.total) for r in ranked_totals(school, df, "v", "k").collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    ordered, running = sorted(rows, key=lambda r: (-r[1], r[0])), 0
+    for k, v in ordered:
+        running += v
+        assert got[k] == (1 + sum(w > v for _, w in rows), running, sum(w for _, w in rows))
+    plan = finance.abc(school)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert ranked_totals(school, df.limit(0), "v", "k").count() == 0
+
+
+def test_only_heavy_courses_are_salted(spark, school):
+    rows = spark.createDataFrame([(1, i) for i in range(900)] + [(2 + i % 300, i) for i in range(600)], "course_id int, student_id int")
+    many = spark.createDataFrame([(1 + i % 301, f"T{i}") for i in range(700)], "course_id int, teacher_id string")
+    assert heavy_keys(rows, "course_id") == [1]
+    want = sorted(rows.join(many, "course_id").collect())
+    assert sorted(skewed_join(rows, many, "course_id").select("course_id", "student_id", "teacher_id").collect()) == want
+    plain = Tables(spark, dict.copy(school.frames) | {"course_teachers": many}, school.as_of, broadcast_bytes=-1)
+    assert sorted(per_teacher_rows(plain, rows, many).select("course_id", "student_id", "teacher_id").collect()) == want
+    copies = many.withColumn("hot", F.col("course_id") == 1).groupBy("hot").count().collect()
+    assert {r.hot: r["count"] for r in copies} == {True: 3, False: 697}  # three rows are repeated, the others not
+    assert skewed_join(rows.limit(0), many, "course_id").count() == 0
+
+
 def test_a_grader_leaves_with_the_student(spark, school):
     """A grade goes with its student; it blocks the teacher only while somebody it belongs to stays."""
     by = {}
@@ -250,7 +310,7 @@ def test_a_grader_leaves_with_the_student(spark, school):
     t = school.replace(payments=school.payments.limit(0))
     for extra, refused in ((students, set()), (set(list(students)[1:]), {(teacher, "homework_submissions.checked_by")})):
         ids = spark.createDataFrame([(i,) for i in [teacher, *extra]], "id string")
-        change, rejects = quality.cascade_purge(t, ids)
+        change, rejects = quality.cascade_purge(t, {"users": ids})
         assert {(r.id, r.reason) for r in rejects.collect()} == refused
         assert change.onto(t).users.filter(F.col("id") == teacher).isEmpty() == (not refused)
 
