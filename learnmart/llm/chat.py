@@ -10,10 +10,10 @@ line feed is written as ``<\\n>`` in the same way.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from learnmart.llm.common import col, table
+from learnmart.llm.common import col, cut, let, table
 
 # The control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -71,6 +71,35 @@ def parse(formatted: Column) -> Column:
     return F.when(grammatical, turns)
 
 
+def _same(role: Column, text: Column) -> Column:
+    """What two turns that are alike have in common."""
+    return F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256)
+
+
+def _gather(turns: DataFrame, trained_role: str) -> DataFrame:
+    """One row per conversation from turns (conv_id, turn, role, text, safe_role, safe_text): formatted, loss_spans, identical, escaped_turns.
+
+    Where a turn starts is a running sum of lengths over its conversation; the
+    row gathers what is written, not what it was written from, of which a digest
+    is enough to compare.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    piece = render_turn(F.col("safe_role"), F.col("safe_text"))
+    ahead = F.sum(F.length("piece").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("piece")
+    placed = turns.withColumn("piece", piece).select(
+        "conv_id", "piece", F.row_number().over(order).alias("n"), _same(F.col("role"), F.col("text")).alias("same"),
+        F.when(F.col("role") == trained_role, F.struct(
+            (ahead + len(START) + F.length("safe_role") + 1).alias("start"), F.length("safe_text").cast("long").alias("length"))).alias("span"),
+        ((F.col("role") != F.col("safe_role")) | (F.col("text") != F.col("safe_text"))).alias("escaped"))
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "piece", "same", "span", "escaped"))).alias("t"))
+    formatted = whole.select(
+        "conv_id", F.array_join(F.transform("t", lambda x: x.piece), "").alias("formatted"),
+        F.filter(F.transform("t", lambda x: x.span), lambda x: x.isNotNull()).alias("loss_spans"),
+        F.transform("t", lambda x: x.same).alias("source"), F.size(F.filter("t", lambda x: x.escaped)).alias("escaped_turns"))
+    back = F.transform(parse(F.col("formatted")), lambda x: _same(x.role, x.text))
+    return formatted.withColumn("identical", F.coalesce(back == F.col("source"), F.lit(False))).drop("source")
+
+
 def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
                          text: str = "text", trained_role: str = TRAINED_ROLE) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans, escaped_turns.
@@ -82,59 +111,55 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
     are not looked at; no rows give none.
 
     First every turn is rendered alone and parsed: if it does not come back, it
-    is escaped.  Then the whole conversation is rendered, parsed and compared;
-    if the turns differ, all of its turns are escaped; if they still differ the
-    job fails.
+    is escaped.  Then whole conversations are rendered, parsed and compared; in
+    those whose turns differ all turns are escaped; if they still differ the
+    job fails.  A conversation is one text in one row, so it must stay below
+    the 2 GB of a row; the work is linear in its turns.
     """
     given = rows.select(
         col(conv).alias("conv_id"), col(turn).alias("turn"),
         F.coalesce(col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
-    alone = parse(render_turn(F.col("role"), F.col("text")))
-    same = F.coalesce((F.size(alone) == 1) & (alone[0].role == F.col("role")) & (alone[0].text == F.col("text")), F.lit(False))
-    judged = given.withColumn("clean", same).select(
-        "*",
+    comes_back = let(parse(render_turn(F.col("role"), F.col("text"))), lambda alone: F.coalesce(
+        (F.size(alone) == 1) & (F.get(alone, F.lit(0)).role == F.col("role")) & (F.get(alone, F.lit(0)).text == F.col("text")), F.lit(False)))
+    judged = given.withColumn("clean", comes_back).select(
+        "conv_id", "turn", "role", "text",
         F.when(F.col("clean"), F.col("role")).otherwise(escape_role(F.col("role"))).alias("safe_role"),
         F.when(F.col("clean"), F.col("text")).otherwise(escape_text(F.col("text"))).alias("safe_text"),
     )
-    whole = judged.groupBy("conv_id").agg(F.sort_array(F.collect_list(
-        F.struct("turn", "role", "text", "safe_role", "safe_text", "clean"))).alias("turns"))
-    first = whole.withColumn("formatted", F.array_join(
-        F.transform("turns", lambda t: render_turn(t.safe_role, t.safe_text)), ""))
-
-    def comes_back(formatted: Column) -> Column:
-        source = F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text")))
-        read = F.transform(parse(formatted), lambda t: F.struct(t.role.alias("role"), t.text.alias("text")))
-        return F.coalesce(read == source, F.lit(False))
-
-    everything = F.array_join(F.transform("turns", lambda t: render_turn(escape_role(t.role), escape_text(t.text))), "")
-    settled = first.withColumn("identical", comes_back(F.col("formatted"))).withColumn(
-        "formatted", F.when(F.col("identical"), F.col("formatted")).otherwise(everything))
-    checked = settled.withColumn("formatted", F.when(F.col("identical") | comes_back(F.col("formatted")), F.col("formatted"))
-                                 .otherwise(F.raise_error(F.lit("a conversation does not come back from its formatted text"))))
-    turns = parse(F.col("formatted"))
-    # running start of each turn: a fold, since a turn's place is the sum of those before it
-    spans = F.aggregate(
-        turns,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, t: F.struct(
-            (acc["at"] + len(START) + t["chars"]).alias("at"),
-            F.when(t["role"] == trained_role, F.concat(acc["spans"], F.array(F.struct(
-                (acc["at"] + len(START) + t["skip"]).cast("long").alias("start"), F.length(t["raw"]).cast("long").alias("length")))))
-            .otherwise(acc["spans"]).alias("spans"),
-        ),
-    )
-    return checked.select(
-        "conv_id", "formatted", spans["spans"].alias("loss_spans"),
-        F.when(F.col("identical"), F.size(F.filter("turns", lambda t: ~t.clean))).otherwise(F.size("turns")).alias("escaped_turns"))
-
-
-def read_back(formatted: DataFrame) -> DataFrame:
-    """``format_conversations``' rows with ``turns`` (role, text) parsed and ``loss_text`` read under the spans."""
-    return formatted.select(
-        "*",
-        F.transform(parse(F.col("formatted")), lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"),
-        F.array_join(F.transform("loss_spans", lambda s: unescape_text(
-            F.substring(F.col("formatted"), s.start.cast("int") + 1, s.length.cast("int")))), "").alias("loss_text"),
+    columns = ["conv_id", "formatted", "loss_spans", "escaped_turns"]
+    first = cut(_gather(judged, trained_role), "conversations")
+    differing = first.filter(~F.col("identical")).select(F.col("conv_id").alias("again"))
+    if differing.isEmpty():
+        return first.select(*columns)
+    all_escaped = given.join(differing, F.col("conv_id").eqNullSafe(F.col("again")), "left_semi").select(
+        "*", escape_role(F.col("role")).alias("safe_role"), escape_text(F.col("text")).alias("safe_text"))
+    second = _gather(all_escaped, trained_role).withColumn("formatted", F.when(F.col("identical"), F.col("formatted")).otherwise(
+        F.raise_error(F.lit("a conversation does not come back from its formatted text"))))
+    return first.filter("identical").select(*columns).union(second.select(*columns))
+
+
+def read_back(formatted: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFrame:
+    """``format_conversations``' rows with ``turns`` (role, text) parsed and ``loss_text`` read under the spans.
+
+    The parser walks the text once; where it meets a turn of ``trained_role`` the
+    next span must begin and end, or the job fails.
+    """
+    read = formatted.withColumn("_read", parse(F.col("formatted")))
+    spans = F.col("loss_spans")
+    walk = F.aggregate(
+        "_read", F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("k"), F.lit(True).alias("good")),
+        lambda a, t: F.struct(
+            (a.at + len(START) + t.chars).cast("long").alias("at"),
+            (a.k + F.when(t.role == trained_role, 1).otherwise(0)).alias("k"),
+            (a.good & F.when(t.role == trained_role, F.coalesce(
+                (F.get(spans, a.k).start == a.at + len(START) + t.skip) & (F.get(spans, a.k).length == F.length(t.raw)), F.lit(False)))
+             .otherwise(F.lit(True))).alias("good")))
+    agrees = let(walk, lambda w: w.good & (w.k == F.size(spans)))
+    loss = F.array_join(F.transform(F.filter("_read", lambda t: t.role == trained_role), lambda t: unescape_text(t.raw)), "")
+    return read.select(
+        *map(col, formatted.columns),
+        F.transform("_read", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"),
+        F.when(agrees, loss).otherwise(F.raise_error(F.lit("a span does not lie over the text of a turn"))).alias("loss_text"),
     )
 
 

@@ -13,6 +13,7 @@ from learnmart.llm.common import col, cut, let, small, table, unused
 BITS = 5  # cells per dimension: 2 ** BITS
 SHARDS = 40
 LAWS = ("rows", "bytes")
+DIGESTS, STEPS, ACCURACY = 64, 256, 1000  # groups that digests of quantiles meet in, quantiles that each hands on, accuracy of a digest
 
 
 def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
@@ -65,10 +66,30 @@ def _number(column: Column, kind: T.DataType, skip: int) -> Column:
     return column.cast("double")
 
 
+def quantiles(rows: DataFrame, values: list[Column], shares: list[float]) -> list[list[float]]:
+    """Approximate quantiles of each of ``values`` over all rows, nulls left out; no values, no quantiles.
+
+    Digests of the input tasks meet in ``DIGESTS`` groups, whose evenly spaced
+    quantiles, weighted with the groups' counts, meet in the end: a bounded
+    number however many tasks there are.
+    """
+    steps = [(k + 0.5) / STEPS for k in range(STEPS)]
+    spread = F.pmod(F.spark_partition_id(), F.lit(DIGESTS))
+    groups = rows.select(spread.alias("g"), *[v.alias(f"v{i}") for i, v in enumerate(values)]).groupBy("g").agg(
+        *[F.percentile_approx(f"v{i}", steps, ACCURACY).alias(f"q{i}") for i in range(len(values))],
+        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(values))])
+    found = cut(groups, "quantiles")  # DIGESTS rows of STEPS numbers for each value
+    out = []
+    for i in range(len(values)):
+        weighted = found.filter(f"n{i} > 0").select(F.explode(f"q{i}").alias("v"), F.col(f"n{i}").alias("n"))
+        out.append(weighted.agg(F.percentile("v", shares, F.col("n")).alias("q")).first().q or [])
+    return out
+
+
 def cells(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> list[Column]:
     """The cell of each dimension: how many of the 2 ** bits - 1 quantiles of all rows lie below the value; null is 0.
 
-    Quantiles and common prefixes are two bounded aggregates over all rows.
+    Common prefixes are a bounded aggregate over all rows, quantiles one in two levels.
     """
     kinds = {d: rows.schema[d].dataType for d in dimensions}
     texts = [d for d in dimensions if isinstance(kinds[d], T.StringType)]
@@ -76,10 +97,10 @@ def cells(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> list[Colu
     skip = {d: len(os.path.commonprefix([bytes(ends[f"lo{i}"] or b""), bytes(ends[f"hi{i}"] or b"")])) for i, d in enumerate(texts)}
     numbers = {d: _number(col(d), kinds[d], skip.get(d, 0)) for d in dimensions}
     shares = [k / 2**bits for k in range(1, 2**bits)]
-    marks = rows.agg(*[F.percentile_approx(numbers[d], shares, 10_000).alias(f"q{i}") for i, d in enumerate(dimensions)]).first()
+    marks = quantiles(rows, [numbers[d] for d in dimensions], shares)
     out = []
     for i, d in enumerate(dimensions):
-        bounds = sorted(marks[i] or [])
+        bounds = sorted(marks[i])
         marks_of = F.array(*map(F.lit, bounds)).cast("array<double>")
         below = let(numbers[d], lambda v: F.size(F.filter(marks_of, lambda b: b < v)))
         out.append(F.when(numbers[d].isNull(), 0).otherwise(below))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from learnmart.llm.common import classes as component_ids
-from learnmart.llm.common import col, components, cut, roots, ship, table, unused
+from learnmart.llm.common import col, components, cut, roots, ship, small, table, unused
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -150,10 +150,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: in
 
     Cases are as in ``near_duplicates``.  Of rows with the component's smallest
     id, which only repeated ids can give, the one with the smallest fingerprint
-    and then text hash stays; of rows with equal id and text one.  Texts are
-    hashed once for the decision and once, cheaply, to find the rows that stay.
+    and then text hash stays; of rows with equal id and text one.  Decisions are
+    made on ids, fingerprints and text hashes alone; the rows themselves are then
+    read again and stay where they are while those to drop are few enough to be
+    broadcast by their measured size.
     """
-    digest, one, same, row = unused(docs, "digest", "one", "same", "row")
+    digest, gone, same, row = unused(docs, "digest", "gone", "same", "row")
     text_hash = F.xxhash64(F.coalesce(col(text), F.lit("")))
     narrow = docs.select(col(id_col).alias("id"), col(text).alias("text"), text_hash.alias("digest"))
     prints = cut(fingerprints(narrow, "text", "fp", words).select("id", "fp", "digest"), "fingerprints")
@@ -161,11 +163,24 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: in
     # component_id is null only where all ids are: then the component goes by its own fingerprint
     best = named.groupBy("component_id", F.when(F.isnull("component_id"), F.col("fp")).alias("other")).agg(
         F.min(F.struct(F.isnull("id").alias("missing"), F.col("id"), F.col("fp"), F.col("digest"))).alias("best"))
-    stay = best.select(F.col("best.id").alias(one), F.col("best.digest").alias(same)).distinct()
+    stay = best.select(F.col("best.id").alias("best_id"), F.col("best.digest").alias("best_digest"))
+    rows = prints.groupBy("id", "digest").agg(F.count("*").alias("n"))
+    judged = cut(rows.join(stay, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("digest") == F.col("best_digest")), "left").select(
+        "id", "digest", "n", F.col("best_digest").isNotNull().alias("stays")), "judged")
+
+    def pairs(which: str) -> DataFrame:
+        return judged.filter(which).select(F.col("id").alias(gone), F.col("digest").alias(same))
+
     marked = docs.withColumn(digest, text_hash)
-    kept = marked.join(stay, col(id_col).eqNullSafe(col(one)) & (col(digest) == col(same)), "left_semi")
-    first = kept.withColumn(row, F.row_number().over(Window.partitionBy(col(id_col), col(digest)).orderBy(F.lit(0))))
-    return first.filter(col(row) == 1).select(*map(col, docs.columns))
+    on = col(id_col).eqNullSafe(col(gone)) & (col(digest) == col(same))
+    kept = marked.join(small(cut(pairs("not stays"), "dropped")), on, "left_anti")
+    repeated = cut(pairs("stays and n > 1"), "repeated")
+    if repeated.isEmpty():
+        return kept.select(*map(col, docs.columns))
+    # equal rows: one stays
+    twice = kept.join(small(repeated), on, "left_semi")
+    first = twice.withColumn(row, F.row_number().over(Window.partitionBy(col(id_col), col(digest)).orderBy(F.lit(0)))).filter(col(row) == 1)
+    return kept.join(small(repeated), on, "left_anti").select(*map(col, docs.columns)).union(first.select(*map(col, docs.columns)))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

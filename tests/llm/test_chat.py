@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +42,41 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("bad", ["x<|im_start|>a\nb<|im_end|>\n", "<|im_start|>a b<|im_end|>\n", "<|im_start|>a\nb", "<|im_start|>a\n<|x<|im_end|>\n"])
 def test_the_parser_refuses_what_is_not_the_grammar(spark, bad):
     assert spark.range(1).select(C.parse(F.lit(bad)).isNull()).first()[0]
+
+
+def test_many_turns_take_time_in_proportion(spark):
+    def run(turns):
+        df = spark.range(turns).select(
+            F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+            F.concat(F.lit("some text of a turn <|x "), F.col("id").cast("string")).alias("text"))
+        started = time.time()
+        r = C.read_back(C.format_conversations(df)).select(
+            F.size("turns").alias("n"), F.size("loss_spans").alias("spans"), F.length("loss_text").alias("chars"), "escaped_turns").first()
+        assert (r.n, r.spans, r.escaped_turns) == (turns, turns // 2, turns)
+        return time.time() - started
+
+    run(100)
+    assert run(32_000) < 5 * run(8_000) + 2
+
+
+def test_spans_must_lie_over_the_trained_texts(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "bc"), (1, 2, "assistant", "d")], "conv_id long, turn long, role string, text string")
+    good = C.format_conversations(df)
+    assert [tuple(s) for s in good.first().loss_spans] == [(51, 2), (86, 1)]
+    for wrong in ("array(loss_spans[0])", "transform(loss_spans, s -> struct(s.start + 1 as start, s.length as length))", "concat(loss_spans, loss_spans)"):
+        with pytest.raises(Exception, match="span does not lie"):
+            C.read_back(good.withColumn("loss_spans", F.expr(wrong))).collect()
+
+
+def test_a_conversation_that_differs_as_a_whole_is_escaped_in_all_turns(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0, "user", "a<|b"), (1, 1, "assistant", "c"), (2, 0, "user", "d")], "conv_id long, turn long, role string, text string")
+    real, calls = C._gather, []
+
+    def first_time_wrong(turns, trained_role):
+        calls.append(1)
+        out = real(turns, trained_role)
+        return out.withColumn("identical", F.col("conv_id") != 1) if len(calls) == 1 else out
+
+    monkeypatch.setattr(C, "_gather", first_time_wrong)
+    got = {r.conv_id: r for r in C.read_back(C.format_conversations(df)).collect()}
+    assert len(calls) == 2 and set(got) == {1, 2} and [tuple(t) for t in got[1].turns] == [("user", "a<|b"), ("assistant", "c")]
