@@ -22,27 +22,46 @@ CONTEXT_CHARS = 64
 DICTIONARY_WORDS = 2000  # most frequent words by documents; the dictionary is a top-k by definition
 LEAST_WORD = 4
 CHOICE_GROUPS = 64
-TRAIN_ROWS = 4000  # labelled findings of the query's own training set, in expectation
+TRAIN_ROWS = 6000  # labelled findings of the query's own training set, in expectation
 TREES, DEPTH, SEED = 40, 7, 7
 
-# Key words before an assigned secret, and known prefixes.
-KEYWORDS = "password|passwd|pwd|secret|token|api[_-]?key"
-# the key word, the rest of its name, closing quotes of a JSON or dict key, the sign
-KEYED = rf"(?i:{KEYWORDS})[A-Za-z0-9_-]{{0,40}}[\"'\]\\]{{0,4}}\s{{0,40}}(?:=>|:=|[=:])\s{{0,40}}\\?"
-HEADER = r"(?i:authorization)[\"']{0,2}\s{0,40}[=:]\s{0,40}[\"']?(?:(?i:bearer|basic|token)\s{1,8})?|(?i:bearer)\s{1,8}"
-LOGIN = r"://[^\s:/@\"']{0,64}:"
+# Parts of made-up words in code.
+SYLLABLES = ("con", "fig", "set", "ting", "re", "quest", "load", "form", "val", "ue", "key", "user", "data", "path", "name", "get", "env", "er", "al", "in")
+LEAST_VALUE = 6  # characters of a value after a key word
+
+# Key words before an assigned secret, and published prefixes of tokens.
+KEYWORDS = ("password|passwd|pwd|passphrase|secret|token|credentials?|api[_-]?key|private[_-]?key|access[_-]?key|auth[_-]?key"
+            "|encryption[_-]?key|signing[_-]?key")
+PREFIXES = ("(?:AKIA|ASIA)[A-Z0-9]{16}", "AIza[A-Za-z0-9_-]{35}", "gh[pousr]_[A-Za-z0-9]{36,}", "github_pat_[A-Za-z0-9_]{22,}",
+            "glpat-[A-Za-z0-9_-]{20,}", "(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{16,}", "xox[abeoprs]-[A-Za-z0-9-]{10,}",
+            r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}", "npm_[A-Za-z0-9]{36}", "hf_[A-Za-z0-9]{30,}", "sk-[A-Za-z0-9_-]{20,}")
+PREFIXED = f"(?:{'|'.join(PREFIXES)})"
+JWT = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,})?"
+# the key word, the rest of its name, closing quotes of a JSON or dict key, the sign; of any length
+KEYED = rf"(?i:{KEYWORDS})[A-Za-z0-9_-]*+[\"'\]\\]{{0,4}}\s*+(?:=>|:=|[=:])\s*+\\?"
+TAGGED = rf"<[^<>\s]*?(?i:{KEYWORDS})[^<>]*+>\s*+"
+FLAGGED = rf"(?<![^\s])--?[A-Za-z0-9_-]*?(?i:{KEYWORDS})[A-Za-z0-9_-]*+\s++[\"']?"
+GRANTED = r"(?i:identified)\s++(?i:by)\s++[\"']?"
+HEADER = r"(?i:authorization)[\"']{0,2}\s*+[=:]\s*+[\"']?(?:(?i:bearer|basic|token)\s++)?|(?i:bearer)\s++"
+LOGIN = r"://[^\s:/@\"']*+:"
 # what stands in a match before its value
-ASSIGNED = rf"(?:{HEADER}|{LOGIN}|{KEYED}[\"']?(?=[^\r\n]{{8}}))"
-PEM = r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY(?: BLOCK)?-----(?:[\s\S]{0,16384}?-----END (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY(?: BLOCK)?-----)?"
-PREFIXED = r"(?:AKIA|ASIA)[A-Z0-9]{16}"
-VALUE = r"(?:\"[^\"\r\n]{8,512}(?=\")|'[^'\r\n]{8,512}(?=')|[\"']?[^\s\"']{8,})"
+ASSIGNED = rf"(?:{HEADER}|{LOGIN}|{TAGGED}|{FLAGGED}|{GRANTED}|{KEYED}[\"']?(?=[^\r\n]{{{LEAST_VALUE}}}))"
+PEM = r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY(?: BLOCK)?-----(?:[\s\S]*?-----END (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY(?: BLOCK)?-----)?"
+BARE = rf"[^\s\"'<>]{{{LEAST_VALUE},}}+"
+VALUE = rf"(?:\"[^\"\r\n]{{{LEAST_VALUE},}}+(?=\")|'[^'\r\n]{{{LEAST_VALUE},}}+(?=')|[\"']?[^\s\"']{{{LEAST_VALUE},}}+)"
 # a name that a value is assigned to is no candidate itself: it would hide the value
-MIXED = rf"(?=[A-Za-z+/_-]{{0,200}}+[0-9])(?![A-Za-z0-9_-]{{0,60}}?{KEYED}{VALUE})[A-Za-z0-9+/_-]{{16,}}+={{0,2}}"
-CANDIDATE = (rf"{PEM}|(?:{HEADER})[^\s\"']{{8,}}|{LOGIN}[^\s/@\"']{{1,200}}(?=@)|{KEYED}{VALUE}"
-             rf"|(?<![A-Za-z0-9+/_-])(?:{PREFIXED}|{MIXED})")
+MIXED = rf"(?=[A-Za-z+/_-]*+[0-9])(?![A-Za-z0-9_-]*?{KEYED}{VALUE})[A-Za-z0-9+/_-]{{16,}}+={{0,2}}"
+CANDIDATE = (rf"{PEM}|(?:{HEADER})[^\s\"']{{8,}}+|{LOGIN}(?!\d{{1,5}}+(?:/|\s))[^\s@\"']++(?=@)|{TAGGED}[^\s<>]{{{LEAST_VALUE},}}+(?=<)"
+             rf"|{FLAGGED}{BARE}|{GRANTED}{BARE}|{KEYED}{VALUE}|(?<![A-Za-z0-9+/_-])(?:{PREFIXED}|{JWT}|{MIXED})")
+
+# Forms of code and templates that name a value instead of holding one.
+CALL = r"^[A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*[(\[]"
+DOTTED = r"^[A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)+[,;)]*$"
+TEMPLATE = r"^[\"']?(?:\$\{|\{\{|\$\(|\$[A-Z_]+$|%\(|%[A-Z_]+%|<[A-Za-z]|#\{|\{[a-z_]+\})"
+NAME = r"^[A-Za-z_$]+[,;)]*$"
 
 # Words that speak for and against a secret.
-FOR = r"(?i)password|passwd|pwd|secret|token|api[_-]?key|credential|auth|bearer|private"
+FOR = rf"(?i){KEYWORDS}|auth|bearer|private|identified"
 AGAINST = r"(?i)commit|sha-?\d*|checksum|digest|md5|uuid|guid|revision|etag|version|build"
 HARMLESS = r"(?i)example|sample|placeholder|dummy|changeme|your|xxxx|0000|1234|test|fake"
 TEST_PATH = r"(?i)(^|[/_.-])(tests?|examples?|samples?|mocks?|fixtures?|docs?|vendor)([/_.-]|$)"
@@ -137,6 +156,11 @@ def features(found: DataFrame, known: Words) -> tuple[DataFrame, list[str]]:
         "f_signs": share(count(r"[\p{L}\d]"), size),
         "f_hex": value.rlike(r"^[0-9a-f]+$|^[0-9A-F]+$").cast("double"),
         "f_prefixed": value.rlike(f"^{PREFIXED}$").cast("double"),
+        "f_jwt": value.rlike(f"^{JWT}$").cast("double"),
+        "f_call": value.rlike(CALL).cast("double"),
+        "f_dotted": value.rlike(DOTTED).cast("double"),
+        "f_template": value.rlike(TEMPLATE).cast("double"),
+        "f_name": value.rlike(NAME).cast("double"),
         "f_pem": value.startswith("-----BEGIN").cast("double"),
         "f_login": F.col("before").rlike(rf"{LOGIN}$").cast("double"),
         "f_uuid": value.rlike(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$").cast("double"),
@@ -179,9 +203,10 @@ def labelled_findings(docs: DataFrame, known: Words, salt: str = "train", rows:
     Hash-drawn documents (``rows`` in expectation; small tables give several
     findings a document) lend their words as context; values come from hashes.
     True are random keys, hex and base64 strings and short passwords in
-    assignments, headers, logins of addresses or with a known prefix, and private
-    keys; false are placeholders, dictionary slugs, identifiers and check sums
-    named as such, and true-looking values under test paths.
+    assignments, headers, flags, tags, grants and logins of addresses, tokens with
+    some of the published prefixes, and private keys; false are placeholders,
+    code that names a value, template variables, dictionary slugs, identifiers and
+    check sums named as such, and true-looking values under test paths.
     """
     total = docs.count()
     each = min(64, max(1, -(-rows // max(1, total))))
@@ -219,8 +244,42 @@ def labelled_findings(docs: DataFrame, known: Words, salt: str = "train", rows:
     header = F.element_at(F.array(*map(F.lit, ("Authorization: Bearer ", "bearer "))), (pick("header", 2) + 1).cast("int"))
     login = F.concat(F.lit("postgres://"), word("user"), F.lit(":"))
     plain_words = F.concat(word("d1"), word("d2"))
+    # code that names a secret kept elsewhere, templates, and vendor tokens with a prefix; half of the words of code are in no dictionary of texts
+    syllable = lambda tag, n: F.element_at(F.array(*map(F.lit, SYLLABLES)), (F.pmod(F.xxhash64("name", "nth", F.lit(tag), F.lit(n)), F.lit(len(SYLLABLES))) + 1).cast("int"))
+    spoken = lambda tag: F.when(pick(tag + "?", 3) == 0, word(tag)).otherwise(F.concat(
+        syllable(tag, 1), syllable(tag, 2), F.when(pick(tag + "!", 2) == 0, syllable(tag, 3)).otherwise(F.lit(""))))
+    for tag in ("e1", "e2", "e3", "e4"):
+        drawn = drawn.withColumn(tag, spoken(tag))
+    upper = lambda tag: F.upper(F.col(tag))
+    code = F.element_at(F.array(
+        F.concat(F.col("e1"), F.lit("."), F.col("e2")), F.concat(F.col("e1"), F.lit("."), F.col("e2"), F.lit("."), upper("e3")),
+        F.concat(F.col("e1"), F.lit("."), F.col("e2"), F.lit("('"), upper("e3"), F.lit("')")), F.concat(F.col("e1"), F.initcap(F.col("e2")), F.lit("("), F.col("e3"), F.lit(")")),
+        F.concat(F.col("e1"), F.lit("."), F.col("e2"), F.lit("[\""), upper("e3"), F.lit("_"), upper("e4"), F.lit("\"]")),
+        F.concat(F.col("e1"), F.initcap(F.col("e2")), F.lit("."), F.col("e3"), F.lit(",")), F.concat(F.col("e1"), F.lit("."), F.initcap(F.col("e2")), F.lit("(")),
+        F.concat(F.col("e1"), F.initcap(F.col("e2")), F.lit(";")), F.concat(F.col("e1"), F.lit("_"), F.col("e2")),
+        F.concat(F.col("e1"), F.lit("->"), F.col("e2"), F.lit("()"))), (pick("code", 10) + 1).cast("int"))
+    template = F.element_at(F.array(
+        F.concat(F.lit("${"), upper("e1"), F.lit("_"), upper("e2"), F.lit("}")), F.concat(F.lit("{{"), F.col("e1"), F.lit("."), F.col("e2"), F.lit("}}")),
+        F.concat(F.lit("$"), upper("e1"), F.lit("_"), upper("e2")), F.concat(F.lit("%("), F.col("e1"), F.lit(")s")), F.concat(F.lit("<"), F.col("e1"), F.lit("-"), F.col("e2"), F.lit(">")),
+        F.concat(F.lit("<"), F.col("e1"), F.lit(">")), F.concat(F.lit("$("), F.col("e1"), F.lit(" "), F.col("e2"), F.lit(")"))), (pick("template", 7) + 1).cast("int"))
+    mixed_case = lambda tag, n: F.substring(F.translate(F.base64(F.unhex(h(tag))), "+/=", "xYz"), 1, n)
+    vendor = F.element_at(F.array(  # the other published prefixes are held out
+        F.concat(F.lit("AIza"), mixed_case("g", 35)), F.concat(F.lit("glpat-"), mixed_case("gl", 20)), F.concat(F.lit("sk_live_"), mixed_case("sk", 24)),
+        F.concat(F.lit("xoxb-"), mixed_case("xo", 24)), F.concat(F.lit("npm_"), mixed_case("np", 36))), (pick("vendor", 5) + 1).cast("int"))
+    jwt = F.concat(F.lit("eyJ"), mixed_case("j1", 17), F.lit(".eyJ"), mixed_case("j2", 30), F.lit("."), mixed_case("j3", 40))
+    short = F.concat(mixed_case("s1", 4), F.element_at(F.array(*map(F.lit, "!@#$%&*?")), (pick("mark2", 8) + 1).cast("int")), pick("s2", 1000).cast("string"))
+    set_by = F.element_at(F.array(*map(F.lit, ("password = ", "secret = ", "password: ", "secret_key = ", "token = \"", "passwd := ", "credential: ", "private_key = "))),
+                          (pick("set", 8) + 1).cast("int"))
+    given = F.element_at(F.array(*map(F.lit, ("<password>", "<secret>", "--password ", "--token ", "IDENTIFIED BY '", "credential: ", "private_key = \""))),
+                         (pick("given", 7) + 1).cast("int"))
     bare = F.lit("")
     plain, tests = F.lit("src/main"), F.lit("tests/fixtures/data")
+    bases = {"key": key, "hexes": hexes, "b64": b64, "holder": holder, "slug": slug, "camel": camel, "uuid": uuid, "password": password, "leet": leet,
+             "letters": letters, "phrase": phrase, "pem": pem, "plain_words": plain_words, "code": code, "template": template, "vendor": vendor, "jwt": jwt,
+             "short": short, "assign": assign, "named": named, "quoted": quoted, "header": header, "login": login, "set_by": set_by, "given": given}
+    drawn = drawn.withColumns({f"b_{name}": c for name, c in bases.items()})
+    (key, hexes, b64, holder, slug, camel, uuid, password, leet, letters, phrase, pem, plain_words, code, template, vendor, jwt, short, assign, named, quoted,
+     header, login, set_by, given) = (F.col(f"b_{name}") for name in bases)
     shapes = [  # value, what stands before it, path, label
         (key, bare, plain, 1), (key, assign, plain, 1), (hexes, assign, plain, 1), (hexes, assign, plain, 1), (b64, assign, plain, 1),
         (holder, assign, plain, 0), (holder, bare, plain, 0), (slug, bare, plain, 0), (slug, assign, plain, 0), (camel, bare, plain, 0),
@@ -229,6 +288,10 @@ def labelled_findings(docs: DataFrame, known: Words, salt: str = "train", rows:
         (password, assign, plain, 1), (leet, assign, plain, 1), (letters, header, plain, 1), (hexes, header, plain, 1), (password, login, plain, 1),
         (leet, login, plain, 1), (phrase, quoted, plain, 1), (pem, bare, plain, 1), (b64, header, plain, 1), (holder, header, plain, 0),
         (plain_words, header, plain, 0), (plain_words, assign, plain, 0), (F.concat(word("d3"), F.lit(" "), plain_words), quoted, plain, 0),
+        (code, set_by, plain, 0), (code, set_by, plain, 0), (code, assign, plain, 0), (template, set_by, plain, 0), (template, assign, plain, 0),
+        (template, login, plain, 0), (template, given, plain, 0), (template, header, plain, 0), (vendor, bare, plain, 1), (vendor, bare, plain, 1), (vendor, assign, plain, 1),
+        (jwt, bare, plain, 1), (jwt, header, plain, 1), (short, assign, plain, 1), (short, given, plain, 1), (password, given, plain, 1), (hexes, given, plain, 1),
+        (leet, given, plain, 1), (plain_words, given, plain, 0), (holder, given, plain, 0), (vendor, bare, tests, 0), (jwt, bare, tests, 0),
         (holder, login, plain, 0), (slug, header, plain, 0), (pem, bare, tests, 0), (password, assign, tests, 0), (password, login, tests, 0),
     ]
     shape = F.col("shape")
@@ -250,7 +313,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document with its verdict; the value as a hash only."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     known = dictionary(docs)
-    labelled = cut(labelled_findings(docs, known).coalesce(4), "labelled_findings")
+    # written by the tasks that scan the documents; the forest is then fitted on a few partitions
+    labelled = cut(labelled_findings(docs, known), "labelled_findings").coalesce(4)
     found = scan(docs, fit(labelled, known), known)
     return found.select("doc_id", "start", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"),
                         "probability", "is_secret")
