@@ -84,10 +84,17 @@ def course_stats(t: Tables, course_id=None) -> DataFrame:
 
 
 def student_rank(t: Tables, student_id=None, course_id=None) -> DataFrame:
-    """Rank of each active student in each course, with the class size."""
+    """Rank of each active student in each course, with the class size.
+
+    For one student only that student's courses are ranked; with
+    ``refresh.near_student`` only their facts are read.
+    """
     scored = t.active_facts.join(
         t.catalogue_dim(t.course_totals.filter("total_homeworks > 0")), "course_id"
     )
+    if student_id is not None:
+        own = t.active_facts.filter(F.col("student_id") == student_id).select("course_id").distinct()
+        scored = scored.join(t.catalogue_dim(own), "course_id", "left_semi")
     if course_id is not None:
         scored = scored.filter(F.col("course_id") == course_id)
     ranked = rank_within(t, scored, "total_score", "rank_in_course", size="total_students")

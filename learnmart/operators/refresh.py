@@ -19,7 +19,7 @@ BUILDERS = dict(
 )
 
 # what a followed store keeps beside the marts, and how tables are dealt: marts are replaced course by course or teacher by teacher
-FACTS, WORK = "enrolment_facts", "course_work"
+FACTS, WORK, PLACES = "enrolment_facts", "course_work", "student_places"
 BY_COURSE = {"mv_student_scores": marts.student_scores, "mv_course_completion": marts.course_completion}
 FOLLOWED = ("enrollments", "lesson_progress", "homework_submissions", "users", "activity_log", "mv_refresh_queue", "payments")
 
@@ -39,9 +39,11 @@ def start_following(t: Tables, store: Store, parts: int | None = None) -> int:
         "mv_teacher_workload": Layout(("teacher_id",), parts=parts),
         FACTS: course("course_id", "student_id"),
         WORK: course("course_id", "teacher_id"),
+        PLACES: Layout(("student_id",), ("student_id", "course_id"), parts),
     }
     frames = {name: build(t) for name, build in BUILDERS.items()}
-    frames[FACTS] = facts.everyone(t)
+    frames[FACTS] = t.cut("facts", facts.everyone(t))
+    frames[PLACES] = frames[FACTS].select("student_id", "course_id")
     frames[WORK] = marts.work_counts(t, t.homework_submissions)
     if "mv_refresh_queue" in t.frames:
         frames["mv_refresh_queue"] = t.mv_refresh_queue.withColumn("processed", F.lit(True))
@@ -98,7 +100,7 @@ def follow(t: Tables, changes: list[Change], store: Store, after: Tables) -> int
     courses = t.cut("courses", courses.distinct())
 
     old = store.near(FACTS, courses).join(touched, ["student_id", "course_id"], "left_semi")
-    replace = {FACTS: Replacement(facts.moved(old, plus, minus))}
+    replace = {FACTS: Replacement(facts.moved(old, plus, minus)), PLACES: Replacement(touched)}
     if work is not None:
         replace[WORK] = Replacement(work)
     store.commit(at=t.as_of, replace=replace)
@@ -146,6 +148,17 @@ def _workload(after: Tables, changes: list[Change], courses: DataFrame, store: S
     return Replacement(marts.teacher_workload(near, store.near(WORK, wanted)), teachers)
 
 
+def near_student(t: Tables, store: Store, student_id: str) -> Tables:
+    """``t`` with the facts and enrolments of one student's courses only, read from their parts of a followed store."""
+    who = t.spark.createDataFrame([(student_id,)], "student_id string")
+    places = store.near(PLACES, who).filter(F.col("student_id") == student_id)
+    courses = t.cut("courses", places.select("course_id").distinct())
+    own = store.near(FACTS, courses).join(t.catalogue_dim(courses), "course_id", "left_semi").filter("enrolled_at is not null")
+    out = t.replace(enrollments=own.select("student_id", "course_id", "enrolled_at", "is_active"))
+    out.__dict__["enrolment_facts"] = own
+    return out
+
+
 def with_marts(t: Tables, store: Store) -> Tables:
     """``t`` with the stored marts beside it: reports then read the snapshot, as of its last refresh."""
     out = t.replace(**{name: store.read(name) for name in MARTS})

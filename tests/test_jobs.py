@@ -320,6 +320,22 @@ def test_followed_marts_equal_a_full_refresh(spark, busy):
         refresh.follow(after, [jobs.Change(upserts={"courses": after.courses})], store, after)
 
 
+def test_one_student_is_ranked_from_the_parts_of_their_courses(spark, sf_dir):
+    t = testdata.load(spark, sf_dir)
+    store = Store(spark, workspace(spark, "ranked"))
+    refresh.start_following(t, store, parts=128)
+    student = t.enrollments.filter("is_active").join(t.course_totals.filter("total_homeworks > 0"), "course_id").first().student_id
+    near = refresh.near_student(t, store, student)
+    courses = t.enrollments.filter(F.col("student_id") == student).select("course_id").distinct()
+    seen = t.lesson_progress.filter(F.col("student_id") == student).join(t.lesson_outline, "lesson_id").select("course_id")
+    sent = t.homework_submissions.filter(F.col("student_id") == student).join(t.homework_outline, "homework_id").select("course_id")
+    parts = {r[0] for r in courses.union(seen).union(sent).select(F.pmod(key_hash(["course_id"]), F.lit(128))).distinct().collect()}
+    read = {int(f.split("_part=")[1].split("/")[0]) for f in near.enrolment_facts.inputFiles() if "_part=" in f}
+    assert read <= parts and len(read) < 20
+    whole = lookups.student_rank(t).filter(F.col("student_id") == student).collect()
+    assert whole and sorted(lookups.student_rank(near, student).collect()) == sorted(whole) == sorted(lookups.student_rank(t, student).collect())
+
+
 def test_a_deactivated_student_leaves_the_followed_marts(spark, school):
     store = Store(spark, workspace(spark, "left"))
     refresh.start_following(school, store, parts=4)
