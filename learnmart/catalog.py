@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from learnmart.functions.exprs import period_end
 from learnmart.model import Tables
-from learnmart.operators import jobs, lookups, marts, quality, refresh, rules
+from learnmart.operators import jobs, lookups, marts, quality, refresh, rules, units
 from learnmart.plans import admin, finance, pages, students, teachers
 from learnmart.sources import commands, feeds, testdata
 from learnmart.sources.store import Layout, Store
@@ -133,6 +133,7 @@ JOB_STEPS = {
     "enrollments": (commands.before, commands.enrol_commands, jobs.decide_enrolments, jobs.apply_enrolments),
     "payments": (commands.before, commands.payment_commands, jobs.decide_payments, jobs.apply_payments),
     "units": (commands.before, commands.unit_commands, jobs.decide_enrol_and_pay, jobs.apply_enrol_and_pay),
+    "groups": (commands.before, commands.group_commands, units.decide_units, units.apply_units),
     "grades": (lambda t: t, commands.grade_commands, jobs.decide_grades, jobs.apply_grades),
     "deactivations": (lambda t: t, commands.deactivation_commands, jobs.decide_deactivations, jobs.apply_deactivations),
     "completions": (commands.before, commands.completion_commands, jobs.decide_completions, jobs.apply_completions),
@@ -200,6 +201,10 @@ JOBS = {
     "submit_homeworks_rows": lambda t: _change("submissions", t).appends["homework_submissions"],
     "enroll_and_pay": _outcomes("units"),
     "enroll_and_pay_log": _log("units"),
+    "apply_units": _outcomes("groups"),
+    "apply_units_state": lambda t: _change("groups", t).tables["enrollments"],
+    "apply_units_payments": lambda t: _change("groups", t).appends["payments"],
+    "apply_units_log": _log("groups"),
 }
 
 

@@ -109,6 +109,56 @@ decided AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN coalesce
   FROM (SELECT *, row_number() OVER (PARTITION BY student_id, course_id, reason IS NULL ORDER BY cmd_ts, cmd_id) AS rn
         FROM judged))"""
 
+# units handled one after the other: two customers' units touch no places of others, so each pair is a fold of its own
+GROUP = f"""{BEFORE},
+cmds AS (SELECT kind || '-' || o_orderkey AS cmd_id, o_orderdate + INTERVAL 8200 DAY AS cmd_ts, o_custkey // 2 AS pair,
+    o_custkey // 2 || '-' || year(o_orderdate) || '-' || quarter(o_orderdate) AS unit_id, kind, {PERSON} AS student_id,
+    (o_custkey // 8 + o_orderkey % 3) % n AS course_id, 'A' || (o_orderkey % 17 % 5) AS admin_id,
+    CAST(CAST(o_totalprice AS DECIMAL(10,2)) - 5000 AS DECIMAL(10,2)) AS amount,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'yearly' ELSE 'monthly' END AS subscription_type,
+    CAST(o_orderdate + INTERVAL 8200 DAY AS DATE) AS period_start, o_orderstatus AS notes
+  FROM orders, cat, (VALUES ('enroll'), ('pay')) k(kind)
+  WHERE o_orderdate >= {CUT} AND CASE kind WHEN 'enroll' THEN o_orderkey % 8 < 4 ELSE o_orderkey % 3 < 2 END),
+judged AS (SELECT x.*, c.title AS course_title, e.id AS enrollment_id, coalesce(e.is_active, FALSE) AS was_active,
+    x.student_id || '/' || x.course_id AS place, row_number() OVER (PARTITION BY unit_id ORDER BY cmd_ts, cmd_id) AS pos,
+    CASE WHEN NOT EXISTS (SELECT 1 FROM users a WHERE a.id = x.admin_id AND a.role = 'admin' AND a.is_active)
+           THEN 'admin_not_active'
+         WHEN kind = 'enroll' AND (u.id IS NULL OR NOT u.is_active) THEN 'student_not_found_or_inactive'
+         WHEN kind = 'enroll' AND u.role <> 'student' THEN 'not_a_student' WHEN c.id IS NULL THEN 'course_not_found'
+         WHEN kind = 'enroll' AND NOT c.is_active THEN 'course_not_active'
+         WHEN kind = 'pay' AND x.amount <= 0 THEN 'amount_not_positive' END AS own_reason
+  FROM cmds x LEFT JOIN users u ON u.id = x.student_id LEFT JOIN courses c ON c.id = x.course_id
+  LEFT JOIN enr_before e ON e.student_id = x.student_id AND e.course_id = x.course_id),
+leaning AS (SELECT j.*, kind = 'pay' AND NOT was_active AND own_reason IS NULL
+      AND NOT EXISTS (SELECT 1 FROM judged o WHERE o.unit_id = j.unit_id AND o.place = j.place AND o.kind = 'enroll'
+                      AND o.own_reason IS NULL AND o.pos < j.pos) AS leans FROM judged j),
+turns AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY unit_ts, unit_id) AS n
+  FROM (SELECT pair, unit_id, min(cmd_ts) AS unit_ts, bool_or(own_reason IS NOT NULL) AS bad,
+          list(DISTINCT place) FILTER (WHERE leans) AS asks,
+          list(DISTINCT place) FILTER (WHERE kind = 'enroll' AND NOT was_active) AS gives
+        FROM leaning GROUP BY pair, unit_id)),
+fold AS (SELECT DISTINCT pair, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS unit_id, FALSE AS stands, CAST([] AS VARCHAR[]) AS seen,
+    CAST([] AS VARCHAR[]) AS held FROM turns
+  UNION ALL
+  SELECT pair, n, unit_id, stands, seen, CASE WHEN stands THEN list_concat(seen, coalesce(gives, [])) ELSE seen END
+  FROM (SELECT f.pair, s.n, s.unit_id, f.held AS seen, s.gives, NOT s.bad AND list_has_all(f.held, coalesce(s.asks, [])) AS stands
+        FROM fold f JOIN turns s ON s.pair = f.pair AND s.n = f.n + 1)),
+decided AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN kind = 'pay' THEN 'recorded'
+      WHEN was_active OR list_contains(seen, place) OR before > 0 THEN 'already_enrolled'
+      WHEN enrollment_id IS NOT NULL THEN 'reactivated' ELSE 'enrolled' END AS outcome,
+    CAST(period_start + CASE WHEN subscription_type = 'yearly' THEN INTERVAL 1 YEAR ELSE INTERVAL 1 MONTH END - INTERVAL 1 DAY AS DATE) AS period_end
+  FROM (SELECT l.*, f.seen, CASE WHEN own_reason IS NOT NULL THEN own_reason
+           WHEN leans AND NOT list_contains(f.seen, place) THEN 'not_enrolled' WHEN NOT stands THEN 'unit_refused' END AS reason,
+         count(*) FILTER (WHERE kind = 'enroll') OVER (PARTITION BY l.unit_id, place ORDER BY pos
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+        FROM leaning l JOIN fold f ON f.unit_id = l.unit_id))"""
+
+
+def in_turn(body: str, **pinned: str) -> str:
+    """A statement over the fold of units."""
+    return statement(body, ctes=GROUP, **pinned).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 GRADE_CMDS = f"""
 cmds AS (SELECT {line_id('G')} AS cmd_id, l_shipdate + INTERVAL 8100 DAY AS cmd_ts,
     homework_id * 100000000 + o_custkey + CASE WHEN l_linenumber = 7 THEN 50000000 ELSE 0 END AS submission_id,
@@ -225,25 +275,35 @@ NEW_SUBMISSION = """SELECT sha256(homework_id || '~' || student_id) AS id, homew
     CASE WHEN check_type = 'auto' THEN TIMESTAMP '2024-01-31' END AS checked_at, TIMESTAMP '2024-01-31' AS submitted_at
 FROM decided WHERE outcome = 'submitted'"""
 
-JOBS = {
-    "apply_enrollments": statement(DECISIONS, ctes=ENROL),
-    "apply_enrollments_state": statement(
-        """
+ENROL_STATE = """
 SELECT CAST(e.id AS VARCHAR) AS id, e.student_id, e.course_id,
        CASE WHEN d.cmd_id IS NOT NULL THEN TIMESTAMP '2024-01-31' ELSE e.enrolled_at END AS enrolled_at,
        e.is_active OR d.cmd_id IS NOT NULL AS is_active
 FROM enr_before e LEFT JOIN decided d ON d.outcome = 'reactivated' AND d.student_id = e.student_id AND d.course_id = e.course_id
 UNION ALL SELECT sha256(student_id || '~' || course_id), student_id, course_id, TIMESTAMP '2024-01-31', TRUE
-FROM decided WHERE outcome = 'enrolled'""",
+FROM decided WHERE outcome = 'enrolled'"""
+
+PAY_ROWS = """
+SELECT sha256(cmd_id) AS id, student_id, course_id, amount, subscription_type, DATE '2024-01-31' AS payment_date, period_start,
+       period_end, notes, admin_id AS created_by, TIMESTAMP '2024-01-31' AS created_at FROM decided WHERE outcome = 'recorded'"""
+
+JOBS = {
+    "apply_enrollments": statement(DECISIONS, ctes=ENROL),
+    "apply_enrollments_state": statement(
+        ENROL_STATE,
         ints="course_id",
         ctes=ENROL,
     ),
     "apply_enrollments_log": statement(ENROL_LOG, ctes=ENROL),
+    "apply_units": in_turn(DECISIONS),
+    "apply_units_state": in_turn(ENROL_STATE, ints="course_id"),
+    "apply_units_payments": in_turn(PAY_ROWS, ints="course_id", doubles="amount"),
+    "apply_units_log": in_turn(
+        ENROL_LOG + " UNION ALL "
+        + log("record_payment", "payment", "admin_id", "sha256(cmd_id)", PAY_META, "decided WHERE outcome = 'recorded'", "cmd_id")),
     "apply_payments": statement(DECISIONS, ctes=PAY),
     "apply_payments_rows": statement(
-        """
-SELECT sha256(cmd_id) AS id, student_id, course_id, amount, subscription_type, DATE '2024-01-31' AS payment_date, period_start,
-       period_end, notes, admin_id AS created_by, TIMESTAMP '2024-01-31' AS created_at FROM decided WHERE outcome = 'recorded'""",
+        PAY_ROWS,
         ints="course_id",
         doubles="amount",
         ctes=PAY,

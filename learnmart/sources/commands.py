@@ -127,6 +127,30 @@ def unit_commands(t: Tables) -> DataFrame:
     )
 
 
+def group_commands(t: Tables) -> DataFrame:
+    """Units of enrolments and payments: the later orders of two customers in one quarter.
+
+    Every second order enrols, two in three pay, so that some payments lean on an enrolment of another unit.
+    """
+    ts = _shift("o_orderdate", ORDER_SHIFT_DAYS)
+    quarter = F.date_format("o_orderdate", "yyyy-Q")
+    order = F.col("o_orderkey")
+    kinds = F.array_compact(F.array(F.when(order % 8 < 4, F.lit("enroll")), F.when(order % 3 < 2, F.lit("pay"))))
+    return _later_orders(t).select(F.explode(kinds).alias("kind"), "*").select(
+        F.concat(F.col("kind"), F.lit("-"), order.cast("string")).alias("cmd_id"),
+        ts.alias("cmd_ts"),
+        F.concat(testdata.div("o_custkey", 2).cast("string"), F.lit("-"), quarter).alias("unit_id"),
+        "kind",
+        _person().alias("student_id"),
+        t.raw.course_near("o_custkey", order % 3).alias("course_id"),
+        F.concat(F.lit("A"), (order % 17 % 5).cast("string")).alias("admin_id"),
+        (F.col("o_totalprice").cast("decimal(10,2)") - 5000).cast("decimal(10,2)").alias("amount"),
+        F.when(order % 2 == 0, "yearly").otherwise("monthly").alias("subscription_type"),
+        ts.cast("date").alias("period_start"),
+        F.col("o_orderstatus").alias("notes"),
+    )
+
+
 def _line_id(prefix: str):
     shipped = F.date_format("l_shipdate", "yyyyMMdd")
     return F.concat_ws("-", F.lit(prefix), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", shipped)

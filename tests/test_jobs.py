@@ -1,5 +1,6 @@
 """Change jobs: reasons, order inside a batch, repeatability."""
 
+import random
 from datetime import date, timedelta
 from decimal import Decimal
 
@@ -8,7 +9,7 @@ import seed
 from pyspark.sql import functions as F
 
 from learnmart.model import Tables
-from learnmart.operators import jobs, lookups, marts, refresh, rules
+from learnmart.operators import jobs, lookups, marts, refresh, rules, units
 from learnmart.plans import admin, students
 from learnmart.session import shuffle_partitions
 from learnmart.sources import commands, testdata
@@ -90,6 +91,76 @@ def test_enrol_and_pay_is_one_unit(spark, later):
     assert after.payments.count() == 14 + 3 and after.enrollments.count() == 17
 
 
+GROUP = "cmd_id string, cmd_ts timestamp, unit_id string, kind string, student_id string, course_id string, admin_id string, amount decimal(10,2), subscription_type string, period_start date, notes string"
+
+
+def unit_feed(spark, rows):
+    """Rows (cmd_id, minute, unit_id, kind, student, course[, admin])."""
+    d = date(2024, 5, 1)
+    return spark.createDataFrame([(c, LATER + timedelta(minutes=m), u, k, s, p, (a or ["U01"])[0], Decimal(2500), "monthly", d, None)
+                                  for c, m, u, k, s, p, *a in rows], GROUP)
+
+
+def test_refused_units_free_their_places(spark, later):
+    rows = [
+        ("a1", 0, "a", "enroll", "U20", "C2"), ("a2", 1, "a", "pay", "U20", "C2"), ("a3", 2, "a", "pay", "U21", "C4"),  # no place in C4
+        ("b1", 3, "b", "enroll", "U20", "C2"), ("b2", 3, "b", "pay", "U20", "C2"),  # takes the place of a
+        ("c1", 4, "c", "pay", "U20", "C2"), ("c2", 4, "c", "enroll", "U22", "C3"),  # leans on b
+        ("d1", 5, "d", "enroll", "U23", "C4"), ("d2", 5, "d", "enroll", "U23", "C1", "nobody"),
+        ("e1", 6, "e", "pay", "U23", "C4"), ("e2", 6, "e", "enroll", "U24", "C4"),  # leaned on d
+        ("f1", 7, "f", "pay", "U24", "C4"),  # leaned on e
+        ("g1", 8, "g", "pay", "U25", "C4"), ("g2", 9, "g", "enroll", "U25", "C4"),  # pays too early
+        ("h1", 10, None, "enroll", "U25", "C4"), ("h2", 11, None, "pay", "U25", "C4"), ("h3", 12, None, "gift", "U25", "C4"),
+        ("i1", 13, "i", "enroll", "U25", "C4"), ("i2", 14, "i", "enroll", "U29", "C4"), ("i3", 15, "i", "enroll", "U29", "C4"),
+    ]
+    decided, change = jobs.run(later, unit_feed(spark, rows), units.decide_units, units.apply_units)
+    assert outcomes(decided) == {
+        "a1": "unit_refused", "a2": "unit_refused", "a3": "not_enrolled", "b1": "enrolled", "b2": "recorded", "c1": "recorded", "c2": "enrolled",
+        "d1": "unit_refused", "d2": "admin_not_active", "e1": "not_enrolled", "e2": "unit_refused", "f1": "not_enrolled",
+        "g1": "not_enrolled", "g2": "unit_refused", "h1": "enrolled", "h2": "recorded", "h3": "unknown_kind",
+        "i1": "already_enrolled", "i2": "enrolled", "i3": "already_enrolled"}
+    after = change.onto(later)
+    assert after.enrollments.count() == later.enrollments.count() + 4 and after.payments.count() == later.payments.count() + 3
+
+
+def test_units_of_an_empty_batch(spark, later):
+    decided, change = jobs.run(later, unit_feed(spark, []), units.decide_units, units.apply_units)
+    assert decided.isEmpty() and change.appends["payments"].isEmpty()
+
+
+def test_units_like_one_after_the_other(spark, later):
+    """Random units, a long chain of refusals among them, against handling unit after unit."""
+    rng = random.Random(5)
+    people, courses = [f"U{n}" for n in range(20, 32) if n != 27], ["C1", "C2", "C3", "C4"]
+    rows = [(f"r{n:03d}", rng.randrange(400), f"u{rng.randrange(70):02d}", rng.choice(["enroll", "pay"]), rng.choice(people), rng.choice(courses),
+             "nobody" if rng.random() < 0.03 else "U01") for n in range(160)]
+    held = {(r.student_id, r.course_id) for r in later.enrollments.filter("is_active").collect()}
+    stored = {(r.student_id, r.course_id) for r in later.enrollments.collect()}
+    free = [(p, c) for p in people for c in courses if (p, c) not in held][:8]
+    for n, ((a, b), (c, d)) in enumerate(zip(free, free[1:])):  # each unit pays for the place that the unit before would have opened
+        rows += [(f"z{n}p", 900 + n, f"z{n}", "pay", a, b, "nobody" if n == 0 else "U01"), (f"z{n}q", 900 + n, f"z{n}", "enroll", c, d, "U01")]
+    want, units_of = {}, {}
+    for row in sorted(rows, key=lambda r: (r[1], r[0])):
+        units_of.setdefault(row[2], []).append(row)
+    for unit, cmds in sorted(units_of.items(), key=lambda u: (u[1][0][1], u[0])):
+        mine, stands, said = set(held), True, {}
+        for cmd, _, _, kind, who, where, admin in cmds:
+            if admin == "nobody":
+                said[cmd], stands = "admin_not_active", False
+            elif kind == "pay":
+                said[cmd] = "recorded" if (who, where) in mine else "not_enrolled"
+                stands &= (who, where) in mine
+            else:
+                said[cmd] = "already_enrolled" if (who, where) in mine else "reactivated" if (who, where) in stored else "enrolled"
+                mine.add((who, where))
+        done = ("recorded", "enrolled", "reactivated", "already_enrolled")
+        want |= said if stands else {c: "unit_refused" if s in done else s for c, s in said.items()}
+        held = mine if stands else held
+    decided = units.decide_units(later, unit_feed(spark, rows))
+    assert outcomes(decided) == want
+    assert {"enrolled", "recorded", "unit_refused", "not_enrolled"} <= set(want.values())
+
+
 def test_grades(spark, later):
     at = lambda m: LATER + timedelta(minutes=m)
     rows = [("a", at(0), "nope", "U10", 5, None), ("b", at(0), "H01-U20", "U10", 5, None), ("c", at(0), "H02-U23", "U10", 5, None),
