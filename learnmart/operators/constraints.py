@@ -41,6 +41,8 @@ def judge_values(t: Tables, name: str, rows: DataFrame) -> DataFrame:
         parents = t.frames[ref.parent].select(F.col("id").alias(f"_parent{i}")).distinct()
         if ref.parent in CATALOGUE:
             parents = t.catalogue_dim(parents)
+        elif ref.parent == "users":
+            parents = t.measured_dim("user_ids", parents)
         rows = rows.join(parents, F.col(ref.column) == F.col(f"_parent{i}"), "left")
         known[f"{ref.column}_unknown"] = F.col(ref.column).isNotNull() & F.col(f"_parent{i}").isNull()
     earlier = F.col("reject_reason") if "reject_reason" in have else F.lit(None).cast("string")
@@ -54,6 +56,8 @@ def judge_keys(t: Tables, name: str, judged: DataFrame, order: list[str], row: s
 
     ``row`` is a column unique to each row.  Every key is decided by its smallest
     (order, row), which combines on the map side however often a key repeats.
+    Only keys that several rows or a stored row claim can refuse a row, so the
+    rows are held against those alone, broadcast if measured small.
     """
     for key in TABLES[name].keys:
         if not set(key) <= set(judged.columns):
@@ -61,12 +65,14 @@ def judge_keys(t: Tables, name: str, judged: DataFrame, order: list[str], row: s
         named = [F.col(c).cast("string").alias(f"_k{i}") for i, c in enumerate(key)]
         ks = [f"_k{i}" for i in range(len(key))]
         open_rows = judged.filter("reject_reason is null").select(*named, F.struct(*order, row).alias("_place"))
-        first = open_rows.dropna(subset=ks).groupBy(*ks).agg(F.min("_place").alias("_first"))
+        claims = open_rows.dropna(subset=ks).groupBy(*ks).agg(F.min("_place").alias("_first"), F.count("*").alias("_claims"))
         stored = t.frames[name].select(*named).dropna().distinct().withColumn("_stored", F.lit(True))
-        winners = first.join(stored, ks, "left").select(*ks, F.col(f"_first.{row}").alias("_winner"), "_stored")
+        contested = claims.join(stored, ks, "left").filter("_claims > 1 or _stored").select(
+            *ks, F.col(f"_first.{row}").alias("_winner"), "_stored")
+        contested = t.measured(t.cut("contested", contested))
         on = reduce(Column.__and__, [F.col(c).cast("string") == F.col(k) for c, k in zip(key, ks)])
         taken = F.col("_stored").isNotNull() | (F.col("_winner").isNotNull() & (F.col("_winner") != F.col(row)))
-        judged = judged.join(winners, on, "left").withColumn(
+        judged = judged.join(contested, on, "left").withColumn(
             "reject_reason", F.coalesce("reject_reason", F.when(taken, F.lit(f"{'_'.join(key)}_taken")))
         ).drop(*ks, "_winner", "_stored")
     return judged

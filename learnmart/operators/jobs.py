@@ -618,10 +618,14 @@ def load_rows(t: Tables, rows: dict[str, DataFrame]) -> tuple[Tables, DataFrame]
         )
 
     def admitted(name: str, new: DataFrame, order: list[str], judge=lambda df: df) -> DataFrame:
-        """The rows of ``new`` that the table takes; numbered in a written table, so equal rows can be told apart."""
-        numbered = t.cut("incoming", new.withColumn("_row", F.monotonically_increasing_id()))
-        judged = constraints.judge_values(t, name, judge(numbered))
-        judged = t.cut("judged", constraints.judge_keys(t, name, judged, [c for c in order if c in new.columns], "_row"))
+        """The rows of ``new`` that the table takes.
+
+        Values, the table's own rules and references are judged once and written with a number per row, so that equal rows
+        can be told apart; the keys are decided on what was written.
+        """
+        known = constraints.judge_values(t, name, judge(new)).withColumn("_row", F.monotonically_increasing_id())
+        known = t.cut("incoming", known.select(*new.columns, "reject_reason", "_row"))
+        judged = t.cut("judged", constraints.judge_keys(t, name, known, [c for c in order if c in new.columns], "_row"))
         turned_away(name, judged)
         return judged.filter("reject_reason is null").select(*new.columns)
 
