@@ -108,6 +108,12 @@ class Tables:
         """Broadcast a frame no larger than an outline, if the outlines are measured small."""
         return F.broadcast(df) if self.catalogue_size.outline_bytes <= self.broadcast_bytes else df
 
+    def outline_dim(self, df: DataFrame) -> DataFrame:
+        """Broadcast a projection of an outline: measured itself where the whole outlines are too large."""
+        if self.catalogue_size.outline_bytes <= self.broadcast_bytes:
+            return F.broadcast(df)
+        return self.measured(df)
+
     def score_dim(self, df: DataFrame) -> DataFrame:
         """Broadcast a frame with at most one row per (course, reachable score), if that is known to be small."""
         return F.broadcast(df) if self.catalogue_size.score_bytes <= self.broadcast_bytes else df

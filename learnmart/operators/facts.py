@@ -50,11 +50,11 @@ def contributions(t: Tables, enrollments: DataFrame | None = None, progress: Dat
     if enrollments is not None:
         stacked.append(rows(enrollments, enrolled_at=F.col("enrolled_at"), is_active=F.col("is_active")))
     if progress is not None:
-        lessons = t.catalogue_dim(t.lesson_outline.select("lesson_id", *item))
+        lessons = t.outline_dim(t.lesson_outline.select("lesson_id", *item))
         done = progress.filter("is_completed").select("student_id", "lesson_id").join(lessons, "lesson_id")
         stacked.append(rows(done, done=F.col("is_published").cast("int")))
     if submissions is not None:
-        homeworks = t.catalogue_dim(t.homework_outline.select("homework_id", *item))
+        homeworks = t.outline_dim(t.homework_outline.select("homework_id", *item))
         sent = submissions.select("student_id", "homework_id", "status", "score").join(homeworks, "homework_id")
         graded = F.col("is_published") & F.col("status").isin(*GRADED)
         stacked.append(rows(

@@ -146,7 +146,7 @@ def student_progress(t: Tables) -> DataFrame:
     """Every enrolment with lesson and homework progress."""
     return (
         t.enrolment_facts.join(people(t, short_name().alias("student_name"), "email"), "student_id")
-        .join(t.catalogue_dim(t.course_totals), "course_id")
+        .join(t.outline_dim(t.course_totals), "course_id")
         .select(
             "student_id",
             "student_name",
@@ -244,7 +244,7 @@ def stored(t: Tables, name: str, build) -> DataFrame:
 def student_scores(t: Tables) -> DataFrame:
     """Active enrolments of courses with homework: score, share of the maximum, rank in the course."""
     scored = t.active_facts.join(
-        t.catalogue_dim(t.course_totals.filter("total_homeworks > 0")), "course_id"
+        t.outline_dim(t.course_totals.filter("total_homeworks > 0")), "course_id"
     )
     graded_score = F.when(F.col("scored_homeworks") > 0, F.col("total_score"))  # no score at all has no share
     return (
@@ -272,7 +272,7 @@ def student_scores(t: Tables) -> DataFrame:
 def completion_facts(t: Tables) -> DataFrame:
     return (
         t.active_facts
-        .join(t.catalogue_dim(t.course_totals), "course_id")
+        .join(t.outline_dim(t.course_totals), "course_id")
         .withColumn("completion_pct", pct1_or_zero(F.col("completed_lessons"), F.col("total_lessons")))
     )
 
@@ -307,7 +307,7 @@ def mean_completion(t: Tables) -> DataFrame:
 
 def work_counts(t: Tables, submissions: DataFrame) -> DataFrame:
     """(course_id, teacher_id) -> manual hand-ins checked by the teacher, and under no teacher those that wait."""
-    manual = t.catalogue_dim(
+    manual = t.outline_dim(
         t.homework_outline.filter("check_type = 'manual'").select("homework_id", "course_id")
     )
     work = submissions.select("homework_id", "status", "checked_by").join(manual, "homework_id")

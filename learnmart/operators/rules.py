@@ -47,7 +47,7 @@ def log_rows(
 
 def judge_scores(t: Tables, submissions: DataFrame) -> DataFrame:
     """Submissions with a ``reject_reason``: score above the maximum, or given before grading."""
-    limits = t.catalogue_dim(t.homeworks.select(F.col("id").alias("homework_id"), F.col("max_score").alias("_max")))
+    limits = t.outline_dim(t.homeworks.select(F.col("id").alias("homework_id"), F.col("max_score").alias("_max")))
     return (
         submissions.join(limits, "homework_id", "left")
         .withColumn(
@@ -63,7 +63,7 @@ def judge_scores(t: Tables, submissions: DataFrame) -> DataFrame:
 
 def auto_check(t: Tables, submissions: DataFrame) -> DataFrame:
     """New hand-ins of automatic homework get the full score at once."""
-    rules = t.catalogue_dim(
+    rules = t.outline_dim(
         t.homeworks.select(
             F.col("id").alias("homework_id"), F.col("max_score").alias("_max"), (F.col("check_type") == "auto").alias("_auto")
         )
