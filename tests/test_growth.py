@@ -45,6 +45,14 @@ def below(text: str, node: str) -> str:
     return "\n".join(rest)
 
 
+def test_the_state_before_works_out_no_hand_ins(spark, sf_dir):
+    t = testdata.build(spark, sf_dir)
+    dict.__setitem__(t.frames, "homework_submissions", unread)
+    start = commands.before(t)
+    decided = jobs.decide_enrolments(start, commands.enrol_commands(start))
+    assert not jobs.decisions_of(decided).isEmpty()
+
+
 def test_narrow_projections_are_broadcast_where_outlines_are_not(spark, school, no_broadcast):
     keys = school.homework_outline.select("homework_id", "course_id")
     t = Tables(spark, dict.copy(school.frames), school.as_of, broadcast_bytes=sizing.measured_bytes(keys))
