@@ -53,6 +53,21 @@ def test_the_state_before_works_out_no_hand_ins(spark, sf_dir):
     assert not jobs.decisions_of(decided).isEmpty()
 
 
+def test_first_grades_are_broadcast_if_measured_small(spark, sf_dir, no_broadcast):
+    t = testdata.load(spark, sf_dir)
+    decisions, change = jobs.run(t, commands.grade_commands(t), jobs.decide_grades, jobs.apply_grades)
+    assert "SortMergeJoin" not in plan(jobs.decide_grades(t, commands.grade_commands(t)), "executedPlan")
+    assert "SortMergeJoin" not in plan(change.tables["homework_submissions"], "executedPlan")
+
+
+def test_grades_beyond_the_broadcast_limit_are_the_same(spark, sf_dir):
+    t = testdata.load(spark, sf_dir)
+    small = Tables(spark, dict.copy(t.frames), t.as_of, broadcast_bytes=0)
+    feed = commands.grade_commands(t)
+    rows = [sorted(map(str, jobs.decisions_of(jobs.decide_grades(x, feed)).collect())) for x in (t, small)]
+    assert rows[0] == rows[1]
+
+
 def test_narrow_projections_are_broadcast_where_outlines_are_not(spark, school, no_broadcast):
     keys = school.homework_outline.select("homework_id", "course_id")
     t = Tables(spark, dict.copy(school.frames), school.as_of, broadcast_bytes=sizing.measured_bytes(keys))
