@@ -97,11 +97,16 @@ def earliest(commands: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mark_first(judged: DataFrame, candidate: Column, keys: list[str]) -> DataFrame:
-    """Add ``is_first``: is this the earliest candidate command for its key?"""
+    """Add ``is_first``: is this the earliest candidate command for its key?
+
+    Commands with a reason against them are no candidates and are not joined.
+    """
+    refused, judged = judged.filter("reason is not null"), judged.filter("reason is null")
     winners = earliest(judged.filter(candidate).select(*keys, "cmd_ts", "cmd_id"), keys).select(
         "cmd_id", F.lit(True).alias("is_first")
     )
-    return judged.join(winners, "cmd_id", "left").withColumn("is_first", F.coalesce("is_first", F.lit(False)))
+    marked = judged.join(winners, "cmd_id", "left").withColumn("is_first", F.coalesce("is_first", F.lit(False)))
+    return marked.unionByName(refused.withColumn("is_first", F.lit(False)))
 
 
 def _with_admin(t: Tables, commands: DataFrame) -> DataFrame:
@@ -132,7 +137,7 @@ def _with_course(t: Tables, commands: DataFrame) -> DataFrame:
     courses = t.course_totals.select(
         "course_id", "course_title", F.col("course_is_active").alias("course_active"), "price_monthly", "price_yearly"
     )
-    return commands.join(t.catalogue_dim(courses), "course_id", "left")
+    return commands.join(t.outline_dim(courses), "course_id", "left")
 
 
 # -- enrolment ------------------------------------------------------------------
@@ -402,7 +407,7 @@ def first_pending_grades(t: Tables, score: int, teacher_id=None, student_id=None
     order = Window.partitionBy("student_id").orderBy("submitted_at", "id")
     oldest = (
         waiting.select("student_id", "homework_id", "submitted_at", "id")
-        .join(t.catalogue_dim(manual), "homework_id")
+        .join(t.outline_dim(manual), "homework_id")
         .withColumn("_n", F.row_number().over(order))
         .filter("_n = 1")
         .select("submitted_at", "id", "course_id")
@@ -503,7 +508,7 @@ def apply_deactivations(t: Tables, decisions: DataFrame) -> Change:
 def decide_completions(t: Tables, commands: DataFrame) -> DataFrame:
     """Commands: cmd_id, cmd_ts, student_id, lesson_id."""
     lessons = t.lesson_outline.select("lesson_id", "course_id")
-    judged = commands.join(t.catalogue_dim(lessons), "lesson_id", "left")
+    judged = commands.join(t.outline_dim(lessons), "lesson_id", "left")
     judged = _with_enrolment(t, judged)
     progress = t.lesson_progress.select(
         "student_id", "lesson_id", F.col("id").cast("string").alias("progress_id"), F.col("is_completed").alias("was_completed")
@@ -567,7 +572,7 @@ def decide_submissions(t: Tables, commands: DataFrame) -> DataFrame:
     judged = commands.withColumn("answer_text", F.nullif("answer_text", F.lit(""))).withColumn(
         "answer_url", F.nullif("answer_url", F.lit(""))
     )
-    judged = _with_enrolment(t, judged.join(t.catalogue_dim(outline), "homework_id", "left"))
+    judged = _with_enrolment(t, judged.join(t.outline_dim(outline), "homework_id", "left"))
     handed = t.homework_submissions.select("homework_id", "student_id", F.lit(True).alias("handed_in"))
     reason = first_reason(
         homework_not_found=F.col("course_id").isNull(),

@@ -74,3 +74,11 @@ def test_narrow_projections_are_broadcast_where_outlines_are_not(spark, school,
     assert t.catalogue_size.outline_bytes > t.broadcast_bytes
     assert "BroadcastHashJoin" in plan(t.homework_submissions.join(t.outline_dim(keys), "homework_id"), "executedPlan")
     assert "BroadcastHashJoin" not in plan(t.homework_submissions.join(t.outline_dim(t.lesson_outline), F.lit(1) == F.col("lesson_id")), "executedPlan")
+
+
+def test_refused_commands_are_not_joined_to_the_first(spark):
+    rows = [("a", 1, "x", None), ("b", 2, "x", None), ("c", 0, "x", "bad")]
+    judged = spark.createDataFrame(rows, "cmd_id string, cmd_ts int, k string, reason string")
+    marked = jobs.mark_first(judged, F.col("reason").isNull(), ["k"])
+    assert plan(marked).count("Union") == 1
+    assert {(r.cmd_id, r.is_first) for r in marked.collect()} == {("a", True), ("b", False), ("c", False)}
