@@ -275,7 +275,7 @@ STORED = {
 
 def _loaded(t: Tables) -> tuple[Tables, DataFrame]:
     """A bulk load of unchecked rows into empty course_teachers, homework_submissions and lesson_progress."""
-    empty = {name: t.frames[name].limit(0) for name in ("course_teachers", "homework_submissions", "lesson_progress")}
+    empty = {name: t.empty(name) for name in ("course_teachers", "homework_submissions", "lesson_progress")}
     queue = rules.queue_refresh(empty["course_teachers"], ["course_id"], t.now)
     start = commands.before(t).replace(**empty, mv_refresh_queue=queue)
     feed = t.replace()

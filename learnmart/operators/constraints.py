@@ -40,7 +40,7 @@ def judge_values(t: Tables, name: str, rows: DataFrame) -> DataFrame:
     for i, ref in enumerate(r for r in table.references if r.column in have and r.parent in t.frames):
         parents = t.frames[ref.parent].select(F.col("id").alias(f"_parent{i}")).distinct()
         if ref.parent in CATALOGUE:
-            parents = t.catalogue_dim(parents)
+            parents = t.outline_dim(parents)
         elif ref.parent == "users":
             parents = t.measured_dim("user_ids", parents)
         rows = rows.join(parents, F.col(ref.column) == F.col(f"_parent{i}"), "left")
@@ -57,8 +57,10 @@ def judge_keys(t: Tables, name: str, judged: DataFrame, order: list[str], row: s
     ``row`` is a column unique to each row.  Every key is decided by its smallest
     (order, row), which combines on the map side however often a key repeats.
     Only keys that several rows or a stored row claim can refuse a row, so the
-    rows are held against those alone, broadcast if measured small.
+    rows are held against those alone, broadcast if measured small.  Rows that
+    are refused already take no part.
     """
+    refused, judged = judged.filter("reject_reason is not null"), judged.filter("reject_reason is null")
     for key in TABLES[name].keys:
         if not set(key) <= set(judged.columns):
             continue
@@ -75,4 +77,4 @@ def judge_keys(t: Tables, name: str, judged: DataFrame, order: list[str], row: s
         judged = judged.join(contested, on, "left").withColumn(
             "reject_reason", F.coalesce("reject_reason", F.when(taken, F.lit(f"{'_'.join(key)}_taken")))
         ).drop(*ks, "_winner", "_stored")
-    return judged
+    return judged.unionByName(refused)

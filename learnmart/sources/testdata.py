@@ -261,10 +261,17 @@ def submission_rows(raw: Raw, homeworks: DataFrame) -> DataFrame:
     return handed_in(raw).join(homeworks.select(F.col("id").alias("homework_id"), "check_type", "max_score"), "homework_id")
 
 
+def _rules(homeworks: DataFrame) -> DataFrame:
+    """What hand-ins take from their homework, one row each."""
+    return homeworks.select(F.col("id").alias("homework_id"), "check_type", "max_score").dropDuplicates(["homework_id"])
+
+
 def _submissions(raw: Raw, homeworks: DataFrame) -> DataFrame:
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     earliest = Window.partitionBy("homework_id", "o_custkey").orderBy(*order)
-    first = submission_rows(raw, homeworks).withColumn("n", F.row_number().over(earliest)).filter("n = 1")
+    first = handed_in(raw).withColumn("n", F.row_number().over(earliest)).filter("n = 1")
+    # a pair is of one homework, so what the homework adds is joined to the rows that are left
+    first = first.join(homeworks, "homework_id")
     auto = F.col("check_type") == "auto"
     graded = F.col("l_returnflag") != "N"
     submitted = _shift("l_shipdate", SHIP_SHIFT_DAYS)
@@ -341,13 +348,14 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
     # Relations that take a join or an aggregation are written once, when first used.
     derived = {
         "enrollments": lambda: merge_enrolments(enrolment_rows(raw), F.col("o_orderstatus") != "F"),
-        "homework_submissions": lambda: _submissions(raw, frames["homeworks"]),
+        "homework_submissions": lambda: _submissions(raw, tables.measured(_rules(frames["homeworks"]))),
         "lesson_progress": lambda: merge_progress(progress_rows(raw)),
     }
     for name, build_frame in derived.items():
         frames[name] = cache(lambda name=name, build_frame=build_frame: tables.cut(name, build_frame()))
     tables = Tables(spark, frames, AS_OF)
     tables.raw = raw
+    tables.empty = lambda name: (derived[name]() if name in derived else frames[name]).limit(0)
     return tables
 
 

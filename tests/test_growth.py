@@ -53,6 +53,13 @@ def test_the_state_before_works_out_no_hand_ins(spark, sf_dir):
     assert not jobs.decisions_of(decided).isEmpty()
 
 
+def test_a_load_into_empty_tables_works_out_no_hand_ins(spark, sf_dir):
+    t = testdata.build(spark, sf_dir)
+    dict.__setitem__(t.frames, "homework_submissions", unread)
+    after, rejects = catalog._loaded(t)
+    assert not after.homework_submissions.isEmpty() and not rejects.isEmpty()
+
+
 def test_first_grades_are_broadcast_if_measured_small(spark, sf_dir, no_broadcast):
     t = testdata.load(spark, sf_dir)
     decisions, change = jobs.run(t, commands.grade_commands(t), jobs.decide_grades, jobs.apply_grades)
