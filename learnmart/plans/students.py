@@ -59,11 +59,14 @@ def unsubmitted(t: Tables) -> DataFrame:
     """Homework of published lessons an active enrolment owes and has not handed in.
 
     What the courses ask of their students, without what they have handed in:
-    an anti join on (homework, student).
+    an anti join on (homework, student), over keys alone.  Titles are joined to
+    the rows that are left.
     """
-    owed = t.catalogue_dim(
+    owed = t.outline_dim(published_homeworks(t).select("course_id", "homework_id").distinct())
+    titles = t.outline_dim(
         published_homeworks(t).select(
-            "course_id", "course_title", "module_title", "lesson_title", "homework_id", "homework_title", "check_type"
+            F.col("course_id").alias("_course"), "course_title", "module_title", "lesson_title",
+            F.col("homework_id").alias("_homework"), "homework_title", "check_type"
         )
     )
     kind = F.when(F.col("check_type") == "manual", MANUAL).when(F.col("check_type") == "auto", AUTO)
@@ -71,6 +74,7 @@ def unsubmitted(t: Tables) -> DataFrame:
         t.enrollments.filter("is_active").select("student_id", "course_id")
         .join(owed, "course_id")
         .join(t.homework_submissions.select("student_id", "homework_id"), ["student_id", "homework_id"], "left_anti")
+        .join(titles, (F.col("course_id") == F.col("_course")) & F.col("homework_id").eqNullSafe(F.col("_homework")))
         .join(people(t, full_name().alias("full_name")), "student_id")
         .orderBy("course_title", "student_id", "module_title", "homework_id")
         .select(

@@ -75,6 +75,15 @@ def test_grades_beyond_the_broadcast_limit_are_the_same(spark, sf_dir):
     assert rows[0] == rows[1]
 
 
+def test_owed_homework_is_held_against_hand_ins_without_titles(spark, school):
+    report = students.unsubmitted(school)
+    kept = [line for line in below(plan(report), "Join LeftAnti").split("\n") if "Project" in line]
+    assert kept and not any("title" in line for line in kept[:2])
+    twice = school.replace(homework_submissions=school.homework_submissions.union(school.homework_submissions),
+                           enrollments=school.enrollments.union(school.enrollments))
+    assert students.unsubmitted(twice).count() == 2 * report.count() > 0
+
+
 def test_narrow_projections_are_broadcast_where_outlines_are_not(spark, school, no_broadcast):
     keys = school.homework_outline.select("homework_id", "course_id")
     t = Tables(spark, dict.copy(school.frames), school.as_of, broadcast_bytes=sizing.measured_bytes(keys))
