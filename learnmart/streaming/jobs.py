@@ -102,14 +102,11 @@ def stream_submissions(t: Tables, source: DataFrame, sink: Sink) -> StreamingQue
         claimed = first_claims(t, sink, batch_id, first, keys)
         known = before.near("handed_in", claimed).distinct()
         fresh = claimed.join(known, keys, "left_anti").select("id", F.lit(True).alias("is_first"))
-        decided = (
-            rows.join(fresh, "id", "left")
-            .withColumn(
-                "outcome",
-                F.coalesce("reject_reason", F.when(F.col("is_first").isNull(), "duplicate"), F.lit("accepted")),
-            )
-            .select(*columns, "outcome")
-        )
+        # only rows that no rule refuses are held against the claims
+        open_rows = rows.filter("reject_reason is null").join(fresh, "id", "left").select(
+            *columns, F.when(F.col("is_first").isNull(), "duplicate").otherwise("accepted").alias("outcome"))
+        refused = rows.filter("reject_reason is not null").select(*columns, F.col("reject_reason").alias("outcome"))
+        decided = open_rows.unionByName(refused)
         written = judged.write(batch_id, decided)
         accepted.write(batch_id, rules.auto_check(t, written.filter("outcome = 'accepted'").drop("outcome")).select(*columns))
 
