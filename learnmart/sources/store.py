@@ -132,15 +132,16 @@ class Store:
         return f"{self.root}/data/{name}/v{version:09d}-{uuid.uuid4().hex[:8]}"
 
     # -- keyed tables ---------------------------------------------------------------
-    def _write_parts(self, rows: DataFrame, path: str, by: list[str], parts: int, tasks: int) -> None:
+    def _write_parts(self, rows: DataFrame, path: str, by: list[str], parts: int) -> None:
         placed = rows.withColumn("_hash", key_hash(by)).withColumn("_part", F.pmod("_hash", F.lit(parts)).cast("int"))
-        # rows of a part are sorted by hash in small pages, so that a lookup reads the pages of its keys
-        placed.repartition(tasks, "_part").sortWithinPartitions("_part", "_hash").write.partitionBy("_part").option(
+        # rows of a part are sorted by hash in small pages, so that a lookup reads the pages of its keys; tasks go by the
+        # rows' size, so that a large part is several files and small parts share a task
+        placed.hint("rebalance", "_part").sortWithinPartitions("_part", "_hash").write.partitionBy("_part").option(
             "parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
 
     def _write_keyed(self, df: DataFrame, path: str, layout: Layout) -> dict:
         parts = layout.parts or max(1, -(-sizing.measured_bytes(df) // PART_BYTES))
-        self._write_parts(df, path, list(layout.by), parts, parts)
+        self._write_parts(df, path, list(layout.by), parts)
         return {"by": list(layout.by), "keys": list(layout.replaced_by), "schema": df.schema.json(), "folders": self._written(path, range(parts), parts)}
 
     def _written(self, path: str, wanted, parts: int) -> list[str | None]:
@@ -198,7 +199,7 @@ class Store:
             equal = F.col(c).eqNullSafe(F.col(f"_{c}"))
             same = equal if same is None else same & equal
         path = self._folder(name, version)
-        self._write_parts(old.join(marks, same, "left_anti").unionByName(new), path, list(keyed["by"]), n, len(touched))
+        self._write_parts(old.join(marks, same, "left_anti").unionByName(new), path, list(keyed["by"]), n)
         written = self._written(path, touched, n)
         folders = list(keyed["folders"])
         for p in touched:

@@ -98,3 +98,19 @@ def test_refused_commands_are_not_joined_to_the_first(spark):
     marked = jobs.mark_first(judged, F.col("reason").isNull(), ["k"])
     assert plan(marked).count("Union") == 1
     assert {(r.cmd_id, r.is_first) for r in marked.collect()} == {("a", True), ("b", False), ("c", False)}
+
+
+def test_a_large_part_is_written_by_several_tasks(spark):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "64k")
+    try:
+        rows = spark.range(0, 100_000, 1, 8).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        store = Store(spark, workspace(spark, "parts"))
+        store.commit({"r": rows}, layouts={"r": Layout(("k",), parts=2)})
+    finally:
+        spark.conf.set(size, before)
+    for folder in store.part_folders("r"):
+        assert len([f for f in os.listdir(folder) if f.endswith(".parquet")]) > 1
+    assert store.read("r").agg(F.countDistinct("k"), F.count("*")).first() == (100_000, 100_000)
+    assert store.near("r", spark.createDataFrame([(77,)], "k bigint")).filter("k = 77").count() == 1
