@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from learnmart.functions import sizing
 from learnmart.model import Tables
 from learnmart.operators.jobs import Change
 from learnmart.schemas import CATALOGUE, ENUMS, TABLES, Table
@@ -37,7 +38,8 @@ def unique_violations(t: Tables, names: list[str] | None = None) -> DataFrame:
 
     Two passes.  The first counts 64-bit hashes of all keys of all tables, two
     numbers a row that combine on the map side.  The second writes out only keys
-    whose hash came up twice and counts them exactly.
+    of rules with a hash that came up twice and counts them exactly; if these
+    hashes are measured small, only keys that have one of them.
     """
     rules: list[tuple[str, str]] = []
     scans = []
@@ -53,22 +55,26 @@ def unique_violations(t: Tables, names: list[str] | None = None) -> DataFrame:
         if keys:
             scans.append((df, keys))
 
-    def rows(texts: bool) -> DataFrame:
+    def rows(texts: bool, wanted: set[int]) -> DataFrame:
         parts = []
         for df, keys in scans:
             fields = [
                 F.when(complete, F.struct(F.lit(no).alias("rule"), digest.alias("hash"), *([values.alias("key")] if texts else [])))
-                for no, complete, digest, values in keys
+                for no, complete, digest, values in keys if no in wanted
             ]
-            parts.append(df.select(F.explode(F.array_compact(F.array(*fields))).alias("k")).select("k.*"))
+            if fields:
+                parts.append(df.select(F.explode(F.array_compact(F.array(*fields))).alias("k")).select("k.*"))
         return _union(parts)
 
-    suspects = t.cut("suspects", rows(False).groupBy("rule", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("rule", "hash"))
+    every = set(range(len(rules)))
+    suspects = t.cut("suspects", rows(False, every).groupBy("rule", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("rule", "hash"))
+    held = {r["rule"] for r in suspects.select("rule").distinct().collect()}  # at most a row per rule
+    texts = rows(True, held or every)
+    if sizing.measured_bytes(suspects) <= t.broadcast_bytes:
+        texts = texts.join(F.broadcast(suspects), ["rule", "hash"], "left_semi")
     named = F.array(*[F.struct(F.lit(table).alias("table_name"), F.lit(rule).alias("rule")) for table, rule in rules])
     return (
-        rows(True)
-        .join(t.measured(suspects), ["rule", "hash"], "left_semi")
-        .groupBy("rule", "key")
+        texts.groupBy("rule", "key")
         .agg(F.count("*").alias("rows_count"))
         .filter("rows_count > 1")
         .select(F.get(named, F.col("rule")).alias("r"), F.array_join("key", KEY_SEPARATOR).alias("key_value"), "rows_count")

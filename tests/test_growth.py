@@ -84,6 +84,14 @@ def test_owed_homework_is_held_against_hand_ins_without_titles(spark, school):
     assert students.unsubmitted(twice).count() == 2 * report.count() > 0
 
 
+def test_many_suspect_keys_are_counted_without_a_join(spark, school):
+    t = school.replace(enrollments=school.enrollments.union(school.enrollments))
+    beyond = Tables(spark, dict.copy(t.frames), t.as_of, broadcast_bytes=0)
+    assert "LeftSemi" not in plan(quality.unique_violations(beyond))
+    rows = [sorted(map(str, quality.unique_violations(x).collect())) for x in (t, beyond)]
+    assert rows[0] == rows[1] and len(rows[0]) == 2 * school.enrollments.count()
+
+
 def test_narrow_projections_are_broadcast_where_outlines_are_not(spark, school, no_broadcast):
     keys = school.homework_outline.select("homework_id", "course_id")
     t = Tables(spark, dict.copy(school.frames), school.as_of, broadcast_bytes=sizing.measured_bytes(keys))
