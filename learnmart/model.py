@@ -108,26 +108,36 @@ class Tables:
         """Broadcast a frame no larger than an outline, if the outlines are measured small."""
         return F.broadcast(df) if self.catalogue_size.outline_bytes <= self.broadcast_bytes else df
 
+    def outline_small(self, df: DataFrame) -> bool:
+        """Is a projection of an outline small: measured itself where the whole outlines are too large."""
+        return self.catalogue_size.outline_bytes <= self.broadcast_bytes or self.small(df)
+
     def outline_dim(self, df: DataFrame) -> DataFrame:
-        """Broadcast a projection of an outline: measured itself where the whole outlines are too large."""
-        if self.catalogue_size.outline_bytes <= self.broadcast_bytes:
-            return F.broadcast(df)
-        return self.measured(df)
+        """Broadcast a projection of an outline, if measured small."""
+        return F.broadcast(df) if self.outline_small(df) else df
 
     def score_dim(self, df: DataFrame) -> DataFrame:
         """Broadcast a frame with at most one row per (course, reachable score), if that is known to be small."""
         return F.broadcast(df) if self.catalogue_size.score_bytes <= self.broadcast_bytes else df
 
-    def measured_dim(self, name: str, df: DataFrame) -> DataFrame:
-        """Broadcast ``df`` if its measured size allows; measured once per name."""
+    def measured_small(self, name: str, df: DataFrame) -> bool:
+        """Does the measured size of ``df`` allow a broadcast; measured once per name."""
         sizes = self.__dict__.setdefault("_sizes", {})
         if name not in sizes:
             sizes[name] = sizing.measured_bytes(df)
-        return F.broadcast(df) if sizes[name] <= self.broadcast_bytes else df
+        return sizes[name] <= self.broadcast_bytes
+
+    def measured_dim(self, name: str, df: DataFrame) -> DataFrame:
+        """Broadcast ``df`` if its measured size allows; measured once per name."""
+        return F.broadcast(df) if self.measured_small(name, df) else df
+
+    def small(self, written: DataFrame) -> bool:
+        """Is a projection of a written table measured small enough to broadcast."""
+        return sizing.measured_bytes(written) <= self.broadcast_bytes
 
     def measured(self, written: DataFrame) -> DataFrame:
         """Broadcast a projection of a written table if it is measured small; leave the join to AQE beyond."""
-        return F.broadcast(written) if sizing.measured_bytes(written) <= self.broadcast_bytes else written
+        return F.broadcast(written) if self.small(written) else written
 
     @cached_property
     def _assignment_bytes(self) -> int:

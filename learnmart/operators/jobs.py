@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -626,14 +627,20 @@ def load_rows(t: Tables, rows: dict[str, DataFrame]) -> tuple[Tables, DataFrame]
     def admitted(name: str, new: DataFrame, order: list[str], judge=lambda df: df) -> DataFrame:
         """The rows of ``new`` that the table takes.
 
-        Values, the table's own rules and references are judged once and written with a number per row, so that equal rows
-        can be told apart; the keys are decided on what was written.
+        Values, the table's own rules and references with small parents are judged once and written with a number per
+        row, so that equal rows can be told apart; of a refused row only the reason is written.  Large parents and the
+        keys are decided on what was written, which is not written again.
         """
-        known = constraints.judge_values(t, name, judge(new)).withColumn("_row", F.monotonically_increasing_id())
-        known = t.cut("incoming", known.select(*new.columns, "reject_reason", "_row"))
-        judged = t.cut("judged", constraints.judge_keys(t, name, known, [c for c in order if c in new.columns], "_row"))
-        turned_away(name, judged)
-        return judged.filter("reject_reason is null").select(*new.columns)
+        judged = judge(new)
+        refs = constraints.small_references(t, name, new)
+        known = constraints.judge_values(t, name, judged, refs).withColumn("_row", F.monotonically_increasing_id())
+        kept = [F.when(F.col("reject_reason").isNull(), F.col(c)).alias(c) for c in [*new.columns, "_row"]]
+        known = t.cut("incoming", known.select(*kept, "reject_reason"))
+        good, unknown = constraints.judge_references(t, name, known.filter("reject_reason is null").drop("reject_reason"), "_row", refs)
+        good, taken = constraints.judge_keys(t, name, good, [c for c in order if c in new.columns], "_row")
+        refused = known.filter("reject_reason is not null").select("reject_reason")
+        turned_away(name, reduce(DataFrame.union, [*unknown, *taken], refused))
+        return good.select(*new.columns)
 
     for name in ("users", "topics", "courses", "modules", "lessons", "homeworks", "activity_log"):
         if name in rows:

@@ -108,6 +108,42 @@ def test_refused_commands_are_not_joined_to_the_first(spark):
     assert {(r.cmd_id, r.is_first) for r in marked.collect()} == {("a", True), ("b", False), ("c", False)}
 
 
+@pytest.mark.parametrize("limit", [sizing.BROADCAST_BYTES, 300, 0])
+def test_a_load_writes_whole_rows_once_and_refused_rows_as_their_reason(spark, school, no_broadcast, monkeypatch, limit):
+    """The same outcome whether parents, the ids that are named, or nothing is small enough to broadcast."""
+    cuts, real = [], Tables.cut
+
+    def cut(self, name, df):
+        cuts.append((name, plan(df), out := real(self, name, df)))
+        return out
+
+    work = school.homework_submissions.select("homework_id", "student_id").distinct()
+    free = school.homeworks.filter("check_type = 'manual'").select(F.col("id").alias("homework_id")).crossJoin(
+        school.users.filter("role = 'student'").select(F.col("id").alias("student_id"))).join(work, ["homework_id", "student_id"], "left_anti")
+    a, b, c, d = free.orderBy("homework_id", "student_id").take(4)
+    taken, teacher = work.first(), school.users.filter("role = 'teacher'").first().id
+    rows = [("N1", *a, None, "submitted", None), ("N2", *a, "x", "graded", None), ("N3", *a, "x", "submitted", None), ("N4", *a, "x", "submitted", teacher),
+            ("N5", a.homework_id, "nobody", "x", "submitted", None), ("N6", "H99", "nobody", "x", "submitted", "ghost"),
+            ("N7", *taken, "x", "submitted", None), ("N8", *b, "x", "submitted", teacher), ("N8", *c, "x", "submitted", None),
+            *[(f"G{i}", *d, "x", "submitted", f"ghost{i}") for i in range(9)], ("Z1", *d, "x", "submitted", None), ("Z2", None, *d[1:], "x", "submitted", None)]
+    new = spark.createDataFrame([(*r, None, None, None, school.as_of) for r in rows], ", ".join(
+        f"{c} {'short' if c == 'score' else 'timestamp' if c.endswith('_at') else 'string'}" for c in
+        ("id", "homework_id", "student_id", "answer_text", "status", "checked_by", "answer_url", "score", "checked_at", "submitted_at")))
+    t = Tables(spark, dict.copy(school.frames), school.as_of, broadcast_bytes=limit)
+    monkeypatch.setattr(Tables, "cut", cut)
+    after, rejects = jobs.load_rows(t, {"homework_submissions": new})
+    assert {tuple(r)[1:] for r in rejects.collect()} == {
+        ("answer_provided", 1), ("status_not_allowed", 1), ("homework_id_student_id_taken", 2), ("student_id_unknown", 1), ("homework_id_unknown", 1),
+        ("id_taken", 1), ("checked_by_unknown", 9), ("homework_id_required", 1)}
+    stored = after.homework_submissions.join(school.homework_submissions.select("id"), "id", "left_anti")
+    assert sorted(r.id for r in stored.collect()) == ["N3", "N8", "Z1"]
+    whole = [(name, text, df) for name, text, df in cuts if "answer_text" in df.columns]
+    assert [name for name, _, _ in whole] == ["incoming"]
+    _, text, written = whole[0]
+    assert limit == sizing.BROADCAST_BYTES or "_parent" not in text
+    assert written.filter("reject_reason is not null").dropna(thresh=2).isEmpty()
+
+
 def test_a_large_part_is_written_by_several_tasks(spark):
     size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(size)
