@@ -135,8 +135,9 @@ class Store:
     def _write_parts(self, rows: DataFrame, path: str, by: list[str], parts: int) -> None:
         placed = rows.withColumn("_hash", key_hash(by)).withColumn("_part", F.pmod("_hash", F.lit(parts)).cast("int"))
         # rows of a part are sorted by hash in small pages, so that a lookup reads the pages of its keys; tasks go by the
-        # rows' size, so that a large part is several files and small parts share a task
-        placed.hint("rebalance", "_part").sortWithinPartitions("_part", "_hash").write.partitionBy("_part").option(
+        # rows' size, so that a large part is several files and small parts share a task; with a partition for each part,
+        # small parts are not split because they lie beside others
+        placed.hint("rebalance", parts, "_part").sortWithinPartitions("_part", "_hash").write.partitionBy("_part").option(
             "parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
 
     def _write_keyed(self, df: DataFrame, path: str, layout: Layout) -> dict:
